@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, winnow
+from . import bpe, quality, simhash, winnow
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and their decoding, as digests."""
     import public_tokenizers
@@ -33,7 +38,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_simhash": op1_simhash, "op7_winnowing": op7_winnowing, "op9_bpe": op9_bpe}
+    return {"op1_simhash": op1_simhash, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
