@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of a piece of text that is handled at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: A worker's memo has two generations: beyond so many segments or characters the younger becomes the older, whose unused half is forgotten.
-MEMO_SEGMENTS, MEMO_CHARS = 500_000, 10_000_000
+MEMO_SEGMENTS, MEMO_CHARS = 400_000, 8_000_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: White space besides space and line feed; fixed values.
@@ -54,17 +54,19 @@ class Encoder:
 
     def __init__(self, model, token_bytes: dict[int, bytes], triggers=None, exact=None):
         model.encode_special_tokens = True
+        model.model._resize_cache(0)  # the memo has what repeats
         self.model, self.triggers, self.exact = model, triggers, exact
         self.token_bytes = token_bytes
         self.lengths = np.zeros(max(token_bytes, default=0) + 1, np.int64)
         for i, b in token_bytes.items():
             self.lengths[i] = len(b)
+        self.table = [token_bytes.get(i, b"") for i in range(len(self.lengths))]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _alone(self, text: str) -> bytes:
         if self.exact is not None and self.triggers is not None and any(True for _ in self.triggers.iter(text.encode().decode("latin-1"))):
@@ -120,6 +122,11 @@ class Encoder:
         return [self._alone(s[0]) + b"".join(map(get, s[1:])) if s[0] else b"".join(map(get, s[1:])) for s in split]
 
 
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of ids as ``encode`` gives them."""
+        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """Texts in pieces of about CHUNK_CHARS characters."""
     out, chars = [], 0
@@ -186,7 +193,7 @@ def from_ranks(path: str, pattern: str) -> Encoder:
 
     ranks, chars = read_ranks(path), byte_table()
     named = {t: "".join(chars[b] for b in t) for t in ranks}
-    model = Tokenizer(BPE(vocab={named[t]: i for t, i in ranks.items()}, merges=[(named[a], named[b]) for a, b in merges_of(ranks)], ignore_merges=True, cache_capacity=10_000))
+    model = Tokenizer(BPE(vocab={named[t]: i for t, i in ranks.items()}, merges=[(named[a], named[b]) for a, b in merges_of(ranks)], ignore_merges=True))
     model.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
     triggers = ahocorasick.Automaton()
     for t in contested(ranks):
@@ -250,17 +257,34 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, n_tokens, ids and decoded: ``encode`` and ``decode`` of the ids in one pass through a worker."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + (", " if keep else "") + "n_tokens long, ids binary, decoded binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for batch in batches:
+            at = 0
+            for some in chunks([t or "" for t in batch.column(len(keep)).to_pylist()]):
+                ids = enc.encode(some)
+                cols = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
+                at += len(some)
+                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids", "decoded"])
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
     """``keep`` columns and decoded (binary): the bytes of the ids joined, so characters split over tokens come back whole."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema) + (", " if keep else "") + "decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        table = [enc.token_bytes.get(i, b"") for i in range(len(enc.lengths))].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = [b"".join(map(table, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(len(keep)).to_pylist()]
+                out = [enc.decode(x or b"") for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out, pa.binary())], [*keep, "decoded"])
 
     return encoded.selectExpr(*(f"`{k}`" for k in keep), "ids as `ids to decode`").mapInArrow(run, schema)
