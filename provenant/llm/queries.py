@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, winnow
-from .common import table
+from . import bpe, huffman, quality, rules, secrets, simhash, winnow
+from .common import scratch, table
+from .spans import listed
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.expr(f"CAST(size(filter(base_spans, s -> s.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in secrets.KINDS[:3])
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in windows of the benchmark, and the items hit."""
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -35,9 +48,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, read back from files of Huffman-coded blocks."""
+    import public_tokenizers
+
+    path = scratch(spark, "huffman")
+    huffman.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_simhash": op1_simhash, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
 
 
 def oracle_sql() -> dict[str, str]:
