@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, quality, rules, secrets, shard, simhash, winnow
+from . import bpe, huffman, pii, quality, rules, secrets, shard, simhash, winnow
 from .common import scratch, table
 from .spans import listed
 
@@ -24,6 +24,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.expr(f"CAST(size(filter(base_spans, s -> s.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 16 shards of near equal bytes."""
     return shard.shard(table(spark, sf_dir, "documents"), 16)
@@ -64,7 +71,7 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_shards": op4_shards, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op4_shards": op4_shards, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
 
 
 def oracle_sql() -> dict[str, str]:
