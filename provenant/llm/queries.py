@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, pii, quality, rules, secrets, shard, simhash, winnow
+from . import bpe, huffman, langid, pii, quality, rules, secrets, shard, simhash, winnow
 from .common import scratch, table
 from .spans import listed
 
@@ -36,6 +36,11 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages."""
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op4_shards": op4_shards, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
+    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op4_shards": op4_shards, "op5_language": op5_language, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
 
 
 def oracle_sql() -> dict[str, str]:
