@@ -33,7 +33,7 @@ from .spans import clean, located, masked, pieces
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, PRECISION = 3000, 0.97
 #: Private characters that stand for a dot in a domain and a separator in a number; a text's own are replaced first.
-DOT, GAP, OWN = "", "", "\x02"
+DOT, GAP, OWN = "\ue000", "\ue001", "\x02"
 
 EMAIL = rf"(?:(?<![A-Za-z0-9._%+\-{DOT}])|\G)[A-Za-z0-9._%+\-{DOT}]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9\-{DOT}]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
