@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Characters of a piece of text that is handled at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 4_000_000
 #: A worker's memo has two generations: beyond so many segments or characters the younger becomes the older, whose unused half is forgotten.
-MEMO_SEGMENTS, MEMO_CHARS = 400_000, 8_000_000
+MEMO_SEGMENTS, MEMO_CHARS = 180_000, 4_000_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: White space besides space and line feed; fixed values.
-_RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎               　"
+_RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_table() -> list[str]:
@@ -42,11 +43,10 @@ def byte_table() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
-def parts_of(text: str) -> list[str]:
-    """The segments of a text; all but the first lost the space that they start with."""
+def is_odd(text: str) -> bool:
+    """Whether a space of the text may not be a boundary of segments."""
     odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-    odd = odd or any(c in text for c in (_RARE_SPACE[:8] if text.isascii() else _RARE_SPACE))
-    return _SAFE.split(text) if odd else text.split(" ")
+    return odd or any(c in text for c in (_RARE_SPACE[:8] if text.isascii() else _RARE_SPACE))
 
 
 class Encoder:
@@ -100,27 +100,63 @@ class Encoder:
                 begin = cut
             self.chars += chars
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct segments, each after a space."""
         if len(self.memo) > MEMO_SEGMENTS or self.chars > MEMO_CHARS:
             self.older, self.memo, self.chars = self.memo, {}, 0
-        split = [parts_of(t) for t in texts]
-        tails = set().union(*(s[1:] for s in split)) if split else set()
-        new = []
-        for p in tails:
-            if p not in self.memo:
-                if (known := self.older.get(p)) is None:
+        out = list(map(self.memo.get, parts))
+        if None in out:
+            memo, older, gaps, new = self.memo, self.older.get, [i for i, x in enumerate(out) if x is None], []
+            for i in gaps:
+                p = parts[i]
+                if (known := older(p)) is None:
                     new.append(p)
                 else:
-                    self.memo[p] = known
+                    memo[p] = known
                     self.chars += len(p)
-        self._learn([p for p in new if not p[-1:].isspace()])
-        for p in new:
-            if p not in self.memo:
-                self.memo[p] = self._alone(" " + p)
-        get = self.memo.__getitem__
-        return [self._alone(s[0]) + b"".join(map(get, s[1:])) if s[0] else b"".join(map(get, s[1:])) for s in split]
+            self._learn([p for p in new if p and not p[-1].isspace()])
+            for p in new:
+                if p not in memo:
+                    memo[p] = self._alone(" " + p) if p else b""
+            for i in gaps:
+                out[i] = memo[parts[i]]
+        return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
+        odd = [i for i, t in enumerate(texts) if is_odd(t)]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges, flat = lists.offsets.to_numpy().copy(), lists.values
+        if odd:  # their segments instead of what the split made
+            pieces, at, sizes = [], 0, np.diff(edges)
+            for i in odd:
+                parts = _SAFE.split(texts[i])
+                pieces += [flat.slice(edges[at], edges[i] - edges[at]), pa.array(parts, pa.large_string())]
+                at, sizes[i] = i + 1, len(parts)
+            flat = pa.concat_arrays([*pieces, flat.slice(edges[at])])
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+        coded = flat.dictionary_encode()
+        heads = edges[:-1]
+        index, words = coded.indices.to_numpy().copy(), len(coded.dictionary)
+        index[heads] = words + np.arange(len(heads), dtype=np.int32)  # a text's first segment has no space before it
+        used = np.bincount(index, minlength=words)[:words] > 0
+        distinct = coded.dictionary.filter(pa.array(used)).to_pylist()
+        place = np.concatenate([np.cumsum(used, dtype=np.int32) - 1, len(distinct) + np.arange(len(heads), dtype=np.int32)])
+        index = place[index]
+        ids = self._known(distinct) + [self._alone(h) if h else b"" for h in flat.take(pa.array(heads)).to_pylist()]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        begin = np.cumsum(size, dtype=np.int64) - size
+        each = size[index]
+        done = np.cumsum(each, dtype=np.int64)
+        kind = np.int32 if done[-1] < 1 << 30 and len(pool) < 1 << 30 else np.int64
+        where = np.repeat((begin[index] - done + each).astype(kind), each)
+        where += np.arange(done[-1], dtype=kind)
+        data = pool[where].tobytes()
+        ends = (4 * np.concatenate([[0], done])[edges]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids as ``encode`` gives them."""

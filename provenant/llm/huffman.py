@@ -1,7 +1,7 @@
 """Token ids as files of canonical length-limited Huffman codes.
 
-``write`` encodes the texts once into a scratch table, counts every id over all documents, limits code lengths by
-package-merge, and codes each document as an independent block: its bits from a byte
+``write`` encodes the texts once into a scratch table, with each partition's counts of every id; their sums
+over all documents give code lengths, limited by package-merge; and codes each document as an independent block: its bits from a byte
 boundary on, and a checkpoint, the bit at which it starts, for every ``STRIDE`` ids.  Blocks are dealt to shards by
 ranges of the id, sorted within them, numbered by the ids of all documents before them and written
 once.  The container is Parquet, whose commit survives lost executors:
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bpe import chunks, encoder
 from .common import remove, scratch
 
-LONGEST, STRIDE = 20, 256
+LONGEST, STRIDE = 18, 256
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -74,21 +74,21 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 def pack(ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> list[tuple[bytes, list[int]]]:
     """Bits and checkpoints of each document; ``ends``: where each ends in ``ids``."""
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    size = lengths[ids].astype(np.int64)
-    after = np.cumsum(size)
-    before = after - size
-    doc = np.repeat(np.arange(len(ends)), ends - begins)
+    both = (codes << np.uint64(8) | lengths)[ids]  # one look-up an id
+    size = (both & np.uint64(255)).astype(np.int64)
+    before = np.cumsum(size)
+    bits = before[ends - 1]
+    before -= size
     first = before[begins]
-    bits = after[ends - 1] - first
+    bits -= first
     byte_first = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
-    at = before - first[doc] + 8 * byte_first[doc]
-    shifted = codes[ids] << (np.uint64(32) - size.astype(np.uint64) - (at & 7).astype(np.uint64))
-    where, raw = at >> 3, np.zeros(int(byte_first[-1]) + 4, np.int64)
-    for k in range(4):
-        raw += np.bincount(where + k, ((shifted >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(float), len(raw)).astype(np.int64)
-    data = raw.astype(np.uint8).tobytes()
-    edges, relative = byte_first.tolist(), before - first[doc]
-    return [(data[edges[i] : edges[i + 1]], relative[b:e:STRIDE].tolist()) for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True))]
+    at = before + np.repeat(8 * byte_first[:-1] - first, ends - begins)
+    shifted = (both >> np.uint64(8)) << (64 - size - (at & 31)).view(np.uint64)
+    word, n = at >> 5, int(byte_first[-1]) // 4 + 2
+    raw = np.bincount(word, (shifted >> np.uint64(32)).astype(float), n) + np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(float), n)
+    data = raw.astype(">u4").tobytes()
+    edges = byte_first.tolist()
+    return [(data[edges[i] : edges[i + 1]], (before[b:e:STRIDE] - first[i]).tolist()) for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True))]
 
 
 class Decoder:
@@ -133,21 +133,28 @@ class Decoder:
 
 
 def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text: str, kind: str) -> DataFrame:
-    """Document id, n_tokens (with the end id) and ids as 16-bit integers where the vocabulary allows."""
+    """Document id, n_tokens (with the end id) and ids as 16-bit integers where the vocabulary allows; after each partition's rows a row without n_tokens that holds how often each id occurs in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         width = "<u2" if len(enc.lengths) <= 1 << 16 else "<u4"
-        end = np.array([end_id], width)
+        names, end, total = [id_col, "n_tokens", "ids", "counts"], np.array([end_id], width).tobytes(), np.zeros(max(end_id + 1, len(enc.lengths)), np.int64)
         for batch in batches:
             at = 0
             for some in chunks([t or "" for t in batch.column(1).to_pylist()]):
-                ids = [np.append(np.frombuffer(x, "<u4").astype(width), end).tobytes() for x in enc.encode(some)]
-                n = int(width[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array([len(x) // n for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+                wide = enc.encode(some)
+                ids = np.frombuffer(b"".join(wide), "<u4").astype(width)
+                total += np.bincount(ids, minlength=len(total))
+                total[end_id] += len(some)
+                data, n = ids.tobytes(), int(width[-1])
+                ends = (np.cumsum([len(x) for x in wide]) // 4 * n).tolist()
+                out = [data[a:b] + end for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array([len(x) // n for x in out], pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(some), pa.binary())], names)
                 at += len(some)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, counts binary")
 
 
 def _ids(data: bytes, n: int) -> np.ndarray:
@@ -158,21 +165,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of ``id_col`` (numbers)."""
     spark = docs.sparkSession
     kind, held = docs.schema[id_col].dataType.simpleString(), scratch(spark, "tokens")
-    _tokens(docs, tokenizer, end_id, id_col, text, kind).write.option("compression", "zstd").parquet(held)
-    tokens = spark.read.parquet(held)
+    _tokens(docs, tokenizer, end_id, id_col, text, kind).write.option("compression", "snappy").parquet(held)
+    tokens = spark.read.parquet(held).where("n_tokens IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.bincount(_ids(data, n), minlength=len(total))
-                new[: len(total)] += total
-                total = new
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            for data in batch.column(0).to_pylist():
+                total = np.frombuffer(data, np.int64)
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     # at most one row for each id of the vocabulary comes to the driver
-    counted = tokens.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = spark.read.parquet(held).where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -195,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 each = [_ids(d, n) for n, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                done = pack(np.concatenate(each).astype(np.int64), np.cumsum([len(x) for x in each]), lengths, codes)
+                done = pack(np.concatenate(each), np.cumsum([len(x) for x in each]), lengths, codes)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([c for _, c in done], pa.list_(pa.int64())), pa.array([b for b, _ in done], pa.binary())], [id_col, "shard", "n_tokens", "checkpoints", "bits"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
