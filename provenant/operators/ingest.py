@@ -96,7 +96,7 @@ def ingest(items: DataFrame) -> Layers:
     whole = sized.withColumn("rects", rects).withColumn("anchor", anchors(F.col("rects"), F.coalesce("source_element_id", "source_id"))).withColumn("anchor_json", canonical_json("anchor"))
     whole = whole.withColumn("chunk_id", stable_id("version_id", F.lit("chunk"), "source_id")).withColumn("unit_id", stable_id("version_id", F.lit("unit"), "pos"))
     chunks = whole.select(
-        "version_id", "chunk_id", "source_id", F.col("pos").alias("chunk_index"), F.col("page").alias("page_idx"), "rects", F.element_at("rects", 1).alias("bbox"), F.col("type").alias("element_type"),
+        "version_id", "chunk_id", "source_id", F.col("pos").alias("chunk_index"), F.col("page").alias("page_idx"), "rects", F.get("rects", F.lit(0)).alias("bbox"), F.col("type").alias("element_type"),
         F.col("level").alias("text_level"), F.col("body").alias("text_raw"), text_hash("body").alias("text_hash"), F.col("img_path"),
     )
     units = whole.select(

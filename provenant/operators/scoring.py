@@ -113,7 +113,7 @@ def annotation(text: Column, topic: str, longest: int = 200) -> Column:
     """The text of an annotation: the weightiest insight (risks by level, then benefits, then others) and a preview."""
     weight = lambda i: F.when(i["category"] == "risk", 0).when(i["category"] == "benefit", 1).otherwise(2) * 10 + F.when(i["risk_level"] == "high", 0).when(i["risk_level"] == "medium", 1).when(i["risk_level"] == "low", 2).otherwise(3)
     every = insights(text, topic)
-    first = F.get(F.array_sort(F.transform(every, lambda i, n: F.struct(weight(i).alias("w"), n.alias("n"), i.alias("i")))), F.lit(0))["i"]
+    first = F.get(F.array_sort(F.transform(every, lambda i, n: F.named_struct(F.lit("w"), weight(i), F.lit("n"), n, F.lit("i"), i))), F.lit(0))["i"]
     mark = F.when(first["category"] == "risk", "⚠️").when(first["category"] == "benefit", "✅").otherwise("ℹ️")
     level = F.create_map(*(F.lit(x) for kv in LEVEL_NAMES.items() for x in kv))
     head = F.concat_ws(" | ", mark, first["title"], F.when(first["risk_level"].isNotNull(), F.concat(F.lit("("), F.element_at(level, first["risk_level"]), F.lit(")"))))

@@ -48,12 +48,12 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     def level(key: str, parent: Column, number: int, kind: str, children: str, text: Column, heading: Column) -> DataFrame:
         part = F.array_sort(F.collect_list(F.struct("pos", "body", F.col(children).alias("child"))))
         grouped = leaves.groupBy("version_id", F.col(key).alias("node_id"), parent.alias("parent_id")).agg(
-            part.alias("parts"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.array_sort(F.collect_set("type")).alias("element_types"),
+            part.alias("parts"), F.min_by("page", "pos").alias("page_start"), F.min("page").alias("page_low"), F.max("page").alias("page_end"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.array_sort(F.collect_set("type")).alias("element_types"),
             F.min_by(F.when(F.col("heading"), F.col("body")), "pos").alias("title"), F.count("*").alias("leaf_count"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("chunks"),
         )
         return grouped.select(
             "version_id", "node_id", "parent_id", F.lit(number).alias("level"), F.lit(kind).alias("node_type"), text.alias("content"), heading.alias("heading"), "page_start", "page_end",
-            F.array("page_start", "page_end").alias("page_range"), "start_pos", "end_pos", "element_types", F.col("chunks.chunk_id").alias("source_chunk_ids"), F.array_distinct(F.col("parts.child")).alias("children_ids"), "leaf_count",
+            F.array("page_low", "page_end").alias("page_range"), "start_pos", "end_pos", "element_types", F.col("chunks.chunk_id").alias("source_chunk_ids"), F.array_distinct(F.col("parts.child")).alias("children_ids"), "leaf_count",
         )
 
     joined = F.concat_ws(" ", F.col("parts.body"))
