@@ -224,8 +224,8 @@ def analyze_bids_comprehensive(store: Store, version_ids: list[str], dimensions:
     chosen = tuple(known[d] for d in dimensions) if dimensions else scoring.DIMENSIONS
     chunks = store.chunks.where(F.col("version_id").isin(*version_ids))
     results = scoring.analyze(chunks, chosen, overrides=overrides)
-    ranks = scoring.rank_bidders(scoring.overall(results))
-    return {"rankings": ranks, "dimensions": scoring.rank_dimensions(results), "recommendations": scoring.recommendations(results), "summary": scoring.comparison_summary(ranks)}
+    totals = scoring.overall(results)
+    return {"rankings": scoring.rank_bidders(totals), "dimensions": scoring.rank_dimensions(results), "recommendations": scoring.recommendations(results), "summary": scoring.comparison_summary(totals)}
 
 
 @tool

@@ -241,9 +241,10 @@ def rank_dimensions(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(w)).withColumn("score", F.round("score", 1))
 
 
-def comparison_summary(ranks: DataFrame) -> DataFrame:
-    """One row: bidders, winner, its score, mean score, and how many are of high risk."""
-    return ranks.agg(F.count("*").alias("total_bidders"), F.min_by("version_id", "rank").alias("winner"), F.min_by("overall_score", "rank").alias("winner_score"), F.round(F.avg("overall_score"), 1).alias("avg_score"), F.count_if(F.col("risk_level") == "high").alias("high_risk_count"))
+def comparison_summary(totals: DataFrame) -> DataFrame:
+    """One row of the overall results: bidders, winner (the first id of equals), its score, mean score, and how many are of high risk."""
+    best = F.min_by("version_id", F.struct((-F.col("overall_score")).alias("s"), F.col("version_id").alias("v")))
+    return totals.agg(F.count("*").alias("total_bidders"), best.alias("winner"), F.round(F.max("overall_score"), 1).alias("winner_score"), F.round(F.avg("overall_score"), 1).alias("avg_score"), F.count_if(F.col("risk_level") == "high").alias("high_risk_count"))
 
 
 def bidder_name(title: Column, version_id: Column) -> Column:

@@ -444,9 +444,9 @@ def _(t):
     return longs(scoring.rank_dimensions(_scored(t)).select("version_id", "dimension", "rank"))
 
 
-@register("comparison_summary", f"SELECT count(*) AS total_bidders, arg_max(version_id, (overall_score, -n)) AS winner, round(max(overall_score), 1) AS winner_score, round(avg(round(overall_score, 1)), 1) AS avg_score, count(*) FILTER (WHERE {OVERALL_RISK} = 'high') AS high_risk_count FROM (SELECT *, row_number() OVER (ORDER BY version_id) AS n FROM {OVERALL_SQL})")
+@register("comparison_summary", f"SELECT count(*) AS total_bidders, arg_max(version_id, (overall_score, -n)) AS winner, round(max(overall_score), 1) AS winner_score, round(avg(overall_score), 1) AS avg_score, count(*) FILTER (WHERE {OVERALL_RISK} = 'high') AS high_risk_count FROM (SELECT *, row_number() OVER (ORDER BY version_id) AS n FROM {OVERALL_SQL})")
 def _(t):
-    return longs(scoring.comparison_summary(scoring.rank_bidders(scoring.overall(_scored(t)))))
+    return longs(scoring.comparison_summary(scoring.overall(_scored(t))))
 
 
 @register("blend_results", f"""SELECT version_id, dimension, round(CASE WHEN p.score IS NULL THEN s.score WHEN s.score IS NULL THEN p.score ELSE 0.7::DOUBLE * p.score + (1 - 0.7::DOUBLE) * s.score END, 2) AS score, greatest(coalesce(p.risks, 0), coalesce(s.risks, 0))::BIGINT AS risks
