@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """The rows of ``docs``, one for each component: that of its least id; of repeated rows one stays."""
-    kept = near_duplicates(docs, id_col, text, shingle, bits).where("keep").select(F.col(id_col).alias("kept id"), F.col("text_hash").alias("kept text")).distinct()
-    hashed = docs.withColumn("text hash", F.xxhash64(text))
-    met = hashed.join(kept, hashed[id_col].eqNullSafe(F.col("kept id")) & (F.col("text hash") == F.col("kept text")), "left_semi")
-    return met.dropDuplicates([id_col, "text hash"]).drop("text hash")
+    # one pair of keys for the join and for the repeated rows, so the texts are shuffled once
+    named = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull())
+    kept = near_duplicates(docs, id_col, text, shingle, bits).where("keep").select(F.col("text_hash").alias("text hash"), named.alias("id hash")).distinct()
+    hashed = docs.withColumn("text hash", F.xxhash64(text)).withColumn("id hash", named)
+    return hashed.join(kept, ["text hash", "id hash"], "left_semi").dropDuplicates(["text hash", "id hash"]).select(*docs.columns)

@@ -30,6 +30,8 @@ GRAM, KEEP_OF, SPAN = 5, 6, 10
 LEAST_BITS, MOST_BITS = 16, 28
 #: Beyond so many distinct windows of the benchmark they are no longer broadcast but joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Beyond so many documents to drop they are no longer broadcast (two longs each) but met by a shuffle.
+BROADCAST_HITS = 500_000
 #: Bytes of text that are hashed at once.
 CHUNK = 2_000_000
 
@@ -216,6 +218,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    hit = contamination(docs, bench, id_col, text).where("n_hit > 0").select(F.col(id_col).alias("hit id"), F.col("text_hash").alias("hit text")).distinct()
-    hashed = docs.withColumn("text hash", F.xxhash64(text))
-    return hashed.join(hit, hashed[id_col].eqNullSafe(F.col("hit id")) & (F.col("text hash") == F.col("hit text")), "left_anti").drop("text hash")
+    named = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull())
+    hit = cut(contamination(docs, bench, id_col, text).where("n_hit > 0").select(F.col("text_hash").alias("text hash"), named.alias("id hash")).distinct())
+    if hit.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit)
+    hashed = docs.withColumn("text hash", F.xxhash64(text)).withColumn("id hash", named)
+    return hashed.join(hit, ["text hash", "id hash"], "left_anti").select(*docs.columns)
