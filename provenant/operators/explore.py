@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.text import like_any, preview, sha256, unit_hash
 
 
-def list_versions(versions: DataFrame, documents: DataFrame, projects: DataFrame, chunks: DataFrame, units: DataFrame, project_id: str | None = None, limit: int = 100) -> DataFrame:
-    """Versions with document, project and counts of chunks, units and pages; of all projects the latest ``limit``, of one all."""
+def list_versions(versions: DataFrame, documents: DataFrame, projects: DataFrame, chunks: DataFrame, units: DataFrame, project_id: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Versions with document, project and counts of chunks, units and pages; of all projects the latest ``limit`` (None: all, in no order), of one all."""
     joined = versions.join(documents, "document_id").join(projects, "project_id")
     stats = chunks.groupBy("version_id").agg(F.count("*").alias("chunk_count"), F.count_distinct("page_idx").alias("page_count"))
     unit_stats = units.groupBy("version_id").agg(F.count("*").alias("unit_count"))
     out = joined.join(stats, "version_id", "left").join(unit_stats, "version_id", "left").fillna(0, ["chunk_count", "page_count", "unit_count"])
     latest = (F.col("created_at").desc_nulls_first(), F.col("version_id"))
-    return out.where(F.col("project_id") == project_id).orderBy(*latest) if project_id else out.orderBy(*latest).limit(limit)
+    if project_id:
+        return out.where(F.col("project_id") == project_id).orderBy(*latest)
+    return out if limit is None else out.orderBy(*latest).limit(limit)
 
 
 def outline(nodes: DataFrame, chunks: DataFrame, max_depth: int = 2, from_root: bool = False) -> DataFrame:
@@ -157,3 +159,36 @@ def recommended_ef(n: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """A digest of a query's parts."""
     return sha256(F.concat_ws("\x1f", *parts))
+
+
+def level_counts(nodes: DataFrame) -> DataFrame:
+    """Per level: nodes, and how many are embedded and not."""
+    return nodes.groupBy("level").agg(F.count("*").alias("total"), F.count_if(F.col("embedding").isNotNull()).alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("missing"))
+
+
+def tree_progress(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: versions with chunks, those with a tree, and those without."""
+    have = nodes.select("version_id").distinct().withColumn("done", F.lit(True))
+    return chunks.select("version_id").distinct().join(have, "version_id", "left").agg(F.count("*").alias("total"), F.count_if("done").alias("processed"), F.count_if(F.col("done").isNull()).alias("missing"))
+
+
+def covered_range(nodes: DataFrame) -> DataFrame:
+    """node_id with the first and last position of the leaves below it, level by level from below."""
+    now = nodes.where("level = 0").select("node_id", F.col("start_pos").alias("low"), F.col("end_pos").alias("high"))
+    out = now
+    for level in (1, 2, 3):
+        kids = nodes.where(F.col("level") == level - 1).select("node_id", "parent_id").join(now, "node_id")
+        now = kids.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        out = out.unionByName(now)
+    return out
+
+
+def files_of(files: DataFrame, version_id: str, kind: str | None = None) -> DataFrame:
+    """Registered files of a version, the oldest first."""
+    out = files.where(F.col("version_id") == version_id)
+    return (out.where(F.col("file_type") == kind) if kind else out).orderBy(F.col("created_at").asc_nulls_last(), "file_path")
+
+
+def latest_annotated(files: DataFrame) -> DataFrame:
+    """The latest annotated file of each version."""
+    return latest(files.where("file_type = 'annotated_pdf'"), ["version_id"])

@@ -361,7 +361,7 @@ def _(t):
     documents = t("customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("project_id"))
     projects = t("nation").select(F.col("n_nationkey").alias("project_id"))
     units = t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("version_id")
-    whole = explore.list_versions(c, documents, projects, o, units, limit=2**31 - 1)
+    whole = explore.list_versions(c, documents, projects, o, units, limit=None)
     return longs(whole.select("version_id", "chunk_count", "page_count", "unit_count"))
 
 
@@ -567,12 +567,12 @@ def _(t):
 # -- sorts, sets ----------------------------------------------------------------------------------
 
 
-@register("outline_order", f"SELECT node_id AS id, coalesce(heading, '') AS title, row_number() OVER (ORDER BY level, node_id) AS place FROM {NODES} WHERE level >= 1")
+@register("outline_order", f"SELECT node_id AS id, coalesce(heading, '') AS title, row_number() OVER (PARTITION BY level ORDER BY node_id) AS place FROM {NODES} WHERE level >= 1")
 def _(t):
     n = t.nodes().withColumn("version_id", F.lit("v")).withColumn("content", F.coalesce("heading", F.lit(""))).withColumn("page_start", F.lit(0))
     none = n.select("version_id", F.lit(None).cast("int").alias("text_level"), F.col("node_id").alias("chunk_id"), F.col("heading").alias("text_raw"), "page_start").withColumnRenamed("page_start", "page_idx").where("false")
     out = explore.outline(n, none, 3, from_root=True).where("level >= 1")
-    return longs(out.select("id", F.coalesce("title", F.lit("")).alias("title"), F.row_number().over(Window.orderBy("level", "id")).alias("place")))
+    return longs(out.select("id", F.coalesce("title", F.lit("")).alias("title"), F.row_number().over(Window.partitionBy("level").orderBy("id")).alias("place")))
 
 
 @register("set_diff_warnings", "WITH a AS (SELECT DISTINCT p_name AS warning FROM part WHERE p_type = 'ECONOMY'), b AS (SELECT DISTINCT p_name AS warning FROM part WHERE p_type <> 'ECONOMY') SELECT warning, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT warning, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
@@ -665,3 +665,99 @@ def _(t):
 @register("embed_text")
 def _(t):
     return t("documents").select("doc_id", retrieval.hash_embedding("text").alias("embedding"))
+
+
+# -- more of the catalogue ------------------------------------------------------------------------
+
+
+@register("level_counts", f"SELECT n.level::BIGINT AS level, count(*) AS total, count(e.embedding) AS embedded, count(*) - count(e.embedding) AS missing FROM {NODES} n LEFT JOIN embeddings e ON n.level = 1 AND n.node_id = 'c' || e.vec_id GROUP BY 1")
+def _(t):
+    vectors = t("embeddings").select(F.concat(F.lit("c"), "vec_id").alias("node_id"), "embedding")
+    return longs(explore.level_counts(t.nodes().join(vectors, "node_id", "left")))
+
+
+@register("tree_progress", "SELECT count(*) AS total, count(*) FILTER (WHERE done) AS processed, count(*) FILTER (WHERE NOT done) AS missing FROM (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS done FROM customer)")
+def _(t):
+    return explore.tree_progress(t("customer").select(F.col("c_custkey").alias("version_id")), t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("version_id")))
+
+
+@register("covered_range", f"""WITH RECURSIVE n AS (SELECT * FROM {NODES}), w AS (SELECT node_id, parent_id, node_id AS leaf FROM n WHERE level = 0 UNION ALL SELECT n.node_id, n.parent_id, w.leaf FROM w JOIN n ON n.node_id = w.parent_id)
+  SELECT node_id, min(substring(leaf, 2)::BIGINT) AS low, max(substring(leaf, 2)::BIGINT) AS high FROM w GROUP BY 1""")
+def _(t):
+    at = F.when(F.col("level") == 0, F.substring("node_id", 2, 20).cast("long"))
+    return explore.covered_range(t.nodes().withColumn("start_pos", at).withColumn("end_pos", at))
+
+
+@register("embedding_status", "SELECT d.doc_id AS chunk_id, CASE WHEN e.embedding IS NOT NULL THEN 'completed' WHEN d.lang = 'fr' THEN 'failed' ELSE 'pending' END AS status FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def _(t):
+    c = t.embedded().withColumn("embedding_error", F.when(F.col("version_id") == "fr", "timeout"))
+    return sinks.embedding_status(c).select("chunk_id", F.col("embedding_status").alias("status"))
+
+
+@register("attach_embeddings", "SELECT d.doc_id AS chunk_id, len(e.embedding)::BIGINT AS dim FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+def _(t):
+    c = t.chunks().withColumn("embedding", F.lit(None).cast("array<float>"))
+    out = sinks.attach_embeddings(c, t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return longs(out.select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim")))
+
+
+@register("delete_version", "SELECT doc_id AS citation_id, CASE WHEN lang <> 'de' THEN doc_id END AS chunk_id FROM documents")
+def _(t):
+    c = t.chunks()
+    cited = c.select(F.col("chunk_id").alias("citation_id"), "chunk_id")
+    return sinks.delete_version({"chunks": c, "citations": cited}, "de")["citations"].select("citation_id", "chunk_id")
+
+
+@register("span_cleanup", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def _(t):
+    gone = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return longs(sinks.delete_matching(t("lineitem").select("l_orderkey", "l_linenumber"), gone, ["l_orderkey"]))
+
+
+@register("citation_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE source NOT IN ('src0', 'src1')) AS verified, 'anchor_mismatch,hash_mismatch' AS codes FROM documents")
+def _(t):
+    d = t("documents")
+    codes = F.when(F.col("source") == "src0", F.array(F.lit("hash_mismatch"))).when(F.col("source") == "src1", F.array(F.lit("anchor_mismatch"))).otherwise(F.array().cast("array<string>"))
+    out = trace.citation_summary(d.select(codes.alias("codes")).withColumn("verified", F.size("codes") == 0))
+    return out.select("total", "verified", F.array_join("warning_codes", ",").alias("codes"))
+
+
+@register("annotation_rows", "SELECT l_orderkey::VARCHAR || ':' || l_linenumber AS chunk_id, round(l_tax / 1000 * l_quantity, 9) AS x1, round(l_discount / 1000 * l_extendedprice, 9) AS y1 FROM lineitem")
+def _(t):
+    l = t("lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.lit(0).alias("page_idx"), F.array(F.array("l_tax", "l_discount", "l_tax", "l_discount")).alias("rects"), F.col("l_quantity").alias("page_w"), F.col("l_extendedprice").alias("page_h"))
+    return trace.annotation_rows(l, "risk", F.lit("x")).select("chunk_id", F.round(F.col("rect")[0], 9).alias("x1"), F.round(F.col("rect")[1], 9).alias("y1"))
+
+
+@register("bidder_names", "SELECT c_custkey, coalesce(nullif(regexp_extract(c_name, '([A-Za-z0-9]+?(?:公司|集团|企业|医院|中心))', 1), ''), '投标方' || substring(c_name, 1, 8)) AS bidder FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", scoring.bidder_name(F.col("c_name"), F.col("c_name")).alias("bidder"))
+
+
+@register("ef_search", "SELECT lang AS version_id, CASE WHEN count(*) < 10000 THEN 64 WHEN count(*) < 100000 THEN 100 WHEN count(*) < 1000000 THEN 150 ELSE 200 END::BIGINT AS ef FROM documents GROUP BY 1")
+def _(t):
+    return longs(t.chunks().groupBy("version_id").agg(F.count("*").alias("n")).select("version_id", explore.recommended_ef(F.col("n")).alias("ef")))
+
+
+@register("token_estimate", "SELECT doc_id, (length(text) // 2 + 1)::BIGINT AS n FROM documents")
+def _(t):
+    return longs(t("documents").select("doc_id", X.token_estimate("text").alias("n")))
+
+
+@register("result_preview", "SELECT doc_id, substring(text, 1, 200) AS preview, regexp_matches(text, '[一-鿿]') AS cjk FROM documents")
+def _(t):
+    return t("documents").select("doc_id", X.preview("text", 200).alias("preview"), X.has_cjk("text").alias("cjk"))
+
+
+@register("search_by_heading", f"SELECT n.node_id, coalesce(k.n, 0) AS children FROM {NODES} n LEFT JOIN (SELECT parent_id, count(*) AS n FROM {NODES} GROUP BY 1) k ON k.parent_id = n.node_id WHERE n.level IN (1, 2) AND n.heading ILIKE '%nation_1%'")
+def _(t):
+    n = t.nodes().withColumn("node_type", F.when(F.col("level") == 2, "section").when(F.col("level") == 1, "paragraph").otherwise("other")).withColumn("content", F.coalesce("heading", F.lit("")))
+    return longs(explore.search_by_heading(n, "nation_1").select("node_id", F.coalesce(F.size("children"), F.lit(0)).alias("children")))
+
+
+@register("retrieval_gate", f"""SELECT method, metric, actual, minimum FROM (SELECT m.method, v.metric, coalesce(CASE v.metric WHEN 'mrr' THEN m.mrr END, 0.0)::DOUBLE AS actual, v.minimum::DOUBLE AS minimum FROM (SELECT method, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT a.method, b.query_id, g.first FROM (SELECT DISTINCT method FROM {RUNS_SQL}) a CROSS JOIN (SELECT DISTINCT query_id FROM {QREL_SQL}) b
+  LEFT JOIN (SELECT r.method, r.query_id, min(rank) FILTER (WHERE relevance >= 2) AS first FROM {RUNS_SQL} r JOIN {QREL_SQL} q USING (query_id, chunk_id) GROUP BY ALL) g ON g.method = a.method AND g.query_id = b.query_id) GROUP BY 1) m CROSS JOIN (VALUES ('mrr', 0.999), ('map', 0.1)) v(metric, minimum)) WHERE actual < minimum""")
+def _(t):
+    means = evalkit.mean_metrics(evalkit.metrics(*_runs(t)).select("method", "query_id", "mrr"), ["method"])
+    summary = evalkit.long_form(means.select("method", F.round("mrr", 6).alias("mrr")), ["method"])
+    wanted = means.select("method", F.explode(F.array(F.struct(F.lit("mrr").alias("metric"), F.lit(0.999).alias("minimum")), F.struct(F.lit("map").alias("metric"), F.lit(0.1).alias("minimum")))).alias("x")).select("method", "x.metric", "x.minimum")
+    return evalkit.violations(summary, wanted)
