@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,11 +229,23 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def hash_embedding(text: Column | str, dim: int = 64) -> Column:
-    """A deterministic stand-in embedding: signed counts of hashed words, of length one; zeros for a blank text."""
-    words = F.transform(tokens(text), lambda w: F.xxhash64(w))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(words, F.lit(0.0), lambda a, h: a + F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(raw, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
+    """A deterministic stand-in embedding: signed counts of hashed words, of length one; zeros for a blank text.
+
+    An Arrow batch at a time in numpy: as an expression it would pass over the words once for every dimension.
+    """
+
+    def one(h) -> np.ndarray:
+        h = np.asarray([] if h is None else h, np.int64)
+        raw = np.bincount(h % dim, np.where((h >> 32) % 2 == 0, 1.0, -1.0), dim)
+        norm = np.sqrt((raw * raw).sum())
+        return (raw / norm if norm else raw).astype(np.float32)
+
+    def vectors(hashes: pd.Series) -> pd.Series:
+        return pd.Series([one(h) for h in hashes])
+
+    vectors.__annotations__ = {"hashes": pd.Series, "return": pd.Series}  # real types: postponed ones are not read
+    embed = F.pandas_udf(vectors, "array<float>")
+    return embed(F.transform(tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), lambda w: F.xxhash64(w)))
 
 
 def token_batches(chunks: DataFrame, batch_size: int = 100, max_tokens: int = 600_000) -> DataFrame:
