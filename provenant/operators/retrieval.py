@@ -51,18 +51,61 @@ def keyword_lexemes(keyword: Column) -> Column:
     return tokens(F.translate(keyword, _TSQUERY_SYNTAX, " " * len(_TSQUERY_SYNTAX)))
 
 
+def cover_density(words: list[str], groups: list[list[str]], any_group: bool) -> float:
+    """The cover-density weight of a text's words for groups of which any (or each) must be there whole.
+
+    A cover is a smallest stretch that satisfies the query.  It adds 0.1 divided by one more than the number of
+    other words in it, so each occurrence of a single word adds 0.1.
+    """
+    wanted = {w for g in groups for w in g}
+    at = [(i, w) for i, w in enumerate(words) if w in wanted]
+    enough = any if any_group else all
+
+    def met(seen: set[str]) -> bool:
+        return enough(seen.issuperset(g) for g in groups)
+
+    total, begin = 0.0, 0
+    while begin < len(at):
+        seen: set[str] = set()
+        end = begin
+        while end < len(at):
+            seen.add(at[end][1])
+            if met(seen):
+                break
+            end += 1
+        else:
+            break
+        seen, first = set(), end
+        while True:
+            seen.add(at[first][1])
+            if met(seen):
+                break
+            first -= 1
+        between = (at[end][0] - at[first][0]) - (end - first)
+        total += 0.1 / (1 + between)
+        begin = first + 1
+    return total
+
+
 def fulltext_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
-    """query_id, chunk_id, score and rank0: chunks with all words of any keyword (or of all), ranked by cover density.
+    """query_id, chunk_id, score and rank0: chunks with all words of any keyword (or of all), ranked by cover density w as w / (w + 1).
 
-    For single-word keywords every occurrence is its own cover of weight 0.1, so the density is 0.1 times the occurrences; a keyword
-    of several words counts its rarest word's.  The score is w / (w + 1).
+    For queries of single words w is 0.1 times the occurrences, an expression; others count covers in Arrow batches of their matches.
     """
     q = queries.where("size(keywords) > 0").select("query_id", "version_id", F.filter(F.transform("keywords", keyword_lexemes), lambda k: F.size(k) > 0).alias("dnf")).where("size(dnf) > 0")
-    both = chunks.select("version_id", "chunk_id", tokens("text_raw").alias("words")).join(q, "version_id")
+    simple = F.forall("dnf", lambda k: F.size(k) == 1) if any_keyword else F.size("dnf") + F.size(F.get("dnf", F.lit(0))) == 2
+    both = chunks.select("version_id", "chunk_id", tokens("text_raw").alias("words")).join(q.withColumn("simple", simple), "version_id")
     counts = F.transform("dnf", lambda k: F.array_min(F.transform(k, lambda t: F.size(F.filter("words", lambda w: w == t)))))
     hits = both.withColumn("counts", counts).where(F.exists("counts", lambda n: n > 0) if any_keyword else F.forall("counts", lambda n: n > 0))
-    w = 0.1 * F.aggregate("counts", F.lit(0), lambda a, n: a + n)
-    return hits.select("query_id", "chunk_id", (w / (w + 1)).alias("score")).withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
+
+    def weigh(words: pd.Series, dnf: pd.Series) -> pd.Series:
+        return pd.Series([cover_density(list(w), [list(g) for g in d], any_keyword) for w, d in zip(words, dnf, strict=True)], dtype="float64")
+
+    weigh.__annotations__ = {"words": pd.Series, "dnf": pd.Series, "return": pd.Series}
+    plain = hits.where("simple").select("query_id", "chunk_id", (0.1 * F.aggregate("counts", F.lit(0), lambda a, n: a + n)).alias("w"))
+    covered = hits.where("NOT simple").select("query_id", "chunk_id", F.pandas_udf(weigh, "double")("words", "dnf").alias("w"))
+    scored = plain.unionByName(covered).select("query_id", "chunk_id", (F.col("w") / (F.col("w") + 1)).alias("score"))
+    return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
 
 
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:

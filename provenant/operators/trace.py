@@ -99,3 +99,9 @@ def annotation_rows(chunks: DataFrame, topic: str, content: Column, opacity: flo
     box = chunks.select("chunk_id", "page_idx", F.explode("rects").alias("r"), "page_w", "page_h", content.alias("content"))
     on = lambda i, size: F.when(F.col(size) > 0, F.col("r")[i] / scale * F.col(size)).otherwise(F.col("r")[i])
     return box.select("chunk_id", "page_idx", F.array(on(0, "page_w"), on(1, "page_h"), on(2, "page_w"), on(3, "page_h")).alias("rect"), F.array(F.lit(r), F.lit(g), F.lit(b)).alias("rgb"), F.lit(opacity).alias("opacity"), "content")
+
+
+def located(citations: DataFrame) -> DataFrame:
+    """Citations with a locator: text by page and box; other kinds of evidence have none."""
+    place = F.struct(F.lit("text_bbox").alias("kind"), "page_idx", "bbox")
+    return citations.withColumn("locator", F.when(is_bbox("bbox") & F.col("page_idx").isNotNull(), place))

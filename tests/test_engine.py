@@ -142,6 +142,15 @@ def test_keyword_routes(spark, chunks):
     assert found(retrieval.keyword_search(chunks, query(spark, [" "]), 5)) == []
 
 
+def test_cover_density():
+    words = "the warranty of the seller is a long warranty".split()
+    density = retrieval.cover_density
+    assert density(words, [["warranty"], ["the"]], True) == pytest.approx(0.4)
+    assert density(words, [["the", "warranty"]], True) == pytest.approx(0.1 + 0.1 / 2 + 0.1 / 5)
+    assert density(words, [["the"], ["seller"]], False) == pytest.approx(0.1)
+    assert density(words, [["none"]], True) == 0
+
+
 def test_vector_and_modes(spark, chunks):
     assert found(retrieval.vector_search(chunks, query(spark, []), 1)) == ["c1", "c3"]
     hybrid = retrieval.ranked(chunks, query(spark, []), 2, "hybrid").orderBy("rank0").collect()
