@@ -40,6 +40,8 @@ SEGMENTS = 32
 LOW = 0x5555555555555555
 #: Points of a cell that are compared with one another; larger cells take the other exact way.
 CELL = 48
+#: A fingerprint with more rows than this, and than a thousandth of all, is joined in so many parts.
+CROWD, SALTS = 500, 64
 
 
 def _signed(x: int) -> int:
@@ -147,12 +149,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``id_col``, text_hash, fingerprint (16 hex digits), component_id (the least id of the component) and keep (on the rows of the one document that stands for it)."""
     seen = cut(fingerprints(docs, text, (id_col,), shingle))
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("text")))
-    distinct = cut(seen.groupBy("fp").agg(first.alias("first")))
+    distinct = cut(seen.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
     root = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     linked = root.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     stands = distinct.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("c"))
-    return seen.join(stands, "fp", "left").select(
+    # rows of a fingerprint with many copies meet it in SALTS parts; there are fewer than a thousand such fingerprints
+    crowded = F.broadcast(distinct.where(F.col("n") > max(CROWD, seen.count() // 1000)).select("fp", F.lit(True).alias("crowded")))
+    dealt = seen.join(crowded, "fp", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("text_hash", F.col(id_col).cast("string")), F.lit(SALTS)).cast("int")).otherwise(0)).drop("crowded")
+    met = stands.join(crowded, "fp", "left").select("fp", "c", F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return dealt.join(met, ["fp", "salt"], "left").select(
         id_col,
         "text_hash",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
