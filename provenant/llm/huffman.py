@@ -19,6 +19,7 @@ others; an empty table gives files without blocks; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .bpe import chunks, encoder
 from .common import remove, scratch
 
 LONGEST, STRIDE = 18, 256
+#: Coded bytes of a shard, and the greatest number of shards.
+SHARD_BYTES, MOST_SHARDS = 32_000_000, 20_000
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -185,10 +188,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(LONGEST, used.tolist(), lengths[used].astype(int).tolist())], "longest int, ids array<int>, lengths array<int>").coalesce(1).write.parquet(f"{path}/code")
 
-    shards = shards or max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    coded = int((counts * lengths).sum()) // 8
+    shards = shards or max(1, min(MOST_SHARDS, -(-coded // SHARD_BYTES)))
     edges = sorted(set(tokens.approxQuantile(id_col, [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
     shard = F.expr(f"aggregate({_steps(len(edges))}, 0, (at, step) -> CASE WHEN at + step <= {len(edges)} AND `{id_col}` >= element_at(edges, at + step) THEN at + step ELSE at END)")
-    dealt = tokens.withColumn("edges", F.array(*map(F.lit, edges)) if edges else F.lit(None).cast("array<double>"))
+    dealt = tokens.withColumn("edges", F.from_json(F.lit(json.dumps(edges)), "array<double>"))
     dealt = dealt.withColumn("shard", shard).drop("edges")
     before, total = {}, 0
     for r in sorted(dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["shard"]):  # a row a shard
