@@ -229,7 +229,7 @@ def _(t):
     return sinks.upsert(o.select("o_orderkey", "o_totalprice", "o_orderpriority"), new, ["o_orderkey"], coalesce=True)
 
 
-@register("stale_delete_anti", "WITH seen AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM seen) OR l_orderkey NOT IN (SELECT l_orderkey FROM seen)")
+@register("stale_delete_anti", "WITH seen AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey FROM lineitem l WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM seen) OR l_orderkey NOT IN (SELECT l_orderkey FROM seen)")
 def _(t):
     l = t("lineitem")
     return longs(sinks.delete_stale(l.select("l_orderkey", "l_linenumber", "l_partkey"), l.where("l_returnflag = 'R'"), ["l_orderkey"], ["l_linenumber"]))
