@@ -83,8 +83,9 @@ class Words:
         """The n words from each start on, joined by spaces."""
         out = []
         for i in starts.tolist():
-            a, b = int(self.start[i]), int(self.end[i + n - 1])
-            out.append(" ".join(self.joined[a:b].decode().split(" ")) if b"  " not in self.joined[a:b] else " ".join(x for x in self.joined[a:b].decode().split(" ") if x))
+            raw = self.joined[int(self.start[i]) : int(self.end[i + n - 1])]
+            text = raw.decode()
+            out.append(" ".join(filter(None, text.split(" "))) if b"  " in raw else text)
         return out
 
 
