@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import bpe, quality, secrets, simhash, winnow
+from provenant.llm import bpe, neardup, quality, secrets, winnow
 from provenant.llm.common import scratch, table
 
 
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.deduplicate(docs)
+    """One document stays of those that are alike: five-word shingles of Jaccard similarity 0.8 or more, directly or through others."""
+    return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: where they are, whose they are, and their hashes."""
 
-    def __init__(self, texts: list[bytes]):
-        clean = [t.translate(_LOWER) for t in texts]
+    def __init__(self, texts: list[bytes], table: bytes = _LOWER):
+        clean = [t.translate(table) for t in texts]
         self.joined = b" ".join([b"", *clean, b""])
         raw = np.frombuffer(self.joined, np.uint8)
         inside = raw != 32
