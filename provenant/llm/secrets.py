@@ -1,8 +1,10 @@
 """Secret scans: known forms, and a battery of randomness tests over token-like runs.
 
 Base spans are the assignments, access keys and long hex strings of three fixed patterns.  The method
-adds ``random`` spans: runs of 20 and more characters of the usual encodings, outside base spans.  For
-each run the encoding is inferred (hex, base32, base36, base62, base64; plain digits and plain letters of one case
+adds ``random`` spans: runs of 20 and more characters of the usual encodings, outside base spans; an equals
+sign ends a run, of which it is padding at most.  Names and paths run on into the values behind them, so a run
+with a slash, underscore or hyphen is also tried in its parts of 20 and more characters.  For
+each of these the encoding is inferred (hex, base32, base36, base62, base64; plain digits and plain letters of one case
 carry no evidence and are left out), and in the encoding's alphabet it must look random: chi-squared
 uniformity, runs above and below the middle of the alphabet, and serial correlation at lag one, of
 which none may be too unlikely for random symbols (``ALPHA``, three tests).
@@ -30,7 +32,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A run is tried whole, then in the parts between these; a part counts where nothing before it was found.
+WAYS = ("/", "[_-]", "[/_-]")
 ALPHA, RATE = 0.001, 0.01
 #: Of ordinary text: chance that two symbols are equal, that three are, and that the class of character changes from one to the next.
 SAME_TWO, SAME_THREE, CHANGE = 0.065, 0.0055, 0.15
@@ -63,16 +67,28 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
     classes = "l" * 26 + "u" * 26 + "d" * 10 + "s" * 4
     middle = _case(lambda a: f"translate(c.core, '{a}', '{'0' * (len(a) // 2) + '1' * (len(a) - len(a) // 2)}')")
     place = _case(lambda a: f"transform(c.symbols, x -> CAST(instr('{a}', x) AS double))")
+    none = "CAST(array() AS array<struct<start: int, end: int, core: string, way: int>>)"
+
+    def parts(way: int, at: str) -> str:
+        last, first = "a.at + length(p) = c.start + length(c.core)", "a.at = c.start"
+        one = f"array(named_struct('start', a.at, 'end', CASE WHEN {last} THEN c.end ELSE a.at + length(p) END, 'core', p, 'way', {way}))"
+        # no part twice: one of the second way without a slash is one of the third, one of the third between slashes is one of the first
+        new = {1: "true", 2: "contains(p, '/')", 3: f"NOT (({first} OR substring(c.core, a.at - c.start, 1) = '/') AND ({last} OR substring(c.core, a.at - c.start + length(p) + 1, 1) = '/'))"}[way]
+        return f"""aggregate(split(c.core, '{at}'), named_struct('at', c.start, 'found', {none}), (a, p) -> named_struct('at', a.at + length(p) + 1,
+          'found', CASE WHEN length(p) BETWEEN {LENGTHS[0]} AND length(c.core) - 1 AND {new} THEN concat(a.found, {one}) ELSE a.found END), a -> a.found)"""
+
+    every = ", ".join(parts(way, at) for way, at in enumerate(WAYS, 1))
     steps = [
         ("_parts", pieces(clean(F.col(text)), RUN)),
         ("_runs", F.expr(located("_parts"))),
-        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'core', rtrim('=', c.hit)))")),
-        ("_runs", F.expr(f"filter(transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'core', c.core, 'n', CAST(length(c.core) AS double), 'kind', {kind})), c -> c.n >= {LENGTHS[0]} AND c.kind NOT IN ('digits', 'letters', 'none'))")),
-        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'core', c.core, 'n', c.n, 'kind', c.kind, 'symbols', filter(split(c.core, ''), x -> x <> '')))")),
+        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'core', rtrim('=', c.hit), 'way', 0))")),
+        ("_runs", F.expr(f"flatten(transform(_runs, c -> CASE WHEN c.core RLIKE '[/_-]' THEN concat(array(c), {every}) ELSE array(c) END))")),
+        ("_runs", F.expr(f"filter(transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'core', c.core, 'n', CAST(length(c.core) AS double), 'kind', {kind})), c -> c.n >= {LENGTHS[0]} AND c.kind NOT IN ('digits', 'letters', 'none'))")),
+        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'core', c.core, 'n', c.n, 'kind', c.kind, 'symbols', filter(split(c.core, ''), x -> x <> '')))")),
         (
             "_runs",
             F.expr(
-                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'k', CAST({_case(lambda a: str(len(a)))} AS double),
+                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', CAST({_case(lambda a: str(len(a)))} AS double),
                 'squares', aggregate(array_distinct(c.symbols), 0D, (a, x) -> a + pow(c.n - length(replace(c.core, x, '')), 2)),
                 'changes', length(regexp_replace(translate(c.core, '{_LOWER + _UPPER + _DIGITS}+/_-', '{classes}'), 'l+|u+|d+|s+', 'x')) - 1,
                 'middle', {middle}, 'place', {place}))"""
@@ -81,7 +97,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes,
+                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes,
                 'ones', c.n - length(replace(c.middle, '1', '')), 'runs', length(regexp_replace(c.middle, '0+|1+', 'x')),
                 'mean', aggregate(c.place, 0D, (a, x) -> a + x) / c.n, 'place', c.place))"""
             ),
@@ -89,7 +105,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes, 'ones', c.ones, 'runs', c.runs,
+                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes, 'ones', c.ones, 'runs', c.runs,
                 'about', 1 + 2 * c.ones * (c.n - c.ones) / c.n,
                 'power', aggregate(c.place, 0D, (a, x) -> a + (x - c.mean) * (x - c.mean)),
                 'lagged', aggregate(zip_with(slice(c.place, 1, size(c.place) - 1), slice(c.place, 2, size(c.place) - 1), (x, y) -> (x - c.mean) * (y - c.mean)), 0D, (a, x) -> a + x)))"""
@@ -98,7 +114,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n,
+                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n,
                 'z_even', (pow((c.k / c.n * c.squares - c.n) / (c.k - 1), 1 / 3D) - (1 - 2 / (9 * (c.k - 1)))) / sqrt(2 / (9 * (c.k - 1))),
                 'z_runs', CASE WHEN c.about < 3 THEN 9D ELSE abs(c.runs - c.about) / sqrt((c.about - 1) * (c.about - 2) / (c.n - 1)) END,
                 'z_serial', CASE WHEN c.power = 0 THEN 9D ELSE abs(c.lagged / c.power + 1 / c.n) * sqrt(c.n) END,
@@ -109,7 +125,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n,
+                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n,
                 'passes', 3 * least({upper_tail('c.z_even')}, 2 * {upper_tail('c.z_runs')}, 2 * {upper_tail('c.z_serial')}) >= {ALPHA},
                 'p_text', {upper_tail('((greatest(c.z_pairs, -1D) + c.z_changes) / sqrt(2D))')}))"""
             ),
@@ -155,8 +171,11 @@ def with_spans(docs: DataFrame, text: str = "text", limits: list[float] | None =
     base = "concat(" + ", ".join(f"transform(_{k}, s -> {struct.format(i, k)})" for i, k in enumerate(KINDS[:3])) + ")"
     limit = "CASE " + " ".join(f"WHEN s.n >= {least} THEN {limits[i]!r}D" for i, least in reversed(list(enumerate(LENGTHS)))) + " ELSE 0D END"
     inner = inner.withColumn("_base", F.expr(f"array_sort({base})"))
-    found = f"filter(_runs, s -> s.passes AND s.p_text <= {limit} AND NOT exists(_base, b -> b.start < s.end AND s.start < b.end))"
-    inner = inner.withColumn("_all", F.expr(f"array_sort(concat(_base, transform({found}, s -> {struct.format(3, 'random')})))"))
+    random = f"filter(_runs, s -> s.passes AND s.p_text <= {limit} AND NOT exists(_base, b -> b.start < s.end AND s.start < b.end))"
+    inner = inner.withColumn("_random", F.expr(random)).withColumn("_found", F.expr("filter(_random, s -> s.way = 0)"))
+    for way in range(1, len(WAYS) + 1):
+        inner = inner.withColumn("_found", F.expr(f"concat(_found, filter(_random, s -> s.way = {way} AND NOT exists(_found, b -> b.start < s.end AND s.start < b.end)))"))
+    inner = inner.withColumn("_all", F.expr(f"array_sort(concat(_base, transform(_found, s -> {struct.format(3, 'random')})))"))
     return inner.select(*(F.col(f"own {i}").alias(c) for i, c in enumerate(own)), F.col("_base").alias("base_spans"), F.col("_all").alias("spans"))
 
 

@@ -172,6 +172,26 @@ def test_random_runs_are_told_from_words(spark):
     assert len(found & set(range(60))) >= 57 and not found - set(range(60))
 
 
+def test_values_behind_names_and_paths_are_found(spark):
+    """NAME=value without spaces, and paths: the value is tried without what stands before it."""
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda n, more="": "".join(r.choice(letters + more) for _ in range(n))
+    forms = [("AWS_SECRET_ACCESS_KEY=", 40, "+/", ""), ("sig=", 32, "", "&x=1"), ("auth_key=", 32, "", ""), ("AccountKey=", 86, "+/", "=="), ("/my-hook/", 32, "", ""), ("/services/some-hook/", 48, "-_", "/x"), ("a_long_name_of_a_key-", 40, "", ""), ("/services/hook/by/name/", 40, "", "")]
+    rows_ = [(before, "see " + before, value(n, more), after) for before, n, more, after in forms for _ in range(20)]
+    df = spark.createDataFrame([(i, a + v + z) for i, (_, a, v, z) in enumerate(rows_)], "doc_id int, text string")
+    got = {x.doc_id: x for x in secrets.with_spans(df).collect()}
+    hit = Counter(b for i, (b, a, v, _) in enumerate(rows_) if any(s.start <= len(a) and s.end >= len(a) + len(v) for s in got[i].spans))
+    assert all(hit[b] >= 17 for b, *_ in forms), hit
+    tight = [i for i, (b, *_) in enumerate(rows_) if "=" in b or b == "/my-hook/"]
+    assert all(s.start == len(rows_[i][1]) for i in tight for s in got[i].spans)
+    assert all(len({(s.start, s.end) for s in x.spans}) == len(x.spans) for x in got.values())
+    redacted = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert sum(v in redacted[i] for i, (_, _, v, _) in enumerate(rows_)) <= 16
+    words = ["/the/path-to/some_long_identifier_name/in-a-tree", "SOME_LONG_CONSTANT_NAME=another_long_constant_name", "well-known/internationalization_and_localization"] * 5
+    assert not any(x.spans for x in secrets.with_spans(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id int, text string")).collect())
+
+
 def test_redaction_removes_spans_only(docs, plain):
     done = secrets.redact(docs)
     assert done.columns == docs.columns
