@@ -69,7 +69,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url: str, html: str) -> DataFrame:
     """id, host, domain, declared, suffix and text (a log-likelihood for each language) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)", 1)), F.lit(""))
-    declared = F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]{0,500}?\blang\s{0,9}=\s{0,9}["']?([a-z]{2,3})\b""", 1))
+    tags = F.array_join(F.regexp_extract_all(html, F.lit(r"(?i)<html\b[^>]*+"), F.lit(0)), ">")  # whole, however long
+    declared = F.lower(F.regexp_extract(tags, r"""(?i)\blang\s{0,9}=\s{0,9}["']?([a-z]{2,3})\b""", 1))
     path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     country = F.regexp_extract("host", r"\.([a-z]{2})$", 1)
     # the pages' own columns may have the names made here

@@ -285,6 +285,14 @@ def test_language_fuses_evidence(spark):
     assert {x.lang for x in langid.identify(df, labelled.where("false")).collect()} == {None}
 
 
+def test_declared_language_of_long_tags(spark):
+    long = "x" * 5000
+    pages = [(0, f'<html data-x="{long}" LANG="de"><p>a'), (1, '<html lang=en>'), (2, f"<html class='{long}'><p lang='de'>"), (3, "<html><html prefix='a' lang = 'de'>"), (4, None), (5, "<html" * 20_000), (6, f"<HTML {long} {long}\nlang='fr' dir=ltr>")]
+    df = spark.createDataFrame([(i, "http://a.b/", h) for i, h in pages], "page_id long, url string, html string")
+    got = {r.page: r.declared for r in langid.evidence(df, ["de", "en"], np.zeros((2, langid.BUCKETS)), "page_id", "url", "html").collect()}
+    assert got == {0: "de", 1: "en", 2: "none", 3: "de", 4: "none", 5: "none", 6: "other"}
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
