@@ -30,6 +30,8 @@ from .winnow import Words, _mix, _pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
+#: Texts, and bytes of text, that are hashed at once.
+AT_ONCE, CHUNK = 256, 400_000
 
 #: ASCII letters in lower case, ASCII white space as blanks.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
@@ -77,11 +79,14 @@ def keyed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, some in _pieces([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
-                n, found = keys(some)
-                flat = pa.array(found.view(np.int64).ravel())
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(n, pa.int64()), rows], ["node", "n", "keys"])
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                for at, some in _pieces([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], CHUNK):
+                    n, found = keys(some)
+                    flat = pa.array(found.view(np.int64).ravel())
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(some)), pa.array(n, pa.int64()), rows], ["node", "n", "keys"])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return texts.mapInArrow(run, "node long, n long, keys array<long>")
 
@@ -98,6 +103,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, of_last = a, shingles(x.as_py())
                 good.append(alike(of_last, shingles(y.as_py())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     met = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("of b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("of a")), "a")
     return met.select("a", "b", "of a", "of b").mapInArrow(run, "a long, b long")
@@ -111,18 +117,25 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     shared = cut(placed.join(crowd, "key"))
     some = shared.select("node").distinct()
-    texts = cut(given.join(some, "node", "left_semi").dropDuplicates(["node"]))
+    texts = cut(given.dropDuplicates(["node"]).join(some, "node", "left_semi"))  # copies go before the exchange
     fits = lambda a, b: (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
     size = shared.select(F.col("node").alias("a"), F.col("n").alias("n of a")).distinct()
     first = shared.where("a <> node").select("a", F.col("node").alias("b"), "n").distinct().join(size, "a").where(fits("n", "n of a"))
-    near = cut(verified(first, texts))
-    root = components(near)
+    root = components(verified(first, texts))
     now = shared.select("key", "node", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = cut(now.join(mixed, "key", "left_semi"))
+    left = now.join(mixed, "key", "left_semi")
     one, other = (left.select("key", *(F.col(c).alias(f"{c} {k}") for c in ("node", "n", "root"))) for k in (1, 2))
     second = one.join(other, "key").where((F.col("root 1") < F.col("root 2")) & fits("n 1", "n 2")).select(F.col("node 1").alias("a"), F.col("node 2").alias("b")).distinct()
-    return components(near.union(cut(verified(second, texts))))
+    more = cut(verified(second, texts))
+    if more.isEmpty():
+        return root
+    of = more
+    for c in ("a", "b"):  # components of components
+        of = of.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root {c}")), c, "left").withColumn(c, F.coalesce(f"root {c}", c)).drop(f"root {c}")
+    wider = components(of).select(F.col("node").alias("root"), F.col("root").alias("wider"))
+    every = root.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(root, F.col("a") == F.col("node"), "left_anti"))
+    return every.join(wider, "root", "left").select("node", F.coalesce("wider", "root").alias("root"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

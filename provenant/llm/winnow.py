@@ -103,11 +103,11 @@ def winnow(hashes: np.ndarray, whole: np.ndarray, of: int = KEEP_OF) -> np.ndarr
     return np.flatnonzero(kept)
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _pieces(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK:
+        if size >= most:
             yield at, texts[at : i + 1]
             at, size = i + 1, 0
     if at < len(texts):
