@@ -5,19 +5,23 @@ every byte has one printable character (the byte table), a token's string is its
 that table, and the merges are all pairs of tokens whose concatenation is a token, by its rank.
 
 Texts are cut into segments where the pre-tokenisation pattern always starts a new match: before
-a single space that has a non-space character on both sides.  Segments repeat, so a bounded memo
-per worker holds their ids and only segments not seen before reach the library, joined into one
-text whose ids are dealt back by byte length.
+a single space that has a non-space character on both sides.  Segments repeat, so each worker keeps
+the ids of those that it met lately as Arrow and numpy arrays, and only the others reach the library,
+joined into one text whose ids are dealt back by byte length.  Segments of letters with punctuation behind them, whose
+two matches need no pattern, are joined in the byte table's own characters and parted by blanks.
 
 Defined cases: a null text counts as empty and has no ids; an empty text has no ids and decodes to
 empty bytes; texts of any length are encoded whole; repeated rows give repeated results; extra
 columns pass through ``encode`` and ``decode`` only when named in ``keep``; an empty table gives
-an empty table.  Strings of special tokens are ordinary text.
+an empty table.  In a rank vocabulary strings of special tokens are ordinary text; those of a file in the
+library's own format become their ids, as the library does unless told otherwise.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -28,10 +32,17 @@ from pyspark.sql import DataFrame
 
 #: Characters of a piece of text that is handled at once.
 CHUNK_CHARS = 4_000_000
-#: A worker's memo has two generations: beyond so many segments or characters the younger becomes the older, whose unused half is forgotten.
-MEMO_SEGMENTS, MEMO_CHARS = 180_000, 4_000_000
+#: Beyond so many segments or bytes a worker forgets those that it has not met twice since it last forgot; longer segments are never kept.
+MEMO_SEGMENTS, MEMO_BYTES, MEMO_LONGEST = 400_000, 16_000_000, 200
+#: Bytes of segments that the library gets at once.
+JOINED = 200_000
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters that every version of Unicode calls so, and ASCII punctuation without the apostrophe: a match of the pattern each.
+_LETTERS, _PUNCTUATION = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+#: How a pattern must end for texts to be cut into segments; a fixed value.
+_PLAIN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_EASY = f"^([{_LETTERS}]+)([{_PUNCTUATION}]*)$"
 #: White space besides space and line feed; fixed values.
 _RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,83 +60,138 @@ def is_odd(text: str) -> bool:
     return odd or any(c in text for c in (_RARE_SPACE[:8] if text.isascii() else _RARE_SPACE))
 
 
+def _joined(words: pa.Array, by: str) -> bytes:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(by, words.type))[0].as_buffer().to_pybytes()
+
+
 class Encoder:
-    """Encodes texts by a ``tokenizers`` model; ``exact`` re-encodes segments in which the model's choice among equal ranks could matter."""
+    """Encodes texts by a ``tokenizers`` model; ``exact`` re-encodes segments in which the model's choice among equal ranks could matter.
+
+    ``cuts``: whether texts may be cut into segments; ``easy``: whether segments of letters and punctuation may go around the pattern.
+    """
+
+    def __init__(self, model, token_bytes: dict[int, bytes], triggers=None, exact=None, cuts: bool = True, easy: bool = True):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-    def __init__(self, model, token_bytes: dict[int, bytes], triggers=None, exact=None):
-        model.encode_special_tokens = True
         model.model._resize_cache(0)  # the memo has what repeats
-        self.model, self.triggers, self.exact = model, triggers, exact
+        self.model, self.triggers, self.exact, self.cuts, self.plain = model, triggers, exact, cuts, None
+        if cuts and easy:
+            self.plain = Tokenizer(model.model)
+            self.plain.pre_tokenizer = WhitespaceSplit()
+        self.chars = np.array([ord(c) for c in byte_table()], "<u2")
+        self.chars[[10, 32]] = 10, 32  # between segments, and between the matches of one
         self.token_bytes = token_bytes
         self.lengths = np.zeros(max(token_bytes, default=0) + 1, np.int64)
         for i, b in token_bytes.items():
             self.lengths[i] = len(b)
         self.table = [token_bytes.get(i, b"") for i in range(len(self.lengths))]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.chars = 0
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.words, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.begin, self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _alone(self, text: str) -> bytes:
+    def _alone(self, text: str) -> np.ndarray:
         if self.exact is not None and self.triggers is not None and any(True for _ in self.triggers.iter(text.encode().decode("latin-1"))):
-            return np.array(self.exact(text), "<u4").tobytes()
-        return self._raw(text).tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        """Put segments (each after a space) into the memo."""
+            return np.array(self.exact(text), np.uint32)
+        return self._raw(text)
+
+    def _batch(self, words: pa.Array, sizes: np.ndarray, easy: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments without white space at their ends, each after a space, and their numbers; ``sizes``: their bytes."""
+        raw = b" " + _joined(words, " ") if self.triggers is not None or not easy else b""
+        if easy:
+            parted = pc.replace_substring_regex(words, f"^([{_LETTERS}]+)([{_PUNCTUATION}]+)$", r"\1 \2")
+            text = self.chars[np.frombuffer(b"\n" + _joined(parted, "\n"), np.uint8)].tobytes().decode("utf-16-le").replace("\n", " \u0120")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        else:
+            ids = self._raw(raw.decode())
+        done, ends = np.cumsum(self.lengths[ids]), np.cumsum(sizes + 1)
+        cuts = np.searchsorted(done, ends) + 1
+        if not np.array_equal(done[cuts - 1], ends):
+            raise ValueError("a token spans two segments")
+        n = np.diff(cuts, prepend=0)
+        if self.triggers is not None:
+            hits = np.fromiter((e for e, _ in self.triggers.iter(raw.decode("latin-1"))), np.int64)
+            if len(flagged := np.unique(np.searchsorted(ends, hits, "right"))):
+                out, at = [], 0
+                for k in flagged.tolist():
+                    again = np.array(self.exact(" " + words[k].as_py()), np.uint32)
+                    out += [ids[at : cuts[k] - n[k]], again]
+                    at, n[k] = cuts[k], len(again)
+                ids = np.concatenate([*out, ids[at:]])
+        return ids, n
+
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct segments, each after a space, and where each segment's begin and how many they are."""
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind = np.zeros(len(words), np.int8)  # 0: joined, 1: joined around the pattern, 2: alone
+        if self.plain is not None:
+            kind[pc.match_substring_regex(words, _EASY).to_numpy(zero_copy_only=False)] = 1
+        hard = np.flatnonzero(kind == 0)
+        kind[hard[[not w or w[-1].isspace() for w in words.take(pa.array(hard)).to_pylist()]]] = 2
+        pool, number, filled = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         at = 0
-        while at < len(parts):
-            chars, end = 0, at
-            while end < len(parts) and chars < 200_000:
-                chars += len(parts[end]) + 1
-                end += 1
-            some, at = parts[at:end], end
-            joined = " " + " ".join(some)
-            raw = joined.encode()
-            ids = self._raw(joined)
-            done = np.cumsum(self.lengths[ids])
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in some), np.int64, len(some)))
-            cuts = np.searchsorted(done, ends) + 1
-            if not np.array_equal(done[cuts - 1], ends):
-                raise ValueError("a token spans two segments")
-            flagged: set[int] = set()
-            if self.triggers is not None:
-                hits = np.fromiter((e for e, _ in self.triggers.iter(raw.decode("latin-1"))), np.int64)
-                flagged = set(np.searchsorted(ends, hits, "right").tolist())
-            data, begin = ids.tobytes(), 0
-            for k, (p, cut) in enumerate(zip(some, (4 * cuts).tolist(), strict=True)):
-                self.memo[p] = data[begin:cut] if k not in flagged else np.array(self.exact(" " + p), "<u4").tobytes()
-                begin = cut
-            self.chars += chars
-
-    def _known(self, parts: list[str]) -> list[bytes]:
-        """The ids of distinct segments, each after a space."""
-        if len(self.memo) > MEMO_SEGMENTS or self.chars > MEMO_CHARS:
-            self.older, self.memo, self.chars = self.memo, {}, 0
-        out = list(map(self.memo.get, parts))
-        if None in out:
-            memo, older, gaps, new = self.memo, self.older.get, [i for i, x in enumerate(out) if x is None], []
-            for i in gaps:
-                p = parts[i]
-                if (known := older(p)) is None:
-                    new.append(p)
-                else:
-                    memo[p] = known
-                    self.chars += len(p)
-            self._learn([p for p in new if p and not p[-1].isspace()])
-            for p in new:
-                if p not in memo:
-                    memo[p] = self._alone(" " + p) if p else b""
-            for i in gaps:
-                out[i] = memo[parts[i]]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for which in (0, 1):
+            mine = np.flatnonzero(kind == which)
+            some, before = words.take(pa.array(mine)), np.cumsum(size[mine] + 1)
+            first = 0
+            while first < len(mine):
+                end = max(first + 1, int(np.searchsorted(before, (before[first - 1] if first else 0) + JOINED, "right")))
+                ids, n = self._batch(some.slice(first, end - first), size[mine[first:end]], which == 1)
+                pool.append(ids)
+                number[mine[first:end]], filled[mine[first:end]] = n, at + np.cumsum(n) - n
+                at, first = at + len(ids), end
+        for i in np.flatnonzero(kind == 2).tolist():
+            ids = self._alone(" " + words[i].as_py()) if size[i] else np.zeros(0, np.uint32)
+            pool.append(ids)
+            number[i], filled[i] = len(ids), at
+            at += len(ids)
+        return np.concatenate([np.zeros(0, np.uint32), *pool]), filled, number
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it the ids of each of distinct segments begin and how many they are."""
+        found = pc.index_in(words, self.words)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        old, gaps = at >= 0, np.flatnonzero(at < 0)
+        self.uses[at[old]] += 1
+        new = words.take(pa.array(gaps))
+        ids, begin, size = self._fresh(new)
+        pool = np.concatenate([self.pool, ids])
+        starts, numbers = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[old], numbers[old] = self.begin[at[old]], self.size[at[old]]
+        starts[gaps], numbers[gaps] = begin + len(self.pool), size
+        every = pa.concat_arrays([self.words, new])
+        self._keep(every, pool, np.concatenate([self.begin, begin + len(self.pool)]), np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.uses, np.zeros(len(new), np.int32)]))
+        return pool, starts, numbers
+
+    def _keep(self, words: pa.Array, pool: np.ndarray, begin: np.ndarray, size: np.ndarray, uses: np.ndarray) -> None:
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        stay = lengths <= MEMO_LONGEST
+        full = len(words) > MEMO_SEGMENTS or lengths[stay].sum() > MEMO_BYTES
+        if full:
+            stay &= uses > (0 if (uses[stay] > 0).sum() <= MEMO_SEGMENTS // 2 else np.median(uses[stay]))
+        if not stay.all():
+            begin, size, uses = begin[stay], size[stay], uses[stay]
+            words, last = words.filter(pa.array(stay)), np.cumsum(size, dtype=np.int64)
+            pool = pool[np.repeat(begin - last + size, size) + np.arange(last[-1] if len(last) else 0)]
+            begin = last - size
+        self.words, self.pool, self.begin, self.size, self.uses = words, pool, begin, size, np.zeros(len(words), np.int32) if full else uses
+
+    def _heads(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that nothing stands before."""
+        if self.triggers is not None:
+            return [self._alone(t) if t else np.zeros(0, np.uint32) for t in texts]
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end."""
         if not texts:
-            return []
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.cuts:
+            each = self._heads(texts)
+            return np.concatenate(each), np.cumsum([len(x) for x in each])
         odd = [i for i, t in enumerate(texts) if is_odd(t)]
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         edges, flat = lists.offsets.to_numpy().copy(), lists.values
@@ -142,27 +208,40 @@ class Encoder:
         index, words = coded.indices.to_numpy().copy(), len(coded.dictionary)
         index[heads] = words + np.arange(len(heads), dtype=np.int32)  # a text's first segment has no space before it
         used = np.bincount(index, minlength=words)[:words] > 0
-        distinct = coded.dictionary.filter(pa.array(used)).to_pylist()
-        place = np.concatenate([np.cumsum(used, dtype=np.int32) - 1, len(distinct) + np.arange(len(heads), dtype=np.int32)])
+        pool, begin, size = self._known(coded.dictionary.filter(pa.array(used)))
+        first = self._heads(flat.take(pa.array(heads)).to_pylist())
+        n = np.array([len(x) for x in first], np.int64)
+        begin = np.concatenate([begin, len(pool) + np.cumsum(n) - n])
+        size, pool = np.concatenate([size, n]).astype(np.int32), np.concatenate([pool, *first])
+        place = np.concatenate([np.cumsum(used, dtype=np.int32) - 1, int(used.sum()) + np.arange(len(heads), dtype=np.int32)])
         index = place[index]
-        ids = self._known(distinct) + [self._alone(h) if h else b"" for h in flat.take(pa.array(heads)).to_pylist()]
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
-        begin = np.cumsum(size, dtype=np.int64) - size
         each = size[index]
         done = np.cumsum(each, dtype=np.int64)
         kind = np.int32 if done[-1] < 1 << 30 and len(pool) < 1 << 30 else np.int64
         where = np.repeat((begin[index] - done + each).astype(kind), each)
         where += np.arange(done[-1], dtype=kind)
-        data = pool[where].tobytes()
-        ends = (4 * np.concatenate([[0], done])[edges]).tolist()
-        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return pool[where], np.concatenate([[0], done])[edges[1:]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.ids_of(texts)
+        data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids as ``encode`` gives them."""
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids as one binary value a text, without a copy; ``ends``: where each text's end."""
+    offsets = np.concatenate([[0], ends * ids.itemsize])
+    if offsets[-1] >= 1 << 31:
+        data = ids.tobytes()
+        return pa.array([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """Texts in pieces of about CHUNK_CHARS characters."""
     out, chars = [], 0
@@ -236,16 +315,21 @@ def from_ranks(path: str, pattern: str) -> Encoder:
         triggers.add_word(t.decode("latin-1"), 1)
     triggers.make_automaton()
     pieces = regex.compile(pattern)
-    return Encoder(model, {i: t for t, i in ranks.items()}, triggers if len(triggers) else None, lambda text: [i for p in pieces.findall(text) for i in merge_by_rank(p.encode(), ranks)])
+    cuts = pattern.endswith(_PLAIN)
+    return Encoder(model, {i: t for t, i in ranks.items()}, triggers if len(triggers) else None, lambda text: [i for p in pieces.findall(text) for i in merge_by_rank(p.encode(), ranks)], cuts=cuts, easy=cuts)
 
 
 def from_file(path: str) -> Encoder:
-    """An encoder for a byte-level vocabulary in the library's own file format."""
+    """An encoder for a byte-level vocabulary in the library's own file format, special tokens included."""
     from tokenizers import Tokenizer
 
     model, back = Tokenizer.from_file(path), {c: b for b, c in enumerate(byte_table())}
-    special = {i for i, t in model.get_added_tokens_decoder().items() if t.special}
-    return Encoder(model, {i: t.encode() if i in special else bytes(back[c] for c in t) for t, i in model.get_vocab().items()})
+    added = model.get_added_tokens_decoder()
+    given = json.loads(model.to_str())
+    byte_level = given["normalizer"] is None and given["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    cuts = byte_level and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added.values())
+    easy = not any(re.fullmatch(f" ?[{_LETTERS}]*[{_PUNCTUATION}]*", t.content) for t in added.values())
+    return Encoder(model, {i: added[i].content.encode() if i in added else bytes(back[c] for c in t) for t, i in model.get_vocab().items()}, cuts=cuts, easy=easy)
 
 
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
@@ -279,13 +363,13 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
         for batch in batches:
             at = 0
             for some in chunks([t or "" for t in batch.column(len(keep)).to_pylist()]):
-                ids = enc.encode(some)
+                ids, ends = enc.ids_of(some)
                 cols = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
                 at += len(some)
-                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                cols += [pa.array(np.diff(ends, prepend=0), pa.int64()), binary(ids.astype("<u4"), ends)]
                 names = [*keep, "n_tokens", "ids"]
                 if offsets:
-                    both = [offsets_of(t, np.frombuffer(x, "<u4"), enc.lengths) if x else ((), ()) for t, x in zip(some, ids, strict=True)]
+                    both = [offsets_of(t, ids[a:b], enc.lengths) if a < b else ((), ()) for t, a, b in zip(some, [0, *ends], ends, strict=False)]
                     cols += [pa.array([list(b[k]) for b in both], pa.list_(pa.int32())) for k in (0, 1)]
                     names += ["token_start", "token_end"]
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -302,10 +386,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, text: str
         for batch in batches:
             at = 0
             for some in chunks([t or "" for t in batch.column(len(keep)).to_pylist()]):
-                ids = enc.encode(some)
+                ids, ends = enc.ids_of(some)
                 cols = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
                 at += len(some)
-                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.binary())]
+                data = binary(ids.astype("<u4"), ends)
+                cols += [pa.array(np.diff(ends, prepend=0), pa.int64()), data, pa.array([enc.decode(x) for x in data.to_pylist()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids", "decoded"])
 
     return docs.select(*keep, text).mapInArrow(run, schema)

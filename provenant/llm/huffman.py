@@ -12,9 +12,13 @@ once.  The container is Parquet, whose commit survives lost executors:
 ``read`` rebuilds the code table from the lengths and decodes all strides of a batch side by side,
 one table look-up an id.
 
+Shards end at splitters of (id, hash of the coded text, row), drawn from a bounded sample, so that even rows of one
+id are dealt to many; any sortable type of id will do.
+
 Defined cases: a null text counts as empty; every document ends with ``end_id`` (so an empty one has
-one id); rows with the same document id stand in the order of their coded bits, null document ids before all
-others; an empty table gives files without blocks; extra columns are ignored.
+one id); rows with the same document id stand together, null document ids before all
+others; an empty table gives files without blocks; extra columns are ignored; strings of special tokens in a text
+become their ids, as the library does.  Codes are as long as the number of ids in use asks for.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import chunks, encoder
+from .bpe import binary, chunks, encoder
 from .common import remove, scratch
 
+#: The longest code, unless more ids are in use than a quarter of such codes; it is one of 25 bits at most.
 LONGEST, STRIDE = 18, 256
-#: Coded bytes of a shard, and the greatest number of shards.
-SHARD_BYTES, MOST_SHARDS = 32_000_000, 20_000
+#: Coded bytes of a shard, the greatest number of shards, and rows drawn for each to find the splitters.
+SHARD_BYTES, MOST_SHARDS, DRAWN = 32_000_000, 20_000, 40
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -62,6 +67,11 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     return out
 
 
+def longest_for(used: int) -> int:
+    """The longest code for so many ids: two bits more than they need at least."""
+    return max(LONGEST, min(25, max(0, used - 1).bit_length() + 2))
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of length, then id."""
     codes, code, last = np.zeros(len(lengths), np.uint64), 0, 0
@@ -141,18 +151,15 @@ def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text: str, kin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         width = "<u2" if len(enc.lengths) <= 1 << 16 else "<u4"
-        names, end, total = [id_col, "n_tokens", "ids", "counts"], np.array([end_id], width).tobytes(), np.zeros(max(end_id + 1, len(enc.lengths)), np.int64)
+        names, total = [id_col, "n_tokens", "ids", "counts"], np.zeros(max(end_id + 1, len(enc.lengths)), np.int64)
         for batch in batches:
             at = 0
             for some in chunks([t or "" for t in batch.column(1).to_pylist()]):
-                wide = enc.encode(some)
-                ids = np.frombuffer(b"".join(wide), "<u4").astype(width)
+                ids, ends = enc.ids_of(some)
+                ids = np.insert(ids.astype(width), ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
                 total += np.bincount(ids, minlength=len(total))
-                total[end_id] += len(some)
-                data, n = ids.tobytes(), int(width[-1])
-                ends = (np.cumsum([len(x) for x in wide]) // 4 * n).tolist()
-                out = [data[a:b] + end for a, b in zip([0, *ends], ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array([len(x) // n for x in out], pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(some), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(np.diff(ends, prepend=0), pa.int64()), binary(ids, ends), pa.nulls(len(some), pa.binary())], names)
                 at += len(some)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
@@ -165,7 +172,7 @@ def _ids(data: bytes, n: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0, shards: int | None = None) -> None:
-    """Write the ids of all texts, each followed by ``end_id``, in ascending order of ``id_col`` (numbers)."""
+    """Write the ids of all texts, each followed by ``end_id``, in ascending order of ``id_col``."""
     spark = docs.sparkSession
     kind, held = docs.schema[id_col].dataType.simpleString(), scratch(spark, "tokens")
     _tokens(docs, tokenizer, end_id, id_col, text, kind).write.option("compression", "snappy").parquet(held)
@@ -183,17 +190,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     counts = np.zeros(1 + max((r["id"] for r in counted), default=0), np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts)
+    longest = longest_for(int((counts > 0).sum()))
+    lengths = code_lengths(counts, longest)
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
-    spark.createDataFrame([(LONGEST, used.tolist(), lengths[used].astype(int).tolist())], "longest int, ids array<int>, lengths array<int>").coalesce(1).write.parquet(f"{path}/code")
+    spark.createDataFrame([(longest, used.tolist(), lengths[used].astype(int).tolist())], "longest int, ids array<int>, lengths array<int>").coalesce(1).write.parquet(f"{path}/code")
 
     coded = int((counts * lengths).sum()) // 8
     shards = shards or max(1, min(MOST_SHARDS, -(-coded // SHARD_BYTES)))
-    edges = sorted(set(tokens.approxQuantile(id_col, [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
-    shard = F.expr(f"aggregate({_steps(len(edges))}, 0, (at, step) -> CASE WHEN at + step <= {len(edges)} AND `{id_col}` >= element_at(edges, at + step) THEN at + step ELSE at END)")
-    dealt = tokens.withColumn("edges", F.from_json(F.lit(json.dumps(edges)), "array<double>"))
-    dealt = dealt.withColumn("shard", shard).drop("edges")
+    tokens = tokens.withColumn("key", F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64("ids").alias("text"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")))
+    drawn = [r["key"] for r in tokens.orderBy(F.xxhash64("key.row", "key.text")).select("key").limit(DRAWN * shards).orderBy("key").collect()] if shards > 1 else []  # at most DRAWN rows a shard
+    edges = [drawn[len(drawn) * i // shards].asDict() for i in range(1, shards)] if drawn else []
+    held_edges = F.from_json(F.lit(json.dumps(edges, default=str)), f"array<struct<known: boolean, id: {kind}, text: bigint, row: bigint>>")
+    shard = F.expr(f"aggregate({_steps(len(edges))}, 0, (at, step) -> CASE WHEN at + step <= {len(edges)} AND key >= element_at(edges, at + step) THEN at + step ELSE at END)")
+    dealt = tokens.withColumn("edges", held_edges).withColumn("shard", shard).drop("edges", "key")
     before, total = {}, 0
     for r in sorted(dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["shard"]):  # a row a shard
         before[r["shard"]], total = total, total + r["n"]

@@ -452,7 +452,7 @@ def test_huffman_files_round_trip(spark, docs, plain, none, tmp_path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(OWN)
-    model.encode_special_tokens = True
+    assert 50256 in model.encode(TEXTS[24], add_special_tokens=False).ids  # a special token's string
     huffman.write(docs, str(tmp_path / "a"), OWN, shards=5)
     got = sorted(huffman.read(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in plain), key=lambda i: -1 if i is None else i)
@@ -467,6 +467,31 @@ def test_huffman_files_round_trip(spark, docs, plain, none, tmp_path):
     assert huffman.read(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_huffman_files_of_other_ids(spark, tmp_path):
+    """Ids as strings, and most rows of one id: they are dealt to several shards and stay in order."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(OWN)
+    given = [(f"k{i % 50:02d}" if i % 3 else "hot", f"text {i} <|endoftext|>{i % 7}") for i in range(900)] + [(None, "none"), ("hot", "same"), ("hot", "same")]
+    huffman.write(spark.createDataFrame(given, "name string, text string").repartition(4), str(tmp_path / "a"), OWN, id_col="name", shards=8)
+    got = sorted(huffman.read(spark, str(tmp_path / "a"), "name").collect(), key=lambda r: r.start)
+    assert [r.name for r in got] == sorted((i for i, _ in given), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert Counter((r.name, bytes(r.ids)) for r in got) == Counter((i, np.array([*model.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in given)
+    assert spark.read.parquet(str(tmp_path / "a" / "blocks")).where("name = 'hot'").select("shard").distinct().count() > 1
+
+
+def test_codes_grow_with_the_ids_in_use():
+    counts = np.ones(300_000, np.int64)
+    longest = huffman.longest_for(len(counts))
+    lengths = huffman.code_lengths(counts, longest)
+    assert longest == 21 and lengths.max() <= longest
+    ids = np.array([0, 299_999, 5, 131_072, 7], np.int64)
+    done = huffman.pack(ids, np.array([2, 5]), lengths, huffman.canonical(lengths))
+    assert huffman.Decoder(lengths, longest).unpack([b for b, _ in done], np.array([2, 3]), [c for _, c in done]).tolist() == ids.tolist()
+    assert huffman.longest_for(1) == huffman.longest_for(50_000) == 18
+
+
 def test_code_lengths_are_optimal_and_limited():
     r = np.random.default_rng(2)
     for n, longest in ((2, 1), (5, 3), (200, 8), (200, 20), (3000, 12)):
