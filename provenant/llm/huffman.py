@@ -12,8 +12,9 @@ once.  The container is Parquet, whose commit survives lost executors:
 ``read`` rebuilds the code table from the lengths and decodes all strides of a batch side by side,
 one table look-up an id.
 
-Shards end at splitters of (id, hash of the coded text, row), drawn from a bounded sample, so that even rows of one
-id are dealt to many; any sortable type of id will do.
+Shards end at keys (id, hash of the ids, row): a bounded number of rows is drawn, the exact tokens between
+neighbours among them are counted, and those nearest to equal shares are taken, so that even rows of one id are dealt
+to many shards; any sortable type of id will do.
 
 Defined cases: a null text counts as empty; every document ends with ``end_id`` (so an empty one has
 one id); rows with the same document id stand together, null document ids before all
@@ -36,8 +37,8 @@ from .common import remove, scratch
 
 #: The longest code, unless more ids are in use than a quarter of such codes; it is one of 25 bits at most.
 LONGEST, STRIDE = 18, 256
-#: Coded bytes of a shard, the greatest number of shards, and rows drawn for each to find the splitters.
-SHARD_BYTES, MOST_SHARDS, DRAWN = 32_000_000, 20_000, 40
+#: Coded bytes of a shard, the greatest number of shards, rows drawn for each to find the splitters among, and the greatest number of these unless two a shard are more.
+SHARD_BYTES, MOST_SHARDS, DRAWN, MOST_DRAWN = 32_000_000, 20_000, 40, 40_000
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -175,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of ``id_col``."""
     spark = docs.sparkSession
     kind, held = docs.schema[id_col].dataType.simpleString(), scratch(spark, "tokens")
-    _tokens(docs, tokenizer, end_id, id_col, text, kind).write.option("compression", "snappy").parquet(held)
+    _tokens(docs, tokenizer, end_id, id_col, text, kind).withColumn("text key", F.xxhash64("ids")).write.option("compression", "snappy").parquet(held)
     tokens = spark.read.parquet(held).where("n_tokens IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +199,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     coded = int((counts * lengths).sum()) // 8
     shards = shards or max(1, min(MOST_SHARDS, -(-coded // SHARD_BYTES)))
-    tokens = tokens.withColumn("key", F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64("ids").alias("text"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")))
-    drawn = [r["key"] for r in tokens.orderBy(F.xxhash64("key.row", "key.text")).select("key").limit(DRAWN * shards).orderBy("key").collect()] if shards > 1 else []  # at most DRAWN rows a shard
-    edges = [drawn[len(drawn) * i // shards].asDict() for i in range(1, shards)] if drawn else []
-    held_edges = F.from_json(F.lit(json.dumps(edges, default=str)), f"array<struct<known: boolean, id: {kind}, text: bigint, row: bigint>>")
-    shard = F.expr(f"aggregate({_steps(len(edges))}, 0, (at, step) -> CASE WHEN at + step <= {len(edges)} AND key >= element_at(edges, at + step) THEN at + step ELSE at END)")
-    dealt = tokens.withColumn("edges", held_edges).withColumn("shard", shard).drop("edges", "key")
-    before, total = {}, 0
-    for r in sorted(dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["shard"]):  # a row a shard
-        before[r["shard"]], total = total, total + r["n"]
+    tokens = tokens.withColumn("key", F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("text key").alias("text"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")))
+    many = shards * max(2, min(DRAWN, MOST_DRAWN // shards)) if shards > 1 else 0
+    drawn = [r["key"].asDict() for r in tokens.select("key").orderBy(F.xxhash64("key.row", "key.text")).limit(many).orderBy("key").collect()] if many else []
+    among = _bucketed(tokens.select("key", "n_tokens"), drawn, kind).groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each drawn row at most
+    each = np.zeros(len(drawn) + 1, np.int64)
+    for r in among:
+        each[r["bucket"]] = r["n"]
+    below = np.cumsum(each)  # below[k]: tokens before the k-th drawn row
+    cuts = sorted({int(np.abs(below[:-1] - below[-1] * i / shards).argmin()) for i in range(1, shards)}) if drawn else []
+    edges = [drawn[k] for k in cuts]
+    before = [0, *(int(below[k]) for k in cuts)]  # of each shard, the tokens before it
+    dealt = _bucketed(tokens, edges, kind).withColumnRenamed("bucket", "shard").drop("key")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +238,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     remove(spark, held)
 
 
-def _steps(n: int) -> str:
-    return f"array({', '.join(str(1 << k) for k in reversed(range(max(1, n).bit_length())))})"
+def _bucketed(rows: DataFrame, edges: list[dict], kind: str) -> DataFrame:
+    """``rows`` with bucket: how many of the sorted edges are at most a row's key, by binary search."""
+    steps = f"array({', '.join(str(1 << k) for k in reversed(range(max(1, len(edges)).bit_length())))})"
+    at = f"aggregate({steps}, 0, (at, step) -> CASE WHEN at + step <= {len(edges)} AND key >= element_at(edges, at + step) THEN at + step ELSE at END)"
+    held = F.from_json(F.lit(json.dumps(edges, default=str)), f"array<struct<known: boolean, id: {kind}, text: bigint, row: bigint>>")
+    return rows.withColumn("edges", held).withColumn("bucket", F.expr(at)).drop("edges")
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
