@@ -2,8 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``.  The stages use learned scores, components over the corpus
-and a tokeniser, so there is no SQL of the whole (``ORACLE_SQL`` is None); the tests hold each against a
-brute-force version.
+and a tokeniser, so there is no SQL of the whole (``ORACLE_SQL`` is None); the tests hold the classifier against its
+held-out labels and the other stages and the whole against brute force.
+
+Defined cases, for all stages: a null text counts as empty (and is empty after the last); texts of any length are worked on whole;
+repeated rows are copies, of which one stays; of documents that are alike the one with the least id stays, null ids
+come last; extra columns, of whatever names, pass to the next stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import bpe, neardup, quality, secrets, winnow
-from provenant.llm.common import scratch, table
+from provenant.llm.common import remove, scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what the others return is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         at = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(at), at
     return STAGES[-1][1](spark, docs, sf_dir)

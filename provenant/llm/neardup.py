@@ -2,11 +2,10 @@
 
 Every distinct text has ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles; two texts of
 similarity 0.8 share no key with chance (1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000, and less the more alike
-they are.  Keys only propose; every pair is verified on the shingles themselves.  Pairs are proposed in
-two passes, so that large groups stay linear: first each text with the least of those that share a key,
-then, for the keys whose texts are still in several components, every pair across components.  Pairs
-inside a component would change nothing.  The only pairs not looked at are those whose numbers of
-shingles alone exclude 0.8.
+they are.  Keys only propose: texts that share keys, directly or through others, are a family, and in a family all
+texts are compared.  Its texts are dealt to blocks of about ``MEMBERS``; each pair of blocks meets in one
+group of rows, where the shingles that any two share are counted by one product of matrices, and only a forest of the links
+found there is returned (each verified on the shingles themselves), so neither pairs nor links grow with the square of a family.
 
 Words are lower-cased (ASCII) and parted by white space, as in ``simhash``.
 
@@ -32,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 24
 #: Texts, and bytes of text, that are hashed at once.
 AT_ONCE, CHUNK = 256, 400_000
+#: Texts, and shingles, of a block; up to ``FEW`` texts are compared one by one; shingles whose counts are multiplied at once.
+MEMBERS, SHINGLES, FEW, COLUMNS = 256, 1_000_000, 6, 8192
 
 #: ASCII letters in lower case, ASCII white space as blanks.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
@@ -51,8 +52,8 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles of each text, and its keys."""
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners and hashes of the distinct shingles of all texts, by text, and where each text's begin."""
     words = Words(texts, _LOWER)
     grams, valid = words.grams(SHINGLE)
     at = np.flatnonzero(valid)
@@ -66,7 +67,12 @@ def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     doc, h = doc[order], h[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
     doc, h = doc[new], h[new]
-    start = np.searchsorted(doc, np.arange(len(texts)))
+    return doc, h, np.searchsorted(doc, np.arange(len(texts)))
+
+
+def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles of each text, and its keys."""
+    _, h, start = hashed(texts)
     out = np.zeros((len(texts), BANDS), np.uint64)
     for k in range(ROWS * BANDS):
         band = k // ROWS
@@ -91,51 +97,88 @@ def keyed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, n long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are alike."""
+def forest(texts: list[bytes], side: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all texts that are alike, directly or through others; with ``side``, only links between texts of different sides count."""
+    d = len(texts)
+    if d <= FEW:
+        sets = [shingles(t) for t in texts]
+        near = np.zeros((d, d), bool)
+        for i in range(d):
+            for j in range(i):
+                if side is None or side[i] != side[j]:
+                    near[i, j] = near[j, i] = alike(sets[i], sets[j])
+    else:
+        doc, h, start = hashed(texts)
+        n = np.diff(np.append(start, len(h)))
+        _, column, many = np.unique(h, return_inverse=True, return_counts=True)
+        shared = many > 1
+        doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        both = np.zeros((d, d), np.int64)
+        for first in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            has = np.zeros((d, COLUMNS), np.float32)
+            has[doc[a:b], column[a:b] - first] = 1
+            both += (has @ has.T).astype(np.int64)
+        near = 5 * both >= 4 * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(near, False)
+        if side is not None:
+            near &= np.array(side)[:, None] != np.array(side)[None, :]
+    links, left = [], np.ones(d, bool)
+    for i in range(d):
+        if left[i]:
+            left[i], todo = False, [i]
+            while todo:
+                k = todo.pop()
+                for j in np.flatnonzero(near[k] & left).tolist():
+                    if d <= FEW or alike(shingles(texts[k]), shingles(texts[j])):
+                        left[j] = False
+                        todo.append(j)
+                        links.append((k, j))
+    return links
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among rows (root, one, other, mine, node, text) of the same root and blocks ``one`` and ``other``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
+        now, nodes, texts, side = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = forest(texts, side if now and now[1] != now[2] else None) if len(texts) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            good = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                if a != last:
-                    last, of_last = a, shingles(x.as_py())
-                good.append(alike(of_last, shingles(y.as_py())))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            for root, one, other, mine, node, text in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
+                if (root, one, other) != now:
+                    if len(texts) > 1:
+                        yield done()
+                    now, nodes, texts, side = (root, one, other), [], [], []
+                nodes.append(node)
+                texts.append(text)
+                side.append(mine)
+        yield done()
         pa.default_memory_pool().release_unused()
 
-    met = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("of b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("of a")), "a")
-    return met.select("a", "b", "of a", "of b").mapInArrow(run, "a long, b long")
+    group = ["root", "one", "other"]
+    return rows.select(*group, "mine", "node", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the texts (by their xxhash64) that are alike with others, directly or through others."""
     given = docs.select(F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed_ = keyed(given).dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    placed = cut(keyed_)
-    crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
-    shared = cut(placed.join(crowd, "key"))
-    some = shared.select("node").distinct()
-    texts = cut(given.dropDuplicates(["node"]).join(some, "node", "left_semi"))  # copies go before the exchange
-    fits = lambda a, b: (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
-    size = shared.select(F.col("node").alias("a"), F.col("n").alias("n of a")).distinct()
-    first = shared.where("a <> node").select("a", F.col("node").alias("b"), "n").distinct().join(size, "a").where(fits("n", "n of a"))
-    root = components(verified(first, texts))
-    now = shared.select("key", "node", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = now.join(mixed, "key", "left_semi")
-    one, other = (left.select("key", *(F.col(c).alias(f"{c} {k}") for c in ("node", "n", "root"))) for k in (1, 2))
-    second = one.join(other, "key").where((F.col("root 1") < F.col("root 2")) & fits("n 1", "n 2")).select(F.col("node 1").alias("a"), F.col("node 2").alias("b")).distinct()
-    more = cut(verified(second, texts))
-    if more.isEmpty():
-        return root
-    of = more
-    for c in ("a", "b"):  # components of components
-        of = of.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root {c}")), c, "left").withColumn(c, F.coalesce(f"root {c}", c)).drop(f"root {c}")
-    wider = components(of).select(F.col("node").alias("root"), F.col("root").alias("wider"))
-    every = root.union(more.select("a", "a").union(more.select("b", "b")).distinct().join(root, F.col("a") == F.col("node"), "left_anti"))
-    return every.join(wider, "root", "left").select("node", F.coalesce("wider", "root").alias("root"))
+    placed = cut(keyed(given).dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")))
+    crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    shared = placed.join(crowd, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    family = components(shared)
+    counted = family.join(placed.select("node", "n").distinct(), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    sized = counted.groupBy("root").agg(blocks.alias("blocks"))
+    members = cut(family.join(sized, "root"))
+    known = given.dropDuplicates(["node"]).join(members, "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    met = known.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return components(compared(met.select("root", F.least("mine", "x").alias("one"), F.greatest("mine", "x").alias("other"), "mine", "node", "text")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

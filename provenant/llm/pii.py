@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import Trees, fit
-from .spans import clean, located, masked, pieces
+from .spans import apart, between, blocks_of, bound, clean, located, masked, pieces
 
 #: Kinds of base spans in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -98,9 +98,9 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     names = [g[0] for g in GENERATORS]
     every = [f"transform(_{k}, c -> named_struct('order', {ORDER[k]}, 'start', c.start, 'end', c.end, 'kind', '{k}', 'hit', c.hit))" for k in names]
     every.append(f"transform(_numbers, c -> named_struct('order', {ORDER['long_number']}, 'start', c.start, 'end', c.end, 'kind', 'long_number', 'hit', c.hit))")
-    out = out.withColumn("_found", F.expr(f"filter(concat({', '.join(every)}), c -> NOT exists(_base, b -> b.start < c.end AND c.start < b.end))"))
-    around = "'before', lower(substring(_text, greatest(1, c.start - 23), least(24, c.start))), 'after', substring(_text, c.end + 1, 3)"
-    out = out.withColumn("_found", F.expr(f"transform(_found, c -> named_struct('order', c.order, 'start', c.start, 'end', c.end, 'kind', c.kind, 'hit', c.hit, {around}))"))
+    out = out.withColumn("_found", F.expr(apart(f"concat({', '.join(every)})", "_base")))
+    around = f"'before', lower({between('greatest(c.start - 24, 0)', 'c.start')}), 'after', {between('c.end', 'c.end + 3')}"
+    out = out.withColumn("_found", F.expr(bound("blocks", "CASE WHEN size(_found) > 0 THEN " + blocks_of("_text") + " END", f"transform(_found, c -> named_struct('order', c.order, 'start', c.start, 'end', c.end, 'kind', c.kind, 'hit', c.hit, {around}))")))
     x = {
         "kind": "c.order",
         "chars": "length(c.hit)",

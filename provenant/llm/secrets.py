@@ -4,15 +4,17 @@ Base spans are the assignments, access keys and long hex strings of three fixed
 adds ``random`` spans: runs of 20 and more characters of the usual encodings, outside base spans; an equals
 sign ends a run, of which it is padding at most.  Names and paths run on into the values behind them, so a run
 with a slash, underscore or hyphen is also tried in its parts of 20 and more characters.  For
-each of these the encoding is inferred (hex, base32, base36, base62, base64; plain digits and plain letters of one case
-carry no evidence and are left out), and in the encoding's alphabet it must look random: chi-squared
-uniformity, runs above and below the middle of the alphabet, and serial correlation at lag one, of
-which none may be too unlikely for random symbols (``ALPHA``, three tests).
-
-Passing alone says little of short runs.  So each run also has the chance that ordinary text (words,
-identifiers) looks as random: its repeats are as few, and its changes between lower case, upper case,
-digits and signs as many.  Over all documents these chances go through the Benjamini-Hochberg rule at
-rate ``RATE``, separately for each class of length, from a histogram of fixed size.
+each of these the encoding is inferred (hex, base26 of one case, base32, base36, base62, base64); plain digits, which
+have no ordinary form to be told from, and a capital before small letters, which is a word, are left out.
+
+The battery has three tests of randomness in the encoding's alphabet: chi-squared uniformity, runs above
+and below the middle of the alphabet, and serial correlation at lag one; its chance is three times the
+least of theirs.  It says how well random symbols explain a run, but short words pass it too.  So each run also has
+the chance that ordinary text (words, identifiers) looks as random: its repeats are as few, and its
+changes between lower case, upper case, digits and signs as many.  The second chance divided by the first (a
+weight of at most one) goes through the weighted Benjamini-Hochberg rule at rate ``RATE`` over all documents,
+separately for each class of length, from a histogram of fixed size.  Thus a run is a discovery only if text
+explains it far worse than random symbols do, and a run that fails any one test needs that much more.
 
 Defined cases: a null or empty text has no spans; texts of any length are scanned whole; repeated
 rows give repeated spans (and count as often in the histogram); extra columns are ignored or, in
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clean, located, masked, pieces, upper_tail
+from .spans import apart, bound, clean, located, masked, pieces, running, total, upper_tail
 
 #: The base patterns, kinds in the order of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,7 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: A run is tried whole, then in the parts between these; a part counts where nothing before it was found.
 WAYS = ("/", "[_-]", "[/_-]")
-ALPHA, RATE = 0.001, 0.01
+RATE = 0.01
 #: Of ordinary text: chance that two symbols are equal, that three are, and that the class of character changes from one to the next.
 SAME_TWO, SAME_THREE, CHANGE = 0.065, 0.0055, 0.15
 #: Classes of length begin here; chances are counted by tenths of a decade up to 1e-40.
@@ -46,9 +48,11 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 #: Encodings in the order of inference: name, pattern of the run, alphabet.
 ENCODINGS = (
     ("digits", "[0-9]+", None),
-    ("letters", "[a-z]+|[A-Z]+|[A-Z]?[a-z]+", None),
+    ("word", "[A-Z][a-z]+", None),
     ("hex", "[0-9a-f]+", _DIGITS + "abcdef"),
     ("HEX", "[0-9A-F]+", _DIGITS + "ABCDEF"),
+    ("lower", "[a-z]+", _LOWER),
+    ("upper", "[A-Z]+", _UPPER),
     ("base32", "[A-Z2-7]+", _UPPER + "234567"),
     ("base36", "[a-z0-9]+", _DIGITS + _LOWER),
     ("base62", "[A-Za-z0-9]+", _DIGITS + _UPPER + _LOWER),
@@ -62,33 +66,31 @@ def _case(pick) -> str:
 
 
 def with_runs(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with _runs: start, end, n, p_text (the chance that text looks as random) and passes (the battery) of each run with an inferred encoding."""
+    """``docs`` with _runs: start, end, n, p_random (the battery's chance) and p (the chance of text, weighted) of each run with an inferred encoding, by start."""
     kind = "CASE " + " ".join(f"WHEN c.core RLIKE '^({p})$' THEN '{name}'" for name, p, _ in ENCODINGS) + " ELSE 'none' END"
     classes = "l" * 26 + "u" * 26 + "d" * 10 + "s" * 4
     middle = _case(lambda a: f"translate(c.core, '{a}', '{'0' * (len(a) // 2) + '1' * (len(a) - len(a) // 2)}')")
     place = _case(lambda a: f"transform(c.symbols, x -> CAST(instr('{a}', x) AS double))")
-    none = "CAST(array() AS array<struct<start: int, end: int, core: string, way: int>>)"
 
     def parts(way: int, at: str) -> str:
-        last, first = "a.at + length(p) = c.start + length(c.core)", "a.at = c.start"
-        one = f"array(named_struct('start', a.at, 'end', CASE WHEN {last} THEN c.end ELSE a.at + length(p) END, 'core', p, 'way', {way}))"
-        # no part twice: one of the second way without a slash is one of the third, one of the third between slashes is one of the first
-        new = {1: "true", 2: "contains(p, '/')", 3: f"NOT (({first} OR substring(c.core, a.at - c.start, 1) = '/') AND ({last} OR substring(c.core, a.at - c.start + length(p) + 1, 1) = '/'))"}[way]
-        return f"""aggregate(split(c.core, '{at}'), named_struct('at', c.start, 'found', {none}), (a, p) -> named_struct('at', a.at + length(p) + 1,
-          'found', CASE WHEN length(p) BETWEEN {LENGTHS[0]} AND length(c.core) - 1 AND {new} THEN concat(a.found, {one}) ELSE a.found END), a -> a.found)"""
+        begins = running("transform(ps, p -> length(p) + 1)", total)
+        one = f"named_struct('start', c.start + at, 'end', CASE WHEN at + length(p) = length(c.core) THEN c.end ELSE c.start + at + length(p) END, 'way', {way}, 'core', p)"
+        return bound("ps", f"split(c.core, '{at}')", f"filter(zip_with(ps, {begins}, (p, at) -> {one}), p -> length(p.core) BETWEEN {LENGTHS[0]} AND length(c.core) - 1)")
 
     every = ", ".join(parts(way, at) for way, at in enumerate(WAYS, 1))
     steps = [
         ("_parts", pieces(clean(F.col(text)), RUN)),
         ("_runs", F.expr(located("_parts"))),
-        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'core', rtrim('=', c.hit), 'way', 0))")),
-        ("_runs", F.expr(f"flatten(transform(_runs, c -> CASE WHEN c.core RLIKE '[/_-]' THEN concat(array(c), {every}) ELSE array(c) END))")),
-        ("_runs", F.expr(f"filter(transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'core', c.core, 'n', CAST(length(c.core) AS double), 'kind', {kind})), c -> c.n >= {LENGTHS[0]} AND c.kind NOT IN ('digits', 'letters', 'none'))")),
+        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', 0, 'core', rtrim('=', c.hit)))")),
+        ("_runs", F.expr(f"array_sort(flatten(transform(_runs, c -> CASE WHEN c.core RLIKE '[/_-]' THEN concat(array(c), {every}) ELSE array(c) END)))")),
+        # a part of several ways counts once
+        ("_runs", F.expr(bound("rs", "_runs", "filter(rs, (c, i) -> i = 0 OR rs[greatest(i - 1, 0)].start <> c.start OR rs[greatest(i - 1, 0)].end <> c.end)"))),
+        ("_runs", F.expr(f"filter(transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'core', c.core, 'n', CAST(length(c.core) AS double), 'kind', {kind})), c -> c.n >= {LENGTHS[0]} AND c.kind NOT IN ('digits', 'word', 'none'))")),
         ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'core', c.core, 'n', c.n, 'kind', c.kind, 'symbols', filter(split(c.core, ''), x -> x <> '')))")),
         (
             "_runs",
             F.expr(
-                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', CAST({_case(lambda a: str(len(a)))} AS double),
+                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'one', c.kind IN ('lower', 'upper'), 'k', CAST({_case(lambda a: str(len(a)))} AS double),
                 'squares', aggregate(array_distinct(c.symbols), 0D, (a, x) -> a + pow(c.n - length(replace(c.core, x, '')), 2)),
                 'changes', length(regexp_replace(translate(c.core, '{_LOWER + _UPPER + _DIGITS}+/_-', '{classes}'), 'l+|u+|d+|s+', 'x')) - 1,
                 'middle', {middle}, 'place', {place}))"""
@@ -97,7 +99,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes,
+                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'one', c.one, 'k', c.k, 'squares', c.squares, 'changes', c.changes,
                 'ones', c.n - length(replace(c.middle, '1', '')), 'runs', length(regexp_replace(c.middle, '0+|1+', 'x')),
                 'mean', aggregate(c.place, 0D, (a, x) -> a + x) / c.n, 'place', c.place))"""
             ),
@@ -105,7 +107,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'k', c.k, 'squares', c.squares, 'changes', c.changes, 'ones', c.ones, 'runs', c.runs,
+                """transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'one', c.one, 'k', c.k, 'squares', c.squares, 'changes', c.changes, 'ones', c.ones, 'runs', c.runs,
                 'about', 1 + 2 * c.ones * (c.n - c.ones) / c.n,
                 'power', aggregate(c.place, 0D, (a, x) -> a + (x - c.mean) * (x - c.mean)),
                 'lagged', aggregate(zip_with(slice(c.place, 1, size(c.place) - 1), slice(c.place, 2, size(c.place) - 1), (x, y) -> (x - c.mean) * (y - c.mean)), 0D, (a, x) -> a + x)))"""
@@ -114,7 +116,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         (
             "_runs",
             F.expr(
-                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n,
+                f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'one', c.one,
                 'z_even', (pow((c.k / c.n * c.squares - c.n) / (c.k - 1), 1 / 3D) - (1 - 2 / (9 * (c.k - 1)))) / sqrt(2 / (9 * (c.k - 1))),
                 'z_runs', CASE WHEN c.about < 3 THEN 9D ELSE abs(c.runs - c.about) / sqrt((c.about - 1) * (c.about - 2) / (c.n - 1)) END,
                 'z_serial', CASE WHEN c.power = 0 THEN 9D ELSE abs(c.lagged / c.power + 1 / c.n) * sqrt(c.n) END,
@@ -126,10 +128,11 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
             "_runs",
             F.expr(
                 f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n,
-                'passes', 3 * least({upper_tail('c.z_even')}, 2 * {upper_tail('c.z_runs')}, 2 * {upper_tail('c.z_serial')}) >= {ALPHA},
-                'p_text', {upper_tail('((greatest(c.z_pairs, -1D) + c.z_changes) / sqrt(2D))')}))"""
+                'p_random', least(1D, 3 * least({upper_tail('c.z_even')}, 2 * {upper_tail('c.z_runs')}, 2 * {upper_tail('c.z_serial')})),
+                'p_text', CASE WHEN c.one THEN {upper_tail('c.z_pairs')} ELSE {upper_tail('((greatest(c.z_pairs, -1D) + c.z_changes) / sqrt(2D))')} END))"""
             ),
         ),
+        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'p_random', c.p_random, 'p', least(1D, c.p_text / greatest(c.p_random, 1e-300D))))")),
     ]
     for name, step in steps:
         docs = docs.withColumn(name, step)
@@ -142,8 +145,8 @@ def _class(n: str) -> str:
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> list[float]:
     """For each class of length the greatest chance that is still a discovery (0: none is)."""
-    runs = with_runs(docs.select(F.col(text).alias("text")), "text").select(F.explode("_runs").alias("r"))
-    binned = runs.select(F.expr(_class("r.n")).alias("length"), F.expr(f"CAST(least({BINS}, greatest(0, floor(-10 * log10(greatest(r.p_text, 1e-300D))))) AS int)").alias("bin"))
+    runs = with_runs(docs.select(F.col(text).alias("text")), "text").select(F.explode_outer("_runs").alias("r")).where("r IS NOT NULL")  # outer: no filter on the runs is carried below the steps that make them
+    binned = runs.select(F.expr(_class("r.n")).alias("length"), F.expr(f"CAST(least({BINS}, greatest(0, floor(-10 * log10(greatest(r.p, 1e-300D))))) AS int)").alias("bin"))
     counts = [[0] * (BINS + 1) for _ in LENGTHS]
     for r in binned.groupBy("length", "bin").count().collect():  # at most len(LENGTHS) * (BINS + 1) rows
         counts[r["length"]][r["bin"]] = r["count"]
@@ -171,10 +174,10 @@ def with_spans(docs: DataFrame, text: str = "text", limits: list[float] | None =
     base = "concat(" + ", ".join(f"transform(_{k}, s -> {struct.format(i, k)})" for i, k in enumerate(KINDS[:3])) + ")"
     limit = "CASE " + " ".join(f"WHEN s.n >= {least} THEN {limits[i]!r}D" for i, least in reversed(list(enumerate(LENGTHS)))) + " ELSE 0D END"
     inner = inner.withColumn("_base", F.expr(f"array_sort({base})"))
-    random = f"filter(_runs, s -> s.passes AND s.p_text <= {limit} AND NOT exists(_base, b -> b.start < s.end AND s.start < b.end))"
-    inner = inner.withColumn("_random", F.expr(random)).withColumn("_found", F.expr("filter(_random, s -> s.way = 0)"))
+    inner = inner.withColumn("_likely", F.expr(f"filter(_runs, s -> s.p <= {limit})"))
+    inner = inner.withColumn("_random", F.expr(apart("_likely", "_base"))).withColumn("_found", F.expr("filter(_random, s -> s.way = 0)"))
     for way in range(1, len(WAYS) + 1):
-        inner = inner.withColumn("_found", F.expr(f"concat(_found, filter(_random, s -> s.way = {way} AND NOT exists(_found, b -> b.start < s.end AND s.start < b.end)))"))
+        inner = inner.withColumn("_part", F.expr(f"filter(_random, s -> s.way = {way})")).withColumn("_found", F.expr(f"concat(_found, {apart('_part', '_found')})"))
     inner = inner.withColumn("_all", F.expr(f"array_sort(concat(_base, transform(_found, s -> {struct.format(3, 'random')})))"))
     return inner.select(*(F.col(f"own {i}").alias(c) for i, c in enumerate(own)), F.col("_base").alias("base_spans"), F.col("_all").alias("spans"))
 

@@ -62,8 +62,9 @@ def near_copies(seed: int) -> list[tuple]:
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_dedup_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "members"), [(1, 256), (2, 256), (3, 16)])
+def test_near_dedup_matches_brute_force(spark, seed, members, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", members)  # small blocks: families meet in many pairs of them
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = corpus_pipeline.near_dedup(spark, df, "").collect()
@@ -78,3 +79,31 @@ def test_keys_are_of_the_shingles_alone():
     a, b = neardup.keys([b"x y z u v w", b"q"]), neardup.keys([b"q", b"", b"X\ty z u  v w\n", b"x y z u v w x y z u v w"])
     assert a[0].tolist() == [2, 1] and b[0].tolist() == [1, 1, 2, 6]
     assert a[1][0].tolist() == b[1][2].tolist() and a[1][1].tolist() == b[1][0].tolist()
+
+
+def test_forest_joins_what_brute_force_joins():
+    texts = [r[1].encode() for r in near_copies(5) if r[1]]
+    whole = slow_kept([(i, t.decode()) for i, t in enumerate(texts)])
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {find(i) for i in range(len(texts))}
+
+    links = neardup.forest(texts)
+    assert roots(links) == whole and len(links) < len(texts)
+    side = [i % 2 for i in range(len(texts))]
+    across, inside = neardup.forest(texts, side), []
+    for k in (0, 1):
+        of = [i for i in range(len(texts)) if i % 2 == k]
+        inside += [(of[a], of[b]) for a, b in neardup.forest([texts[i] for i in of])]
+    assert all(side[a] != side[b] for a, b in across) and roots(across + inside) == whole
+    assert neardup.forest([]) == [] and neardup.forest([b""] * 9) and neardup.forest([b"a", b"b"]) == []
