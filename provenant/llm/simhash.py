@@ -113,8 +113,10 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     )
     near = shared.where(F.col("n") <= CELL).groupBy("grid", "cell").agg(F.collect_list(F.struct("fp", "e")).alias("points")).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    if bits == 1:  # one bit apart: each is a neighbour of the other
+    if bits == 1:  # words are the members without one of their bits or none, and only those around a member count
         around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
+    own = F.array_contains("fps", F.col("word"))
+    hub = F.when(own, F.col("word")).otherwise(F.col("fps")[0]) if bits == 1 else F.col("fps")[0]
     through = (
         shared.where(F.col("n") > CELL)
         .select("fp")
@@ -122,8 +124,10 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
         .select("fp", F.explode(F.array_distinct(around)).alias("word"))
         .groupBy("word")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .where("size(fps) > 1")
-        .select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
+        .where(own & (F.size("fps") > 1) if bits == 1 else F.size("fps") > 1)
+        .select(hub.alias("a"), F.explode("fps").alias("b"))
+        .where("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
     return near.unionByName(through).distinct()
 
