@@ -34,6 +34,9 @@ TRIGRAM, CATEGORY, PARENT, AS_MANY = 0.5, 2.0, 5.0, 40
 #: Beyond so many hosts their priors are joined by a shuffle instead of a broadcast.
 BROADCAST_HOSTS = 100_000
 
+#: Second-level names under which countries register domains; fixed values.
+SHARED = "ac|co|com|edu|go|gob|gouv|gov|gv|ne|net|nom|or|org"
+
 _MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,8};")
 _NOISE = bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -68,16 +71,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 def evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url: str, html: str) -> DataFrame:
     """id, host, domain, declared, suffix and text (a log-likelihood for each language) of every page."""
-    host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)", 1)), F.lit(""))
+    host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)", 1)), F.lit(""))
     tags = F.array_join(F.regexp_extract_all(html, F.lit(r"(?i)<html\b[^>]*+"), F.lit(0)), ">")  # whole, however long
-    declared = F.lower(F.regexp_extract(tags, r"""(?i)\blang\s{0,9}=\s{0,9}["']?([a-z]{2,3})\b""", 1))
+    declared = F.lower(F.regexp_extract(tags, r"""(?i)(?:(?<=[\s"'])|(?<=xml:))lang\s*+=\s*+["']?([a-z]{2,3})\b""", 1))
     path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     country = F.regexp_extract("host", r"\.([a-z]{2})$", 1)
     # the pages' own columns may have the names made here
     out = pages.select(F.col(id_col).alias("page"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host)
     out = out.withColumn("declared", F.when(F.coalesce(declared, F.lit("")) == "", "none").when(declared.isin(*langs), declared).otherwise("other") if langs else F.lit("none"))
     out = out.withColumn("suffix", F.coalesce(F.nullif(path, F.lit("")), F.nullif(country, F.lit("")), F.lit("none")))
-    out = out.withColumn("domain", F.substring_index("host", ".", -2))
+    whole, three = F.col("host").rlike(r"^[0-9.]*$"), F.col("host").rlike(rf"\.({SHARED})\.[a-z]{{2}}$")
+    out = out.withColumn("domain", F.when(whole, F.col("host")).when(three, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
