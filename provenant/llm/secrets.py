@@ -11,10 +11,11 @@ The battery has three tests of randomness in the encoding's alphabet: chi-square
 and below the middle of the alphabet, and serial correlation at lag one; its chance is three times the
 least of theirs.  It says how well random symbols explain a run, but short words pass it too.  So each run also has
 the chance that ordinary text (words, identifiers) looks as random: its repeats are as few, and its
-changes between lower case, upper case, digits and signs as many.  The second chance divided by the first (a
-weight of at most one) goes through the weighted Benjamini-Hochberg rule at rate ``RATE`` over all documents,
-separately for each class of length, from a histogram of fixed size.  Thus a run is a discovery only if text
-explains it far worse than random symbols do, and a run that fails any one test needs that much more.
+changes between lower case, upper case and digits (not at the beginnings of words) as many.  Both go through the weighted
+Benjamini-Hochberg rule at rate ``RATE`` over all documents, separately for each class of length, from a histogram of
+fixed size: the second chance divided by a weight, which is the first, or nothing where that is below ``ALPHA``.
+Thus a run is a discovery only if text explains it far worse than random symbols do, and never if it fails any one
+test outright.
 
 Defined cases: a null or empty text has no spans; texts of any length are scanned whole; repeated
 rows give repeated spans (and count as often in the histogram); extra columns are ignored or, in
@@ -37,7 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: A run is tried whole, then in the parts between these; a part counts where nothing before it was found.
 WAYS = ("/", "[_-]", "[/_-]")
-RATE = 0.01
+ALPHA, RATE = 0.001, 0.01
+TESTS = ("even", "runs", "serial")
 #: Of ordinary text: chance that two symbols are equal, that three are, and that the class of character changes from one to the next.
 SAME_TWO, SAME_THREE, CHANGE = 0.065, 0.0055, 0.15
 #: Classes of length begin here; chances are counted by tenths of a decade up to 1e-40.
@@ -66,9 +68,9 @@ def _case(pick) -> str:
 
 
 def with_runs(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with _runs: start, end, n, p_random (the battery's chance) and p (the chance of text, weighted) of each run with an inferred encoding, by start."""
+    """``docs`` with _runs: start, end, n, p_random (the battery's chance), p_text (that of text) and p (the latter, weighted) of each run with an inferred encoding, by start."""
     kind = "CASE " + " ".join(f"WHEN c.core RLIKE '^({p})$' THEN '{name}'" for name, p, _ in ENCODINGS) + " ELSE 'none' END"
-    classes = "l" * 26 + "u" * 26 + "d" * 10 + "s" * 4
+    classes = "l" * 26 + "u" * 26 + "d" * 10  # signs vanish, as between the words of a name, and a capital before a small letter is one, as at a word's beginning
     middle = _case(lambda a: f"translate(c.core, '{a}', '{'0' * (len(a) // 2) + '1' * (len(a) - len(a) // 2)}')")
     place = _case(lambda a: f"transform(c.symbols, x -> CAST(instr('{a}', x) AS double))")
 
@@ -78,6 +80,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         return bound("ps", f"split(c.core, '{at}')", f"filter(zip_with(ps, {begins}, (p, at) -> {one}), p -> length(p.core) BETWEEN {LENGTHS[0]} AND length(c.core) - 1)")
 
     every = ", ".join(parts(way, at) for way, at in enumerate(WAYS, 1))
+    chances = {"even": upper_tail("c.z_even"), "runs": f"2 * {upper_tail('c.z_runs')}", "serial": f"2 * {upper_tail('c.z_serial')}"}
     steps = [
         ("_parts", pieces(clean(F.col(text)), RUN)),
         ("_runs", F.expr(located("_parts"))),
@@ -92,7 +95,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
             F.expr(
                 f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'one', c.kind IN ('lower', 'upper'), 'k', CAST({_case(lambda a: str(len(a)))} AS double),
                 'squares', aggregate(array_distinct(c.symbols), 0D, (a, x) -> a + pow(c.n - length(replace(c.core, x, '')), 2)),
-                'changes', length(regexp_replace(translate(c.core, '{_LOWER + _UPPER + _DIGITS}+/_-', '{classes}'), 'l+|u+|d+|s+', 'x')) - 1,
+                'changes', length(regexp_replace(regexp_replace(translate(c.core, '{_LOWER + _UPPER + _DIGITS}+/_-', '{classes}'), 'u(?=l)', 'l'), 'l+|u+|d+', 'x')) - 1,
                 'middle', {middle}, 'place', {place}))"""
             ),
         ),
@@ -128,11 +131,11 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
             "_runs",
             F.expr(
                 f"""transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n,
-                'p_random', least(1D, 3 * least({upper_tail('c.z_even')}, 2 * {upper_tail('c.z_runs')}, 2 * {upper_tail('c.z_serial')})),
+                'p_random', least(1D, {len(TESTS)} * least(1D, {', '.join(chances[t] for t in TESTS)})),
                 'p_text', CASE WHEN c.one THEN {upper_tail('c.z_pairs')} ELSE {upper_tail('((greatest(c.z_pairs, -1D) + c.z_changes) / sqrt(2D))')} END))"""
             ),
         ),
-        ("_runs", F.expr("transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'p_random', c.p_random, 'p', least(1D, c.p_text / greatest(c.p_random, 1e-300D))))")),
+        ("_runs", F.expr(f"transform(_runs, c -> named_struct('start', c.start, 'end', c.end, 'way', c.way, 'n', c.n, 'p_random', c.p_random, 'p_text', c.p_text, 'p', CASE WHEN c.p_random < {ALPHA} THEN 1D ELSE least(1D, c.p_text / c.p_random) END))")),
     ]
     for name, step in steps:
         docs = docs.withColumn(name, step)

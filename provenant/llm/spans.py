@@ -81,6 +81,7 @@ def blocks_of(text: str) -> str:
 
 def between(start: str, end: str) -> str:
     """SQL: the characters from ``start`` to ``end`` of a text whose ``blocks`` are bound."""
+    start, end = f"({start})", f"({end})"
     first = f"greatest({start} - b * {CHARS}, 0)"
     return f"array_join(transform(sequence(CAST({start} div {CHARS} AS int), CAST({end} div {CHARS} AS int)), b -> CASE WHEN b < size(blocks) THEN substring(blocks[b], {first} + 1, greatest(least({end} - b * {CHARS}, {CHARS}) - {first}, 0)) ELSE '' END), '')"
 

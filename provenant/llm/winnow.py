@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .spans import bound, most, running
 
 GRAM, KEEP_OF, SPAN = 5, 6, 10
 #: Bits of a bitmap: at least 64 for each hash up to the greatest size, 32 MB.
@@ -203,12 +204,10 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     each = some.select(*key, F.explode("hits").alias("h")).distinct().select("row id", "row text", "h.*")
     met = each.join(bounded(listed.select("window").distinct()), "window", "left_semi")
     spans = met.groupBy("row id", "row text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
-    merged = F.expr(
-        """aggregate(spans, CAST(array() AS array<struct<start: int, end: int>>), (done, s) ->
-             CASE WHEN size(done) > 0 AND s.start <= element_at(done, -1).end
-                  THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start AS start, greatest(element_at(done, -1).end, s.end) AS end)))
-                  ELSE concat(done, array(s)) END)"""
-    )
+    # a span begins a new range where it lies beyond the ends of all before it
+    fresh = f"filter(zip_with(spans, {running('transform(spans, s -> s.end)', most)}, (s, u) -> named_struct('start', s.start, 'until', u)), x -> x.until = 0 OR x.start > x.until)"
+    ranges = "transform(fresh, (x, k) -> named_struct('start', x.start, 'end', CASE WHEN k + 1 < size(fresh) THEN fresh[k + 1].until ELSE last END))"
+    merged = F.expr(bound("last", "array_max(transform(spans, s -> s.end))", bound("fresh", fresh, ranges)))
     of_row = met.select("row id", "row text", "window").distinct().join(bounded(listed.select("window", "item").distinct()), "window")
     items = of_row.groupBy(F.col("row id").alias("item id"), F.col("row text").alias("item text")).agg(F.sort_array(F.collect_set("item")).alias("listed"))
     result = spans.select("row id", "row text", merged.alias("found")).join(items, F.col("row id").eqNullSafe(F.col("item id")) & (F.col("row text") == F.col("item text")), "left")
