@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = marked.where(~held_out("labelled")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     rows = docs.select(id_col, text).join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).dropDuplicates(["labelled"])  # at most ``sample`` rows
-    got = described(rows, text, ("labelled", "y")).orderBy("labelled").collect()
+    got = sorted(described(rows, text, ("labelled", "y")).collect(), key=lambda r: r["labelled"])  # sorted here: a sort in Spark would make the statistics twice
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float))
 
 

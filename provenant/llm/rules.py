@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-The base counts are made for every text.  The method's own rules form a cascade: on a small sample each
-rule is run alone, its cost is the time it took and its selectivity the share of texts that it rejects,
-and rules are ordered by rejections per cost.  A text is kept if all rules accept it; evaluation of a
-row stops at the first that does not.  The order changes only the work, never the verdict, so the sample
-needs no care.
+The base counts are made for every text.  The method's own rules form a cascade: on a sample drawn from the
+whole table each rule's cost is the time of evaluating it alone, over so many copies of the sample that the time
+of the same job without a rule can be taken off it (the median of some runs each), and its selectivity is the
+share of texts that it rejects.  The first rule of the cascade is the one with the most rejections per cost; each next one
+has the most among the texts that the rules before it accept, and where none are left the cheaper comes first.  A
+text is kept if all rules accept it; evaluation of a row stops at the first that does not.  The order
+changes only the work, never the verdict.
 
 Defined cases: a null or word-less text has counts of zero and fails the base rule of ten words;
 texts of any length are counted whole; repeated rows give repeated results; extra columns are
@@ -23,8 +25,8 @@ from .common import cut
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Texts that costs and selectivities are estimated on.
-SAMPLE = 300
+#: Texts (about) that costs and selectivities are estimated on, copies of them that are timed, and runs of each timing.
+SAMPLE, COPIES, RUNS = 1000, 8, 3
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,36 +63,76 @@ RULES: dict[str, str] = {
 }
 
 
-def costs(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Cost (seconds) and selectivity (share rejected) of each rule over a sample."""
+def sampled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The counts of about ``sample`` rows from all over the table that pass the base rules, in one partition and cut."""
+    share = min(1.0, sample / max(1, docs.count()))
     # cut before the filter: pushed below the projections it would repeat their expressions inside lambdas
-    some = cut(with_counts(docs.select(F.col(text).alias("text")).limit(sample).repartition(1))).where("NOT base_failed")
-    out = {}
-    for name, rule in RULES.items():
-        query = some.agg(F.count("*").alias("n"), F.sum(F.expr(f"CAST(NOT ({rule}) AS int)")).alias("rejected"))
-        query.first()  # compiles the rule
-        began = time.perf_counter()
-        r = query.first()
-        out[name] = time.perf_counter() - began, (r["rejected"] or 0) / max(1, r["n"])
+    return cut(with_counts(docs.select(F.col(text).alias("text")).sample(share, seed=17).repartition(1))).where("NOT base_failed")
+
+
+def costs(some: DataFrame, rules: dict[str, str], copies: int = COPIES, runs: int = RUNS) -> dict[str, float]:
+    """Seconds that each rule takes for a row of ``sampled``; the time of the job itself is taken off."""
+    many = some.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    rows = max(1, some.count() * copies)
+
+    def took(rule: str) -> float:
+        # the copy's number has a part in it, so each copy is evaluated
+        query = many.agg(F.sum(F.expr(f"CAST(NOT ({rule}) AS int) + copy")).alias("n"), *(F.max(F.size(c)) for c in ("_words", "_lines", "_hashes")), F.max(F.length("_text")))
+        query.first()  # compiles it
+        times = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            query.first()
+            times.append(time.perf_counter() - began)
+        return sorted(times)[runs // 2]
+
+    nothing = took("true")
+    return {name: max(took(rule) - nothing, 0.001) / rows for name, rule in rules.items()}
+
+
+def rejections(some: DataFrame, rules: dict[str, str]) -> dict[tuple[bool, ...], int]:
+    """How many rows of ``sampled`` have each combination of the rules' rejections, in the rules' order."""
+    flags = [F.expr(f"NOT ({rule})").alias(f"r{i}") for i, rule in enumerate(rules.values())]
+    names = [f"r{i}" for i in range(len(rules))]
+    return {tuple(bool(r[n]) for n in names): r["count"] for r in some.select(*flags).groupBy(*names).count().collect()}  # at most a row of the sample
+
+
+def plan(costs: dict[str, float], rejected: dict[tuple[bool, ...], int]) -> list[tuple[str, float, float]]:
+    """The cascade's order: name, cost, and share rejected of the rows that get so far."""
+    names, out = list(costs), []
+    left, rows = list(costs), dict(rejected)
+    while left:
+        total = sum(rows.values())
+        share = {n: sum(k for flags, k in rows.items() if flags[names.index(n)]) / max(1, total) for n in left}
+        best = min(left, key=lambda n: (-share[n] / costs[n], costs[n]))
+        out.append((best, costs[best], share[best]))
+        left.remove(best)
+        rows = {flags: k for flags, k in rows.items() if not flags[names.index(best)]}
     return out
 
 
 def order(measured: dict[str, tuple[float, float]]) -> list[str]:
-    """Rules by rejections per cost, the most first; equals stay as written."""
-    return sorted(measured, key=lambda k: -measured[k][1] / max(measured[k][0], 1e-9))
+    """Rules by rejections per cost (cost, share rejected), the most first, of those that reject nothing the cheaper."""
+    return sorted(measured, key=lambda k: (-measured[k][1] / max(measured[k][0], 1e-9), measured[k][0]))
 
 
-def cascade(names: list[str]) -> Column:
+def ordered(docs: DataFrame, text: str = "text", rules: dict[str, str] | None = None) -> list[tuple[str, float, float]]:
+    """``plan`` of the rules, from a sample of ``docs``."""
+    rules, some = rules or RULES, sampled(docs, text)
+    return plan(costs(some, rules), rejections(some, rules))
+
+
+def cascade(names: list[str], rules: dict[str, str] | None = None) -> Column:
     """Whether all rules accept, tried in this order."""
     verdict = "true"
     for name in reversed(names):
-        verdict = f"CASE WHEN NOT ({RULES[name]}) THEN false ELSE {verdict} END"
+        verdict = f"CASE WHEN NOT ({(rules or RULES)[name]}) THEN false ELSE {verdict} END"
     return F.expr(verdict)
 
 
 def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the base counts, base_failed and kept."""
-    names = order(costs(docs, text))
+    names = [name for name, _, _ in ordered(docs, text)]
     counted = with_counts(docs.select(*keep, F.col(text).alias("text to judge")), "text to judge")
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(names))
     return counted.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -103,9 +105,10 @@ def test_simhash_matches_brute_force(docs, plain):
     assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
 
 
-@pytest.mark.parametrize("bits", [1, 2])
-def test_links_join_crowded_cells_too(spark, bits):
+@pytest.mark.parametrize(("bits", "cell"), [(1, 48), (2, 48), (1, 4), (2, 4), (1, 1), (2, 1)])
+def test_links_join_crowded_cells_too(spark, bits, cell, monkeypatch):
     """Fingerprints around a few centres overfill cells; components must equal brute force."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     r = random.Random(bits)
     fps = {r.getrandbits(64) for _ in range(200)}
     for centre in list(fps)[:3]:
@@ -113,6 +116,10 @@ def test_links_join_crowded_cells_too(spark, bits):
             fps.add(centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
     fps = sorted(fps)
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    grids = simhash.masks(simhash.blocks_for(len(fps), bits), bits)
+    embed = lambda f: sum((0, 1, 1, 3)[f >> 2 * s & 3] << 2 * s for s in range(32))
+    fullest = max(n for m in grids for n in Counter(embed(f) & m for f in fps).values())
+    assert cell == 48 or fullest > 2 * cell
     got = {x.node & (1 << 64) - 1: x.root & (1 << 64) - 1 for x in simhash.components(simhash.links(df, bits)).collect()}
     want = slow_components(fps, bits)
     groups = lambda m: {frozenset(k for k in fps if m.get(k, k) == v) for v in {m.get(k, k) for k in fps}}
@@ -192,6 +199,107 @@ def test_values_behind_names_and_paths_are_found(spark):
     assert not any(x.spans for x in secrets.with_spans(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id int, text string")).collect())
 
 
+ALPHABETS = dict((name, alphabet) for name, _, alphabet in secrets.ENCODINGS)
+
+
+def slow_battery(core: str, kind: str) -> dict[str, float]:
+    """The chances of the three tests and of text, from their definitions."""
+    a, n = ALPHABETS[kind], len(core)
+    k, x, count = len(a), [a.index(c) + 1 for c in core], Counter(core)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((c - n / k) ** 2 / (n / k) for c in count.values()) + (k - len(count)) * n / k
+    even = tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [v > k // 2 for v in x]
+    ones, runs = sum(high), 1 + sum(p != q for p, q in zip(high, high[1:], strict=False))
+    about = 1 + 2 * ones * (n - ones) / n
+    z_runs = abs(runs - about) / math.sqrt((about - 1) * (about - 2) / (n - 1)) if about >= 3 else 9
+    mean = sum(x) / n
+    power = sum((v - mean) ** 2 for v in x)
+    z_serial = abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / power + 1 / n) * math.sqrt(n) if power else 9
+    pairs = n * (n - 1) / 2
+    z_pairs = (secrets.SAME_TWO * pairs - sum(c * (c - 1) / 2 for c in count.values())) / math.sqrt(pairs * secrets.SAME_TWO * (1 - secrets.SAME_TWO) + n * (n - 1) * (n - 2) * (secrets.SAME_THREE - secrets.SAME_TWO**2))
+    sort = ["l" if c.islower() else "u" if c.isupper() else "d" for c in core if c.isalnum()]
+    sort = ["l" if c == "u" and sort[i + 1 : i + 2] == ["l"] else c for i, c in enumerate(sort)]
+    changes = sum(p != q for p, q in zip(sort, sort[1:], strict=False))
+    z_changes = (changes - secrets.CHANGE * (n - 1)) / math.sqrt(secrets.CHANGE * (1 - secrets.CHANGE) * (n - 1))
+    text = tail(z_pairs) if kind in ("lower", "upper") else tail((max(z_pairs, -1) + z_changes) / math.sqrt(2))
+    return {"even": even, "runs": 2 * tail(z_runs), "serial": 2 * tail(z_serial), "text": text, "z_runs": z_runs, "z_serial": z_serial}
+
+
+def runs_of(spark, texts):
+    got = secrets.with_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").collect()
+    return {r.doc_id: r._runs for r in got}
+
+
+def test_battery_matches_brute_force(spark):
+    r = random.Random(2)
+    cases = [(kind, "".join(r.choices(a, k=n))) for kind, a in ALPHABETS.items() if a for n in (20, 31, 40, 70, 200) for _ in range(6)]
+    cases += [("lower", "internationalizationandso"), ("base62", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF"), ("base36", "a1" * 20), ("base62", "zZ9" * 10)]
+    kinds = {name: re.compile(f"({p})$") for name, p, _ in secrets.ENCODINGS}
+    cases = [(k, c) for k, c in cases if k == next(n for n, p in kinds.items() if p.match(c)) and not (k.startswith("base64") and set("/_-") & set(c))]
+    got = runs_of(spark, [c for _, c in cases])
+    assert len({k for k, _ in cases}) >= 8
+    for i, (kind, core) in enumerate(cases):
+        want, (one,) = slow_battery(core, kind), got[i]
+        p_random = min(1, 3 * min(want[t] for t in secrets.TESTS))
+        assert one.p_random == pytest.approx(p_random, rel=0.06, abs=0.02 if p_random > 0.05 else 0.0005), (kind, core, want)
+        assert one.p_text == pytest.approx(want["text"], rel=0.06, abs=0.003)
+        assert one.p == (1 if one.p_random < secrets.ALPHA else min(1, one.p_text / one.p_random))
+
+
+def climbed(r: random.Random, core: list[str], goal: str, other: str) -> str:
+    """The symbols in an order that fails one test of the battery and no other."""
+    score = lambda c: (x := slow_battery("".join(c), "base62"))[f"z_{goal}"] - 20 * max(0, x[f"z_{other}"] - 1.5)
+    best = score(core)
+    for _ in range(4000):
+        i, j = r.randrange(len(core)), r.randrange(len(core))
+        core[i], core[j] = core[j], core[i]
+        if (now := score(core)) >= best:
+            best = now
+        else:
+            core[i], core[j] = core[j], core[i]
+        if best > 6:
+            break
+    return "".join(core)
+
+
+def test_each_test_of_the_battery_decides(spark, monkeypatch):
+    """Runs that fail one test only are no discoveries, and are without that test."""
+    r = random.Random(4)
+    a = ALPHABETS["base62"]
+    few = a[3::5] + a[1::9]
+    planted = {"even": ["".join(r.choices(few, k=150)) for _ in range(4)], "runs": [climbed(r, r.choices(a, k=150), "runs", "serial") for _ in range(4)], "serial": [climbed(r, r.choices(a, k=150), "serial", "runs") for _ in range(4)]}
+    for test, cores in planted.items():
+        for c in cores:
+            x = slow_battery(c, "base62")
+            assert x[test] < 1e-4 and all(x[t] > 0.01 for t in secrets.TESTS if t != test), (test, x)
+    good = ["".join(r.choices(a, k=150)) for _ in range(12)]
+    texts = [c for cores in planted.values() for c in cores] + good
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {x.doc_id for x in secrets.with_spans(df).collect() if x.spans}
+    assert found() == set(range(12, 24))
+    for i, test in enumerate(planted):
+        monkeypatch.setattr(secrets, "TESTS", tuple(t for t in ("even", "runs", "serial") if t != test))
+        assert found() >= set(range(4 * i, 4 * i + 4)), test
+
+
+def test_false_discoveries_stay_at_the_rate(spark):
+    """Identifiers, paths and words beside random values of several encodings and lengths."""
+    r = random.Random(8)
+    vocabulary = ["get", "user", "name", "from", "table", "index", "value", "error", "count", "service", "handler", "request", "response", "parse", "config", "manager", "update", "stream", "buffer", "node", "list", "item", "default", "factory", "http", "json", "id", "v2", "utf8", "db1"]
+    word = lambda: r.choice(vocabulary)
+    camel = lambda: "".join(w.capitalize() for w in (word() for _ in range(r.randint(4, 9))))
+    snake = lambda: r.choice("_-/").join(word() for _ in range(r.randint(4, 9)))
+    nulls = ["x " + t for t in (r.choice([camel, snake])() for _ in range(3000)) if len(t) >= 20]
+    secret = ["x " + "".join(r.choices(ALPHABETS[k], k=n)) for k in ("hex", "base32", "base36", "base62", "HEX") for n in (28, 31, 40, 64) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate(nulls + secret)), "doc_id long, text string")
+    found = {x.doc_id for x in secrets.with_spans(df).collect() if x.spans}
+    false, right = sum(i < len(nulls) for i in found), sum(i >= len(nulls) for i in found)
+    assert false <= secrets.RATE * max(1, len(found)) + 1 and right >= 0.65 * len(secret), (false, right, len(secret))
+    long = [i for i, t in enumerate(secret, len(nulls)) if len(t) >= 42]  # short runs of few symbols are hardly told from words
+    assert len(found & set(long)) >= 0.85 * len(long), (len(found & set(long)), len(long))
+
+
 def test_redaction_removes_spans_only(docs, plain):
     done = secrets.redact(docs)
     assert done.columns == docs.columns
@@ -287,10 +395,18 @@ def test_language_fuses_evidence(spark):
 
 def test_declared_language_of_long_tags(spark):
     long = "x" * 5000
-    pages = [(0, f'<html data-x="{long}" LANG="de"><p>a'), (1, '<html lang=en>'), (2, f"<html class='{long}'><p lang='de'>"), (3, "<html><html prefix='a' lang = 'de'>"), (4, None), (5, "<html" * 20_000), (6, f"<HTML {long} {long}\nlang='fr' dir=ltr>")]
+    more = [(7, '<html data-lang="xx" lang="de">'), (8, "<html xml:lang='en' >"), (9, "<html lang" + " " * 40 + "= de>"), (10, '<html data-lang="de">')]
+    pages = [*more, (0, f'<html data-x="{long}" LANG="de"><p>a'), (1, '<html lang=en>'), (2, f"<html class='{long}'><p lang='de'>"), (3, "<html><html prefix='a' lang = 'de'>"), (4, None), (5, "<html" * 20_000), (6, f"<HTML {long} {long}\nlang='fr' dir=ltr>")]
     df = spark.createDataFrame([(i, "http://a.b/", h) for i, h in pages], "page_id long, url string, html string")
     got = {r.page: r.declared for r in langid.evidence(df, ["de", "en"], np.zeros((2, langid.BUCKETS)), "page_id", "url", "html").collect()}
-    assert got == {0: "de", 1: "en", 2: "none", 3: "de", 4: "none", 5: "none", 6: "other"}
+    assert got == {0: "de", 1: "en", 2: "none", 3: "de", 4: "none", 5: "none", 6: "other", 7: "de", 8: "en", 9: "de", 10: "none"}
+
+
+def test_hosts_and_domains(spark):
+    given = {"https://user@host.co.uk/": ("host.co.uk", "host.co.uk"), "http://a:b@www.Site.example.com:80/x": ("www.site.example.com", "example.com"), "ftp://10.1.2.3/": ("10.1.2.3", "10.1.2.3"), "http://x.com.br?u=a@b": ("x.com.br", "x.com.br"), "no address": ("", ""), "http://de.m.y.co.jp#@z": ("de.m.y.co.jp", "y.co.jp")}
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(given)], "page_id long, url string, html string")
+    got = {r.page: (r.host, r.domain) for r in langid.evidence(df, ["de"], np.zeros((1, langid.BUCKETS)), "page_id", "url", "html").collect()}
+    assert got == dict(enumerate(given.values()))
 
 
 # -- 6 --------------------------------------------------------------------------------------------
@@ -320,6 +436,45 @@ def test_order_changes_no_verdict(docs):
     assert rules.order({"dear": (10.0, 0.5), "cheap": (1.0, 0.4), "idle": (0.1, 0.0)}) == ["cheap", "dear", "idle"]
 
 
+def slow_kept(t: str) -> bool:
+    words, chars, symbols, dup, _, failed = slow_counts(t)
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    if failed:
+        return False
+    return (
+        10 * symbols <= 2 * words
+        and 10 * dup <= 5 * len(lines)
+        and 2 * words <= chars <= 16 * words
+        and 3 * sum("A" <= c <= "Z" for c in t) <= chars
+        and 4 * sum(c in "!?" for c in t) <= words
+        and (words < 40 or 12 * len(set(w)) >= words)
+        and 5 * sum(a == b for a, b in zip(w, w[1:], strict=False)) <= words
+        and 2 * sum(unicodedata.category(c)[0] == "L" for c in t) >= chars
+    )
+
+
+def test_kept_matches_brute_force(spark, docs, plain):
+    assert rows(rules.judge(docs), "doc_id", "kept") == Counter((i, slow_kept(t)) for i, t in plain)
+    base = [f"word{i} other" for i in range(12)]
+    more = [" ".join(base), " ".join(w.upper() for w in base), "! ".join(base) + "!?" * 9, "# ".join(base) + "#" * 9, " ".join("x" * 40 + str(i) for i in range(20)), " ".join("a b c d e f g h i j k l m n".split()), "1 22 333 " * 1 + " ".join(str(i) for i in range(30)), "\n".join(["a line"] * 3 + base[:3]), " ".join(f"w{i} w{i}" for i in range(20))]
+    got = rules.judge(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"))
+    want = {i: slow_kept(t) for i, t in enumerate(more)}
+    assert {r.doc_id: r.kept for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def test_cascade_puts_dear_and_idle_rules_last(spark):
+    """A rule that is cheap and rejects comes first, one that is dear and rejects nothing last, on every run."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(150)) + (" zz" if i % 2 else "") for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    given = {"dear": "length(regexp_replace(regexp_replace(_text, '([a-z])([a-z])', '$2$1'), '[^a-z ]+', '')) >= 0", "cheap": "right(_text, 2) <> 'zz'", "idle": "n_words >= 0"}
+    for _ in range(3):
+        found = rules.ordered(df, rules=given)
+        assert found[0][0] == "cheap" and found[-1][0] == "dear" and 0.4 < found[0][2] < 0.6 and found[-1][2] == 0
+        assert found[-1][1] > 3 * max(found[0][1], found[1][1])
+    assert rules.plan({"a": 1.0, "b": 1.0, "c": 0.5}, {(True, True, False): 6, (False, True, False): 1, (True, False, False): 3, (False, False, True): 2}) == [("a", 1.0, 9 / 12), ("c", 0.5, 2 / 3), ("b", 1.0, 1.0)]
+
+
 # -- 7 --------------------------------------------------------------------------------------------
 
 
@@ -519,3 +674,49 @@ def test_digests_of_registered_queries(spark, tmp_path):
     found = {r.doc_id: r for r in queries.op2_secrets(spark, str(tmp_path)).collect()}
     assert found[1].spans == "assign:0:18" and found[1].base_sha256 == hashlib.sha256(b"assign:0:18").hexdigest() and found[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert {r.doc_id: (r.n_email, r.spans) for r in queries.op3_pii(spark, str(tmp_path)).collect()} == {1: (1, "email:24:30"), 2: (0, "")}
+
+
+# -- spans ----------------------------------------------------------------------------------------
+
+
+def test_spans_of_arrays(spark):
+    """Prefix totals, spans apart from others and masking against plain loops, across blocks of arrays and of texts."""
+    from provenant.llm import spans as sp
+
+    r = random.Random(1)
+    some = lambda n, m: sorted((a := r.randrange(m), a + r.randint(1, 8)) for _ in range(n))
+    rows_ = []
+    for i in range(80):
+        m = r.choice([20, 300, 9000])
+        rows_.append((i, "".join(r.choice("aé漢😀b\n") for _ in range(m + 8)), some(r.choice([0, 1, 3, 10, 600]), m), some(r.choice([0, 1, 5, 400]), m)))
+    df = spark.createDataFrame(rows_, "i int, t string, a array<struct<start: int, end: int>>, b array<struct<start: int, end: int>>")
+    got = df.select("i", F.expr(sp.masked("t", "a", "[X]")).alias("m"), F.expr(sp.apart("a", "b")).alias("p"), F.expr(sp.running("transform(a, s -> s.end)", sp.total)).alias("n"))
+    for g in got.where("size(p) >= 0").collect():
+        _, t, a, b = rows_[g.i]
+        out, at = "", 0
+        for s, e in a:
+            if e > at:
+                out, at = (out if s < at else out + t[at:s] + "[X]"), e
+        assert g.m == out + t[at:]
+        assert [tuple(x) for x in g.p] == [x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b)]
+        assert g.n == [sum(e for _, e in a[:k]) for k in range(len(a))]
+
+
+def test_texts_of_many_matches(spark):
+    """Megabytes and a hundred thousand matches in one text take time in proportion to them."""
+    import time
+
+    r = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [lambda v, i: f"token={v}", lambda v, i: "deadbeef" * 5, lambda v, i: f"/a/{v}", lambda v, i: f"a{i}@b.cd 123-45-6789", lambda v, i: f"see +49 30 123456{i % 10}, card 4111 1111 1111 1111"]
+    t = "é" + " ".join(forms[i % 5]("".join(r.choices(letters, k=32)), i) for i in range(100_000))
+    df = spark.createDataFrame([(1, t)], "doc_id int, text string").cache()
+    df.count()
+    began = time.perf_counter()
+    found = {k: Counter(s.kind for s in f(df).first().spans) for k, f in (("secrets", secrets.with_spans), ("pii", pii.with_spans))}
+    assert found["secrets"]["assign"] == found["secrets"]["hex"] == 20_000 and found["secrets"]["random"] > 15_000
+    assert found["pii"]["email"] == found["pii"]["phone"] == found["pii"]["card"] == 20_000
+    redacted = secrets.redact(df).first().text
+    assert redacted.count("[SECRET]") >= 55_000 and "token=" not in redacted
+    assert pii.redact(df).first().text.count("[PRIVATE]") >= 60_000
+    assert time.perf_counter() - began < 120
