@@ -93,11 +93,19 @@ def normalize_scores(results: DataFrame) -> DataFrame:
 
 
 def neighbours(chunks: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
-    """target_id and its k nearest chunks on the same page by distance of position, then position."""
-    t = targets.select("version_id", "page_idx", F.col("chunk_id").alias("target_id"), F.col("chunk_index").alias("at"))
-    near = chunks.select("version_id", "page_idx", "chunk_id", "chunk_index", "text_raw").join(t, ["version_id", "page_idx"]).where("chunk_id <> target_id").withColumn("distance", F.abs(F.col("chunk_index") - F.col("at")))
-    w = Window.partitionBy("target_id").orderBy("distance", "chunk_index")
-    return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("target_id", "chunk_id", "chunk_index", "distance", "nth")
+    """target_id and its k nearest chunks on the same page by distance of position, then position.
+
+    They are among the k before and the k after it, so a page is sorted and looked at once, never joined with itself.
+    """
+    w = Window.partitionBy("version_id", "page_idx").orderBy("chunk_index", "chunk_id")
+    other = F.struct("chunk_id", "chunk_index")
+    around = F.array_compact(F.array(*(f(other, d).over(w) for f in (F.lag, F.lead) for d in range(1, k + 1))))
+    at = F.col("chunk_index")
+    near = F.transform("around", lambda x: F.struct(F.abs(x["chunk_index"] - at).alias("distance"), x["chunk_index"].alias("chunk_index"), x["chunk_id"].alias("chunk_id")))
+    asked = targets.select(F.col("chunk_id").alias("target_id")).distinct()
+    seen = chunks.where("page_idx IS NOT NULL AND version_id IS NOT NULL").select("chunk_id", "chunk_index", around.alias("around")).join(asked, F.col("chunk_id") == F.col("target_id"), "left_semi")
+    listed = seen.select(F.col("chunk_id").alias("target_id"), F.posexplode(F.slice(F.array_sort(near), 1, k)).alias("nth", "x"))
+    return listed.select("target_id", "x.chunk_id", "x.chunk_index", "x.distance", (F.col("nth") + 1).alias("nth"))
 
 
 def adjacent_pages(chunks: DataFrame, targets: DataFrame, types: tuple[str, ...] = ("title", "text")) -> DataFrame:
@@ -192,3 +200,15 @@ def files_of(files: DataFrame, version_id: str, kind: str | None = None) -> Data
 def latest_annotated(files: DataFrame) -> DataFrame:
     """The latest annotated file of each version."""
     return latest(files.where("file_type = 'annotated_pdf'"), ["version_id"])
+
+
+def pending_queue(chunks: DataFrame, limit: int, version_id: str | None = None) -> DataFrame:
+    """The first ``limit`` chunks that wait for an embedding, by version and position."""
+    out = chunks.where("embedding_status = 'pending'")
+    return (out.where(F.col("version_id") == version_id) if version_id else out).orderBy("version_id", "chunk_index", "chunk_id").limit(limit)
+
+
+def topic_highlights(targets: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most`` chunks of each version and topic, by rank."""
+    nth = F.row_number().over(Window.partitionBy("version_id", "topic").orderBy("rank", "chunk_id"))
+    return targets.withColumn("nth", nth).where(F.col("nth") <= most)

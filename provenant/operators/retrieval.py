@@ -6,10 +6,12 @@ of a query are cut to ``2 * top_k`` by a ranking window per query (Spark turns i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ RRF_K = 60
 #: Statuses of evidence, and characters that a full-text keyword loses.
 VERIFIED, WARNED, UNVERIFIABLE = "verified", "verified_with_warnings", "unverifiable"
 _TSQUERY_SYNTAX = "':|&!()<>"
+#: Up to so many queries are broadcast; beyond, the chunks of a version are dealt to so many parts that each meet all its queries.
+BROADCAST_QUERIES, PARTS = 2000, 64
 
 
 # -- ranking --------------------------------------------------------------------------------------
@@ -29,13 +33,22 @@ def rank0(*order: Column, by: str = "query_id") -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
 
 
+def meet(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every chunk with every query of its version; no version, however large, meets its queries in one task."""
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return chunks.join(F.broadcast(queries), "version_id")
+    part = F.pmod(F.xxhash64(F.col("chunk_id").cast("string")), F.lit(PARTS)).cast("int")
+    spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return chunks.withColumn("part", part).join(spread, ["version_id", "part"]).drop("part")
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int, min_similarity: float | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank0 of the nearest 2 * top_k chunks of each query's version, by cosine.
 
-    ``queries`` is a stated set, broadcast by Spark where its size allows; each is compared with all chunks of its version.
+    ``queries`` is a stated set; each is compared with all chunks of its version.
     """
     q = queries.where("embedding IS NOT NULL").select("query_id", "version_id", F.col("embedding").alias("query_embedding"))
-    scored = chunks.where("embedding IS NOT NULL").join(q, "version_id").select("query_id", "chunk_id", cosine("embedding", "query_embedding").alias("score"))
+    scored = meet(chunks.where("embedding IS NOT NULL").select("version_id", "chunk_id", "embedding"), q).select("query_id", "chunk_id", cosine("embedding", "query_embedding").alias("score"))
     if min_similarity is not None:
         scored = scored.where(F.col("score") >= min_similarity)
     return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
@@ -51,14 +64,14 @@ def keyword_lexemes(keyword: Column) -> Column:
     return tokens(F.translate(keyword, _TSQUERY_SYNTAX, " " * len(_TSQUERY_SYNTAX)))
 
 
-def cover_density(words: list[str], groups: list[list[str]], any_group: bool) -> float:
-    """The cover-density weight of a text's words for groups of which any (or each) must be there whole.
+def cover_density(words: list[str], groups: list[list[str]], any_group: bool, places: list[int] | None = None) -> float:
+    """The cover-density weight of a text's words (``places``: where they stand, if not all are given) for groups of which any (or each) must be there whole.
 
     A cover is a smallest stretch that satisfies the query.  It adds 0.1 divided by one more than the number of
     other words in it, so each occurrence of a single word adds 0.1.
     """
     wanted = {w for g in groups for w in g}
-    at = [(i, w) for i, w in enumerate(words) if w in wanted]
+    at = [(i, w) for i, w in (enumerate(words) if places is None else zip(places, words, strict=True)) if w in wanted]
     enough = any if any_group else all
 
     def met(seen: set[str]) -> bool:
@@ -87,41 +100,72 @@ def cover_density(words: list[str], groups: list[list[str]], any_group: bool) ->
     return total
 
 
-def fulltext_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
-    """query_id, chunk_id, score and rank0: chunks with all words of any keyword (or of all), ranked by cover density w as w / (w + 1).
+def keyword_hits(chunks: DataFrame, queries: DataFrame, any_keyword: bool = True) -> DataFrame:
+    """query_id, chunk_id, cjk, full (cover density w as w / (w + 1); null without a full-text match) and hits (keywords that occur).
 
-    For queries of single words w is 0.1 times the occurrences, an expression; others count covers in Arrow batches of their matches.
+    A chunk's text is read once for all queries of its version: texts without any of their words or keywords go before they
+    are cut into words, of which only the queries' own stay, with their positions.  For queries of single words w is 0.1 times
+    the occurrences, an expression; the covers of others are counted in Arrow batches.
     """
-    q = queries.where("size(keywords) > 0").select("query_id", "version_id", F.filter(F.transform("keywords", keyword_lexemes), lambda k: F.size(k) > 0).alias("dnf")).where("size(dnf) > 0")
-    simple = F.forall("dnf", lambda k: F.size(k) == 1) if any_keyword else F.size("dnf") + F.size(F.get("dnf", F.lit(0))) == 2
-    both = chunks.select("version_id", "chunk_id", tokens("text_raw").alias("words")).join(q.withColumn("simple", simple), "version_id")
-    counts = F.transform("dnf", lambda k: F.array_min(F.transform(k, lambda t: F.size(F.filter("words", lambda w: w == t)))))
-    hits = both.withColumn("counts", counts).where(F.exists("counts", lambda n: n > 0) if any_keyword else F.forall("counts", lambda n: n > 0))
-
-    def weigh(words: pd.Series, dnf: pd.Series) -> pd.Series:
-        return pd.Series([cover_density(list(w), [list(g) for g in d], any_keyword) for w, d in zip(words, dnf, strict=True)], dtype="float64")
-
-    weigh.__annotations__ = {"words": pd.Series, "dnf": pd.Series, "return": pd.Series}
-    plain = hits.where("simple").select("query_id", "chunk_id", (0.1 * F.aggregate("counts", F.lit(0), lambda a, n: a + n)).alias("w"))
-    covered = hits.where("NOT simple").select("query_id", "chunk_id", F.pandas_udf(weigh, "double")("words", "dnf").alias("w"))
-    scored = plain.unionByName(covered).select("query_id", "chunk_id", (F.col("w") / (F.col("w") + 1)).alias("score"))
+    dnf = F.filter(F.transform("keywords", keyword_lexemes), lambda k: F.size(k) > 0)
+    q = queries.where("size(keywords) > 0").select("query_id", "version_id", dnf.alias("dnf"), F.transform("keywords", lambda k: F.lower(k)).alias("keys"), F.exists("keywords", has_cjk).alias("cjk"))
+    q = q.withColumn("simple", F.forall("dnf", lambda k: F.size(k) == 1) if any_keyword else F.size("dnf") + F.size(F.get("dnf", F.lit(0))) == 2)
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    sought = q.groupBy("version_id").agg(every(F.flatten("dnf")).alias("sought words"), every("keys").alias("sought keys"))
+    low = F.lower("text_raw")
+    inside = lambda of: F.exists(of, lambda k: F.contains(F.col("low"), k))
+    near = meet(chunks.select("version_id", "chunk_id", "text_raw"), sought).withColumn("low", low).where(inside("sought words") | inside("sought keys"))
+    found = F.filter(F.transform(tokens("text_raw"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("sought words", x["word"]))
+    read = near.select("version_id", "chunk_id", found.alias("found"), F.filter("sought keys", lambda k: F.contains(F.col("low"), k)).alias("held"))
+    counts = F.transform("dnf", lambda k: F.array_min(F.transform(k, lambda t: F.size(F.filter("found", lambda x: x["word"] == t)))))
+    met = meet(read, q).withColumn("counts", counts)
+    matched = (F.size("dnf") > 0) & (F.exists("counts", lambda n: n > 0) if any_keyword else F.forall("counts", lambda n: n > 0))
+    weight = F.when(matched, 0.1 * F.aggregate("counts", F.lit(0), lambda a, n: a + n))
+    if not q.where("NOT simple").isEmpty():
+
+        def weigh(at: pd.Series, words: pd.Series, dnf: pd.Series) -> pd.Series:
+            return pd.Series([None if w is None else cover_density(list(w), [list(g) for g in d], any_keyword, list(a)) for a, w, d in zip(at, words, dnf, strict=True)], dtype="float64")
+
+        weigh.__annotations__ = {"at": pd.Series, "words": pd.Series, "dnf": pd.Series, "return": pd.Series}
+        only = lambda c: F.when(matched & ~F.col("simple"), c)
+        covers = F.pandas_udf(weigh, "double").asNondeterministic()  # so that no filter on the result carries it into a join
+        met = met.withColumn("covers", covers(only(F.col("found.at")), only(F.col("found.word")), "dnf"))
+        weight = F.when(F.col("simple"), weight).when(matched, F.col("covers"))
+    hits = F.size(F.filter("keys", lambda k: F.array_contains("held", k)))
+    return met.select("query_id", "chunk_id", "cjk", weight.alias("w"), hits.alias("hits")).select("query_id", "chunk_id", "cjk", (F.col("w") / (F.col("w") + 1)).alias("full"), "hits")
+
+
+def best(scored: DataFrame, top_k: int) -> DataFrame:
+    """The first 2 * top_k of each query by score, with rank0."""
     return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
 
 
+def fulltext_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
+    """query_id, chunk_id, score and rank0: chunks with all words of any keyword (or of all), ranked by cover density."""
+    return best(keyword_hits(chunks, queries, any_keyword).where("full IS NOT NULL").select("query_id", "chunk_id", F.col("full").alias("score")), top_k)
+
+
+def websearch(query: Column) -> Column:
+    """The keywords of a search-box query as a disjunction: quoted phrases whole, other words joined by spaces unless ``or`` stands between them; words after a minus go."""
+    kept = F.regexp_replace(query, r'(^|\s)-("[^"]*"|\S+)', " ")
+    parts = F.split(kept, r"(?i)\s+or\s+")
+    return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, '"', " "))), lambda p: p != "")
+
+
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, chunk_id, score and rank0: chunks in which any keyword occurs, by how many of them do."""
-    q = queries.where("size(keywords) > 0").select("query_id", "version_id", F.transform("keywords", lambda k: F.lower(k)).alias("keys"))
-    both = chunks.select("version_id", "chunk_id", F.lower("text_raw").alias("low")).join(q, "version_id")
-    scored = both.select("query_id", "chunk_id", F.size(F.filter("keys", lambda k: F.contains(F.col("low"), k))).cast("double").alias("score")).where("score > 0")
-    return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
+    return best(keyword_hits(chunks, queries).where("hits > 0").select("query_id", "chunk_id", F.col("hits").cast("double").alias("score")), top_k)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
     """Full-text search; by substring for queries with a CJK keyword and for those whose full-text search is empty."""
-    cleaned = queries.withColumn("keywords", F.filter(F.transform("keywords", lambda k: F.trim(F.translate(k, '"', " "))), lambda k: k != "")).withColumn("cjk", F.exists("keywords", has_cjk))
-    full = fulltext_search(chunks, cleaned.where("NOT cjk"), top_k, any_keyword)
-    rest = cleaned.join(full.select("query_id").distinct(), "query_id", "left_anti")
-    return full.unionByName(substring_search(chunks, rest, top_k))
+    cleaned = queries.withColumn("keywords", F.filter(F.transform("keywords", lambda k: F.trim(F.translate(k, '"', " "))), lambda k: k != ""))
+    full = F.when(~F.col("cjk") & F.col("full").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("full").alias("score")))
+    part = F.when(F.col("hits") > 0, F.struct(F.lit(0).alias("kind"), F.col("hits").cast("double").alias("score")))
+    both = keyword_hits(chunks, cleaned, any_keyword).select("query_id", "chunk_id", F.explode(F.array_compact(F.array(full, part))).alias("x")).select("query_id", "chunk_id", "x.kind", "x.score")
+    within = Window.partitionBy("query_id", "kind").orderBy(F.col("score").desc(), "chunk_id")
+    ranked_ = both.withColumn("rank0", F.row_number().over(within) - 1).where(F.col("rank0") < 2 * top_k)
+    return ranked_.withColumn("best", F.max("kind").over(Window.partitionBy("query_id"))).where("kind = best").select("query_id", "chunk_id", "score", "rank0")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: Column | float = 1.0, keyword_weight: Column | float = 1.0, k: int = RRF_K) -> DataFrame:
@@ -241,11 +285,10 @@ def ranked(chunks: DataFrame, queries: DataFrame, top_k: int = 10, mode: str = "
             both = fuse(v, k)
         else:
             vw, kw = dynamic_weights(F.col("query"), fields)
-            weights = queries.select("query_id", vw.alias("vw"), kw.alias("kw"))
-            both = _weighted(v, k, weights)
-        with_hits = k.select("query_id").distinct()
-        fused = both.join(with_hits, "query_id", "left_semi").select("query_id", "chunk_id", F.col("rrf_score").alias("score"), "vector_score", "keyword_score", "rank0")
-        out = fused.unionByName(alone(v.join(with_hits, "query_id", "left_anti"), "vector_score", "keyword_score"))
+            both = _weighted(v, k, queries.select("query_id", vw.alias("vw"), kw.alias("kw")))
+        hit = F.max(F.col("keyword_score").isNotNull()).over(Window.partitionBy("query_id"))
+        score = F.when(F.col("hit"), F.col("rrf_score")).otherwise(1.0 / (RRF_K + F.col("rank0") + 1))
+        out = both.withColumn("hit", hit).select("query_id", "chunk_id", score.alias("score"), "vector_score", "keyword_score", "rank0")
     return out.where(F.col("rank0") < top_k)
 
 
@@ -291,21 +334,87 @@ def hash_embedding(text: Column | str, dim: int = 64) -> Column:
     return embed(F.transform(tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), lambda w: F.xxhash64(w)))
 
 
+def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, batch_size: int = 100, max_tokens: int = 8191, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """chunk_id, version_id, embedding, embedding_status, embedding_error and attempts of every chunk, by a service that takes lists of texts.
+
+    Texts are cut to ``max_tokens`` estimated tokens; blank ones get zeros without a call.  Batches are sent in order; one that
+    fails is tried again after a growing pause, then text by text, so a bad text fails alone.  Vectors of another length than ``dim`` are errors.
+    A lost task sends its batches again.
+    """
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "version_id")}
+    width = 2 * max_tokens - 1  # the estimate is half the characters and one
+
+    def tried(texts: list[str]) -> tuple[list[list[float]] | None, str, int]:
+        said = ""
+        for n in range(1, attempts + 1):
+            try:
+                got = [list(map(float, v)) for v in embed(texts)]
+                if len(got) != len(texts) or any(len(v) != dim for v in got):
+                    raise ValueError(f"expected {len(texts)} vectors of {dim}")
+                return got, "", n
+            except Exception as e:  # whatever the service raises is the chunk's error
+                said = f"{type(e).__name__}: {e}"
+                if n < attempts:
+                    time.sleep(pause * 2 ** (n - 1))
+        return None, said, attempts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch_size):
+                part = rows.slice(at, batch_size)
+                texts = [(t or "")[:width] for t in part.column(2).to_pylist()]
+                full = [i for i, t in enumerate(texts) if t.strip()]
+                out: list = [([0.0] * dim, "", 0) for _ in texts]
+                got, said, n = tried([texts[i] for i in full]) if full else ([], "", 0)
+                if got is not None:
+                    for i, v in zip(full, got, strict=True):
+                        out[i] = (v, "", n)
+                else:
+                    for i in full:
+                        one, why, m = tried([texts[i]]) if len(full) > 1 else (None, said, 0)
+                        out[i] = (one[0] if one else None, why, n + m)
+                status = ["completed" if v is not None else "failed" for v, _, _ in out]
+                cols = [pa.array([v for v, _, _ in out], pa.list_(pa.float32())), pa.array(status), pa.array([why or None for _, why, _ in out], pa.string()), pa.array([m for _, _, m in out], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["chunk_id", "version_id", "embedding", "embedding_status", "embedding_error", "attempts"])
+
+    return chunks.select("chunk_id", "version_id", "text_raw").mapInArrow(run, f"chunk_id {kinds['chunk_id']}, version_id {kinds['version_id']}, embedding array<float>, embedding_status string, embedding_error string, attempts int")
+
+
+def embedding_counts(done: DataFrame, tokens: Column) -> DataFrame:
+    """Per version: chunks embedded by the service, failed and blank, and the tokens sent for those embedded."""
+    ok, sent = F.col("embedding_status") == "completed", F.col("attempts") > 0
+    return done.groupBy("version_id").agg(F.count_if(ok & sent).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count_if(~sent).alias("blank"), F.sum(F.when(ok, tokens)).alias("tokens"))
+
+
+def check_dimension(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """The rows, with an error for a vector of another length than ``dim``."""
+    message = F.concat(F.lit(f"expected {dim} dimensions, found "), F.size(column).cast("string"))
+    return vectors.withColumn(column, F.when(F.col(column).isNull() | (F.size(column) == dim), F.col(column)).otherwise(F.raise_error(message).cast(vectors.schema[column].dataType)))
+
+
 def token_batches(chunks: DataFrame, batch_size: int = 100, max_tokens: int = 600_000) -> DataFrame:
-    """chunk_id and the batch it goes with: greedily in order, at most so many chunks and estimated tokens a batch."""
-    n = F.floor(F.length("text_raw") / 2).cast("int") + 1
-    items = chunks.select("version_id", "chunk_index", "chunk_id", n.alias("n")).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "n"))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).alias("tokens"), F.array().cast("array<struct<chunk_id:string,batch:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["count"] > 0) & ((a["count"] >= batch_size) | (a["tokens"] + x["n"] > max_tokens))
-        batch = a["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(a["count"] + 1).alias("count"), F.when(full, x["n"]).otherwise(a["tokens"] + x["n"]).alias("tokens"),
-            F.concat(a["out"], F.array(F.struct(x["chunk_id"].cast("string").alias("chunk_id"), batch.alias("batch")))).alias("out"),
-        )
-
-    return items.select("version_id", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x")).select("version_id", "x.chunk_id", "x.batch")
+    """version_id, chunk_id and the batch it goes with: greedily in order, at most so many chunks and estimated tokens a batch.
+
+    Greedy batches follow from all before them, so a version's rows pass one task; they stream through it in order, nothing is gathered.
+    """
+    kind = chunks.schema["version_id"].dataType.simpleString()
+    items = chunks.select("version_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), (F.floor(F.length("text_raw") / 2).cast("int") + 1).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, count, total, began = None, 0, 0, 0, False
+        for rows in batches:
+            out = []
+            for version, n in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                if not began or version != now:
+                    began, now, batch, count, total = True, version, 0, 0, 0
+                n = n or 0
+                if count and (count >= batch_size or total + n > max_tokens):
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(out, pa.int32())], ["version_id", "chunk_id", "batch"])
+
+    return items.repartition("version_id").sortWithinPartitions("version_id", "chunk_index").mapInArrow(run, f"version_id {kind}, chunk_id string, batch int")
 
 
 def diagnostics(results: DataFrame) -> DataFrame:

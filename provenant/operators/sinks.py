@@ -7,24 +7,61 @@ and swaps the folders, never over the files that are being read.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _same(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    """Equal keys, null ones among them."""
+    return reduce(Column.__and__, (left[k].eqNullSafe(right[f"key {k}"]) for k in key))
+
+
+def _named(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"key {k}" for k in key})
+
+
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``old`` join it; of several with one key one joins."""
-    return old.unionByName(new.join(old.select(*key), key, "left_anti").dropDuplicates(key).select(*old.columns))
+    """Rows of ``new`` whose key is not in ``old`` join it; of several with one key one joins.  Null keys are equal."""
+    there = _named(old.select(*key), key)
+    return old.unionByName(new.join(there, _same(new, there, key), "left_anti").dropDuplicates(key).select(*old.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], coalesce: bool = False) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key; ``coalesce`` keeps old values where the new are null.  ``new`` has each key once."""
+    """Rows of ``new`` replace those of ``old`` with the same key; ``coalesce`` keeps old values where the new are null.  ``new`` has each key once; null keys are equal."""
     values = [c for c in old.columns if c not in key]
     o = old.select(*key, F.struct(*values).alias("o"), F.lit(True).alias("in_old"))
-    n = new.select(*key, F.struct(*values).alias("n"), F.lit(True).alias("in_new"))
-    both = o.join(n, key, "full_outer")
+    n = _named(new.select(*key, F.struct(*values).alias("n"), F.lit(True).alias("in_new")), key)
+    both = o.join(n, _same(o, n, key), "full_outer")
     pick = (lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))) if coalesce else (lambda c: F.when(F.col("in_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")))
-    return both.select(*[c if c in key else pick(c).alias(c) for c in old.columns])
+    return both.select(*[F.coalesce(F.col(c), F.col(f"key {c}")).alias(c) if c in key else pick(c).alias(c) for c in old.columns])
+
+
+def touched(old: DataFrame, new: DataFrame, key: list[str], at: Column) -> DataFrame:
+    """``upsert`` that keeps the column updated_at: ``at`` on rows that change or come, as it was on others."""
+    values = [c for c in old.columns if c not in (*key, "updated_at")]
+    before = _named(old.select(*key, F.struct(*values).alias("before"), F.col("updated_at").alias("since")), key)
+    met = new.join(before, _same(new, before, key), "left")
+    same = F.col("before").isNotNull() & F.col("before").eqNullSafe(F.struct(*(F.col(c) for c in values)))
+    return upsert(old, met.withColumn("updated_at", F.when(same, F.col("since")).otherwise(at)).select(*old.columns), key)
+
+
+def replace_scope(old: DataFrame, new: DataFrame, scope: list[str], key: list[str]) -> DataFrame:
+    """Delete, then insert: the scopes that ``new`` has hold its rows (one for each key) and nothing else; other scopes stay."""
+    return delete_matching(old, new.select(*scope).distinct(), scope).unionByName(new.dropDuplicates([*scope, *key]).select(*old.columns))
+
+
+def reset_scope(old: DataFrame, scope: DataFrame, key: list[str], confirm: bool) -> tuple[DataFrame, int]:
+    """The table without the scope's rows, and how many these are; without ``confirm`` only the count."""
+    n = old.join(scope.select(*key).distinct(), key, "left_semi").count()
+    return (delete_matching(old, scope, key) if confirm else old), n
+
+
+def distinct_citations(citations: DataFrame, order: str, by: tuple[str, ...] = ("chunk_id", "page_idx", "bbox")) -> DataFrame:
+    """One citation for each chunk, page and box: the first by ``order``."""
+    others = [c for c in citations.columns if c not in by]
+    return citations.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("x")).select(*by, "x.*")
 
 
 def delete_matching(old: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
@@ -64,8 +101,24 @@ def attach_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(new, "chunk_id", "left").withColumn("embedding", F.coalesce("new_embedding", "embedding")).drop("new_embedding")
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a ``replace`` that was cut short: if the table is away, the whole new one takes its place, else the old one comes back; remains go."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(conf)
+    if not fs.exists(here.getParent()):
+        return
+    beside = [x.getPath() for x in fs.listStatus(here.getParent())]
+    staged = [x for x in beside if x.getName().startswith(f"{here.getName()}.new-") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    aside = [x for x in beside if x.getName().startswith(f"{here.getName()}.old-")]
+    if not fs.exists(here) and aside:
+        fs.rename((staged or aside)[0], here)
+        for x in aside:
+            fs.delete(x, True)
+
+
 def replace(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write the table beside ``path``, then put it in its place."""
+    """Write the table beside ``path``, then put it in its place; ``recover`` ends what a crash between the two renames left."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(new)

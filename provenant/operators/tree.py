@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id, strip
 from .ingest import item_text
+from .retrieval import vector_search
 
 #: Types that stand alone, and types that make no leaf.
 BREAKS = ("table", "image", "header", "footer", "page_number")
@@ -106,6 +107,11 @@ def contextual(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.withColumn("contextual_text", F.when(title.isNotNull(), F.concat(F.lit("["), title, F.lit("] "), F.col("text_raw"))).otherwise(F.col("text_raw"))).withColumnRenamed("as_of_heading", "section_title")
 
 
+def contextual_search(chunks: DataFrame, queries: DataFrame, top_k: int, min_similarity: float | None = None) -> DataFrame:
+    """The nearest chunks of ``contextual`` (their vectors are those of contextual_text), as ``vector_search`` finds them."""
+    return vector_search(chunks.where("contextual_text <> ''"), queries, top_k, min_similarity)
+
+
 def parent_sections(nodes: DataFrame) -> DataFrame:
     """Nodes with the heading of their parent section."""
     up = nodes.where("level = 2").select(F.col("node_id").alias("section_id"), F.col("heading").alias("section_heading"), F.col("content").alias("section_content"))

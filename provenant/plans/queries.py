@@ -43,11 +43,12 @@ class Tables:
         each = self("documents").select(F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text_raw"))
         return each.withColumn("chunk_id", F.concat_ws(":", F.col("version_id").cast("string"), F.col("chunk_index").cast("string")))
 
-    def query(self, words: list[str]) -> DataFrame:
-        """One query for every version: the vector of id 0 and the words."""
-        vector = self("embeddings").where("vec_id = 0").select("embedding")
-        versions = self("documents").select(F.col("lang").alias("version_id")).distinct()
-        return versions.join(F.broadcast(vector)).select(F.col("version_id").alias("query_id"), "version_id", "embedding", F.array(*map(F.lit, words)).alias("keywords"), F.lit(" ".join(words)).alias("query"))
+    def query(self, words: list[str] | None = None) -> DataFrame:
+        """Every vector whose id is divisible by 20 as a query of its document's version; without ``words`` the keywords go by the id."""
+        by_id = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in WORDS)), (F.floor(F.col("vec_id") / 20) % len(WORDS) + 1).cast("int"))
+        asked = self("embeddings").where("vec_id % 20 = 0").join(self("documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("version_id")), "vec_id")
+        keywords = by_id if words is None else F.array(*map(F.lit, words))
+        return asked.select(F.col("vec_id").alias("query_id"), "version_id", "embedding", keywords.alias("keywords")).withColumn("query", F.concat_ws(" ", "keywords"))
 
     def nodes(self) -> DataFrame:
         """Regions, nations, customers and orders as a tree of four levels."""
@@ -79,15 +80,18 @@ CHUNKS = "(SELECT lang AS version_id, doc_id AS chunk_id, doc_id AS chunk_index,
 NODES = """(SELECT 'r' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 3 AS level, r_name AS heading FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2, n_name FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1, c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 0, NULL FROM orders)"""
 COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-WORDS = ["the", "ation", "data"]
-VECTOR_RANKS = f"""(SELECT d.lang AS query_id, d.doc_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY d.lang ORDER BY {COSINE} DESC, d.doc_id) - 1 AS rank0
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank0 < 20)"""
-HITS = " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in WORDS)
-SUBSTRING_RANKS = f"""(SELECT lang AS query_id, doc_id AS chunk_id, ({HITS})::DOUBLE AS score, row_number() OVER (PARTITION BY lang ORDER BY {HITS} DESC, doc_id) - 1 AS rank0 FROM documents WHERE {HITS} > 0 QUALIFY rank0 < 20)"""
-COUNT = "len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{}'))"
-OCCUR = " + ".join(COUNT.format(w) for w in WORDS)
-FULL_RANKS = f"""(SELECT lang AS query_id, doc_id AS chunk_id, 0.1 * ({OCCUR}) / (0.1 * ({OCCUR}) + 1) AS score, row_number() OVER (PARTITION BY lang ORDER BY 0.1 * ({OCCUR}) / (0.1 * ({OCCUR}) + 1) DESC, doc_id) - 1 AS rank0
-  FROM documents WHERE {OCCUR} > 0 QUALIFY rank0 < 20)"""
+WORDS = (["the", "ation", "data"], ["the", "of"], ["tion"])
+ASKED = "(SELECT v.vec_id AS query_id, d.lang AS version_id, v.embedding, CASE (v.vec_id // 20) % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WORDS)) + " END AS keywords FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE v.vec_id % 20 = 0)"
+VECTOR_RANKS = f"""(SELECT q.query_id, d.doc_id AS chunk_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {COSINE} DESC, d.doc_id) - 1 AS rank0
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN {ASKED} q ON q.version_id = d.lang QUALIFY rank0 < 20)"""
+HITS = "len(list_filter(q.keywords, lambda w: contains(lower(d.text), w)))"
+SUBSTRING_RANKS = f"""(SELECT query_id, chunk_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank0
+  FROM (SELECT q.query_id, d.doc_id AS chunk_id, {HITS} AS score FROM documents d JOIN {ASKED} q ON q.version_id = d.lang) WHERE score > 0 QUALIFY rank0 < 20)"""
+TOKENS = "string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}_]+')"
+WORDS_OF = f"(SELECT doc_id, lang, lower(text) AS low, {TOKENS.format('text')} AS words FROM documents)"
+OCCUR = "list_sum(list_transform(q.keywords, lambda w: len(list_filter(d.words, lambda x: x = w))))"
+FULL_RANKS = f"""(SELECT query_id, chunk_id, 0.1::DOUBLE * n / (0.1::DOUBLE * n + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY 0.1::DOUBLE * n / (0.1::DOUBLE * n + 1) DESC, chunk_id) - 1 AS rank0
+  FROM (SELECT q.query_id, d.doc_id AS chunk_id, {OCCUR} AS n FROM {WORDS_OF} d JOIN {ASKED} q ON q.version_id = d.lang) WHERE n > 0 QUALIFY rank0 < 20)"""
 KEYWORD_RANKS = f"(SELECT * FROM {FULL_RANKS} UNION ALL SELECT * FROM {SUBSTRING_RANKS} WHERE query_id NOT IN (SELECT query_id FROM {FULL_RANKS}))"
 
 
@@ -176,10 +180,10 @@ def _(t):
     return t("documents").where(F.array_contains(F.split("text", " "), "the")).select("doc_id")
 
 
-@register("adjacent_pages", f"SELECT a.chunk_id AS target_id, b.chunk_id, b.page_idx FROM (SELECT * FROM {CHUNKS} WHERE n_chars > 8000) a JOIN {CHUNKS} b ON a.version_id = b.version_id AND b.page_idx IN (a.page_idx - 1, a.page_idx + 1) WHERE b.element_type IN ('src4', 'src5')")
+@register("adjacent_pages", f"SELECT a.chunk_id AS target_id, b.chunk_id, b.page_idx FROM {CHUNKS} a JOIN {CHUNKS} b ON a.version_id = b.version_id AND b.page_idx IN (a.page_idx - 1, a.page_idx + 1) WHERE b.element_type IN ('src4', 'src5')")
 def _(t):
     c = t.chunks()
-    return longs(explore.adjacent_pages(c, c.where("n_chars > 8000"), ("src4", "src5")).select("target_id", "chunk_id", "page_idx"))
+    return longs(explore.adjacent_pages(c, c, ("src4", "src5")).select("target_id", "chunk_id", "page_idx"))
 
 
 @register("pending_3vl", "SELECT chunk_id FROM (SELECT d.doc_id AS chunk_id, e.embedding, CASE WHEN d.lang = 'en' THEN 'completed' WHEN d.lang = 'de' THEN 'pending' END AS status FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id) WHERE embedding IS NULL OR status <> 'completed'")
@@ -590,27 +594,27 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @register("vector_topk", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {VECTOR_RANKS}")
 def _(t):
-    return _rounded(retrieval.vector_search(t.embedded(), t.query(WORDS), 10))
+    return _rounded(retrieval.vector_search(t.embedded(), t.query(), 10))
 
 
 @register("keyword_substring_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {SUBSTRING_RANKS}")
 def _(t):
-    return _rounded(retrieval.substring_search(t.chunks(), t.query(WORDS), 10))
+    return _rounded(retrieval.substring_search(t.chunks(), t.query(), 10))
 
 
 @register("fulltext_or_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {FULL_RANKS}")
 def _(t):
-    return _rounded(retrieval.fulltext_search(t.chunks(), t.query(WORDS), 10))
+    return _rounded(retrieval.fulltext_search(t.chunks(), t.query(), 10))
 
 
 @register("keyword_router", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {KEYWORD_RANKS}")
 def _(t):
-    return _rounded(retrieval.keyword_search(t.chunks(), t.query(WORDS), 10))
+    return _rounded(retrieval.keyword_search(t.chunks(), t.query(), 10))
 
 
 @register("rrf_fusion", f"SELECT query_id, chunk_id, round(score, 9) AS rrf_score, rank0 FROM {fused_sql(VECTOR_RANKS, SUBSTRING_RANKS)}")
 def _(t):
-    q = t.query(WORDS)
+    q = t.query()
     out = retrieval.fuse(retrieval.vector_search(t.embedded(), q, 10), retrieval.substring_search(t.chunks(), q, 10))
     return longs(out.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank0"))
 
@@ -618,7 +622,7 @@ def _(t):
 @register("hybrid_retrieve", f"""SELECT query_id, chunk_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score, rank0, d.n_chars, CASE WHEN vector_score IS NOT NULL AND keyword_score IS NOT NULL THEN 'hybrid' WHEN vector_score IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source
   FROM {fused_sql(VECTOR_RANKS, KEYWORD_RANKS)} r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank0 < 10""")
 def _(t):
-    c, q = t.embedded(), t.query(WORDS)
+    c, q = t.embedded(), t.query()
     out = retrieval.ranked(c, q, 10, "hybrid").join(t("documents").select(F.col("doc_id").alias("chunk_id"), "n_chars"), "chunk_id")
     return longs(out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "rank0", "n_chars", retrieval.source_label().alias("source")))
 
@@ -626,13 +630,13 @@ def _(t):
 @register("diagnostics", f"""SELECT query_id, count(*) AS results, count(*) FILTER (WHERE vector_score IS NOT NULL AND keyword_score IS NULL) AS vector_hits, count(*) FILTER (WHERE vector_score IS NULL) AS keyword_hits, count(*) FILTER (WHERE vector_score IS NOT NULL AND keyword_score IS NOT NULL) AS hybrid_hits
   FROM {fused_sql(VECTOR_RANKS, KEYWORD_RANKS)} WHERE rank0 < 10 GROUP BY 1""")
 def _(t):
-    out = retrieval.ranked(t.embedded(), t.query(WORDS), 10, "hybrid").withColumn("warnings", F.array(F.lit("w")))
+    out = retrieval.ranked(t.embedded(), t.query(), 10, "hybrid").withColumn("warnings", F.array(F.lit("w")))
     return longs(retrieval.diagnostics(out).drop("warning_counts"))
 
 
 @register("compare_versions", f"SELECT query_id, chunk_id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS normalized_score FROM (SELECT query_id, chunk_id, 1.0::DOUBLE / (61 + rank0) AS score FROM {VECTOR_RANKS} WHERE rank0 < 10)")
 def _(t):
-    return explore.normalize_scores(retrieval.ranked(t.embedded(), t.query(WORDS), 10, "vector")).select("query_id", "chunk_id", F.round("normalized_score", 6).alias("normalized_score"))
+    return explore.normalize_scores(retrieval.ranked(t.embedded(), t.query(), 10, "vector")).select("query_id", "chunk_id", F.round("normalized_score", 6).alias("normalized_score"))
 
 
 @register("key_value_extract", """SELECT chunk_id, "key", sha256(context) AS context_sha, nullif(trim(regexp_extract(after, '([0-9]+(?:\\.[0-9]+)?)\\s*(%|days?)?')), '') AS value FROM (SELECT doc_id AS chunk_id, k AS "key", substring(text, greatest(1, p - 50), p + length(k) + 50 - greatest(1, p - 50)) AS context, substring(text, p + length(k), 100) AS after
@@ -645,21 +649,37 @@ def _(t):
 # -- beyond SQL -----------------------------------------------------------------------------------
 
 
-@register("fulltext_and_rank")
+BOTH = ("the", "of")
+
+
+@register("fulltext_and_rank", f"""WITH o AS (SELECT doc_id, lang, w, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS w0, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS i0 FROM (SELECT doc_id, lang, unnest(list_filter(words, lambda x: x <> '')) AS w, generate_subscripts(list_filter(words, lambda x: x <> ''), 1) AS i FROM {WORDS_OF}) WHERE w IN {BOTH}),
+  s AS (SELECT doc_id, lang, sum(0.1::DOUBLE / (i - i0)) AS n FROM o WHERE w <> w0 GROUP BY ALL) SELECT query_id, s.doc_id AS chunk_id, round(n / (n + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(n / (n + 1), 9) DESC, s.doc_id) - 1 AS rank0 FROM s JOIN {ASKED} q ON q.version_id = s.lang QUALIFY rank0 < 20""")
+def _(t):
+    hits = retrieval.keyword_hits(t.chunks(), t.query(list(BOTH)), any_keyword=False).where("full IS NOT NULL")
+    return _rounded(retrieval.best(hits.select("query_id", "chunk_id", F.round("full", 9).alias("score")), 10))
+
+
+@register("websearch_rank", f"""SELECT query_id, chunk_id, round(0.1::DOUBLE * n / (0.1::DOUBLE * n + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) - 1 AS rank0
+  FROM (SELECT q.query_id, d.doc_id AS chunk_id, len(list_filter(d.words, lambda x: x IN ('of', 'data', 'and'))) AS n FROM {WORDS_OF} d JOIN {ASKED} q ON q.version_id = d.lang) WHERE n > 0 QUALIFY rank0 < 20""")
 def _(t):
-    return retrieval.fulltext_search(t.chunks(), t.query(["the and", "tion"]), 10, any_keyword=False)
+    q = t.query().withColumn("keywords", retrieval.websearch(F.lit('of OR "data" or and -the -"not this"')))
+    return _rounded(retrieval.fulltext_search(t.chunks(), q, 10))
 
 
-@register("token_batches")
+@register("token_batches", f"""WITH RECURSIVE i AS (SELECT version_id, chunk_id, (length(text_raw) // 2 + 1) AS n, row_number() OVER (PARTITION BY version_id ORDER BY chunk_index) AS r FROM {CHUNKS}), w AS (SELECT version_id, chunk_id, r, 0 AS batch, 1 AS held, n AS total FROM i WHERE r = 1
+  UNION ALL SELECT i.version_id, i.chunk_id, i.r, w.batch + CASE WHEN w.held >= 20 OR w.total + i.n > 5000 THEN 1 ELSE 0 END, CASE WHEN w.held >= 20 OR w.total + i.n > 5000 THEN 1 ELSE w.held + 1 END, CASE WHEN w.held >= 20 OR w.total + i.n > 5000 THEN i.n ELSE w.total + i.n END
+  FROM w JOIN i ON i.version_id = w.version_id AND i.r = w.r + 1) SELECT version_id, chunk_id::VARCHAR AS chunk_id, batch::BIGINT AS batch FROM w""")
 def _(t):
-    return retrieval.token_batches(t.chunks())
+    return longs(retrieval.token_batches(t.chunks(), 20, 5000))
 
 
-@register("rerank")
+@register("rerank", f"""SELECT query_id, chunk_id, round(again, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY again DESC, rank0) - 1 AS rank0 FROM (SELECT r.query_id, r.chunk_id, r.rank0, len(list_filter(q.keywords, lambda w: list_contains(d.words, w)))::DOUBLE / len(q.keywords) AS again
+  FROM {fused_sql(VECTOR_RANKS, KEYWORD_RANKS)} r JOIN {ASKED} q ON q.query_id = r.query_id JOIN {WORDS_OF} d ON d.doc_id = r.chunk_id WHERE r.rank0 < 20) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY again DESC, rank0) <= 10""")
 def _(t):
-    c, q = t.embedded(), t.query(WORDS)
-    full = retrieval.ranked(c, q, 20, "hybrid").join(c.select("chunk_id", "text_raw"), "chunk_id").join(q.select("query_id", "query"), "query_id")
-    return retrieval.rerank(full, retrieval.overlap_score, 10).select("query_id", "chunk_id", "rerank_score", "rank0")
+    c, q = t.embedded(), t.query()
+    first = retrieval.fuse(retrieval.vector_search(c, q, 10), retrieval.keyword_search(c, q, 10))
+    full = first.join(c.select("chunk_id", "text_raw"), "chunk_id").join(q.select("query_id", "query"), "query_id")
+    return longs(retrieval.rerank(full, retrieval.overlap_score, 10).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank0"))
 
 
 @register("embed_text")
@@ -761,3 +781,182 @@ def _(t):
     summary = evalkit.long_form(means.select("method", F.round("mrr", 6).alias("mrr")), ["method"])
     wanted = means.select("method", F.explode(F.array(F.struct(F.lit("mrr").alias("metric"), F.lit(0.999).alias("minimum")), F.struct(F.lit("map").alias("metric"), F.lit(0.1).alias("minimum")))).alias("x")).select("method", "x.metric", "x.minimum")
     return evalkit.violations(summary, wanted)
+
+
+# -- layers, scopes, queues -----------------------------------------------------------------------
+
+
+ITEMS_SQL = """(SELECT doc_id AS version_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+ITEM_KIND = "CASE WHEN pos % 7 = 3 THEN 'header' WHEN pos % 5 = 0 THEN 'heading' ELSE 'text' END"
+
+
+def _items(t) -> DataFrame:
+    """Lines of documents as parsed items: every seventh a page header, every fifth a heading, ten a page."""
+    each = t("documents").select(F.col("doc_id").cast("string").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    none = F.lit(None).cast("array<string>")
+    kind = F.when(F.col("pos") % 7 == 3, "header").otherwise("text")
+    size = F.array(F.array(F.lit(0.0), F.lit(0.0), F.length("text").cast("double"), F.col("pos").cast("double")))
+    return each.select(
+        "version_id", "pos", kind.alias("type"), F.floor(F.col("pos") / 10).cast("int").alias("page_idx"), size.alias("bbox"), "text", F.when(F.col("pos") % 5 == 0, 1).alias("text_level"), F.lit(None).cast("string").alias("table_body"),
+        *(none.alias(c) for c in ("table_caption", "table_footnote", "image_caption", "image_footnote", "list_items")), F.lit(None).cast("string").alias("img_path"), F.lit(None).cast("string").alias("source_element_id"),
+    )
+
+
+@register("ingest_chunks", f"""SELECT version_id::VARCHAR AS version_id, pos::BIGINT AS chunk_index, (pos // 10)::BIGINT AS page_idx, CASE WHEN trim(line) = '' THEN '' ELSE sha256(trim(line)) END AS text_hash, CASE WHEN pos % 5 = 0 AND trim(line) <> '' THEN 1 END::BIGINT AS text_level
+  FROM {ITEMS_SQL} WHERE pos % 7 <> 3""")
+def _(t):
+    return longs(ingest.ingest(_items(t)).chunks.select("version_id", "chunk_index", "page_idx", "text_hash", "text_level"))
+
+
+@register("ingest_units", f"SELECT version_id::VARCHAR AS version_id, count(*) AS units, sum(length(trim(line)))::BIGINT AS chars, count(DISTINCT pos) AS hashes FROM {ITEMS_SQL} WHERE pos % 7 <> 3 GROUP BY 1")
+def _(t):
+    layers = ingest.ingest(_items(t))
+    spans = layers.spans.select("unit_id", F.col("end_char") - F.col("start_char"))
+    u = layers.units.join(spans.toDF("unit_id", "n"), "unit_id")
+    return longs(u.groupBy("version_id").agg(F.count("*").alias("units"), F.sum("n").alias("chars"), F.count_distinct("unit_hash").alias("hashes")))
+
+
+@register("ingest_pages", f"SELECT version_id::VARCHAR AS version_id, (pos // 10)::BIGINT AS page_idx, max(length(line))::DOUBLE AS page_w, max(pos)::DOUBLE AS page_h FROM {ITEMS_SQL} GROUP BY ALL")
+def _(t):
+    return longs(ingest.ingest(_items(t)).pages.select("version_id", "page_idx", "page_w", "page_h"))
+
+
+@register("backfill_layers", f"SELECT version_id::VARCHAR AS version_id, count(*) AS units, count(DISTINCT pos // 10) AS pages, count(*) AS spans FROM {ITEMS_SQL} WHERE pos % 7 <> 3 GROUP BY 1")
+def _(t):
+    return ingest.backfill(ingest.ingest(_items(t)).chunks)[3]
+
+
+SECTIONED = f"""(SELECT *, sum(new) OVER (PARTITION BY version_id ORDER BY pos) AS para FROM (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR heading OR lag(heading) OVER w OR type = 'header' OR lag(type) OVER w = 'header' OR lag(pos // 10) OVER w <> pos // 10 THEN 1 ELSE 0 END AS new, sum(heading::INT) OVER (PARTITION BY version_id ORDER BY pos) AS section
+  FROM (SELECT version_id, pos, trim(line) AS body, pos % 5 = 0 AND pos % 7 <> 3 AS heading, CASE WHEN pos % 7 = 3 THEN 'header' ELSE 'text' END AS type FROM {ITEMS_SQL}) WHERE body <> '' WINDOW w AS (PARTITION BY version_id ORDER BY pos)))"""
+
+
+@register("tree_levels", f"""SELECT version_id::VARCHAR AS version_id, 0::BIGINT AS level, count(*) AS nodes, count(*)::BIGINT AS leaves, 0::BIGINT AS children FROM {SECTIONED} GROUP BY 1 UNION ALL SELECT version_id::VARCHAR, 1, count(DISTINCT para), count(*), count(*) FROM {SECTIONED} GROUP BY 1
+  UNION ALL SELECT version_id::VARCHAR, 2, count(DISTINCT section), count(*), count(DISTINCT para) FROM {SECTIONED} GROUP BY 1 UNION ALL SELECT version_id::VARCHAR, 3, 1, count(*), count(DISTINCT section) FROM {SECTIONED} GROUP BY 1""")
+def _(t):
+    n = tree.build(_items(t))
+    return longs(n.groupBy("version_id", "level").agg(F.count("*").alias("nodes"), F.sum("leaf_count").alias("leaves"), F.sum(F.size("children_ids")).cast("long").alias("children")))
+
+
+@register("tree_sections", f"""SELECT version_id::VARCHAR AS version_id, min(pos)::BIGINT AS start_pos, max(pos)::BIGINT AS end_pos, arg_min(body, pos) FILTER (WHERE heading) AS heading, min(pos // 10)::BIGINT AS page_start, max(pos // 10)::BIGINT AS page_end, count(*) AS leaf_count, string_agg(DISTINCT type, ',' ORDER BY type) AS kinds
+  FROM {SECTIONED} GROUP BY version_id, section""")
+def _(t):
+    n = tree.build(_items(t)).where("level = 2")
+    return longs(n.select("version_id", "start_pos", "end_pos", "heading", F.col("page_range")[0].alias("page_start"), "page_end", "leaf_count", F.array_join("element_types", ",").alias("kinds")))
+
+
+@register("tree_paragraphs", f"SELECT version_id::VARCHAR AS version_id, min(pos)::BIGINT AS start_pos, sha256(string_agg(body, ' ' ORDER BY pos)) AS content_sha FROM {SECTIONED} GROUP BY version_id, para")
+def _(t):
+    return longs(tree.build(_items(t)).where("level = 1").select("version_id", "start_pos", X.sha256("content").alias("content_sha")))
+
+
+CONTEXT = f"""(SELECT version_id::VARCHAR || ':' || pos AS chunk_id, version_id, CASE WHEN title IS NOT NULL THEN '[' || title || '] ' || body ELSE body END AS contextual_text FROM (SELECT c.version_id, c.pos, c.body, (SELECT s.title FROM (SELECT version_id, section, min(pos) AS first, min(pos // 10) AS page, arg_min(body, pos) FILTER (WHERE heading) AS title FROM {SECTIONED} GROUP BY ALL) s
+  WHERE s.version_id = c.version_id AND s.title IS NOT NULL AND s.page <= c.pos // 10 ORDER BY s.page DESC, s.first DESC LIMIT 1) AS title FROM (SELECT version_id, pos, trim(line) AS body FROM {ITEMS_SQL} WHERE pos % 7 <> 3) c))"""
+
+
+@register("contextual_chunks", f"SELECT chunk_id, sha256(contextual_text) AS context_sha FROM {CONTEXT}")
+def _(t):
+    items = _items(t)
+    c = tree.contextual(ingest.ingest(items).chunks, tree.build(items))
+    return c.select(F.concat_ws(":", "version_id", F.col("chunk_index").cast("string")).alias("chunk_id"), X.sha256("contextual_text").alias("context_sha"))
+
+
+@register("contextual_topk", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM (SELECT * FROM {VECTOR_RANKS}) WHERE score >= 0.1")
+def _(t):
+    c = t.embedded().withColumn("section_title", F.lit("t")).withColumn("contextual_text", F.concat(F.lit("[t] "), "text_raw"))
+    return _rounded(tree.contextual_search(c, t.query(), 10, 0.1))
+
+
+@register("upsert_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders UNION ALL SELECT -o_orderkey, 1.0, 'come' FROM orders WHERE o_orderstatus = 'P'")
+def _(t):
+    o = t("orders")
+    new = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit("new").alias("o_orderpriority")).unionByName(o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"), F.lit("come").alias("o_orderpriority")))
+    return sinks.upsert(o.select("o_orderkey", "o_totalprice", "o_orderpriority"), new, ["o_orderkey"])
+
+
+@register("touch_updated", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_shippriority_odd THEN 2 ELSE 1 END::BIGINT AS updated_at FROM (SELECT *, o_custkey % 2 = 1 AS o_shippriority_odd FROM orders)")
+def _(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    old = o.withColumn("updated_at", F.lit(1).cast("long"))
+    new = o.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.when(F.col("o_custkey") % 2 == 1, "X").otherwise(F.col("o_orderstatus")))
+    return sinks.touched(old, new, ["o_orderkey"], F.lit(2).cast("long")).select("o_orderkey", "updated_at")
+
+
+@register("replace_scope", "WITH f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 0::BIGINT AS l_partkey FROM lineitem WHERE l_linenumber < 3 AND l_orderkey IN (FROM f) UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3 AND l_orderkey IN (FROM f))")
+def _(t):
+    l = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    new = l.where("l_linenumber < 3").join(t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").withColumn("l_partkey", F.lit(0).cast("long"))
+    return longs(sinks.replace_scope(l, new, ["l_orderkey"], ["l_linenumber"]))
+
+
+@register("distinct_citations", "SELECT l_orderkey AS chunk_id, l_suppkey AS page_idx, min(l_linenumber)::BIGINT AS first FROM lineitem GROUP BY ALL")
+def _(t):
+    c = t("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("page_idx"), F.col("l_linenumber").alias("first"))
+    return longs(sinks.distinct_citations(c, "first", ("chunk_id", "page_idx")))
+
+
+@register("pending_queue", f"SELECT chunk_id FROM (SELECT * FROM {CHUNKS} WHERE element_type IN ('src0', 'src1') ORDER BY version_id, chunk_index LIMIT 25)")
+def _(t):
+    c = t.chunks().withColumn("embedding_status", F.when(F.col("element_type").isin("src0", "src1"), "pending").otherwise("completed"))
+    return explore.pending_queue(c, 25).select("chunk_id")
+
+
+@register("topic_highlights", f"SELECT version_id, element_type AS topic, chunk_id, row_number() OVER (PARTITION BY version_id, element_type ORDER BY n_chars DESC, chunk_id) AS nth FROM {CHUNKS} QUALIFY nth <= 5")
+def _(t):
+    c = t.chunks().select("version_id", F.col("element_type").alias("topic"), "chunk_id", (-F.col("n_chars")).alias("rank"))
+    return longs(explore.topic_highlights(c, 5).select("version_id", "topic", "chunk_id", "nth"))
+
+
+@register("latest_versions", "SELECT o_orderkey AS version_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def _(t):
+    v = t("orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    documents = t("customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("project_id"))
+    chunks = t("lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("page_idx"))
+    return explore.list_versions(v, documents, t("nation").select(F.col("n_nationkey").alias("project_id")), chunks, chunks.select("version_id")).select("version_id")
+
+
+@register("files_of", "SELECT event_id AS file_path, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events WHERE event_type = 'error'")
+def _(t):
+    f = t("events").select(F.col("event_type").alias("version_id"), F.col("event_id").alias("file_path"), F.col("ts").alias("created_at"))
+    return longs(explore.files_of(f, "error").select("file_path", F.row_number().over(Window.partitionBy("version_id").orderBy("created_at", "file_path")).alias("nth")))
+
+
+@register("min_similarity", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {VECTOR_RANKS} WHERE score >= 0.2")
+def _(t):
+    return _rounded(retrieval.vector_search(t.embedded(), t.query(), 10, 0.2))
+
+
+@register("unit_evidence", "SELECT l_orderkey AS unit_id, doc.doc_id IS NOT NULL AND doc.source <> 'src0' AS hash_valid, count(l_partkey) AS chunks FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN documents doc ON doc.doc_id = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")
+def _(t):
+    d = t("documents")
+    units = d.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("text_raw"), F.lit("{}").alias("anchor_json"), F.col("source").alias("source_element_id"))
+    units = units.withColumn("unit_hash", F.when(F.col("source_element_id") == "src0", F.lit("odd")).otherwise(X.unit_hash("text_raw", "anchor_json", "source_element_id")))
+    l = t("lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("chunk_id")).distinct().withColumn("unit_order", F.lit(0))
+    chunks = t("part").select(F.lit("v").alias("version_id"), F.col("p_partkey").alias("chunk_id"), F.lit(0).alias("page_idx"), F.col("p_name").alias("source_id"))
+    pages = t.spark.createDataFrame([("v", 0, "mineru_bbox_v1")], "version_id string, page_idx int, coord_sys string")
+    out = explore.unit_evidence(units, l, chunks, pages).where("chunks IS NOT NULL")
+    return longs(out.select("unit_id", "hash_valid", F.size("chunks").cast("long").alias("chunks")))
+
+
+@register("formatted_results", f"""SELECT query_id, rank0 AS rank, chunk_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, CASE WHEN vector_score IS NOT NULL AND keyword_score IS NOT NULL THEN 'hybrid' WHEN vector_score IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source, substring(d.text, 1, 40) AS text
+  FROM {fused_sql(VECTOR_RANKS, SUBSTRING_RANKS)} r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank0 < 5""")
+def _(t):
+    q, c = t.query(), t.embedded()
+    top = retrieval.fuse(retrieval.vector_search(c, q, 10), retrieval.substring_search(c, q, 10)).where("rank0 < 5").withColumn("score", F.col("rrf_score"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    full = top.join(c.select("chunk_id", "text_raw", "page_idx", "element_type"), "chunk_id").select("*", *none("string", "coord_sys", "evidence_status"), *none("array<double>", "bbox"), *none("array<string>", "evidence_units", "warnings"))
+    return longs(retrieval.formatted(full, max_chars=40).select("query_id", "rank", "chunk_id", "score", "vector_score", "source", "text"))
+
+
+@register("embedding_service", "SELECT lang AS version_id, count(*) FILTER (WHERE source <> 'src0' AND text <> '') AS succeeded, count(*) FILTER (WHERE source = 'src0' AND text <> '') AS failed, count(*) FILTER (WHERE text = '') AS blank, sum(CASE WHEN source <> 'src0' THEN least(8191, length(text) // 2 + 1) END)::BIGINT AS tokens FROM documents GROUP BY 1")
+def _(t):
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any(x.startswith("src0 ") for x in texts):
+            raise RuntimeError("refused")
+        return [[float(len(x))] for x in texts]
+
+    marked = t.chunks().withColumn("text_raw", F.when(F.col("text_raw") == "", "").otherwise(F.concat_ws(" ", "element_type", "text_raw")))
+    done = retrieval.embed_chunks(marked, embed, 1, attempts=1, pause=0.0)
+    # the marker's characters are no part of the text's own tokens
+    own = F.least(F.lit(8191), F.floor((F.length("text_raw") - F.when(F.col("text_raw") == "", 0).otherwise(F.length("element_type") + 1)) / 2) + 1)
+    whole = done.join(marked.select("chunk_id", "text_raw", "element_type"), "chunk_id").withColumn("own", own)
+    return longs(retrieval.embedding_counts(whole, F.when(F.col("element_type") != "src0", F.col("own"))))
