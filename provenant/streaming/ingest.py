@@ -1,14 +1,14 @@
 """Continuous ingest: new content lists become keyed upserts of all layers.
 
 A file source drained with ``availableNow`` stands for a polled work queue; its checkpoint is the status of every file.
-Ids and hashes are deterministic, so a batch that runs twice changes nothing.
+Ids and hashes are deterministic, so a batch that runs twice changes nothing.  A batch rewrites the partitions of its own versions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, sinks
@@ -16,6 +16,8 @@ from ..sources.content import items_of
 
 #: Keys of the layers.
 KEYS = {"pages": ["version_id", "page_idx"], "units": ["version_id", "unit_id"], "chunks": ["version_id", "chunk_id"], "spans": ["version_id", "chunk_id", "unit_order"]}
+#: Partitions of a table.
+BUCKETS = 64
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -24,16 +26,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def bucket() -> Column:
+    """The folder of a version's rows within a table."""
+    return F.pmod(F.xxhash64("version_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def apply(spark: SparkSession, items: DataFrame, out: str) -> None:
-    """Put the layers of the items into the tables below ``out``; versions that come again are replaced whole."""
+    """Put the layers of the items into the tables below ``out``; versions that come again are replaced whole.
+
+    Tables are partitioned by a hash of the version, and only the partitions that the items touch are read and written again.
+    """
     layers = ingest.ingest(items)
+    versions = items.select("version_id").distinct()
+    touched = [r["bucket"] for r in versions.select(bucket()).distinct().collect()]  # at most BUCKETS
     for name, key in KEYS.items():
         new, at = getattr(layers, name), f"{out}/{name}"
         if exists(spark, at):
-            old = spark.read.parquet(at)
-            kept = sinks.delete_matching(old, new.select("version_id").distinct(), ["version_id"]) if name != "pages" else old
-            new = kept.unionByName(new) if name != "pages" else sinks.upsert(old, new, key, coalesce=True)
-        sinks.replace(spark, new, at)
+            old = spark.read.parquet(at).where(F.col("bucket").isin(touched)).drop("bucket")
+            new = sinks.upsert(old, new, key, coalesce=True) if name == "pages" else sinks.delete_matching(old, versions, ["version_id"]).unionByName(new)
+        new.withColumn("bucket", bucket()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
 
 
 def stream(spark: SparkSession, source: str, out: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None):
