@@ -7,7 +7,8 @@ numbers.  Boosted trees score each from its format and its context.  The model i
 the driver from ``EXAMPLES`` generated sentences (candidates are found in them by the same expressions),
 calibrated by a logistic fit on a second part of them, and written out as one SQL expression;
 for each kind the least threshold that reaches ``PRECISION`` on a third part selects what counts.
-Base spans always stay; a selected candidate that meets a base span adds nothing.
+Base spans always stay; a selected candidate that meets a base span adds nothing.  Selected candidates may overlap one
+another: each is listed, and redaction covers their union.
 
 The patterns never backtrack over more than a bounded length: separators inside a number, or dots inside a
 domain, are first marked one by one, so that each match is a run of one class of characters.
@@ -40,13 +41,14 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 NUMBER = rf"[0-9][0-9{GAP}]{{12,}}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+_H = "[0-9A-Fa-f]{1,4}"
 #: Generators: name, pattern, what a text must hold for it.
 GENERATORS = (
     ("national", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "_text RLIKE '[0-9]-[0-9]'"),
     ("local_phone", r"(?<![0-9A-Za-z+.,$])\(?[0-9]{2,5}\)?[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])", "_text RLIKE '[0-9][ ./)-]+[0-9]'"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "_text RLIKE '[A-Z][0-9][0-9]'"),
     ("email_at", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,5}", "_text RLIKE '[(\\\\[]at[)\\\\]]'"),
-    ("ipv6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "_text RLIKE ':[0-9A-Fa-f]{1,4}:'"),
+    ("ipv6", rf"(?<![0-9A-Za-z:])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{1,7}}:|:(?::{_H}){{1,7}})(?![0-9A-Za-z:])", "contains(_text, '::') OR _text RLIKE ':[0-9A-Fa-f]{1,4}:'"),
 )
 ORDER = {k: i for i, k in enumerate((*KINDS, *(g[0] for g in GENERATORS), "long_number"))}
 
@@ -146,6 +148,8 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[dict]:
         (iban, ["IBAN", "my account", "bank account", "Konto", "compte"]),
         (lambda: f"{name()}{r.choice([' (at) ', '(at)', ' [at] '])}{name()}{r.choice(['.', ' (dot) ', '[dot]'])}{r.choice(['com', 'org', 'net'])}", ["write to", "mail", "contact"]),
         (lambda: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8)), ["host", "address", "from"]),
+        (lambda: f"2001:{r.randrange(1 << 16):x}::{r.randrange(1 << 16):x}{r.choice(['', f':{r.randrange(1 << 16):x}'])}", ["host", "address", "from"]),
+        (lambda: digits(r.randint(13, 19)), ["account", "my account", "Konto", "compte", "cuenta", "card", "bank"]),
     ]
     no = [
         (lambda: f"{r.randint(1, 31):02d}{(s := r.choice('./-'))}{r.randint(1, 12):02d}{s}{r.randint(1950, 2030)}", ["on", "date", "of", "since"]),
@@ -158,6 +162,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[dict]:
         (lambda: f"{r.choice(['AB', 'XK', 'QZ'])}{digits(2)}{digits(12)}", ["model", "serial", "order", "ref"]),
         (lambda: digits(r.randint(13, 19)), ["order", "ref", "serial", "number"]),
         (lambda: f"{digits(4)} {digits(4)}", ["table", "page", "of", "model"]),
+        (lambda: f"{r.choice(['ab', 'cafe', 'bad', 'ace'])}::{r.choice(['add', 'dead', 'be', 'fad'])}", ["class", "module", "calls", "release"]),
     ]
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
     out = []

@@ -334,6 +334,58 @@ def test_pii_model_tells_numbers_apart(spark):
     assert right / max(1, len(flagged)) > 0.93 and right > 0.6 * sum(e["y"] for e in fresh)
 
 
+def strangers(seed: int = 5, n: int = 25) -> list[tuple[str, str, int]]:
+    """Sentences of templates that training never saw: kind, text, whether there is personal data in it."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choices("0123456789", k=k))
+
+    def iban() -> str:
+        body = d(18)
+        return f"DE{98 - int(''.join(str(int(c, 36)) for c in body + 'DE00')) % 97:02d}{body}"
+
+    yes = [
+        ("national", lambda: f"Her passport application lists social security {d(3)}-{d(2)}-{d(4)} twice."),
+        ("national", lambda: f"Employee SSN: {d(3)}-{d(2)}-{d(4)}; department: sales"),
+        ("local_phone", lambda: f"For questions please phone {d(3)}-{d(3)}-{d(4)} before noon."),
+        ("local_phone", lambda: f"Sie erreichen uns per Telefon 0{d(3)}/{d(6)} oder per Brief."),
+        ("local_phone", lambda: f"mobile ({d(3)}) {d(3)} {d(4)}, ask for the caretaker"),
+        ("iban", lambda: f"Bitte ueberweisen Sie auf das Konto {iban()} bis Freitag."),
+        ("iban", lambda: f"The refund goes to IBAN {iban()} next week"),
+        ("email_at", lambda: f"Questions? mail jane.doe{d(2)} [at] example [dot] org today"),
+        ("ipv6", lambda: f"login from address fe80::{r.randrange(1 << 16):x}:{r.randrange(1 << 16):x} failed"),
+        ("long_number", lambda: f"charged to bank card {d(15)} on arrival"),
+    ]
+    no = [
+        ("national", lambda: f"Please quote order {d(3)}-{d(2)}-{d(4)} in every letter."),
+        ("national", lambda: f"spare part serial {d(3)}-{d(2)}-{d(4)} is out of stock"),
+        ("local_phone", lambda: f"The museum was rebuilt {r.randint(1900, 1950)}-{r.randint(1951, 1999)} after a fire."),
+        ("local_phone", lambda: f"She was born on {r.randint(1, 28):02d}.{r.randint(1, 12):02d}.{r.randint(1950, 1999)} in the north."),
+        ("local_phone", lambda: f"upgrade to version {d(2)}.{d(2)}.{d(2)} as soon as possible"),
+        ("local_phone", lambda: f"see section {d(2)}.{d(2)} for the table"),
+        ("local_phone", lambda: f"the total price was {d(3)} {d(3)} {d(3)} in all"),
+        ("iban", lambda: f"The pump of model XK{d(2)}{d(12)} was replaced."),
+        ("ipv6", lambda: "the module calls dead::beef twice"),
+        ("long_number", lambda: f"tracking of order ref {d(16)} is open"),
+    ]
+    return [(kind, make(), y) for y, some in ((1, yes), (0, no)) for kind, make in some for _ in range(n)]
+
+
+def test_pii_of_unseen_templates(spark):
+    """Precision and recall by kind on sentences unlike those of training (figures in the README)."""
+    given = strangers()
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(given)], "doc_id int, text string")
+    found = {r.doc_id: {s.kind for s in r.spans} for r in pii.with_spans(df).collect()}
+    figures = {}
+    for kind in sorted({k for k, _, _ in given}):
+        mine = [(y, bool(found[i])) for i, (k, _, y) in enumerate(given) if k == kind]
+        hit, flagged = sum(y and f for y, f in mine), sum(f for _, f in mine)
+        figures[kind] = (round(hit / max(1, flagged), 2), round(hit / sum(y for y, _ in mine), 2))
+    print(figures)
+    flagged = [i for i in found if found[i]]
+    assert sum(given[i][2] for i in flagged) / len(flagged) >= 0.9, figures
+    assert sum(given[i][2] for i in flagged) / sum(y for _, _, y in given) >= 0.6, figures
+
+
 def test_pii_survives_long_runs(spark):
     df = spark.createDataFrame([(0, "1 " * 40_000), (1, "a." * 40_000 + "@b.c"), (2, "9" * 60_000), (3, "a@" + "b." * 20_000 + "c")], "doc_id int, text string")
     got = {r.doc_id: [s.kind for s in r.base_spans] for r in pii.with_spans(df).collect()}
