@@ -445,6 +445,43 @@ def test_language_fuses_evidence(spark):
     assert {x.lang for x in langid.identify(df, labelled.where("false")).collect()} == {None}
 
 
+def test_fusion_matches_brute_force(spark):
+    """Every term of the fusion from its definition, in plain loops."""
+    r = random.Random(12)
+    vocab = {"en": "the of and with thing would".split(), "de": "der und nicht werden schön über".split(), "fr": "le dans être où ça très".split()}
+    say = lambda lang, n: " ".join(r.choice(vocab[lang]) for _ in range(n))
+    names = sorted(vocab)
+    labelled = spark.createDataFrame([(i, say(names[i % 3], 25), names[i % 3]) for i in range(90)], "doc_id long, text string, lang string")
+    pages = []
+    for i in range(150):
+        lang = r.choice(names)
+        host = r.choice(["a.one.com", "b.one.com", "www.two.de", "x.two.de", "three.co.uk", "9.9.9.9"])
+        declared = r.choice([f' lang="{lang}"', f' lang="{r.choice(names)}"', "", ' lang="zz"'])
+        pages.append((i, f"https://{host}/{r.choice(['de/x', 'fr/y', 'page', 'en/'])}", f"<html{declared}><body>{say(lang, r.randint(0, 9))}</body></html>"))
+    pages += [pages[0], (None, None, None), (400, "http://a.one.com", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    langs, table = langid.train(labelled)
+    seen = langid.evidence(df, langs, table, "page_id", "url", "html").collect()
+    soft = lambda x: np.exp(x - np.max(x)) / np.exp(x - np.max(x)).sum()
+    p = [soft(np.array(x.text)) for x in seen]
+    total, n = sum(p), len(langs)
+    base = (total + 1) / (len(p) + n)
+    want = Counter()
+    for i, x in enumerate(seen):
+        score = np.array(x.text)
+        for column in ("declared", "suffix"):
+            same = [k for k, y in enumerate(seen) if y[column] == x[column]]
+            share = len(same) / len(p)
+            score = score + np.log((sum(p[k] for k in same) + langid.CATEGORY * share) / (total + langid.CATEGORY))
+        domain, host = ([k for k, y in enumerate(seen) if y[c] == x[c]] for c in ("domain", "host"))
+        parent = (sum(p[k] for k in domain) - p[i] + langid.PARENT * base) / (len(domain) - 1 + langid.PARENT)
+        prior = (sum(p[k] for k in host) - p[i] + langid.PARENT * parent) / (len(host) - 1 + langid.PARENT)
+        q = soft(score + np.log(np.maximum(1e-9, prior)))
+        want[x.page, x.host, x.declared, x.suffix, langs[int(p[i].argmax())], langs[int(q.argmax())], round(float(q.max()), 4)] += 1
+    got = Counter((x.page_id, x.host, x.declared, x.suffix, x.text_lang, x.lang, round(x.confidence, 4)) for x in langid.identify(df, labelled).collect())
+    assert got == want
+
+
 def test_declared_language_of_long_tags(spark):
     long = "x" * 5000
     more = [(7, '<html data-lang="xx" lang="de">'), (8, "<html xml:lang='en' >"), (9, "<html lang" + " " * 40 + "= de>"), (10, '<html data-lang="de">')]
@@ -719,6 +756,71 @@ def test_code_lengths_are_optimal_and_limited():
     assert (huffman.code_lengths(counts) * counts).sum() == cost
 
 
+@pytest.fixture(scope="module")
+def folder(spark, docs, tmp_path_factory):
+    """The tables of the registered queries, with the awkward texts."""
+    at = tmp_path_factory.mktemp("tables")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "same words here same words here same words here same"), (2, "one two"), (3, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "https://a.b.de/", "<html lang='en'>the house</html>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    return str(at)
+
+
+def test_registered_queries_hold_their_contracts(spark, folder, plain, reference):
+    """All ten thin queries over a written folder, against brute force where the contract fixes the value."""
+    from tokenizers import Tokenizer
+
+    run = {name: f(spark, folder).collect() for name, f in queries.queries().items()}
+    for name, got in run.items():
+        assert len(got) == (2 if name == "op5_language" else len(plain)), name
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    of = lambda name, *columns: Counter(tuple(x[c] for c in columns) for x in run[name])
+    assert of("op1_simhash", "doc_id", "fingerprint") == Counter((i, f"{slow_fingerprint(t):016x}") for i, t in plain)
+    assert of("op2_secrets", "doc_id", "base_sha256") == Counter((i, sha(spans(slow_secrets(t)).encode())) for i, t in plain)
+    assert of("op3_pii", "doc_id", "base_sha256") == Counter((i, sha(spans(slow_pii(t)).encode())) for i, t in plain)
+    assert of("op4_shards", "doc_id", "size", "text_crc32", "law", "grown_shard") == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for i, t in plain)
+    assert of("op6_rules", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == Counter((i, *slow_counts(t), slow_kept(t)) for i, t in plain)
+    assert of("op8_quality", "doc_id", "held_out") == Counter((i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, _ in plain)
+    assert of("op9_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == Counter((i, len(x := reference.encode_ordinary(t)), sha(np.array(x, "<u4").tobytes()), sha(t.encode())) for i, t in plain)
+    model = Tokenizer.from_file(OWN)
+    ids = [[*model.encode(t, add_special_tokens=False).ids, 0] for _, t in plain]
+    assert of("op10_huffman", "doc_id", "n_tokens", "ids_crc32") == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(plain, ids, strict=True))
+    starts = sorted((x.start, x.n_tokens) for x in run["op10_huffman"])
+    assert [a for a, _ in starts] == [0, *np.cumsum([n for _, n in starts])[:-1].tolist()]
+    hit = {}
+    for i, t in plain:
+        w = slow_words(t)
+        inside, items = set(), set()
+        for item, window in (("1", "same words here same words here same words here same".split()), ("2", ["one", "two"])):
+            for k in range(len(w) - len(window) + 1):
+                if w[k : k + len(window)] == window:
+                    inside.update(range(k, k + len(window)))
+                    items.add(item)
+        hit[i, t] = (len(w), len(inside), len(items), sha(",".join(sorted(items)).encode()), bool(inside))
+    assert of("op7_winnowing", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == Counter((i, *hit[i, t]) for i, t in plain)
+    assert all(v[4] for (i, t), v in hit.items() if t.startswith("same words")) and any(not v[4] for v in hit.values())
+
+
+def test_empty_tables_give_empty_results(spark, none, folder):
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for df in (simhash.near_duplicates(none), simhash.deduplicate(none), secrets.with_spans(none), secrets.redact(none), pii.with_spans(none), pii.redact(none), quality.keep_good(none, labels), winnow.decontaminate(none, bench), bpe.encode(none, RANKS, PATTERN)):
+        assert df.collect() == []
+
+
+def test_pii_redaction(docs, plain):
+    done = pii.redact(docs)
+    assert done.columns == docs.columns
+    for r in done.collect():
+        if r.doc_id is not None:
+            given, left = text(TEXTS[r.doc_id]), text(r.text)
+            found = slow_pii(given)
+            assert (left != given) if found else (left == given or "[PRIVATE]" in left)
+            assert "4111 1111" not in left and "a.b@c.d" not in left
+    assert {r.text for r in done.where("doc_id IS NULL").collect()} == {"no id here at all"}
+
+
 def test_digests_of_registered_queries(spark, tmp_path):
     """The thin queries carry the contract's columns."""
     d = spark.createDataFrame([(1, "token = abcdefgh12 mail a@b.cd", "en", "s", 30), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")

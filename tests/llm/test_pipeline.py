@@ -107,3 +107,80 @@ def test_forest_joins_what_brute_force_joins():
         inside += [(of[a], of[b]) for a, b in neardup.forest([texts[i] for i in of])]
     assert all(side[a] != side[b] for a, b in across) and roots(across + inside) == whole
     assert neardup.forest([]) == [] and neardup.forest([b""] * 9) and neardup.forest([b"a", b"b"]) == []
+
+
+def test_the_whole_against_brute_force(spark, tmp_path):
+    """run(): rejected, alike, contaminated documents go and secrets are replaced; the rest comes back as it was, with its ids."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from provenant.llm import quality, secrets
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    good = lambda n=80: " ".join(word() for _ in range(n)) + "."
+    rows, labels = [], []
+    for i in range(400):
+        text = good() if i % 2 else " ".join(w.upper() + "!!" for w in good().split())
+        rows.append((i, text, "en", "src", len(text)))
+        labels.append((i, i % 2, 0))
+    item = good(30)[:-1]
+    add = lambda text: rows.append((len(rows), text, "en", "src", len(text or "")))
+    for i in range(1, 60, 2):
+        w = rows[i][1].split()
+        add(rows[i][1])  # a copy
+        add(" ".join(w[:40] + ["changed"] + w[41:]))  # a near copy
+    for _ in range(12):
+        w = good().split()
+        add(" ".join(w[:20] + item.split()[5:20] + w[20:]))
+        add(" ".join([*w[:20], "password=hunter2hunter2", *w[20:]]))
+    add(None), add("")
+    rows.append(rows[401])
+    rows.append((None, good(), "en", "src", 3))
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    scored = quality.classify(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    passed = {x.doc_id for x in scored.collect() if x.predicted}
+    left = [x for x in rows if x[0] in passed]
+    alike = slow_kept(left)
+    left = {x[0]: x for x in left if x[0] in alike}
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    windows = {tuple(words(item)[k : k + 10]) for k in range(21)}
+    left = {i: x for i, x in left.items() if not any(tuple(words(x[1])[k : k + 10]) in windows for k in range(len(words(x[1])) - 9))}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == set(left) and len(got) == len(left)
+    assert len(passed) > 200 and len(left) < len(passed) - 60 and not any(i < 400 and i % 2 == 0 for i in left if i is not None)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    tk = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    secret = re.compile(secrets.ASSIGN)
+    seen = 0
+    for x in got:
+        want = secret.sub("[SECRET]", left[x.doc_id][1] or "")
+        seen += "[SECRET]" in want
+        assert x.text == want and (x.lang, x.source) == ("en", "src") and x.n_chars == (len(want) if "[SECRET]" in want else left[x.doc_id][4])
+        assert [int.from_bytes(bytes(x.ids)[k : k + 4], "little") for k in range(0, len(x.ids), 4)] == tk.encode_ordinary(want) and x.n_tokens == len(x.ids) // 4
+    assert seen >= 8
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_of_awkward_tables(spark, tmp_path, k):
+    """Each stage of nulls, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[k]
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a window of ten words that is nowhere else at all"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "plain words of a text that is like no other in this table", None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "long " * 60_000, "en", "s", 300_000), (4, "long " * 60_000, "en", "s", 300_000), (None, "text without an id", "en", "s", 18), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("text hash", "root", "node", "score", "_text", "spans", "hits", "x", "key", "row", "scanned", "own 0"):
+        df = df.withColumn(c, __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    got = stage(spark, df.repartition(3), str(tmp_path))
+    assert set(df.columns) <= set(got.columns) and (k == len(corpus_pipeline.STAGES) - 1 or got.columns == df.columns)
+    kept = got.collect()
+    ids = sorted((x.doc_id for x in kept), key=str)
+    if name != "quality_classifier":
+        assert {1, 4} <= set(ids) and len(kept) == {"near_dedup": 4}.get(name, len(rows)), (name, ids)
+        assert all((x.text or "") == (y or "") for x in kept if x.doc_id is not None for i, y, *_ in rows if i == x.doc_id)
+    assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
