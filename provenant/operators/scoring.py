@@ -25,6 +25,23 @@ BENEFITS = (
     ("response", ("小时响应", "到场", "2小时", "24小时"), "响应优势"),
     ("training", ("培训", "技术指导", "操作培训"), "培训支持"),
 )
+#: Titles and texts of insights ({}: the number or topic), the texts around a group's name and keyword, words that some ask for, and the parts of an annotation.
+SAID = {
+    "long_warranty": ("长期质保", "承诺{}年质保，优于行业标准。重点强调此优势。"),
+    "short_warranty": ("质保期偏短", "质保期仅{}年，可能存在竞争劣势。建议确认是否可延长。"),
+    "lifelong": ("终身质保", "发现终身质保承诺，这是强有力的竞争优势。"),
+    "whole": ("质保范围", "承诺整机质保，覆盖范围较广。"),
+    "fast": ("快速响应", "承诺{}小时内响应，响应速度较快。"),
+    "slow": ("响应较慢", "响应时间{}小时，可能影响紧急情况处理。"),
+    "on_site": ("现场服务", "包含现场/上门服务承诺。"),
+    "much_training": ("充足培训", "提供{}天培训，培训内容较全面。"),
+    "operation": ("操作培训", "包含设备操作培训。"),
+    "upkeep": ("维护培训", "包含设备维护保养培训。"),
+    "general": ("内容标记", "已标记{}相关内容，建议进一步详细评审。"),
+}
+SAID_OF = {"risk": (("检测到", "关键词：'"), "'。需确认具体数值和条件。"), "benefit": (("发现", "：'"), "'。可作为评分优势。")}
+WORDS_FOR = {"lifelong": ("终生", "终身", "永久"), "whole": ("整机",), "on_site": ("现场", "上门"), "operation": ("操作", "使用"), "upkeep": ("维护", "保养")}
+MARKS, ORIGINAL = {"risk": "⚠️", "benefit": "✅", "info": "ℹ️"}, "\n\n原文: "
 LEVEL_NAMES = {"high": "高风险", "medium": "中风险", "low": "低风险"}
 INSIGHT = "struct<category:string,title:string,content:string,risk_level:string>"
 
@@ -65,47 +82,43 @@ def first_keyword(text: Column, keywords: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in keywords))
 
 
+def _said(name: str, category: str, value: Column | None = None, level: str | None = None) -> Column:
+    """An insight of the table, its text with the value in it."""
+    title, text = SAID[name]
+    before, _, after = text.partition("{}")
+    return _insight(category, title, F.concat(F.lit(before), value, F.lit(after)) if value is not None else text, level)
+
+
 def _topic_rules(text: Column, topic: str) -> list[Column]:
     has = lambda *words: like_any(text, list(words), raw=False)
     none = F.lit(None).cast(INSIGHT)
     if topic == "warranty":
         years = F.array_max(numbers(text, r"(\d+)\s*年"))
         return [
-            F.when(years >= 5, _insight("benefit", "长期质保", F.concat(F.lit("承诺"), years, F.lit("年质保，优于行业标准。重点强调此优势。"))))
-            .when(years < 3, _insight("risk", "质保期偏短", F.concat(F.lit("质保期仅"), years, F.lit("年，可能存在竞争劣势。建议确认是否可延长。")), "medium"))
-            .otherwise(none),
-            F.when(has("终生", "终身", "永久"), _insight("benefit", "终身质保", "发现终身质保承诺，这是强有力的竞争优势。")),
-            F.when(has("整机"), _insight("info", "质保范围", "承诺整机质保，覆盖范围较广。")),
+            F.when(years >= 5, _said("long_warranty", "benefit", years)).when(years < 3, _said("short_warranty", "risk", years, "medium")).otherwise(none),
+            F.when(has(*WORDS_FOR["lifelong"]), _said("lifelong", "benefit")),
+            F.when(has(*WORDS_FOR["whole"]), _said("whole", "info")),
         ]
     if topic == "delivery":
         hours = F.array_min(numbers(text, r"(\d+)\s*小时"))
-        return [
-            F.when(hours <= 2, _insight("benefit", "快速响应", F.concat(F.lit("承诺"), hours, F.lit("小时内响应，响应速度较快。"))))
-            .when(hours > 24, _insight("risk", "响应较慢", F.concat(F.lit("响应时间"), hours, F.lit("小时，可能影响紧急情况处理。")), "medium"))
-            .otherwise(none),
-            F.when(has("现场", "上门"), _insight("info", "现场服务", "包含现场/上门服务承诺。")),
-        ]
+        return [F.when(hours <= 2, _said("fast", "benefit", hours)).when(hours > 24, _said("slow", "risk", hours, "medium")).otherwise(none), F.when(has(*WORDS_FOR["on_site"]), _said("on_site", "info"))]
     if topic == "training":
         days = F.aggregate(numbers(text, r"(\d+)\s*[天日]"), F.lit(0).cast("long"), lambda a, d: a + F.coalesce(d, F.lit(0)))
-        return [
-            F.when(days >= 5, _insight("benefit", "充足培训", F.concat(F.lit("提供"), days, F.lit("天培训，培训内容较全面。")))),
-            F.when(has("操作", "使用"), _insight("info", "操作培训", "包含设备操作培训。")),
-            F.when(has("维护", "保养"), _insight("info", "维护培训", "包含设备维护保养培训。")),
-        ]
+        return [F.when(days >= 5, _said("much_training", "benefit", days)), F.when(has(*WORDS_FOR["operation"]), _said("operation", "info")), F.when(has(*WORDS_FOR["upkeep"]), _said("upkeep", "info"))]
     return []
 
 
 def insights(text: Column, topic: str, risks=RISKS, benefits=BENEFITS) -> Column:
     """Insights of a text: at most one of each group, then the topic's own, else one general; none for an empty text."""
     out = []
-    for _, keywords, label, level in risks:
-        k = first_keyword(text, keywords)
-        out.append(F.when(k.isNotNull(), _insight("risk", label, F.concat(F.lit(f"检测到{label}关键词：'"), k, F.lit("'。需确认具体数值和条件。")), level)))
-    for _, keywords, label in benefits:
-        k = first_keyword(text, keywords)
-        out.append(F.when(k.isNotNull(), _insight("benefit", label, F.concat(F.lit(f"发现{label}：'"), k, F.lit("'。可作为评分优势。")))))
+    for groups, category in ((risks, "risk"), (benefits, "benefit")):
+        (head, middle), tail = SAID_OF[category]
+        for _, keywords, label, *level in groups:
+            k = first_keyword(text, keywords)
+            out.append(F.when(k.isNotNull(), _insight(category, label, F.concat(F.lit(f"{head}{label}{middle}"), k, F.lit(tail)), *level)))
     found = F.array_compact(F.array(*(c.cast(INSIGHT) for c in [*out, *_topic_rules(text, topic)])))
-    general = F.array(_insight("info", "内容标记", f"已标记{topic}相关内容，建议进一步详细评审。").cast(INSIGHT))
+    title, said = SAID["general"]
+    general = F.array(_insight("info", title, said.replace("{}", topic)).cast(INSIGHT))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast(f"array<{INSIGHT}>")).when(F.size(found) > 0, found).otherwise(general)
 
 
@@ -114,11 +127,11 @@ def annotation(text: Column, topic: str, longest: int = 200) -> Column:
     weight = lambda i: F.when(i["category"] == "risk", 0).when(i["category"] == "benefit", 1).otherwise(2) * 10 + F.when(i["risk_level"] == "high", 0).when(i["risk_level"] == "medium", 1).when(i["risk_level"] == "low", 2).otherwise(3)
     every = insights(text, topic)
     first = F.get(F.array_sort(F.transform(every, lambda i, n: F.named_struct(F.lit("w"), weight(i), F.lit("n"), n, F.lit("i"), i))), F.lit(0))["i"]
-    mark = F.when(first["category"] == "risk", "⚠️").when(first["category"] == "benefit", "✅").otherwise("ℹ️")
+    mark = F.when(first["category"] == "risk", MARKS["risk"]).when(first["category"] == "benefit", MARKS["benefit"]).otherwise(MARKS["info"])
     level = F.create_map(*(F.lit(x) for kv in LEVEL_NAMES.items() for x in kv))
     head = F.concat_ws(" | ", mark, first["title"], F.when(first["risk_level"].isNotNull(), F.concat(F.lit("("), F.element_at(level, first["risk_level"]), F.lit(")"))))
     shown = F.when(F.length(text) > 50, F.concat(F.substring(text, 1, 50), F.lit("..."))).otherwise(text)
-    whole = F.concat(head, F.lit("\n"), first["content"], F.lit("\n\n原文: "), shown)
+    whole = F.concat(head, F.lit("\n"), first["content"], F.lit(ORIGINAL), shown)
     plain = F.concat(F.lit(f"【{topic}】"), F.substring(text, 1, longest - 10), F.lit("..."))
     return F.when(F.size(every) == 0, plain).when(F.length(whole) > longest, F.concat(F.substring(whole, 1, longest - 3), F.lit("..."))).otherwise(whole)
 

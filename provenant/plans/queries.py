@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -866,10 +866,10 @@ def _(t):
     return _rounded(tree.contextual_search(c, t.query(), 10, 0.1))
 
 
-@register("upsert_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders UNION ALL SELECT -o_orderkey, 1.0, 'come' FROM orders WHERE o_orderstatus = 'P'")
+@register("upsert_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders UNION ALL SELECT -o_orderkey - 1, 1.0, 'come' FROM orders WHERE o_orderstatus = 'P'")
 def _(t):
     o = t("orders")
-    new = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit("new").alias("o_orderpriority")).unionByName(o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"), F.lit("come").alias("o_orderpriority")))
+    new = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit("new").alias("o_orderpriority")).unionByName(o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice"), F.lit("come").alias("o_orderpriority")))
     return sinks.upsert(o.select("o_orderkey", "o_totalprice", "o_orderpriority"), new, ["o_orderkey"])
 
 
@@ -960,3 +960,42 @@ def _(t):
     own = F.least(F.lit(8191), F.floor((F.length("text_raw") - F.when(F.col("text_raw") == "", 0).otherwise(F.length("element_type") + 1)) / 2) + 1)
     whole = done.join(marked.select("chunk_id", "text_raw", "element_type"), "chunk_id").withColumn("own", own)
     return longs(retrieval.embedding_counts(whole, F.when(F.col("element_type") != "src0", F.col("own"))))
+
+
+SAID_SQL = """(SELECT lang AS version_id, doc_id, CASE doc_id % 5 WHEN 0 THEN '整机质保' || (doc_id % 9) || '年，尽快到场' WHEN 1 THEN '保修期 必须满足 ' || (doc_id % 11) || ' 年' WHEN 2 THEN '终身服务，免费维修，' || (doc_id % 40) || '小时响应' WHEN 3 THEN '售后服务' ELSE '' END || ' ' || substring(text, 1, 30) AS txt FROM documents)"""
+
+
+def _said(i) -> Column:
+    number = lambda n: (i % n).cast("string")
+    said = F.when(i % 5 == 0, F.concat(F.lit("整机质保"), number(9), F.lit("年，尽快到场"))).when(i % 5 == 1, F.concat(F.lit("保修期 必须满足 "), number(11), F.lit(" 年"))).when(i % 5 == 2, F.concat(F.lit("终身服务，免费维修，"), number(40), F.lit("小时响应"))).when(i % 5 == 3, F.lit("售后服务")).otherwise(F.lit(""))
+    return F.concat(said, F.lit(" "), F.substring("text", 1, 30))
+
+
+def _any_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(txt, '{w}')" for w in words) + ")"
+
+
+def _groups_sql(groups, level: str | None = None) -> str:
+    return " + ".join(f"{_any_sql(g[1])}::INT" for g in groups if level is None or g[3] == level) or "0"
+
+
+WARRANTY = scoring.DIMENSIONS[0]
+YEARS = "list_max(list_transform(regexp_extract_all(txt, '([0-9]+)\\s*年', 1), lambda x: x::INT))"
+FOUND_SQL = f"(SELECT *, {YEARS} AS years, row_number() OVER (PARTITION BY version_id ORDER BY doc_id) AS nth FROM {SAID_SQL} WHERE {_any_sql(WARRANTY.keywords)} QUALIFY nth <= 50)"
+COUNTED_SQL = f"""(SELECT *, {_groups_sql(scoring.RISKS)} + (coalesce(years, 9) < 3)::INT AS risks, {_groups_sql(scoring.RISKS, "high")} AS high, {_groups_sql(scoring.RISKS, "medium")} + (coalesce(years, 9) < 3)::INT AS medium,
+  {_groups_sql(scoring.BENEFITS)} + (coalesce(years, 0) >= 5)::INT + {_any_sql(scoring.WORDS_FOR["lifelong"])}::INT AS benefits, {_any_sql(scoring.WORDS_FOR["whole"])}::INT AS infos FROM {FOUND_SQL})"""
+
+
+@register("analyze_dimension", f"""SELECT version_id, chunks_found, risks, benefits, infos, least(100.0, greatest(0.0, 50 + 10 * benefits - 15 * high - 5 * medium - 2 * (risks - high - medium) + CASE WHEN last_years >= 5 THEN 20 WHEN last_years >= 3 THEN 10 WHEN last_years < 2 THEN -20 ELSE 0 END))::DOUBLE AS score,
+  CASE WHEN high > 0 THEN 'high' WHEN risks > benefits THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT version_id, count(*) AS chunks_found, sum(risks)::BIGINT AS risks, sum(high)::BIGINT AS high, sum(medium)::BIGINT AS medium, sum(benefits)::BIGINT AS benefits,
+  sum(CASE WHEN risks + benefits + infos = 0 THEN 1 ELSE infos END)::BIGINT AS infos, arg_max(years, doc_id) FILTER (WHERE years IS NOT NULL) AS last_years FROM {COUNTED_SQL} GROUP BY 1)""")
+def _(t):
+    chunks = t("documents").select(F.col("lang").alias("version_id"), F.col("doc_id").alias("chunk_index"), _said(F.col("doc_id")).alias("text_raw"))
+    return longs(scoring.score_dimension(chunks, WARRANTY).select("version_id", "chunks_found", "risks", "benefits", "infos", "score", "risk_level"))
+
+
+@register("insight_rows", f"SELECT doc_id, risks::BIGINT AS risks, benefits::BIGINT AS benefits, (CASE WHEN risks + benefits + infos = 0 THEN 1 ELSE infos END)::BIGINT AS infos FROM {COUNTED_SQL.replace(FOUND_SQL, f'(SELECT *, {YEARS} AS years FROM {SAID_SQL})')}")
+def _(t):
+    every = scoring.insights(_said(F.col("doc_id")), "warranty")
+    of = lambda kind: F.size(F.filter("every", lambda x: x["category"] == kind)).cast("long")
+    return t("documents").select("doc_id", every.alias("every")).select("doc_id", of("risk").alias("risks"), of("benefit").alias("benefits"), of("info").alias("infos"))
