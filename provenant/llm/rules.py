@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .spans import bound
 
-SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Texts (about) that costs and selectivities are estimated on, copies of them that are timed, and runs of each timing.
@@ -32,21 +32,25 @@ SAMPLE, COPIES, RUNS = 1000, 8, 3
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with _text, _words, _lines and the base counts."""
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn("_words", F.expr("filter(split(_text, r'[\\x20\\x09-\\x0D]+'), w -> w <> '')"))
-    out = out.withColumn("_lines", F.expr("filter(split(_text, '\\n'), l -> l RLIKE r'[^\\x20\\x09-\\x0D]')"))
-    symbols = sum((F.length("_text") - F.length(F.replace("_text", F.lit(s), F.lit(""))) for s in SYMBOLS), F.lit(0))
+    spaced = "_text"
+    for code in range(9, 14):  # every white space as a blank: the split then needs no pattern
+        spaced = f"replace({spaced}, chr({code}), ' ')"
+    out = out.withColumn("_words", F.expr(f"filter(split({spaced}, ' '), w -> w <> '')"))
+    out = out.withColumn("_lines", F.expr("filter(split(_text, '\n'), l -> l RLIKE r'[^\x20\x09-\x0D]')"))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.regexp_replace("_text", SPACE, "")).cast("long"))
-    out = out.withColumn("n_symbols", symbols.cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    out = out.withColumn("n_symbols", (F.length("_text") - F.length(F.regexp_replace("_text", f"[{SYMBOLS}]+", ""))).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    grams = ", ".join(f"_hashes[i + {j}]" for j in range(WINDOW))
-    out = out.withColumn("_grams", F.expr(f"CASE WHEN n_words > {WINDOW} THEN transform(sequence(0, CAST(n_words AS int) - {WINDOW}), i -> xxhash64({grams})) ELSE CAST(array() AS array<bigint>) END"))
-    again = "array_sort(transform(_grams, (g, i) -> named_struct('g', g, 'i', i)))"
-    out = out.withColumn("_sorted", F.expr(f"CASE WHEN size(array_distinct(_grams)) = size(_grams) THEN CAST(array() AS array<struct<g: bigint, i: int>>) ELSE {again} END"))
-    twice = "array_sort(transform(filter(_sorted, (s, k) -> (k > 0 AND _sorted[k - 1].g = s.g) OR (k < size(_sorted) - 1 AND _sorted[k + 1].g = s.g)), s -> s.i))"
-    out = out.withColumn("_twice", F.expr(twice))
-    out = out.withColumn("n_repeat_words", F.expr(f"aggregate(_twice, named_struct('n', 0L, 'end', 0), (a, i) -> named_struct('n', a.n + i + {WINDOW} - greatest(a.end, i), 'end', i + {WINDOW}), a -> a.n)"))
+    # a window found twice makes WINDOW - 1 pairs of words that were there before; with fewer no window is looked at
+    pairs = "zip_with(slice(h, 1, greatest(size(h) - 1, 0)), slice(h, 2, greatest(size(h) - 1, 0)), (a, b) -> xxhash64(a, b))"
+    again = bound("p", pairs, f"size(p) - size(array_distinct(p)) >= {WINDOW - 1}")
+    grams = f"transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(WINDOW))}))"
+    twice = "array_sort(transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].g = x.g) OR (k < size(s) - 1 AND s[k + 1].g = x.g)), x -> x.i))"
+    covered = f"aggregate(t, named_struct('n', 0L, 'end', 0), (a, i) -> named_struct('n', a.n + i + {WINDOW} - greatest(a.end, i), 'end', i + {WINDOW}), a -> a.n)"
+    repeated = bound("s", "array_sort(transform(g, (x, i) -> named_struct('g', x, 'i', i)))", bound("t", twice, covered))
+    counted = bound("g", grams, f"CASE WHEN size(array_distinct(g)) = size(g) THEN 0L ELSE {repeated} END")
+    out = out.withColumn("n_repeat_words", F.expr(bound("h", "_hashes", f"CASE WHEN size(h) > {WINDOW} AND {again} THEN {counted} ELSE 0L END")))
     return out.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
