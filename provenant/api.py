@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import wraps
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .operators import explore, retrieval, scoring, trace, tree
 from .sources.config import redact
 
-#: Limits of the tools.
-LIMITS = {"top_k": 100, "batch_queries": 50, "versions": 20, "key_patterns": 50, "context_window": 1000, "query_chars": 10_000}
+#: Limits of the tools.
+LIMITS = {"top_k": 100, "batch_queries": 50, "versions": 20, "key_patterns": 50, "context_window": 1000, "query_chars": 10_000, "cached": 1024}
 
 
 class InvalidArgument(ValueError):
@@ -88,7 +90,8 @@ class Store:
         if name.startswith("_") or name in ("tables", "path", "spark"):
             raise AttributeError(name)
         if name not in self.tables:
-            self.tables[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet" if self.path.endswith("/tables") else f"{self.path}/{name}")
+            at = f"{self.path}/{name}.parquet" if self.path.endswith("/tables") else f"{self.path}/{name}"
+            self.tables[name] = self.spark.read.parquet(at).drop("bucket")  # a matter of storage
         return self.tables[name]
 
 
@@ -234,6 +237,53 @@ def build_tree(store: Store, items: DataFrame) -> DataFrame:
     return tree.build(items)
 
 
+class Cache:
+    """Results of tools by their arguments, the least lately used going first; a version that changes is forgotten whole."""
+
+    def __init__(self, size: int = LIMITS["cached"]):
+        self.size, self.held, self.hits, self.misses = size, OrderedDict(), 0, 0
+
+    def get(self, f: Callable[..., DataFrame], store: Store, version_id: str, **arguments: Any) -> DataFrame:
+        """The tool's result, kept by Spark."""
+        key = (f.__name__, version_id, json.dumps(arguments, sort_keys=True, default=str))
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+        else:
+            self.misses += 1
+            self.held[key] = f(store, version_id, **arguments).persist()
+            if len(self.held) > self.size:
+                self.held.popitem(last=False)[1].unpersist()
+        return self.held[key]
+
+    def forget(self, version_id: str | None = None) -> None:
+        """Drop a version's results, or all."""
+        for key in [k for k in self.held if version_id in (None, k[1])]:
+            self.held.pop(key).unpersist()
+
+    def stats(self) -> dict[str, int]:
+        """Size, hits and misses."""
+        return {"size": len(self.held), "hits": self.hits, "misses": self.misses}
+
+
+@tool
+def resource(store: Store, uri: str) -> DataFrame | dict[str, Any]:
+    """What a URI names: unit/ID, chunk/ID, outline/VERSION, limits or health."""
+    kind, _, key = need_text("uri", uri).partition("/")
+    if kind == "limits":
+        return LIMITS
+    if kind == "health":
+        return health()
+    if kind == "unit" and key:
+        return explore.unit_evidence(store.units.where(F.col("unit_id") == key), store.spans, store.chunks, store.pages)
+    if kind == "chunk" and key:
+        mine = store.chunks.where(F.col("chunk_id") == key).join(store.pages.select("version_id", "page_idx", "coord_sys", "page_w", "page_h"), ["version_id", "page_idx"], "left")
+        return mine.join(retrieval.evidence_units(store.spans.where(F.col("chunk_id") == key), store.units), "chunk_id", "left")
+    if kind == "outline" and key:
+        return explore.outline(store.nodes.where(F.col("version_id") == key), store.chunks.where(F.col("version_id") == key))
+    raise InvalidArgument(f"unknown resource {uri}")
+
+
 def health() -> dict[str, Any]:
     """Calls, errors and mean seconds of the tools, and the limits."""
     return {"tools": {k: {"calls": n, "errors": METRICS.errors.get(k, 0), "mean_seconds": METRICS.seconds.get(k, 0.0) / n} for k, n in METRICS.calls.items()}, "limits": LIMITS}

@@ -6,9 +6,14 @@ A judge is a function from a DataFrame of gated evidence (version_id, dimension,
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from decimal import Decimal
+from typing import Any
+from uuid import UUID
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,3 +88,75 @@ def backend(name: str, judge: Judge | None = None, weight: float | None = None)
     if name not in made:
         raise ValueError(f"scoring_backend_unknown: {name}")
     return made[name]
+
+
+# -- a judge behind a model -----------------------------------------------------------------------
+
+
+def plain(value: Any) -> Any:
+    """A value as JSON has it: ids as strings, whole decimals as ints, others as floats, members likewise."""
+    if isinstance(value, UUID):
+        return str(value)
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    if isinstance(value, Mapping):
+        return {str(k): plain(v) for k, v in value.items()}
+    return [plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def parse_reply(text: str) -> list[dict[str, Any]]:
+    """The dimensions (name, score, risk_level) of a model's reply: JSON, bare, fenced or amid other text; a list, or an object under ``dimensions``."""
+    inside = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+    body = inside[1] if inside else text
+    for opening, closing in sorted((("{", "}"), ("[", "]")), key=lambda x: (body.find(x[0]) < 0, body.find(x[0]))):
+        begin, end = body.find(opening), body.rfind(closing)
+        if 0 <= begin < end:
+            try:
+                data = json.loads(body[begin : end + 1])
+                break
+            except json.JSONDecodeError:
+                continue
+    else:
+        raise ValueError("the reply holds no JSON")
+    rows = data.get("dimensions", data) if isinstance(data, dict) else data
+    if isinstance(rows, dict):
+        rows = [{"name": k, **(v if isinstance(v, dict) else {"score": v})} for k, v in rows.items()]
+    return [{"name": str(r.get("name") or r.get("dimension")), "score": r.get("score"), "risk_level": r.get("risk_level")} for r in rows if isinstance(r, dict) and (r.get("name") or r.get("dimension"))]
+
+
+def converse(complete: Callable[[list[dict]], dict], prompt: str, tools: Mapping[str, Callable[..., Any]], max_turns: int = 8) -> str:
+    """A model's final text: ``complete`` maps messages to {"text"} or {"calls": [{"id", "name", "arguments"}]}; calls are answered until there are none."""
+    messages: list[dict] = [{"role": "user", "content": prompt}]
+    for _ in range(max_turns):
+        said = complete(messages)
+        if not said.get("calls"):
+            return said.get("text") or ""
+        messages.append({"role": "assistant", "calls": said["calls"]})
+        for call in said["calls"]:
+            try:
+                if call["name"] not in tools:
+                    raise KeyError(f"unknown tool {call['name']}")
+                result = plain(tools[call["name"]](**(call.get("arguments") or {})))
+            except Exception as e:  # the model is told, and may do better
+                result = {"error": f"{type(e).__name__}: {e}"}
+            messages.append({"role": "tool", "id": call.get("id"), "content": json.dumps(result, ensure_ascii=False)})
+    raise TimeoutError(f"no answer within {max_turns} turns")
+
+
+def model_judge(complete: Callable[[list[dict]], dict], policy: str = "", max_turns: int = 8) -> Judge:
+    """A judge that asks a model once a version, in a task; the evidence of each dimension (the analyser's cap bounds it) is read by a tool.  A reply that cannot be read gives no rows."""
+
+    def judge(usable: DataFrame) -> DataFrame:
+        def of_version(rows):
+            by = {d: g[["chunk_id", "page_idx", "text_raw"]].astype(object).where(g[["chunk_id", "page_idx", "text_raw"]].notna(), None).to_dict("records") for d, g in rows.groupby("dimension")}
+            prompt = f"{policy}\nScore these dimensions from their evidence: {', '.join(sorted(by))}".strip()
+            try:
+                parsed = parse_reply(converse(complete, prompt, {"evidence": lambda dimension: by[dimension]}, max_turns))
+            except (ValueError, TimeoutError):
+                parsed = []
+            out = [(rows["version_id"].iloc[0], p["name"], None if p["score"] is None else str(p["score"]), p["risk_level"]) for p in parsed if p["name"] in by]
+            return type(rows)(out, columns=["version_id", "dimension", "score", "risk_level"])
+
+        return usable.groupBy("version_id").applyInPandas(of_version, "version_id string, dimension string, score string, risk_level string")
+
+    return judge

@@ -107,6 +107,13 @@ def contextual(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.withColumn("contextual_text", F.when(title.isNotNull(), F.concat(F.lit("["), title, F.lit("] "), F.col("text_raw"))).otherwise(F.col("text_raw"))).withColumnRenamed("as_of_heading", "section_title")
 
 
+def capped(nodes: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The nodes of versions that have at most ``most``, and (version_id, nodes) of the others, which a tree job refuses."""
+    sizes = nodes.groupBy("version_id").agg(F.count("*").alias("nodes"))
+    over = sizes.where(F.col("nodes") > most)
+    return nodes.join(over, "version_id", "left_anti"), over
+
+
 def contextual_search(chunks: DataFrame, queries: DataFrame, top_k: int, min_similarity: float | None = None) -> DataFrame:
     """The nearest chunks of ``contextual`` (their vectors are those of contextual_text), as ``vector_search`` finds them."""
     return vector_search(chunks.where("contextual_text <> ''"), queries, top_k, min_similarity)
