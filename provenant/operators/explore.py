@@ -212,3 +212,20 @@ def topic_highlights(targets: DataFrame, most: int = 100) -> DataFrame:
     """The first ``most`` chunks of each version and topic, by rank."""
     nth = F.row_number().over(Window.partitionBy("version_id", "topic").orderBy("rank", "chunk_id"))
     return targets.withColumn("nth", nth).where(F.col("nth") <= most)
+
+
+def tool_metrics(calls: DataFrame) -> DataFrame:
+    """Per tool: calls, errors and mean milliseconds, from a log of calls (tool, ok, ms)."""
+    return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.round(F.avg("ms"), 2).alias("mean_ms"))
+
+
+def run_summary(runs: DataFrame, citations: DataFrame) -> DataFrame:
+    """Runs with their number of citations and of dimensions cited; runs without any have none of both."""
+    counts = citations.groupBy("run_id").agg(F.count("*").alias("citations"), F.count_distinct("dimension").alias("dimensions"))
+    return runs.join(counts, "run_id", "left").fillna(0, ["citations", "dimensions"])
+
+
+def merge_distinct(*lists: Column) -> Column:
+    """Lists as one without repeats, each member where it came first; null lists are empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*(F.coalesce(x, none) for x in lists))))

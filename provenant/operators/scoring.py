@@ -42,6 +42,10 @@ SAID = {
 SAID_OF = {"risk": (("检测到", "关键词：'"), "'。需确认具体数值和条件。"), "benefit": (("发现", "：'"), "'。可作为评分优势。")}
 WORDS_FOR = {"lifelong": ("终生", "终身", "永久"), "whole": ("整机",), "on_site": ("现场", "上门"), "operation": ("操作", "使用"), "upkeep": ("维护", "保养")}
 MARKS, ORIGINAL = {"risk": "⚠️", "benefit": "✅", "info": "ℹ️"}, "\n\n原文: "
+#: Recommendations for a dimension of high risk, for one without a chunk, and for a version without either.
+ADVICE = {"warranty": "[质保] 质保期偏短，建议确认是否可延长或增加服务承诺", "delivery": "[交付] 响应时间较慢，建议确认紧急情况处理流程", "training": "[培训] 培训时间不足，建议增加实操培训天数", "financial": "[商务] 付款条件较为严格，建议评估资金压力"}
+LACKING = {"warranty": "[质保] 文档未找到质保条款，需补充", "delivery": "[交付] 文档未明确交付时间，需确认"}
+ALL_WELL = "投标文档整体较为完整，建议按常规流程评审"
 LEVEL_NAMES = {"high": "高风险", "medium": "中风险", "low": "低风险"}
 INSIGHT = "struct<category:string,title:string,content:string,risk_level:string>"
 
@@ -229,14 +233,11 @@ def overall(results: DataFrame) -> DataFrame:
 
 def recommendations(results: DataFrame) -> DataFrame:
     """version_id and its list of recommendations, in order of the dimensions."""
-    # Fixed values.
-    high = {"warranty": "[质保] 质保期偏短，建议确认是否可延长或增加服务承诺", "delivery": "[交付] 响应时间较慢，建议确认紧急情况处理流程", "training": "[培训] 培训时间不足，建议增加实操培训天数", "financial": "[商务] 付款条件较为严格，建议评估资金压力"}
-    missing = {"warranty": "[质保] 文档未找到质保条款，需补充", "delivery": "[交付] 文档未明确交付时间，需确认"}
     look = lambda table: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col("dimension"))
     order = F.element_at(F.create_map(*(x for i, d in enumerate(DIMENSIONS) for x in (F.lit(d.name), F.lit(i)))), F.col("dimension"))
-    said = F.array_compact(F.array(F.when(F.col("risk_level") == "high", look(high)), F.when(F.col("chunks_found") == 0, look(missing))))
+    said = F.array_compact(F.array(F.when(F.col("risk_level") == "high", look(ADVICE)), F.when(F.col("chunks_found") == 0, look(LACKING))))
     each = results.select("version_id", F.struct(order.alias("o"), said.alias("said")).alias("x")).groupBy("version_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"])).alias("said"))
-    return each.select("version_id", F.when(F.size("said") > 0, F.col("said")).otherwise(F.array(F.lit("投标文档整体较为完整，建议按常规流程评审"))).alias("recommendations"))
+    return each.select("version_id", F.when(F.size("said") > 0, F.col("said")).otherwise(F.array(F.lit(ALL_WELL))).alias("recommendations"))
 
 
 # -- comparison -----------------------------------------------------------------------------------

@@ -47,7 +47,8 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def level(key: str, parent: Column, number: int, kind: str, children: str, text: Column, heading: Column) -> DataFrame:
-        part = F.array_sort(F.collect_list(F.struct("pos", "body", F.col(children).alias("child"))))
+        # bodies are gathered only where they make the content: a section or root would hold all of its version
+        part = F.array_sort(F.collect_list(F.struct("pos", *(["body"] if number < 2 else []), F.col(children).alias("child"))))
         grouped = leaves.groupBy("version_id", F.col(key).alias("node_id"), parent.alias("parent_id")).agg(
             part.alias("parts"), F.min_by("page", "pos").alias("page_start"), F.min("page").alias("page_low"), F.max("page").alias("page_end"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.array_sort(F.collect_set("type")).alias("element_types"),
             F.min_by(F.when(F.col("heading"), F.col("body")), "pos").alias("title"), F.count("*").alias("leaf_count"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("chunks"),

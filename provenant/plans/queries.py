@@ -999,3 +999,57 @@ def _(t):
     every = scoring.insights(_said(F.col("doc_id")), "warranty")
     of = lambda kind: F.size(F.filter("every", lambda x: x["category"] == kind)).cast("long")
     return t("documents").select("doc_id", every.alias("every")).select("doc_id", of("risk").alias("risks"), of("benefit").alias("benefits"), of("info").alias("infos"))
+
+
+@register("tool_metrics", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE value >= 10) AS errors, round(avg(value), 2) AS mean_ms FROM events GROUP BY 1")
+def _(t):
+    return explore.tool_metrics(t("events").select(F.col("event_type").alias("tool"), (F.col("value") < 10).alias("ok"), F.col("value").alias("ms")))
+
+
+@register("run_summary", "SELECT c_custkey AS run_id, count(o_orderkey) AS citations, count(DISTINCT o_orderpriority) AS dimensions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(t):
+    cited = t("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("dimension"))
+    return explore.run_summary(t("customer").select(F.col("c_custkey").alias("run_id")), cited)
+
+
+@register("merge_distinct", "SELECT doc_id, CASE WHEN lang = source THEN lang ELSE concat_ws(',', lang, source) END || ',z' AS merged FROM documents")
+def _(t):
+    merged = explore.merge_distinct(F.array("lang", "source"), F.lit(None).cast("array<string>"), F.array("source", F.lit("z"), "lang"))
+    return t("documents").select("doc_id", F.array_join(merged, ",").alias("merged"))
+
+
+@register("agent_normalize", """SELECT n_name AS version_id, d.dimension, CASE WHEN a IS NULL OR n IS NULL THEN 50.0 ELSE least(100.0, greatest(0.0, a)) END::DOUBLE AS score, coalesce(n, 0)::BIGINT AS citations, CASE WHEN a IS NULL THEN 'agent_mcp_dimension_missing:' || d.dimension WHEN n IS NULL THEN 'agent_mcp_dimension_no_verifiable_evidence:' || d.dimension END AS warning
+  FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS dimension FROM customer) d LEFT JOIN (SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal) / 40 - 20, 6) AS a FROM customer WHERE c_acctbal > 3000 GROUP BY ALL) g ON c_nationkey = n_nationkey AND c_mktsegment = d.dimension
+  LEFT JOIN (SELECT c_nationkey AS k, c_mktsegment AS m, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY ALL) e ON k = n_nationkey AND m = d.dimension""")
+def _(t):
+    n = t("nation").select("n_nationkey", F.col("n_name").alias("version_id"))
+    c = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("dimension", F.col("c_mktsegment"))
+    segments = F.explode(F.lit([r[0] for r in t("customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()])).alias("dimension")  # a handful
+    given = c.where("c_acctbal > 3000").groupBy("version_id", "dimension").agg(F.round(F.avg("c_acctbal") / 40 - 20, 6).alias("score")).withColumn("risk_level", F.lit("low"))
+    out = scoring.normalize_agent(n.select("version_id", segments), given, c.where("c_acctbal > 5000"))
+    return longs(out.select("version_id", "dimension", "score", "citations", "warning"))
+
+
+@register("recommendation_rows", f"""SELECT version_id, concat_ws('|', CASE WHEN high > 0 THEN '{scoring.ADVICE["warranty"]}' END, CASE WHEN n = 0 THEN '{scoring.LACKING["delivery"]}' END, CASE WHEN high = 0 AND n > 0 THEN '{scoring.ALL_WELL}' END) AS said FROM (SELECT c_custkey AS version_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS high, count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)""")
+def _(t):
+    o = t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("version_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("high"), F.count_if(F.col("o_orderstatus") == "O").alias("n"))
+    warranty = o.select("version_id", F.lit("warranty").alias("dimension"), F.when(F.col("high") > 0, "high").otherwise("low").alias("risk_level"), F.lit(1).cast("long").alias("chunks_found"))
+    delivery = o.select("version_id", F.lit("delivery").alias("dimension"), F.lit("low").alias("risk_level"), F.col("n").alias("chunks_found"))
+    return scoring.recommendations(warranty.unionByName(delivery)).select("version_id", F.array_join("recommendations", "|").alias("said"))
+
+
+@register("page_filter", f"SELECT version_id, page_idx, count(*) AS chunk_count FROM {CHUNKS} WHERE page_idx IN (1, 5, 39) GROUP BY ALL")
+def _(t):
+    c = t.chunks()
+    return longs(explore.page_metadata(c.where(F.col("page_idx").isin(1, 5, 39)), c.select("version_id", "page_idx").distinct()).select("version_id", "page_idx", "chunk_count"))
+
+
+@register("located_citations", f"SELECT chunk_id::VARCHAR AS chunk_id, has_box AND page_idx IS NOT NULL AS located FROM {GATED}")
+def _(t):
+    return trace.located(_gated(t)).select("chunk_id", F.col("locator").isNotNull().alias("located"))
+
+
+@register("point_lookup", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents WHERE doc_id = (SELECT max(doc_id) FROM labels WHERE quality = 1)")
+def _(t):
+    best = t("labels").where("quality = 1").agg(F.max("doc_id").alias("doc_id"))
+    return longs(t("documents").join(F.broadcast(best), "doc_id").select("doc_id", F.size(F.split("text", "\n")).alias("lines")))

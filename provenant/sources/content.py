@@ -111,3 +111,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("run_id"), F.parse_json("value").alias("v"))
     get = lambda p, kind: F.try_variant_get("v", p, kind)
     return raw.select("run_id", get("$.status", "string").alias("status"), F.coalesce(get("$.warnings", "array<string>"), F.array().cast("array<string>")).alias("warnings"), get("$.scoring.overall_score", "double").alias("overall_score"), get("$.scoring.risk_level", "string").alias("risk_level"), get("$.traceability.citation_count_total", "int").alias("citations"), get("$.traceability.citation_coverage_ratio", "double").alias("coverage"))
+
+
+def read_version_map(spark: SparkSession, path: str) -> DataFrame:
+    """scenario and version_id of a JSON object that maps the one to the other."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    return raw.select(F.explode("m").alias("scenario", "version_id"))
