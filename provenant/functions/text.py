@@ -6,7 +6,7 @@ more control characters as space; the patterns here follow Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -98,19 +98,32 @@ def numbers(c: Column | str, pattern: str) -> Column:
     return F.transform(found, lambda x: F.translate(x, "０１２３４５６７８９", "0123456789").try_cast("int"))
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine similarity in double precision; 0 where a norm is 0, an error where lengths differ."""
-    x, y = F.transform(_col(a), lambda v: v.cast("double")), F.transform(_col(b), lambda v: v.cast("double"))
-    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+def _doubles(c: Column | str) -> Column:
+    return F.transform(_col(c), lambda v: v.cast("double"))
+
+
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p * p))
+
 
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p * p))
+def with_norm(df: DataFrame, vector: str, norm: str) -> DataFrame:
+    """The rows with a vector in double precision and its length, so that pairs need not make either again."""
+    return df.withColumn(vector, _doubles(vector)).withColumn(norm, _norm(F.col(vector)))
 
-    size = norm(x) * norm(y)
+
+def cosine_of(a: Column | str, b: Column | str, size: Column) -> Column:
+    """Cosine similarity of vectors in double precision whose lengths multiply to ``size``; 0 where that is 0, an error where dimensions differ."""
+    dot = F.aggregate(F.zip_with(_col(a), _col(b), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     safe = F.when(size == 0, F.lit(0.0)).otherwise(dot / size)
     return F.when(F.size(_col(a)) == F.size(_col(b)), safe).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine similarity in double precision; 0 where a norm is 0, an error where lengths differ."""
+    x, y = _doubles(a), _doubles(b)
+    return cosine_of(x, y, _norm(x) * _norm(y))
+
+
 def risk_rank(c: Column | str) -> Column:
     """low 0, medium 1, high 2; anything else counts as medium."""
     return F.when(_col(c) == "low", 0).when(_col(c) == "high", 2).otherwise(1)

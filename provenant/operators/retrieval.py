@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, has_cjk, preview
+from ..functions.text import cosine_of, has_cjk, preview, with_norm
 
 RRF_K = 60
 #: Statuses of evidence, and characters that a full-text keyword loses.
@@ -47,8 +47,9 @@ def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int, min_similar
 
     ``queries`` is a stated set; each is compared with all chunks of its version.
     """
-    q = queries.where("embedding IS NOT NULL").select("query_id", "version_id", F.col("embedding").alias("query_embedding"))
-    scored = meet(chunks.where("embedding IS NOT NULL").select("version_id", "chunk_id", "embedding"), q).select("query_id", "chunk_id", cosine("embedding", "query_embedding").alias("score"))
+    q = with_norm(queries.where("embedding IS NOT NULL").select("query_id", "version_id", F.col("embedding").alias("query_embedding")), "query_embedding", "query_norm")
+    c = with_norm(chunks.where("embedding IS NOT NULL").select("version_id", "chunk_id", "embedding"), "embedding", "norm")
+    scored = meet(c, q).select("query_id", "chunk_id", cosine_of("embedding", "query_embedding", F.col("norm") * F.col("query_norm")).alias("score"))
     if min_similarity is not None:
         scored = scored.where(F.col("score") >= min_similarity)
     return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
