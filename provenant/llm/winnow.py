@@ -143,8 +143,8 @@ def bitmap(hashes: DataFrame, column: str, n: int) -> np.ndarray:
     bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for r in hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
-        out[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
