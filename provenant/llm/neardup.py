@@ -1,8 +1,10 @@
 """Near-duplicates by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every distinct text has ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles; two texts of
+Two ways propose which texts to compare.  SimHash: every distinct text has a fingerprint of its shingles, and the grids of
+``simhash.links`` join those within ``BITS`` bits.  Similarity 0.8 is about ten of 64 bits, beyond any grid, so every text
+also has ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles; two texts of
 similarity 0.8 share no key with chance (1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000, and less the more alike
-they are.  Keys only propose: texts that share keys, directly or through others, are a family, and in a family all
+they are.  Texts that are proposed with one another, directly or through others, are a family, and in a family all
 texts are compared.  Its texts are dealt to blocks of about ``MEMBERS``; each pair of blocks meets in one
 group of rows, where the shingles that any two share are counted by one product of matrices, and only a forest of the links
 found there is returned (each verified on the shingles themselves), so neither pairs nor links grow with the square of a family.
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut
 from .simhash import components
 from .winnow import Words, _mix, _pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
-ROWS, BANDS = 5, 24
+BITS, ROWS, BANDS = 2, 5, 24
 #: Texts, and bytes of text, that are hashed at once.
 AT_ONCE, CHUNK = 256, 400_000
 #: Texts, and shingles, of a block; up to ``FEW`` texts are compared one by one; shingles whose counts are multiplied at once.
@@ -70,31 +73,36 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, h, np.searchsorted(doc, np.arange(len(texts)))
 
 
-def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles of each text, and its keys."""
+def described(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of distinct shingles of each text, its keys, and the fingerprint of its distinct shingles."""
     _, h, start = hashed(texts)
     out = np.zeros((len(texts), BANDS), np.uint64)
     for k in range(ROWS * BANDS):
         band = k // ROWS
         out[:, band] = _mix(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], start) + np.uint64(band))
-    return np.diff(np.append(start, len(h))), out
+    return np.diff(np.append(start, len(h))), out, simhash.fold(h, start)
+
+
+def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles of each text, and its keys."""
+    return described(texts)[:2]
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """node, n (distinct shingles) and keys of each row of (node, text)."""
+    """node, n (distinct shingles), keys and fp (fingerprint) of each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(first, AT_ONCE)
                 for at, some in _pieces([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], CHUNK):
-                    n, found = keys(some)
+                    n, found, fps = described(some)
                     flat = pa.array(found.view(np.int64).ravel())
                     rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(some)), pa.array(n, pa.int64()), rows], ["node", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(some)), pa.array(n, pa.int64()), rows, pa.array(fps.view(np.int64))], ["node", "n", "keys", "fp"])
         pa.default_memory_pool().release_unused()  # workers live on
 
-    return texts.mapInArrow(run, "node long, n long, keys array<long>")
+    return texts.mapInArrow(run, "node long, n long, keys array<long>, fp long")
 
 
 def forest(texts: list[bytes], side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -168,11 +176,17 @@ def compared(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the texts (by their xxhash64) that are alike with others, directly or through others."""
     given = docs.select(F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = cut(keyed(given).dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")))
+    told = cut(keyed(given).dropDuplicates(["node"]))
+    placed = told.select("node", F.explode("keys").alias("key"))
     crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    shared = placed.join(crowd, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    family = components(shared)
-    counted = family.join(placed.select("node", "n").distinct(), "node")
+    shared = placed.join(crowd, "key").where("a <> node").select("a", F.col("node").alias("b"))
+    points = cut(told.groupBy("fp").agg(F.min("node").alias("first")))
+    same = told.join(points, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(points.select("fp"), BITS).toDF("x", "y")
+    for c, end in (("x", "a"), ("y", "b")):
+        near = near.join(points.select(F.col("fp").alias(c), F.col("first").alias(end)), c)
+    family = components(shared.unionByName(same).unionByName(near.select("a", "b")).distinct())
+    counted = family.join(told.select("node", "n"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
     sized = counted.groupBy("root").agg(blocks.alias("blocks"))
     members = cut(family.join(sized, "root"))

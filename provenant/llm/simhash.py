@@ -65,6 +65,19 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fold(hashes: np.ndarray, start: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """The fingerprints of many texts from the 64-bit hashes of their shingles, by text; ``start``: where each text's (one at least) begin."""
+    size = np.diff(np.append(start, len(hashes)))
+    counts = np.zeros((len(start), 64), np.int64)
+    for a in range(0, len(hashes), at_once):
+        part = hashes[a : a + at_once]
+        first = int(np.searchsorted(start, a, "right")) - 1
+        last = int(np.searchsorted(start, a + len(part), "left"))
+        bits = np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts[first:last] += np.add.reduceat(bits, np.maximum(start[first:last] - a, 0), axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """``keep`` columns, text_hash and fp (long) of every row."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + (", " if keep else "") + "text_hash long, fp long"

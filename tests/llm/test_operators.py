@@ -105,6 +105,19 @@ def test_simhash_matches_brute_force(docs, plain):
     assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
 
 
+def test_fold_is_the_fingerprint():
+    r = np.random.default_rng(3)
+    sizes = [1, 3, 500, 1, 64, 2000, 7]
+    h = r.integers(0, 1 << 63, sum(sizes)).astype(np.uint64) * np.uint64(3)
+    start = np.cumsum([0, *sizes[:-1]])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in part) > len(part)) for part in np.split(h, start[1:])]
+    for at_once in (1, 64, 1000, 1 << 17):
+        assert simhash.fold(h, start, at_once).tolist() == want
+    words = [f"w{i}".encode() for i in range(30)]
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(28)], np.uint64)
+    assert int(simhash.fold(hashes, np.array([0]))[0]) == simhash.fingerprint(words)
+
+
 @pytest.mark.parametrize(("bits", "cell"), [(1, 48), (2, 48), (1, 4), (2, 4), (1, 1), (2, 1)])
 def test_links_join_crowded_cells_too(spark, bits, cell, monkeypatch):
     """Fingerprints around a few centres overfill cells; components must equal brute force."""
