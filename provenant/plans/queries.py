@@ -932,7 +932,7 @@ def _(t):
     units = units.withColumn("unit_hash", F.when(F.col("source_element_id") == "src0", F.lit("odd")).otherwise(X.unit_hash("text_raw", "anchor_json", "source_element_id")))
     l = t("lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("chunk_id")).distinct().withColumn("unit_order", F.lit(0))
     chunks = t("part").select(F.lit("v").alias("version_id"), F.col("p_partkey").alias("chunk_id"), F.lit(0).alias("page_idx"), F.col("p_name").alias("source_id"))
-    pages = t.spark.createDataFrame([("v", 0, "mineru_bbox_v1")], "version_id string, page_idx int, coord_sys string")
+    pages = t.spark.createDataFrame([("v", 0, ingest.COORDS)], "version_id string, page_idx int, coord_sys string")
     out = explore.unit_evidence(units, l, chunks, pages).where("chunks IS NOT NULL")
     return longs(out.select("unit_id", "hash_valid", F.size("chunks").cast("long").alias("chunks")))
 
