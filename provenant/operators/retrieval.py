@@ -57,7 +57,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int, min_similar
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}_]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
 def keyword_lexemes(keyword: Column) -> Column:
@@ -113,12 +113,17 @@ def keyword_hits(chunks: DataFrame, queries: DataFrame, any_keyword: bool = True
     q = q.withColumn("simple", F.forall("dnf", lambda k: F.size(k) == 1) if any_keyword else F.size("dnf") + F.size(F.get("dnf", F.lit(0))) == 2)
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     sought = q.groupBy("version_id").agg(every(F.flatten("dnf")).alias("sought words"), every("keys").alias("sought keys"))
+    # a query's words and keywords by their places among those of its version, so that each is counted in a chunk once for all queries
+    place = lambda listed, t: (F.array_position(listed, t) - 1).cast("int")
+    q = q.join(sought, "version_id").select("query_id", "version_id", "cjk", "simple", "dnf", F.transform("dnf", lambda k: F.transform(k, lambda t: place("sought words", t))).alias("word places"), F.transform("keys", lambda k: place("sought keys", k)).alias("key places"))
     low = F.lower("text_raw")
     inside = lambda of: F.exists(of, lambda k: F.contains(F.col("low"), k))
     near = meet(chunks.select("version_id", "chunk_id", "text_raw"), sought).withColumn("low", low).where(inside("sought words") | inside("sought keys"))
     found = F.filter(F.transform(tokens("text_raw"), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("sought words", x["word"]))
-    read = near.select("version_id", "chunk_id", found.alias("found"), F.filter("sought keys", lambda k: F.contains(F.col("low"), k)).alias("held"))
-    counts = F.transform("dnf", lambda k: F.array_min(F.transform(k, lambda t: F.size(F.filter("found", lambda x: x["word"] == t)))))
+    # bound in an array of one: as a column used inside a lambda only, it would be made again for every word
+    told = F.transform(F.array(found), lambda f: F.struct(f.alias("found"), F.transform("sought words", lambda w: F.size(F.filter(f, lambda x: x["word"] == w))).alias("times")))[0]
+    read = near.select("version_id", "chunk_id", told.alias("told"), F.transform("sought keys", lambda k: F.contains(F.col("low"), k)).alias("held")).select("version_id", "chunk_id", "told.found", "told.times", "held")
+    counts = F.transform("word places", lambda k: F.array_min(F.transform(k, lambda i: F.get("times", i))))
     met = meet(read, q).withColumn("counts", counts)
     matched = (F.size("dnf") > 0) & (F.exists("counts", lambda n: n > 0) if any_keyword else F.forall("counts", lambda n: n > 0))
     weight = F.when(matched, 0.1 * F.aggregate("counts", F.lit(0), lambda a, n: a + n))
@@ -132,10 +137,20 @@ def keyword_hits(chunks: DataFrame, queries: DataFrame, any_keyword: bool = True
         covers = F.pandas_udf(weigh, "double").asNondeterministic()  # so that no filter on the result carries it into a join
         met = met.withColumn("covers", covers(only(F.col("found.at")), only(F.col("found.word")), "dnf"))
         weight = F.when(F.col("simple"), weight).when(matched, F.col("covers"))
-    hits = F.size(F.filter("keys", lambda k: F.array_contains("held", k)))
+    hits = F.size(F.filter("key places", lambda i: F.get("held", i)))
     return met.select("query_id", "chunk_id", "cjk", weight.alias("w"), hits.alias("hits")).select("query_id", "chunk_id", "cjk", (F.col("w") / (F.col("w") + 1)).alias("full"), "hits")
 
 
+def _score(kind: int, column: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.col(column).cast("double").alias("score"))
+
+
+def _scores(hits: DataFrame, *scores: Column) -> DataFrame:
+    """query_id, chunk_id, kind and score of each score that is not null; an outer explode, as no filter then carries the counting into a join a second time."""
+    each = hits.select("query_id", "chunk_id", F.explode_outer(F.array(*scores)).alias("x")).where("x IS NOT NULL")
+    return each.select("query_id", "chunk_id", "x.kind", "x.score")
+
+
 def best(scored: DataFrame, top_k: int) -> DataFrame:
     """The first 2 * top_k of each query by score, with rank0."""
     return scored.withColumn("rank0", rank0(F.col("score").desc(), F.col("chunk_id"))).where(F.col("rank0") < 2 * top_k)
@@ -143,7 +158,7 @@ def best(scored: DataFrame, top_k: int) -> DataFrame:
 
 def fulltext_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
     """query_id, chunk_id, score and rank0: chunks with all words of any keyword (or of all), ranked by cover density."""
-    return best(keyword_hits(chunks, queries, any_keyword).where("full IS NOT NULL").select("query_id", "chunk_id", F.col("full").alias("score")), top_k)
+    return best(_scores(keyword_hits(chunks, queries, any_keyword), F.when(F.col("full").isNotNull(), _score(1, "full"))).drop("kind"), top_k)
 
 
 def websearch(query: Column) -> Column:
@@ -155,15 +170,14 @@ def websearch(query: Column) -> Column:
 
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, chunk_id, score and rank0: chunks in which any keyword occurs, by how many of them do."""
-    return best(keyword_hits(chunks, queries).where("hits > 0").select("query_id", "chunk_id", F.col("hits").cast("double").alias("score")), top_k)
+    return best(_scores(keyword_hits(chunks, queries), F.when(F.col("hits") > 0, _score(0, "hits"))).drop("kind"), top_k)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
     """Full-text search; by substring for queries with a CJK keyword and for those whose full-text search is empty."""
     cleaned = queries.withColumn("keywords", F.filter(F.transform("keywords", lambda k: F.trim(F.translate(k, '"', " "))), lambda k: k != ""))
-    full = F.when(~F.col("cjk") & F.col("full").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("full").alias("score")))
-    part = F.when(F.col("hits") > 0, F.struct(F.lit(0).alias("kind"), F.col("hits").cast("double").alias("score")))
-    both = keyword_hits(chunks, cleaned, any_keyword).select("query_id", "chunk_id", F.explode(F.array_compact(F.array(full, part))).alias("x")).select("query_id", "chunk_id", "x.kind", "x.score")
+    full, part = F.when(~F.col("cjk") & F.col("full").isNotNull(), _score(1, "full")), F.when(F.col("hits") > 0, _score(0, "hits"))
+    both = _scores(keyword_hits(chunks, cleaned, any_keyword), full, part)
     within = Window.partitionBy("query_id", "kind").orderBy(F.col("score").desc(), "chunk_id")
     ranked_ = both.withColumn("rank0", F.row_number().over(within) - 1).where(F.col("rank0") < 2 * top_k)
     return ranked_.withColumn("best", F.max("kind").over(Window.partitionBy("query_id"))).where("kind = best").select("query_id", "chunk_id", "score", "rank0")
