@@ -35,7 +35,10 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What lower-cased texts with an assignment hold.
+NAMED = ("passw", "secret", "token", "api")
+
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"  # looking back spares a try at every character of a word
 #: A run is tried whole, then in the parts between these; a part counts where nothing before it was found.
 WAYS = ("/", "[_-]", "[/_-]")
 ALPHA, RATE = 0.001, 0.01
@@ -170,7 +173,10 @@ def with_spans(docs: DataFrame, text: str = "text", limits: list[float] | None =
     own = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"own {i}") for i, c in enumerate(own)), clean(F.col(text)).alias("_text"))
     for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
-        inner = inner.withColumn(f"_{kind}_parts", pieces(F.col("_text"), pattern)).withColumn(f"_{kind}", F.expr(located(f"_{kind}_parts")))
+        parts = pieces(F.col("_text"), pattern)
+        if kind == "assign":
+            parts = F.when(F.expr(bound("low", "lower(_text)", " OR ".join(f"contains(low, '{n}')" for n in NAMED))), parts).otherwise(F.array(F.lit("")))
+        inner = inner.withColumn(f"_{kind}_parts", parts).withColumn(f"_{kind}", F.expr(located(f"_{kind}_parts")))
     inner = inner.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 8))
     inner = with_runs(inner, "_text")
     struct = "named_struct('start', s.start, 'order', {0}, 'end', s.end, 'kind', '{1}')"
