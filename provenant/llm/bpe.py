@@ -242,6 +242,11 @@ def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
+def tidy() -> None:
+    """Give back what Arrow holds unused: workers live on between batches and stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """Texts in pieces of about CHUNK_CHARS characters."""
     out, chars = [], 0
@@ -373,6 +378,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
                     cols += [pa.array([list(b[k]) for b in both], pa.list_(pa.int32())) for k in (0, 1)]
                     names += ["token_start", "token_end"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        tidy()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -392,6 +398,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, text: str
                 data = binary(ids.astype("<u4"), ends)
                 cols += [pa.array(np.diff(ends, prepend=0), pa.int64()), data, pa.array([enc.decode(x) for x in data.to_pylist()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids", "decoded"])
+        tidy()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import binary, chunks, encoder
+from .bpe import binary, chunks, encoder, tidy
 from .common import remove, scratch
 
 #: The longest code, unless more ids are in use than a quarter of such codes; it is one of 25 bits at most.
@@ -162,6 +162,7 @@ def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text: str, kin
                 total += np.bincount(ids, minlength=len(total))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(np.diff(ends, prepend=0), pa.int64()), binary(ids, ends), pa.nulls(len(some), pa.binary())], names)
                 at += len(some)
+        tidy()
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
@@ -219,6 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 each = [_ids(d, n) for n, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 done = pack(np.concatenate(each), np.cumsum([len(x) for x in each]), lengths, codes)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([c for _, c in done], pa.list_(pa.int64())), pa.array([b for b, _ in done], pa.binary())], [id_col, "shard", "n_tokens", "checkpoints", "bits"])
+        tidy()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now = 0, None
@@ -265,5 +267,6 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 ends = (4 * np.cumsum(counts)).tolist()
                 ids = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.binary())], [id_col, "start", "n_tokens", "ids"])
+        tidy()
 
     return blocks.select(id_col, "start", "n_tokens", "checkpoints", "bits").mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")

@@ -148,14 +148,21 @@ def forest(texts: list[bytes], side: list[int] | None = None) -> list[tuple[int,
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among rows (root, one, other, mine, node, text) of the same root and blocks ``one`` and ``other``."""
+    """Links (a, b) among rows (root, one, other, mine, node, text) of the same root and blocks ``one`` and ``other``: each text with the least of those that it is linked with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, texts, side = None, [], [], []
 
         def done() -> pa.RecordBatch:
             found = forest(texts, side if now and now[1] != now[2] else None) if len(texts) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            tree = {}  # of each text that is linked, the first of its tree
+            for k, j in found:
+                tree[j] = tree.setdefault(k, k)
+            least = {}
+            for i, k in tree.items():
+                least[k] = min(least.get(k, nodes[i]), nodes[i])
+            star = [(least[k], nodes[i]) for i, k in tree.items() if nodes[i] != least[k]]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in star], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for root, one, other, mine, node, text in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
@@ -180,12 +187,12 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = told.select("node", F.explode("keys").alias("key"))
     crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     shared = placed.join(crowd, "key").where("a <> node").select("a", F.col("node").alias("b"))
-    points = cut(told.groupBy("fp").agg(F.min("node").alias("first")))
-    same = told.join(points, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = simhash.links(points.select("fp"), BITS).toDF("x", "y")
-    for c, end in (("x", "a"), ("y", "b")):
-        near = near.join(points.select(F.col("fp").alias(c), F.col("first").alias(end)), c)
-    family = components(shared.unionByName(same).unionByName(near.select("a", "b")).distinct())
+    # fingerprints are nodes beside the texts, each linked with its texts if it is near another or has several
+    points = told.groupBy("fp").agg(F.count("*").alias("texts"))
+    near = simhash.links(points.select("fp"), BITS)
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(points.where("texts > 1").select("fp")).distinct()
+    held = told.select("fp", "node").join(ends, "fp", "left_semi").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    family = components(shared.unionByName(near).unionByName(held).distinct())
     counted = family.join(told.select("node", "n"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
     sized = counted.groupBy("root").agg(blocks.alias("blocks"))
