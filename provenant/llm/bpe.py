@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Characters of a piece of text that is handled at once.
 CHUNK_CHARS = 4_000_000
 #: Beyond so many segments or bytes a worker forgets those that it has not met twice since it last forgot; longer segments are never kept.
@@ -242,11 +244,6 @@ def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
-def tidy() -> None:
-    """Give back what Arrow holds unused: workers live on between batches and stages."""
-    pa.default_memory_pool().release_unused()
-
-
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """Texts in pieces of about CHUNK_CHARS characters."""
     out, chars = [], 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def text_or_empty(text: str | Column = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def tidy() -> None:
+    """Give back what Arrow and the C library hold unused: workers live on between batches and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)

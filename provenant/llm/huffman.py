@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import binary, chunks, encoder, tidy
-from .common import remove, scratch
+from .bpe import binary, chunks, encoder
+from .common import remove, scratch, tidy
 
 #: The longest code, unless more ids are in use than a quarter of such codes; it is one of 25 bits at most.
 LONGEST, STRIDE = 18, 256

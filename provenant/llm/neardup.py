@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut
+from .common import cut, tidy
 from .simhash import components
 from .winnow import Words, _mix, _pieces
 
@@ -100,7 +100,7 @@ def keyed(texts: DataFrame) -> DataFrame:
                     flat = pa.array(found.view(np.int64).ravel())
                     rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), flat)
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(some)), pa.array(n, pa.int64()), rows, pa.array(fps.view(np.int64))], ["node", "n", "keys", "fp"])
-        pa.default_memory_pool().release_unused()  # workers live on
+        tidy()
 
     return texts.mapInArrow(run, "node long, n long, keys array<long>, fp long")
 
@@ -174,7 +174,7 @@ def compared(rows: DataFrame) -> DataFrame:
                 texts.append(text)
                 side.append(mine)
         yield done()
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     group = ["root", "one", "other"]
     return rows.select(*group, "mine", "node", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: At most so many labelled documents are fitted on.
 SAMPLE = 12_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, SHRINK = 60, 4, 64, 0.2, 3.0, 1.0
@@ -140,6 +142,7 @@ def described(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
         for batch in batches:
             texts = batch.column(len(keep)).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([statistics(t.as_py() or b"") for t in texts], pa.list_(pa.float64()))], [*keep, "x"])
+        tidy()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -167,6 +170,7 @@ def scored(docs: DataFrame, model: Trees, text: str = "text", keep: tuple[str, .
             texts = batch.column(len(keep)).cast(pa.binary())
             x = np.array([statistics(t.as_py() or b"") for t in texts]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x), pa.float64())], [*keep, "score"])
+        tidy()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
