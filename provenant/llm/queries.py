@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, langid, pii, quality, rules, secrets, shard, simhash, winnow
+from . import bpe, huffman, langid, pii, quality, resample, rules, secrets, shard, simhash, winnow, wordbpe
 from .common import scratch, table
 from .spans import listed
 
@@ -74,9 +74,22 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_wordbpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under a vocabulary with word ends and their decoding, as digests."""
+    import public_tokenizers
+
+    done = wordbpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return done.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of all documents towards the benchmark's distribution of features."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_pii": op3_pii, "op4_shards": op4_shards, "op5_language": op5_language, "op6_rules": op6_rules, "op7_winnowing": op7_winnowing, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_huffman": op10_huffman}
+    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_shards, op5_language, op6_rules, op7_winnowing, op8_quality, op9_bpe, op10_huffman, op11_wordbpe, op12_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
