@@ -161,13 +161,6 @@ def fulltext_search(chunks: DataFrame, queries: DataFrame, top_k: int, any_keywo
     return best(_scores(keyword_hits(chunks, queries, any_keyword), F.when(F.col("full").isNotNull(), _score(1, "full"))).drop("kind"), top_k)
 
 
-def websearch(query: Column) -> Column:
-    """The keywords of a search-box query as a disjunction: quoted phrases whole, other words joined by spaces unless ``or`` stands between them; words after a minus go."""
-    kept = F.regexp_replace(query, r'(^|\s)-("[^"]*"|\S+)', " ")
-    parts = F.split(kept, r"(?i)\s+or\s+")
-    return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, '"', " "))), lambda p: p != "")
-
-
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, chunk_id, score and rank0: chunks in which any keyword occurs, by how many of them do."""
     return best(_scores(keyword_hits(chunks, queries), F.when(F.col("hits") > 0, _score(0, "hits"))).drop("kind"), top_k)

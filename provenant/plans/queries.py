@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evalkit, explore, ingest, retrieval, scoring, sinks, trace, tree
+from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -659,11 +659,28 @@ def _(t):
     return _rounded(retrieval.best(hits.select("query_id", "chunk_id", F.round("full", 9).alias("score")), 10))
 
 
-@register("websearch_rank", f"""SELECT query_id, chunk_id, round(0.1::DOUBLE * n / (0.1::DOUBLE * n + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) - 1 AS rank0
-  FROM (SELECT q.query_id, d.doc_id AS chunk_id, len(list_filter(d.words, lambda x: x IN ('of', 'data', 'and'))) AS n FROM {WORDS_OF} d JOIN {ASKED} q ON q.version_id = d.lang) WHERE n > 0 QUALIFY rank0 < 20""")
+#: Search-box queries that go round by the id, and what each asks of a text's words in SQL: whether it matches, and how many covers it has.
+BOXES = ('"of the" -data', 'the OR "data of"', 'data -"of the"')
+_COUNT, _PAIRS = "len(list_filter(words, lambda w: w = '{}'))", "len(list_filter(generate_series(1, len(words) - 1), lambda i: words[i] = '{}' AND words[i + 1] = '{}'))"
+BOXES_SQL = f"""(SELECT doc_id, lang, 0 AS box, {_PAIRS.format('of', 'the')} AS n FROM {WORDS_OF} WHERE NOT list_contains(words, 'data') UNION ALL SELECT doc_id, lang, 1, {_COUNT.format('the')} + {_PAIRS.format('data', 'of')} FROM {WORDS_OF}
+  UNION ALL SELECT doc_id, lang, 2, {_COUNT.format('data')} FROM {WORDS_OF} WHERE {_PAIRS.format('of', 'the')} = 0)"""
+
+
+@register("websearch_rank", f"""SELECT query_id, doc_id AS chunk_id, round(0.1::DOUBLE * n / (0.1::DOUBLE * n + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) - 1 AS rank0
+  FROM {BOXES_SQL} b JOIN {ASKED} q ON q.version_id = b.lang AND (q.query_id // 20) % 3 = b.box WHERE n > 0 QUALIFY rank0 < 20""")
+def _(t):
+    box = F.element_at(F.array(*map(F.lit, BOXES)), (F.floor(F.col("query_id") / 20) % 3 + 1).cast("int"))
+    return _rounded(fulltext.search(fulltext.postings(t.chunks()), t.query().withColumn("tree", fulltext.parse(box)), 10))
+
+
+@register("postings_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {FULL_RANKS}")
+def _(t):
+    return _rounded(fulltext.search(fulltext.postings(t.chunks()), t.query().withColumn("tree", fulltext.of_keywords("keywords")), 10))
+
+
+@register("postings", f"SELECT version_id, lexeme, count(*) AS chunks, sum(n)::BIGINT AS occurrences, min(first_at)::BIGINT AS first_at FROM (SELECT lang AS version_id, doc_id, lexeme, count(*) AS n, min(place) AS first_at FROM (SELECT lang, doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) - 1 AS place FROM (SELECT lang, doc_id, list_filter(words, lambda x: x <> '') AS w FROM {WORDS_OF})) GROUP BY ALL) GROUP BY ALL")
 def _(t):
-    q = t.query().withColumn("keywords", retrieval.websearch(F.lit('of OR "data" or and -the -"not this"')))
-    return _rounded(retrieval.fulltext_search(t.chunks(), q, 10))
+    return longs(fulltext.postings(t.chunks()).groupBy("version_id", "lexeme").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("occurrences"), F.min(F.get("positions", F.lit(0))).alias("first_at")))
 
 
 @register("token_batches", f"""WITH RECURSIVE i AS (SELECT version_id, chunk_id, (length(text_raw) // 2 + 1) AS n, row_number() OVER (PARTITION BY version_id ORDER BY chunk_index) AS r FROM {CHUNKS}), w AS (SELECT version_id, chunk_id, r, 0 AS batch, 1 AS held, n AS total FROM i WHERE r = 1
