@@ -660,10 +660,10 @@ def _(t):
 
 
 #: Search-box queries that go round by the id, and what each asks of a text's words in SQL: whether it matches, and how many covers it has.
-BOXES = ('"of the" -data', 'the OR "data of"', 'data -"of the"')
+BOXES = ('"of the" -with', 'der OR "de la"', 'in -"of the"')
 _COUNT, _PAIRS = "len(list_filter(words, lambda w: w = '{}'))", "len(list_filter(generate_series(1, len(words) - 1), lambda i: words[i] = '{}' AND words[i + 1] = '{}'))"
-BOXES_SQL = f"""(SELECT doc_id, lang, 0 AS box, {_PAIRS.format('of', 'the')} AS n FROM {WORDS_OF} WHERE NOT list_contains(words, 'data') UNION ALL SELECT doc_id, lang, 1, {_COUNT.format('the')} + {_PAIRS.format('data', 'of')} FROM {WORDS_OF}
-  UNION ALL SELECT doc_id, lang, 2, {_COUNT.format('data')} FROM {WORDS_OF} WHERE {_PAIRS.format('of', 'the')} = 0)"""
+BOXES_SQL = f"""(SELECT doc_id, lang, 0 AS box, {_PAIRS.format('of', 'the')} AS n FROM {WORDS_OF} WHERE NOT list_contains(words, 'with') UNION ALL SELECT doc_id, lang, 1, {_COUNT.format('der')} + {_PAIRS.format('de', 'la')} FROM {WORDS_OF}
+  UNION ALL SELECT doc_id, lang, 2, {_COUNT.format('in')} FROM {WORDS_OF} WHERE {_PAIRS.format('of', 'the')} = 0)"""
 
 
 @register("websearch_rank", f"""SELECT query_id, doc_id AS chunk_id, round(0.1::DOUBLE * n / (0.1::DOUBLE * n + 1), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) - 1 AS rank0
