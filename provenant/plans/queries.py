@@ -7,12 +7,14 @@ modulo forty), their lines are finer chunks, embeddings are vectors, orders and
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree
+from ..functions.shared import cut
+from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, vectorindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -597,6 +599,24 @@ def _(t):
     return _rounded(retrieval.vector_search(t.embedded(), t.query(), 10))
 
 
+def _vector_index(t) -> tuple[DataFrame, Any]:
+    """The index of all vectors, cut into the shared folder: each search reads it more than once."""
+    chunks = t.embedded().where("embedding IS NOT NULL").select("version_id", "chunk_id", "embedding")
+    centroids = vectorindex.fit(chunks)
+    return cut(vectorindex.build(chunks, centroids)), centroids
+
+
+@register("vector_index_exact", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {VECTOR_RANKS}")
+def _(t):
+    return _rounded(vectorindex.search_exact(*_vector_index(t), t.query(), 10))
+
+
+@register("vector_index_search")
+def _(t):
+    index, centroids = _vector_index(t)
+    return _rounded(vectorindex.search(index, centroids, t.query(), 10, vectorindex.tune(index, centroids, 10)))
+
+
 @register("keyword_substring_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {SUBSTRING_RANKS}")
 def _(t):
     return _rounded(retrieval.substring_search(t.chunks(), t.query(), 10))
