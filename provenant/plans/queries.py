@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.shared import cut
-from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, vectorindex
+from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, trigrams, vectorindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -622,6 +622,16 @@ def _(t):
     return _rounded(retrieval.substring_search(t.chunks(), t.query(), 10))
 
 
+@register("trigram_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {SUBSTRING_RANKS}")
+def _(t):
+    return _rounded(trigrams.substring_search(trigrams.index(t.chunks()), t.chunks(), t.query(), 10))
+
+
+@register("trigram_ilike", "SELECT doc_id FROM documents WHERE text ILIKE '%ation%' OR text ILIKE '%idiot%' OR text ILIKE '%q%'")
+def _(t):
+    return trigrams.ilike_any(trigrams.index(t.chunks()), t.chunks(), ["ation", "idiot", "q"]).select(F.col("chunk_id").alias("doc_id"))
+
+
 @register("fulltext_or_rank", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM {FULL_RANKS}")
 def _(t):
     return _rounded(retrieval.fulltext_search(t.chunks(), t.query(), 10))
