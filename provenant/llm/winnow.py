@@ -33,8 +33,10 @@ LEAST_BITS, MOST_BITS = 16, 28
 BROADCAST_WINDOWS = 100_000
 #: Beyond so many documents to drop they are no longer broadcast (two longs each) but met by a shuffle.
 BROADCAST_HITS = 500_000
-#: Bytes of text that are hashed at once.
+#: Bytes of text that are hashed at once; longer texts go in parts.
 CHUNK = 2_000_000
+#: Bytes of which the totals behind word hashes are held at once.
+BLOCK = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,14 +63,27 @@ class Words:
         self.doc = np.searchsorted(edges, self.start, "right") - 1
         self.first = np.searchsorted(self.start, edges[:-1])  # of each text, its first word
         self.count = np.diff(np.append(self.first, len(self.start)))
-        power = np.full(len(raw), _BASE, np.uint64)
+        self.hash = _mix(self._sums(raw) + np.uint64(1))
+
+    def _sums(self, raw: np.ndarray) -> np.ndarray:
+        """The polynomial of each word's bytes; the prefix totals of a block of bytes are held at once."""
+        begun, ended, inverse = (np.zeros(len(self.start), np.uint64) for _ in range(3))
+        power = np.full(min(BLOCK, len(raw)), _BASE, np.uint64)
         power[:1] = 1
         power = np.multiply.accumulate(power)
-        back = np.full(len(raw), _BACK, np.uint64)
+        back = np.full(len(power), _BACK, np.uint64)
         back[:1] = 1
         back = np.multiply.accumulate(back)
-        total = np.append(np.zeros(1, np.uint64), np.add.accumulate(power * raw))
-        self.hash = _mix((total[self.end] - total[self.start]) * back[self.start] + np.uint64(1))
+        before, scale, unscale = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        for at in range(0, len(raw), BLOCK):
+            part = raw[at : at + BLOCK]
+            total = np.append(before, np.add.accumulate(power[: len(part)] * part) * scale + before)
+            a, b = np.searchsorted(self.start, [at, at + len(part)])
+            begun[a:b], inverse[a:b] = total[self.start[a:b] - at], back[self.start[a:b] - at] * unscale
+            a, b = np.searchsorted(self.end, [at, at + len(part)])
+            ended[a:b] = total[self.end[a:b] - at]
+            before, scale, unscale = total[-1:], scale * power[-1:] * _BASE, unscale * back[-1:] * _BACK
+        return (ended - begun) * inverse
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they are one text's."""
@@ -115,6 +130,23 @@ def _pieces(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[b
         yield at, texts[at:]
 
 
+def parts(text: bytes, overlap: int = SPAN - 1, most: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """A text in parts of about ``most`` bytes, cut at blanks, and the number of the word that each begins with; a part repeats the last ``overlap`` words of the one before."""
+    if len(text) <= most:
+        yield 0, text
+        return
+    clean, at, base, kept = text.translate(_LOWER), 0, 0, []
+    while at < len(clean):
+        end = clean.find(b" ", at + most)
+        end = end if end >= 0 else len(clean)
+        words = clean[at:end].split()
+        yield base, b" ".join([*kept, *words])
+        base += len(kept) + len(words)
+        kept = [*kept, *words][-overlap:] if overlap else []
+        base -= len(kept)
+        at = end
+
+
 def bench_windows(bench: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """item (string), window (its words), n (words), whole and kept: hashes of the window and of the gram that winnowing keeps of it."""
 
@@ -173,18 +205,32 @@ def candidates(docs: DataFrame, lengths: list[int], kept: np.ndarray, whole: np.
             near = near[valid[near]] if len(near) else near
         return near[_in(whole_all.value, every[near])] if len(near) else near
 
+    def of_parts(some: list[tuple[int, bytes]]) -> Iterator[tuple[int, list[dict]]]:
+        """The number of the word behind each part's last, and the part's hits."""
+        words = Words([part for _, part in some])
+        hits: list[list[dict]] = [[] for _ in some]
+        for n in lengths:
+            starts = found(words, n)
+            for i, w in zip(starts.tolist(), words.windows(starts, n), strict=True):
+                d = int(words.doc[i])
+                hits[d].append({"start": some[d][0] + i - int(words.first[d]), "n": n, "window": w})
+        return zip((base + n for (base, _), n in zip(some, words.count.tolist(), strict=True)), hits, strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [id_col, "text_hash", "n_words", "hits"]
         for batch in batches:
             for at, some in _pieces([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
-                words = Words(some)
-                hits: list[list[dict]] = [[] for _ in some]
-                for n in lengths:
-                    starts = found(words, n)
-                    for i, w in zip(starts.tolist(), words.windows(starts, n), strict=True):
-                        d = int(words.doc[i])
-                        hits[d].append({"start": i - int(words.first[d]), "n": n, "window": w})
+                if len(some[-1]) <= CHUNK:
+                    told = list(of_parts([(0, t) for t in some]))
+                else:  # a long text ends its piece; its parts go one by one
+                    told = list(of_parts([(0, t) for t in some[:-1]])) if some[:-1] else []
+                    end, hits = 0, {}
+                    for one in parts(some[-1], max(SPAN, *lengths, 1) - 1):
+                        for end, more in of_parts([one]):
+                            hits |= {(h["n"], h["start"]): h for h in more}
+                    told.append((end, list(hits.values())))
                 part = batch.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words.count, pa.int64()), pa.array(hits, pa.list_(hit))], [id_col, "text_hash", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([n for n, _ in told], pa.int64()), pa.array([h for _, h in told], pa.list_(hit))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, text_hash long, n_words long, hits array<struct<start: int, n: int, window: string>>"
