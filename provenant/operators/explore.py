@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.text import like_any, preview, sha256, unit_hash
 
 
@@ -181,14 +182,20 @@ def tree_progress(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def covered_range(nodes: DataFrame) -> DataFrame:
-    """node_id with the first and last position of the leaves below it, level by level from below."""
-    now = nodes.where("level = 0").select("node_id", F.col("start_pos").alias("low"), F.col("end_pos").alias("high"))
-    out = now
-    for level in (1, 2, 3):
-        kids = nodes.where(F.col("level") == level - 1).select("node_id", "parent_id").join(now, "node_id")
-        now = kids.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        out = out.unionByName(now)
-    return out
+    """node_id with the first and last position of the leaves (level 0) below it, however deep.
+
+    Ranges go up round by round from the nodes whose range grew; a round that changes nothing ends it, so cycles do as well.
+    """
+    up = nodes.where("parent_id IS NOT NULL").select("node_id", "parent_id")
+    grown = nodes.where("level = 0").select("node_id", F.col("start_pos").alias("low"), F.col("end_pos").alias("high"))
+    known = grown
+    while True:
+        new = up.join(grown, "node_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.min("low").alias("new_low"), F.max("high").alias("new_high"))
+        met = new.join(known, "node_id", "left").withColumn("wide", F.col("low").isNull() | (F.col("new_low") < F.col("low")) | (F.col("new_high") > F.col("high"))).where("wide")
+        grown = cut(met.select("node_id", F.least("low", "new_low").alias("low"), F.greatest("high", "new_high").alias("high")))
+        if grown.isEmpty():
+            return known
+        known = cut(known.join(grown.select("node_id"), "node_id", "left_anti").unionByName(grown))
 
 
 def files_of(files: DataFrame, version_id: str, kind: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, is_bbox, like_any, numbers, worst_risk
+from .order import global_rank
 
 # Keyword groups in order, with label and level.
 RISKS = (
@@ -244,9 +245,9 @@ def recommendations(results: DataFrame) -> DataFrame:
 
 
 def rank_bidders(totals: DataFrame) -> DataFrame:
-    """Ranks from 1 by overall score; equals by version id.  Versions are few, and the ranking is over all of them."""
-    w = Window.orderBy(F.col("overall_score").desc(), F.col("version_id"))
-    return totals.withColumn("rank", F.row_number().over(w)).withColumn("overall_score", F.round("overall_score", 1))
+    """Ranks from 1 by overall score; equals by version id."""
+    ranked = global_rank(totals, [F.col("overall_score").desc_nulls_last(), F.col("version_id")])
+    return ranked.withColumn("overall_score", F.round("overall_score", 1))
 
 
 def rank_dimensions(results: DataFrame) -> DataFrame:

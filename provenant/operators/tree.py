@@ -1,7 +1,7 @@
 """The document tree: paragraphs, sections, root, walks over it, and the section context of chunks.
 
-Levels: 0 sentence, 1 paragraph, 2 section, 3 document.  Islands are running sums over windows of a version; the tree
-has four levels, so walks are a fixed number of joins.
+Levels: 0 sentence, 1 paragraph, 2 section, 3 document.  Islands are running sums over a version in blocks; walks go as deep
+as a tree does, or a known number of joins.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.text import stable_id, strip
 from .ingest import item_text
 from .retrieval import vector_search
@@ -70,26 +71,35 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """root_id, node_id and depth of all nodes below (and at depth 0, themselves)."""
-    edges = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("child"), F.col("parent_id").alias("up"))
-    now = roots.select(F.col("node_id").alias("root_id"), "node_id", F.lit(0).alias("depth"))
-    out = now
-    for d in range(1, depth + 1):
-        now = now.join(edges, now.node_id == edges.up).select("root_id", F.col("child").alias("node_id"), F.lit(d).alias("depth"))
+def _walk(edges: DataFrame, now: DataFrame, start: str, step: int, depth: int | None) -> DataFrame:
+    """``start``, node_id and depth of what the edges (here, there) reach, ``depth`` steps far.
+
+    Without a depth the walk goes on while a round finds something new: each round's rows are cut into the shared folder, and a node that
+    was reached from a start before is not reached again, so a cycle ends it too.
+    """
+    out = now = now.withColumn("depth", F.lit(0))
+    d = 0
+    while depth is None or d < depth:
+        d += 1
+        now = now.join(edges, now["node_id"] == edges["here"]).select(start, F.col("there").alias("node_id"), F.lit(step * d).alias("depth"))
+        if depth is None:
+            now = cut(now.dropDuplicates([start, "node_id"]).join(out.select(start, "node_id"), [start, "node_id"], "left_anti"))
+            if now.isEmpty():
+                break
         out = out.unionByName(now)
     return out
 
 
-def ancestors(nodes: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """start_id, node_id and depth (0, -1, ...) of all nodes above."""
-    edges = nodes.select(F.col("node_id").alias("below"), F.col("parent_id").alias("up"))
-    now = starts.select(F.col("node_id").alias("start_id"), "node_id", F.lit(0).alias("depth"))
-    out = now
-    for d in range(1, depth + 1):
-        now = now.join(edges, now.node_id == edges.below).where("up IS NOT NULL").select("start_id", F.col("up").alias("node_id"), F.lit(-d).alias("depth"))
-        out = out.unionByName(now)
-    return out
+def descendants(nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """root_id, node_id and depth of all nodes below (and at depth 0, themselves); ``depth``: levels that are known to be enough."""
+    edges = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("here"), F.col("node_id").alias("there"))
+    return _walk(edges, roots.select(F.col("node_id").alias("root_id"), "node_id"), "root_id", 1, depth)
+
+
+def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """start_id, node_id and depth (0, -1, ...) of all nodes above; ``depth``: levels that are known to be enough."""
+    edges = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("here"), F.col("parent_id").alias("there"))
+    return _walk(edges, starts.select(F.col("node_id").alias("start_id"), "node_id"), "start_id", -1, depth)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, value: str, order: str) -> DataFrame:

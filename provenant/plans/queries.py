@@ -283,13 +283,34 @@ def _(t):
 @register("tree_descendants", f"WITH RECURSIVE n AS (SELECT * FROM {NODES}), w AS (SELECT node_id AS root_id, node_id, 0 AS depth FROM n WHERE level = 3 UNION ALL SELECT w.root_id, n.node_id, w.depth + 1 FROM w JOIN n ON n.parent_id = w.node_id) SELECT root_id, node_id, depth::BIGINT AS depth FROM w")
 def _(t):
     n = t.nodes()
-    return longs(tree.descendants(n, n.where("level = 3")))
+    return longs(tree.descendants(n, n.where("level = 3"), depth=3))
 
 
 @register("tree_ancestors", f"WITH RECURSIVE n AS (SELECT * FROM {NODES}), w AS (SELECT node_id AS start_id, node_id, parent_id, 0 AS depth FROM n WHERE level = 0 UNION ALL SELECT w.start_id, n.node_id, n.parent_id, w.depth - 1 FROM w JOIN n ON n.node_id = w.parent_id) SELECT start_id, node_id, depth::BIGINT AS depth FROM w")
 def _(t):
     n = t.nodes()
-    return longs(tree.ancestors(n, n.where("level = 0")))
+    return longs(tree.ancestors(n, n.where("level = 0"), depth=3))
+
+
+#: Orders as a tree of any depth: each below the one of a quarter of its number.
+HEAP = "(SELECT o_orderkey AS node_id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 4 END AS parent_id FROM orders)"
+
+
+def _heap(t) -> DataFrame:
+    key = F.col("o_orderkey")
+    return t("orders").select(key.alias("node_id"), F.when(key > 0, F.floor(key / 4)).alias("parent_id"))
+
+
+@register("tree_walk_down", f"WITH RECURSIVE n AS (SELECT * FROM {HEAP}), w AS (SELECT node_id AS root_id, node_id, 0 AS depth FROM n WHERE parent_id NOT IN (SELECT node_id FROM n) OR parent_id IS NULL UNION ALL SELECT w.root_id, n.node_id, w.depth + 1 FROM w JOIN n ON n.parent_id = w.node_id) SELECT root_id, node_id, depth::BIGINT AS depth FROM w")
+def _(t):
+    n = _heap(t)
+    return longs(tree.descendants(n, n.join(n.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")))
+
+
+@register("tree_walk_up", f"WITH RECURSIVE n AS (SELECT * FROM {HEAP}), w AS (SELECT node_id AS start_id, node_id, parent_id, 0 AS depth FROM n UNION ALL SELECT w.start_id, w.parent_id, n.parent_id, w.depth - 1 FROM w LEFT JOIN n ON n.node_id = w.parent_id WHERE w.parent_id IS NOT NULL) SELECT start_id, node_id, depth::BIGINT AS depth FROM w")
+def _(t):
+    n = _heap(t)
+    return longs(tree.ancestors(n, n))
 
 
 @register("anti_join_pending", "SELECT DISTINCT o_custkey AS version_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
