@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.shared import cut
 from ..functions.text import stable_id, strip
 from .ingest import item_text
+from .order import RANGES, carried, previous, running_count
 from .retrieval import vector_search
 
 #: Types that stand alone, and types that make no leaf.
 BREAKS = ("table", "image", "header", "footer", "page_number")
+#: Positions of a version that one task looks through.
+BLOCK = 100_000
 
 
 def is_heading() -> Column:
@@ -24,14 +27,17 @@ def is_heading() -> Column:
 
 
 def paragraphs(items: DataFrame) -> DataFrame:
-    """Leaves (page numbers make none) with para, the running number of their paragraph, of the non-blank items of each version."""
-    w = Window.partitionBy("version_id").orderBy("pos")
+    """Leaves (page numbers make none) with para, the running number of their paragraph, of the non-blank items of each version.
+
+    A version stands in blocks of ``BLOCK`` positions: the last row before a block and the count of paragraphs before it are carried in.
+    """
     named = items.withColumn("body", strip(item_text())).where("body <> ''").withColumn("heading", F.coalesce(is_heading(), F.lit(False))).withColumn("page", F.coalesce("page_idx", F.lit(0)))
-    before = lambda c: F.lag(c).over(w)
-    new = (
-        before("pos").isNull() | F.col("heading") | F.coalesce(before("heading"), F.lit(False)) | before("type").isin(*BREAKS) | F.col("type").isin(*BREAKS) | (before("page") != F.col("page")) | (before("type") != F.col("type"))
-    )
-    return named.withColumn("para", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w)).where("type <> 'page_number'")
+    named = named.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    rows = previous(named, ["version_id"], "block", "pos", F.struct("type", "heading", "page"), "before")
+    before = F.col("before")
+    new = before.isNull() | F.col("heading") | before["heading"] | before["type"].isin(*BREAKS) | F.col("type").isin(*BREAKS) | (before["page"] != F.col("page")) | (before["type"] != F.col("type"))
+    counted = running_count(rows.withColumn("new", F.coalesce(new, F.lit(True))), ["version_id"], "block", "pos", F.col("new"), "para")
+    return counted.drop("before", "new").where("type <> 'page_number'")
 
 
 def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -41,8 +47,7 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     ids are carried from the items.  ``titles`` (version_id, title) names the roots.
     """
     leaves = paragraphs(items).withColumn("chunk_id", stable_id("version_id", F.lit("chunk"), F.format_string("chunk_%04d", "pos")))
-    w = Window.partitionBy("version_id").orderBy("pos")
-    leaves = leaves.withColumn("section", F.sum(F.col("heading").cast("int")).over(w))
+    leaves = running_count(leaves, ["version_id"], "block", "pos", F.col("heading"), "section")
     leaves = leaves.withColumn("sentence_node", stable_id("version_id", F.lit("sentence"), "pos")).withColumn("para_node", stable_id("version_id", F.lit("paragraph"), "para")).withColumn("section_node", stable_id("version_id", F.lit("section"), "section"))
     leaves = leaves.withColumn("root_node", stable_id("version_id", F.lit("document")))
     none = F.lit(None).cast("string")
@@ -102,18 +107,30 @@ def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) ->
     return _walk(edges, starts.select(F.col("node_id").alias("start_id"), "node_id"), "start_id", -1, depth)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, value: str, order: str) -> DataFrame:
-    """Each left row with the value of the last right row of its group at or before it: a union and one window, no range join."""
+def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, value: str, order: str, ranges: int | None = None) -> DataFrame:
+    """Each left row with the value of the last right row of its group at or before it: a union and windows, no range join.
+
+    Each group is one window, or, with ``ranges``, both sides are dealt to so many ranges of group and time, cut into the shared folder, and the
+    last value before a range is carried into it: for groups too large for a task.
+    """
     a = left.select(by, F.col(left_at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[order].dataType).alias("ord"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("value"))
     b = right.select(by, F.col(right_at).alias("at"), F.lit(0).alias("side"), F.col(order).alias("ord"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(value).alias("value"))
-    w = Window.partitionBy(by).orderBy("at", "side", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("value", F.last("value", ignorenulls=True).over(w)).where("side = 1").select("row.*", F.col("value").alias(f"as_of_{value}"))
+    both, group = a.unionByName(b), [by]
+    if ranges:
+        both, group = cut(both.repartitionByRange(ranges, by, "at", "side", "ord").withColumn("range", F.spark_partition_id())), [by, "range"]
+    last = F.last("value", ignorenulls=True).over(Window.partitionBy(*group).orderBy("at", "side", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    if ranges:
+        ends = both.where("value IS NOT NULL").groupBy(by, "range").agg(F.max_by("value", F.struct("at", "side", "ord")).alias("end"))
+        spans = both.select(by, "range").distinct()
+        before = carried(spans, ends, [by, "range"]).withColumn("carry", F.last("end", ignorenulls=True).over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).drop("end")
+        both, last = carried(both, before, [by, "range"]), F.coalesce(last, F.col("carry"))
+    return both.withColumn("value", last).where("side = 1").select("row.*", F.col("value").alias(f"as_of_{value}"))
 
 
 def contextual(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Chunks with contextual_text: their text after the title of the nearest section that starts on or before their page."""
     sections = nodes.where("level = 2 AND heading IS NOT NULL").select("version_id", "page_start", "heading", "start_pos")
-    named = as_of(chunks, sections, "version_id", "page_idx", "page_start", "heading", "start_pos")
+    named = as_of(chunks, sections, "version_id", "page_idx", "page_start", "heading", "start_pos", RANGES)
     title = F.col("as_of_heading")
     return named.withColumn("contextual_text", F.when(title.isNotNull(), F.concat(F.lit("["), title, F.lit("] "), F.col("text_raw"))).otherwise(F.col("text_raw"))).withColumnRenamed("as_of_heading", "section_title")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from provenant.operators import order
+from provenant.operators import order, tree
 
 
 def test_global_rank_matches_a_sort(spark):
@@ -22,3 +23,39 @@ def test_global_rank_of_one_value_and_of_nothing(spark):
     same = order.global_rank(spark.range(50).withColumn("score", F.lit(1)), [F.col("score")], "place")
     assert sorted(x["place"] for x in same.collect()) == list(range(1, 51))
     assert order.global_rank(spark.range(0), [F.col("id")]).count() == 0
+
+
+def test_previous_and_running_count_over_blocks(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), at, r.random() < 0.3) for at in r.sample(range(400), 200)]
+    df = spark.createDataFrame(rows, "kind string, at long, flag boolean").withColumn("block", F.floor(F.col("at") / 7)).repartition(3)
+    got = order.running_count(order.previous(df, ["kind"], "block", "at", F.struct("at", "flag"), "before"), ["kind"], "block", "at", F.col("flag"), "n")
+    seen = {(x.kind, x["at"]): (x.before and tuple(x.before), x.n) for x in got.collect()}
+    assert len(seen) == len(rows)
+    for kind in ("a", "b", None):
+        last, n = None, 0
+        for _, at, flag in sorted((x for x in rows if x[0] == kind), key=lambda x: x[1]):
+            n += flag
+            assert seen[kind, at] == (last, n)
+            last = (at, flag)
+
+
+def test_as_of_over_ranges(spark):
+    r = random.Random(6)
+    left = spark.createDataFrame([(r.choice(["a", "b", None]), r.choice([None, *range(40)]), i) for i in range(300)], "g string, t int, id int")
+    right = spark.createDataFrame([(r.choice(["a", "b"]), r.randint(0, 40), r.choice([None, "x", "y", "z"]), i) for i in range(60)], "g string, t int, v string, o int")
+    told = lambda ranges: sorted(map(str, tree.as_of(left, right, "g", "t", "t", "v", "o", ranges).collect()))
+    assert told(None) == told(7) == told(1)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_trees_do_not_depend_on_blocks(spark, block, monkeypatch):
+    r = random.Random(7)
+    rows = [(v, i, r.choice(["text", "text", "table", "page_number", "header"]), i // 9, r.choice([None, 1]), r.choice(["words here", "more", " ", ""])) for v in ("v", "w") for i in range(60)]
+    items = spark.createDataFrame(rows, "version_id string, pos int, type string, page_idx int, text_level int, text string")
+    for name, kind in (("bbox", "array<array<double>>"), ("table_body", "string"), ("img_path", "string"), ("source_element_id", "string"), *((c, "array<string>") for c in ("table_caption", "table_footnote", "image_caption", "image_footnote", "list_items"))):
+        items = items.withColumn(name, F.lit(None).cast(kind))
+    key = lambda: sorted(map(str, tree.build(items).collect()))
+    whole = key()
+    monkeypatch.setattr(tree, "BLOCK", block)
+    assert key() == whole and len(whole) > 20
