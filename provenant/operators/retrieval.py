@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine_of, has_cjk, preview, with_norm
+from .order import carried
 
 RRF_K = 60
 #: Statuses of evidence, and characters that a full-text keyword loses.
@@ -23,6 +24,8 @@ VERIFIED, WARNED, UNVERIFIABLE = "verified", "verified_with_warnings", "unverifi
 _TSQUERY_SYNTAX = "':|&!()<>"
 #: Up to so many queries are broadcast; beyond, the chunks of a version are dealt to so many parts that each meet all its queries.
 BROADCAST_QUERIES, PARTS = 2000, 64
+#: Places of a version that one task deals to batches.
+BATCH_BLOCK = 20_000
 
 
 # -- ranking --------------------------------------------------------------------------------------
@@ -400,29 +403,83 @@ def check_dimension(vectors: DataFrame, dim: int, column: str = "embedding") ->
     return vectors.withColumn(column, F.when(F.col(column).isNull() | (F.size(column) == dim), F.col(column)).otherwise(F.raise_error(message).cast(vectors.schema[column].dataType)))
 
 
+def _greedy(sizes: np.ndarray, most: int, width: int) -> tuple[list[int], list[int], list[int]]:
+    """For greedy batches that start afresh at each item of a block: how many more begin up to its end, and the items and tokens of the one open there."""
+    m, sums = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    after = np.maximum(np.arange(m) + 1, np.minimum(np.arange(m) + most, np.searchsorted(sums, sums[:-1] + width, "right") - 1)).tolist()
+    more, last = [0] * m, list(range(m))
+    for i in range(m - 1, -1, -1):
+        if after[i] < m:
+            more[i], last[i] = more[after[i]] + 1, last[after[i]]
+    return more, [m - k for k in last], [int(sums[-1] - sums[k]) for k in last]
+
+
 def token_batches(chunks: DataFrame, batch_size: int = 100, max_tokens: int = 600_000) -> DataFrame:
     """version_id, chunk_id and the batch it goes with: greedily in order, at most so many chunks and estimated tokens a batch.
 
-    Greedy batches follow from all before them, so a version's rows pass one task; they stream through it in order, nothing is gathered.
+    A version stands in blocks of ``BATCH_BLOCK`` places.  A batch that is open where a block begins takes some of its first ``batch_size``
+    items; from the item after these, greedy batches are known without what came before.  So each block tells once where every such start leads,
+    one row a block is composed in order, and each block then deals its items from the state that it begins with.
     """
     kind = chunks.schema["version_id"].dataType.simpleString()
-    items = chunks.select("version_id", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), (F.floor(F.length("text_raw") / 2).cast("int") + 1).alias("n"))
+    n = F.coalesce(F.floor(F.length("text_raw") / 2).cast("int") + 1, F.lit(0))
+    items = chunks.select("version_id", F.floor(F.col("chunk_index") / BATCH_BLOCK).alias("block"), "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), n.alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, batch, count, total, began = None, 0, 0, 0, False
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """version, block, size, the tokens of the first items, and where each start leads."""
+        now, sizes = None, []
+
+        def told() -> pa.RecordBatch:
+            more, count, total = _greedy(np.array(sizes, np.int64), batch_size, max_tokens)
+            few = slice(0, batch_size + 1)
+            return pa.RecordBatch.from_pylist([{"version_id": now[0], "block": now[1], "size": len(sizes), "head": sizes[:batch_size], "more": more[few], "count": count[few], "total": total[few]}], told_schema)
+
+        for rows in batches:
+            told_schema = pa.schema([rows.schema.field(0).with_name("version_id"), ("block", pa.int64()), ("size", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("head", "more", "count", "total"))])
+            for version, block, size in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+                if (version, block) != now:
+                    if sizes:
+                        yield told()
+                    now, sizes = (version, block), []
+                sizes.append(size)
+        if sizes:
+            yield told()
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The state that each block begins with: items and tokens of the open batch, and its number."""
+        now, began, count, total, batch = None, False, 0, 0, 0
+        for rows in batches:
+            out = []
+            for x in rows.to_pylist():
+                if not began or x["version_id"] != now:
+                    began, now, count, total, batch = True, x["version_id"], 0, 0, 0
+                out.append((count, total, batch))
+                k = 0
+                while k < min(x["size"], batch_size) and not (count and (count >= batch_size or total + x["head"][k] > max_tokens)):
+                    count, total, k = count + 1, total + x["head"][k], k + 1
+                if k < x["size"]:
+                    batch, count, total = batch + 1 + x["more"][k], x["count"][k], x["total"][k]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))], ["version_id", "block", "held", "tokens", "batch"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, total, batch = None, 0, 0, 0
         for rows in batches:
             out = []
-            for version, n in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                if not began or version != now:
-                    began, now, batch, count, total = True, version, 0, 0, 0
-                n = n or 0
-                if count and (count >= batch_size or total + n > max_tokens):
+            for version, block, size, held, tokens_, number in zip(*(rows.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)), strict=True):
+                if (version, block) != now:
+                    now, count, total, batch = (version, block), held, tokens_, number
+                if count and (count >= batch_size or total + size > max_tokens):
                     batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + n
+                count, total = count + 1, total + size
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(out, pa.int32())], ["version_id", "chunk_id", "batch"])
 
-    return items.repartition("version_id").sortWithinPartitions("version_id", "chunk_index").mapInArrow(run, f"version_id {kind}, chunk_id string, batch int")
+    key, order = ["version_id", "block"], ["version_id", "block", "chunk_index", "chunk_id"]
+    placed = items.repartition(*key).sortWithinPartitions(*order)
+    told = placed.select(*key, "n").mapInArrow(runs, f"version_id {kind}, block long, size long, head array<long>, more array<long>, count array<long>, total array<long>")
+    begins = told.repartition("version_id").sortWithinPartitions(*key).mapInArrow(composed, f"version_id {kind}, block long, held long, tokens long, batch long")
+    met = carried(items, begins, key).repartition(*key).sortWithinPartitions(*order)
+    return met.select(*key, "chunk_id", "n", "held", "tokens", "batch").mapInArrow(dealt, f"version_id {kind}, chunk_id string, batch int")
 
 
 def diagnostics(results: DataFrame) -> DataFrame:

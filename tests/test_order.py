@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provenant.operators import order, tree
+from provenant.operators import order, retrieval, tree
 
 
 def test_global_rank_matches_a_sort(spark):
@@ -59,3 +59,22 @@ def test_trees_do_not_depend_on_blocks(spark, block, monkeypatch):
     whole = key()
     monkeypatch.setattr(tree, "BLOCK", block)
     assert key() == whole and len(whole) > 20
+
+
+@pytest.mark.parametrize("block", [1, 5, 17, 1000])
+@pytest.mark.parametrize(("most", "width"), [(3, 40), (1, 1000), (100, 30), (4, 1)])
+def test_token_batches_over_blocks(spark, block, most, width, monkeypatch):
+    r = random.Random(8)
+    rows = [(v, at, f"{v}{at}", r.choice([None, "", "x" * r.randint(0, 40)])) for v in ("v", "w") for at in r.sample(range(90), 60)]
+    monkeypatch.setattr(retrieval, "BATCH_BLOCK", block)
+    got = retrieval.token_batches(spark.createDataFrame(rows, "version_id string, chunk_index int, chunk_id string, text_raw string").repartition(3), most, width)
+    want = []
+    for v in ("v", "w"):
+        batch = count = total = 0
+        for _, _, key, text in sorted((x for x in rows if x[0] == v), key=lambda x: x[1]):
+            n = len(text) // 2 + 1 if text is not None else 0
+            if count and (count >= most or total + n > width):
+                batch, count, total = batch + 1, 0, 0
+            count, total = count + 1, total + n
+            want.append((v, key, batch))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
