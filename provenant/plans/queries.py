@@ -1,7 +1,7 @@
 """The registered queries of the engine's own operators, each with the SQL that DuckDB runs beside it.
 
-The driver's tables stand in for the engine's: documents are chunks (version: language, element type: source, page: number
-modulo forty), their lines are finer chunks, embeddings are vectors, orders and customers are versions and documents.
+The driver's tables stand in for the engine's: documents are chunks (version: language, element type: source, page: 25 numbers
+each), their lines are finer chunks, embeddings are vectors, orders and customers are versions and documents.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class Tables:
         """Documents as chunks."""
         d = self("documents")
         return d.select(
-            F.col("lang").alias("version_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("int").alias("chunk_index"), (F.col("doc_id") % 40).cast("int").alias("page_idx"), F.col("source").alias("element_type"), F.col("text").alias("text_raw"), "n_chars"
+            F.col("lang").alias("version_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("int").alias("chunk_index"), F.floor(F.col("doc_id") / 25).cast("int").alias("page_idx"), F.col("source").alias("element_type"), F.col("text").alias("text_raw"), "n_chars"
         )
 
     def embedded(self) -> DataFrame:
@@ -78,7 +78,7 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes))
 
 
-CHUNKS = "(SELECT lang AS version_id, doc_id AS chunk_id, doc_id AS chunk_index, doc_id % 40 AS page_idx, source AS element_type, text AS text_raw, n_chars FROM documents)"
+CHUNKS = "(SELECT lang AS version_id, doc_id AS chunk_id, doc_id AS chunk_index, doc_id // 25 AS page_idx, source AS element_type, text AS text_raw, n_chars FROM documents)"
 NODES = """(SELECT 'r' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 3 AS level, r_name AS heading FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2, n_name FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 1, c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 0, NULL FROM orders)"""
 COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -397,8 +397,9 @@ def _(t):
     c = t.chunks().withColumn("element_type", F.when(F.col("element_type") == "src0", "table").otherwise(F.col("element_type")))
     pages = c.select("version_id", "page_idx").distinct()
     out = explore.page_metadata(c, pages)
-    back = F.transform(F.map_entries("element_counts"), lambda e: F.concat_ws("=", F.when(e["key"] == "table", "src0").otherwise(e["key"]), e["value"].cast("string")))
-    return longs(out.select("version_id", "page_idx", F.array_join(F.array_sort(back), ",").alias("counts"), "chunk_count", "has_tables"))
+    back = F.array_sort(F.transform(F.map_entries("element_counts"), lambda e: F.struct(F.when(e["key"] == "table", "src0").otherwise(e["key"]).alias("kind"), e["value"].cast("string").alias("n"))))
+    listed = F.array_join(F.transform(back, lambda e: F.concat_ws("=", e["kind"], e["n"])), ",")
+    return longs(out.select("version_id", "page_idx", listed.alias("counts"), "chunk_count", "has_tables"))
 
 
 @register("count_filter", "SELECT lang AS version_id, count(*) AS total, count(*) FILTER (WHERE e.embedding IS NOT NULL) AS embedded, count(*) FILTER (WHERE e.embedding IS NULL AND text <> '') AS pending, count(*) FILTER (WHERE text = '') AS empty FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1")
@@ -855,7 +856,6 @@ def _(t):
 
 
 ITEMS_SQL = """(SELECT doc_id AS version_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
-ITEM_KIND = "CASE WHEN pos % 7 = 3 THEN 'header' WHEN pos % 5 = 0 THEN 'heading' ELSE 'text' END"
 
 
 def _items(t) -> DataFrame:
@@ -928,10 +928,17 @@ def _(t):
     return c.select(F.concat_ws(":", "version_id", F.col("chunk_index").cast("string")).alias("chunk_id"), X.sha256("contextual_text").alias("context_sha"))
 
 
-@register("contextual_topk", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0 FROM (SELECT * FROM {VECTOR_RANKS}) WHERE score >= 0.1")
+#: Every tenth document opens a section that bears its source's name.
+TITLED = f"(SELECT doc_id, coalesce('[' || title || '] ', '') || text AS contextual_text, title FROM (SELECT d.doc_id, d.text, (SELECT s.source FROM documents s WHERE s.lang = d.lang AND s.doc_id % 10 = 0 AND s.doc_id // 25 <= d.doc_id // 25 ORDER BY s.doc_id // 25 DESC, s.doc_id DESC LIMIT 1) AS title FROM documents d))"
+
+
+@register("contextual_topk", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank0, title AS section_title, sha256(contextual_text) AS context_sha FROM (SELECT * FROM {VECTOR_RANKS}) r JOIN {TITLED} t ON t.doc_id = r.chunk_id WHERE score >= 0.1")
 def _(t):
-    c = t.embedded().withColumn("section_title", F.lit("t")).withColumn("contextual_text", F.concat(F.lit("[t] "), "text_raw"))
-    return _rounded(tree.contextual_search(c, t.query(), 10, 0.1))
+    c = t.embedded()
+    nodes = c.where("chunk_id % 10 = 0").select("version_id", F.lit(2).alias("level"), F.col("element_type").alias("heading"), F.col("page_idx").alias("page_start"), F.col("chunk_index").alias("start_pos"))
+    named = tree.contextual(c, nodes)
+    top = tree.contextual_search(named, t.query(), 10, 0.1).join(named.select("chunk_id", "section_title", "contextual_text"), "chunk_id")
+    return longs(top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank0", "section_title", X.sha256("contextual_text").alias("context_sha")))
 
 
 @register("upsert_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders UNION ALL SELECT -o_orderkey - 1, 1.0, 'come' FROM orders WHERE o_orderstatus = 'P'")
@@ -1030,13 +1037,13 @@ def _(t):
     return longs(retrieval.embedding_counts(whole, F.when(F.col("element_type") != "src0", F.col("own"))))
 
 
-SAID_SQL = """(SELECT lang AS version_id, doc_id, CASE doc_id % 5 WHEN 0 THEN '整机质保' || (doc_id % 9) || '年，尽快到场' WHEN 1 THEN '保修期 必须满足 ' || (doc_id % 11) || ' 年' WHEN 2 THEN '终身服务，免费维修，' || (doc_id % 40) || '小时响应' WHEN 3 THEN '售后服务' ELSE '' END || ' ' || substring(text, 1, 30) AS txt FROM documents)"""
+SAID_SQL = """(SELECT lang AS version_id, doc_id, CASE doc_id % 5 WHEN 0 THEN '整机质保' || (doc_id % 9) || '年，尽快到场' WHEN 1 THEN '保修期 必须满足 ' || (doc_id % 11) || ' 年' WHEN 2 THEN '终身服务，免费维修，' || (doc_id % 40) || '小时响应' WHEN 3 THEN '售后服务' ELSE '' END || ' ' || text AS txt FROM documents)"""
 
 
 def _said(i) -> Column:
     number = lambda n: (i % n).cast("string")
     said = F.when(i % 5 == 0, F.concat(F.lit("整机质保"), number(9), F.lit("年，尽快到场"))).when(i % 5 == 1, F.concat(F.lit("保修期 必须满足 "), number(11), F.lit(" 年"))).when(i % 5 == 2, F.concat(F.lit("终身服务，免费维修，"), number(40), F.lit("小时响应"))).when(i % 5 == 3, F.lit("售后服务")).otherwise(F.lit(""))
-    return F.concat(said, F.lit(" "), F.substring("text", 1, 30))
+    return F.concat(said, F.lit(" "), F.col("text"))
 
 
 def _any_sql(words) -> str:
@@ -1069,6 +1076,58 @@ def _(t):
     return t("documents").select("doc_id", every.alias("every")).select("doc_id", of("risk").alias("risks"), of("benefit").alias("benefits"), of("info").alias("infos"))
 
 
+#: Sentences that go round by the number, for the other dimensions: a head, and a number below the divisor with what follows, twice.
+SPOKEN = (
+    ("整机质保", 9, "年，尽快到场", 1, ""), ("保修期 必须满足 ", 11, " 年 或 ", 30, "个月"), ("终身服务，免费维修，", 40, "小时响应", 1, ""), ("设备交付：", 30, "小时内到场，上门服务，", 12, "天"), ("操作培训 ", 6, " 天，", 9, "人，维护培训"),
+    ("预付 ", 60, "%，尾款 ", 7, "万元"), ("技术方案满足规格，", 3, "项功能", 1, ""), ("保证符合，承诺不得延误，", 5, "日内", 1, ""), ("技术指导，使用与维护，共", 8, "日", 1, ""), ("", 1, "", 1, ""),
+)
+_CASES = " ".join(f"WHEN {k} THEN '{head}' || " + (f"(doc_id % {a})" if a > 1 else "''") + f" || '{after}' || " + (f"(doc_id % {b})" if b > 1 else "''") + f" || '{end}'" for k, (head, a, after, b, end) in enumerate(SPOKEN))
+SPOKEN_SQL = f"(SELECT lang AS version_id, doc_id, CASE doc_id % 10 {_CASES} END || ' ' || text AS txt FROM documents)"
+
+
+def _spoken(t) -> DataFrame:
+    """Documents as chunks whose whole texts follow a sentence."""
+    i = F.col("doc_id")
+    number = lambda n: (i % n).cast("string") if n > 1 else F.lit("")
+    said = F.element_at(F.array(*(F.concat(F.lit(head), number(a), F.lit(after), number(b), F.lit(end)) for head, a, after, b, end in SPOKEN)), (i % 10 + 1).cast("int"))
+    return t("documents").select(F.col("lang").alias("version_id"), i.alias("chunk_index"), F.concat(said, F.lit(" "), F.col("text")).alias("text_raw"))
+
+
+def _dimension_sql(d: scoring.Dimension) -> str:
+    """The result of one dimension for every version."""
+    ints = lambda pattern: f"list_transform(regexp_extract_all(txt, '{pattern}', 1), lambda x: x::INT)"
+    words = lambda name: f"{_any_sql(scoring.WORDS_FOR[name])}::INT"
+    own = {  # benefits, risks of medium level, others
+        "warranty": (f"(coalesce(list_max({ints(r'([0-9]+)\s*年')}), 0) >= 5)::INT + {words('lifelong')}", f"(coalesce(list_max({ints(r'([0-9]+)\s*年')}), 9) < 3)::INT", words("whole")),
+        "delivery": (f"(coalesce(list_min({ints(r'([0-9]+)\s*小时')}), 9) <= 2)::INT", f"(coalesce(list_min({ints(r'([0-9]+)\s*小时')}), 9) > 24)::INT", words("on_site")),
+        "training": (f"(coalesce(list_sum({ints(r'([0-9]+)\s*[天日]')}), 0) >= 5)::INT", "0", f"{words('operation')} + {words('upkeep')}"),
+    }
+    benefit, medium, info = own.get(d.name, ("0", "0", "0"))
+    found = f"(SELECT * FROM {SPOKEN_SQL} WHERE {_any_sql(d.keywords)} QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY doc_id) <= 50)"
+    counted = f"""(SELECT version_id, count(*) AS chunks_found, sum(risks)::BIGINT AS risks, sum(high)::BIGINT AS high, sum(medium)::BIGINT AS medium, sum(benefits)::BIGINT AS benefits, sum(CASE WHEN risks + benefits + infos = 0 THEN 1 ELSE infos END)::BIGINT AS infos FROM (SELECT version_id,
+      {_groups_sql(scoring.RISKS)} + {medium} AS risks, {_groups_sql(scoring.RISKS, 'high')} AS high, {_groups_sql(scoring.RISKS, 'medium')} + {medium} AS medium, {_groups_sql(scoring.BENEFITS)} + {benefit} AS benefits, {info} AS infos FROM {found}) GROUP BY 1)"""
+    each = " UNION ALL ".join(f"SELECT version_id, arg_max(list_max(v), doc_id) AS highest, arg_max(list_min(v), doc_id) AS lowest FROM (SELECT version_id, doc_id, {ints(p.replace(chr(92) + 'd', '[0-9]'))} AS v FROM {found}) WHERE len(v) > 0 GROUP BY 1" for p in d.patterns)
+    values = f"(SELECT version_id, max(highest) AS highest, min(lowest) AS lowest, sum(highest) AS total FROM ({each}) GROUP BY 1)" if each else "(SELECT NULL::VARCHAR AS version_id, NULL::INT AS highest, NULL::INT AS lowest, NULL::INT AS total)"
+    extra = {"warranty": "CASE WHEN highest >= 5 THEN 20 WHEN highest >= 3 THEN 10 WHEN highest < 2 THEN -20 ELSE 0 END", "delivery": "CASE WHEN lowest <= 2 THEN 20 WHEN lowest <= 8 THEN 10 WHEN lowest > 24 THEN -20 ELSE 0 END", "training": "CASE WHEN total >= 5 THEN 20 WHEN total >= 3 THEN 10 ELSE 0 END"}.get(d.name, "0")
+    n = lambda c: f"coalesce({c}, 0)"
+    return f"""SELECT v.version_id, '{d.name}' AS dimension, {d.weight}::DOUBLE AS weight, {n('chunks_found')} AS chunks_found, {n('risks')} AS risks, {n('benefits')} AS benefits, {n('infos')} AS infos, least(100.0, greatest(0.0, 50 + 10 * {n('benefits')} - 15 * {n('high')} - 5 * {n('medium')} - 2 * ({n('risks')} - {n('high')} - {n('medium')}) + {extra}))::DOUBLE AS score,
+      CASE WHEN {n('high')} > 0 THEN 'high' WHEN {n('risks')} > {n('benefits')} THEN 'medium' ELSE 'low' END AS risk_level FROM (SELECT DISTINCT lang AS version_id FROM documents) v LEFT JOIN {counted} c ON c.version_id = v.version_id LEFT JOIN {values} x ON x.version_id = v.version_id"""
+
+
+ANALYZED_SQL = " UNION ALL ".join(map(_dimension_sql, scoring.DIMENSIONS))
+
+
+@register("analyze_all", ANALYZED_SQL)
+def _(t):
+    return longs(scoring.analyze(_spoken(t)).select("version_id", "dimension", "weight", "chunks_found", "risks", "benefits", "infos", "score", "risk_level"))
+
+
+@register("analyze_overall", f"""SELECT version_id, round(s / w, 6) AS overall_score, risks AS total_risks, benefits AS total_benefits, CASE WHEN benefits / greatest(1, risks) >= 2 THEN 'low' WHEN benefits / greatest(1, risks) >= 1 THEN 'medium' ELSE 'high' END AS risk_level, chunks AS chunks_analyzed
+  FROM (SELECT version_id, sum(score * weight) AS s, sum(weight) AS w, sum(risks)::BIGINT AS risks, sum(benefits)::BIGINT AS benefits, sum(chunks_found)::BIGINT AS chunks FROM ({ANALYZED_SQL}) GROUP BY 1)""")
+def _(t):
+    return longs(scoring.overall(scoring.analyze(_spoken(t))).withColumn("overall_score", F.round("overall_score", 6)))
+
+
 @register("tool_metrics", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE value >= 10) AS errors, round(avg(value), 2) AS mean_ms FROM events GROUP BY 1")
 def _(t):
     return explore.tool_metrics(t("events").select(F.col("event_type").alias("tool"), (F.col("value") < 10).alias("ok"), F.col("value").alias("ms")))
