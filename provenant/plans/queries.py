@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as X
 from ..functions.shared import cut
 from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, trigrams, vectorindex
@@ -313,6 +314,15 @@ def _(t):
     return longs(tree.ancestors(n, n))
 
 
+@register("table_functions", f"""WITH RECURSIVE n AS (SELECT * FROM {HEAP}), w AS (SELECT 1::BIGINT AS node_id, 0 AS depth UNION ALL SELECT n.node_id, w.depth + 1 FROM w JOIN n ON n.parent_id = w.node_id WHERE n.node_id <> 1), u AS (SELECT max(node_id) AS node_id, 0 AS depth FROM n UNION ALL SELECT n.parent_id, u.depth - 1 FROM u JOIN n ON n.node_id = u.node_id WHERE n.parent_id IS NOT NULL)
+  SELECT 'down' AS walk, node_id, depth::BIGINT AS depth FROM w UNION ALL SELECT 'up', node_id, depth FROM u""")
+def _(t):
+    tables.register_tree(t.spark, _heap(t), "provenant_heap")
+    return longs(t.spark.sql("SELECT 'down' AS walk, * FROM provenant_heap_descendants(1L)")).unionByName(
+        longs(t.spark.sql(f"SELECT 'up' AS walk, * FROM provenant_heap_ancestors({t('orders').agg(F.max('o_orderkey')).first()[0]}L)"))
+    )
+
+
 @register("anti_join_pending", "SELECT DISTINCT o_custkey AS version_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
     o = t("orders").select(F.col("o_custkey").alias("version_id"), "o_orderpriority")
