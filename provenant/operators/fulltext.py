@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import has_cjk
+from . import trigrams
 from .retrieval import best, keyword_lexemes, tokens
 
 TERM = "struct<words: array<string>, negated: boolean>"
@@ -142,3 +144,15 @@ def search(index: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     times = F.aggregate(F.map_values("held"), F.lit(0), lambda n, p: n + F.size(p))
     weighed = both.withColumn("w", F.when(F.col("single"), 0.1 * times).otherwise(covers(F.when(~F.col("single"), F.col("tree")), F.col("held"))))
     return best(weighed.select("query_id", "chunk_id", (F.col("w") / (F.col("w") + 1)).alias("score")), top_k)
+
+
+def keyword_search(index: DataFrame, grams: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
+    """The rows of ``retrieval.keyword_search`` from indexes: full text, and by substring for queries with a CJK keyword and for those whose full-text search is empty.
+
+    ``index``: ``postings`` and ``grams``: ``trigrams.index`` of the chunks, whose texts only verify candidates of the second.
+    """
+    cleaned = queries.withColumn("keywords", F.filter(F.transform("keywords", lambda k: F.trim(F.translate(k, '"', " "))), lambda k: k != ""))
+    words = cleaned.where(~F.exists("keywords", has_cjk)).withColumn("tree", of_keywords("keywords", any_keyword))
+    full = search(index, words, top_k)
+    rest = cleaned.join(full.select("query_id").distinct(), "query_id", "left_anti")
+    return full.unionByName(trigrams.substring_search(grams, chunks, rest, top_k))

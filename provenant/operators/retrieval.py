@@ -277,21 +277,24 @@ def formatted(results: DataFrame, include_text: bool = True, max_chars: int | No
 # -- the whole ------------------------------------------------------------------------------------
 
 
-def ranked(chunks: DataFrame, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", fields: list[str] | None = None, any_keyword: bool = True) -> DataFrame:
+def ranked(chunks: DataFrame, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", fields: list[str] | None = None, any_keyword: bool = True, by_vector: DataFrame | None = None, by_keyword: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, vector_score, keyword_score and rank0 of the top_k chunks of each query.
 
     ``vector`` and ``keyword`` score by 1 / (60 + rank + 1); so does ``hybrid`` where a query has no keyword hit.  With
-    ``fields``, weights follow the query text (column query).
+    ``fields``, weights follow the query text (column query).  ``by_vector`` and ``by_keyword`` are the two ranked lists where an index
+    has found them already.
     """
+    vectors = lambda: vector_search(chunks, queries, top_k) if by_vector is None else by_vector
+    words = lambda: keyword_search(chunks, queries, top_k, any_keyword) if by_keyword is None else by_keyword
     if mode not in ("hybrid", "vector", "keyword"):
         raise ValueError(f"unknown mode {mode!r}")
     alone = lambda df, own, other: df.select("query_id", "chunk_id", (1.0 / (RRF_K + F.col("rank0") + 1)).alias("score"), F.col("score").alias(own), F.lit(None).cast("double").alias(other), "rank0")
     if mode == "vector":
-        out = alone(vector_search(chunks, queries, top_k), "vector_score", "keyword_score")
+        out = alone(vectors(), "vector_score", "keyword_score")
     elif mode == "keyword":
-        out = alone(keyword_search(chunks, queries, top_k, any_keyword), "keyword_score", "vector_score")
+        out = alone(words(), "keyword_score", "vector_score")
     else:
-        v, k = vector_search(chunks, queries, top_k), keyword_search(chunks, queries, top_k, any_keyword)
+        v, k = vectors(), words()
         if fields is None:
             both = fuse(v, k)
         else:

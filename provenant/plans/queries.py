@@ -689,6 +689,15 @@ def _(t):
     return longs(out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "rank0", "n_chars", retrieval.source_label().alias("source")))
 
 
+@register("hybrid_indexed", f"""SELECT query_id, chunk_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score, rank0 FROM {fused_sql(VECTOR_RANKS, KEYWORD_RANKS)} r WHERE rank0 < 10""")
+def _(t):
+    c, q = t.embedded(), t.query()
+    by_vector = vectorindex.search_exact(*_vector_index(t), q, 10)
+    by_keyword = fulltext.keyword_search(cut(fulltext.postings(c)), trigrams.index(c), c, q, 10)
+    out = retrieval.ranked(c, q, 10, "hybrid", by_vector=by_vector, by_keyword=by_keyword)
+    return longs(out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"), "rank0"))
+
+
 @register("diagnostics", f"""SELECT query_id, count(*) AS results, count(*) FILTER (WHERE vector_score IS NOT NULL AND keyword_score IS NULL) AS vector_hits, count(*) FILTER (WHERE vector_score IS NULL) AS keyword_hits, count(*) FILTER (WHERE vector_score IS NOT NULL AND keyword_score IS NOT NULL) AS hybrid_hits
   FROM {fused_sql(VECTOR_RANKS, KEYWORD_RANKS)} WHERE rank0 < 10 GROUP BY 1""")
 def _(t):

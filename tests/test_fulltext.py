@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provenant.operators import fulltext, retrieval
+from provenant.operators import fulltext, retrieval, trigrams
 
 
 def tree_of(spark, text):
@@ -124,3 +124,14 @@ def test_extra_columns_and_empty_tables(spark, chunks):
     q = spark.createDataFrame([(1, "v", "alpha")], "query_id long, version_id string, q string").withColumn("tree", fulltext.parse("q"))
     assert fulltext.search(fulltext.postings(chunks.where("false")), q, 5).count() == 0
     assert fulltext.search(fulltext.postings(chunks), q.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("any_keyword", [True, False])
+def test_keyword_search_from_indexes(spark, any_keyword):
+    r = random.Random(9)
+    chunks = spark.createDataFrame([(r.choice("vw"), i, " ".join(r.choice(["data", "of", "The", "保修期", "x-ray", "plan"]) for _ in range(r.randint(0, 20)))) for i in range(150)], "version_id string, chunk_id long, text_raw string")
+    rows = [(0, "v", ["data", "set of"]), (1, "w", ["保修", "data"]), (2, "v", ["pla"]), (3, "w", []), (4, "v", ['"', "nothing here"]), (5, "w", ["a", "ray"]), (6, "v", ['"of"'])]
+    queries = spark.createDataFrame(rows, "query_id long, version_id string, keywords array<string>")
+    key = lambda df: sorted((x.query_id, x.chunk_id, round(x.score, 9), x.rank0) for x in df.collect())
+    got = fulltext.keyword_search(fulltext.postings(chunks), trigrams.index(chunks), chunks, queries, 10, any_keyword)
+    assert key(got) == key(retrieval.keyword_search(chunks, queries, 10, any_keyword)) and key(got)
