@@ -7,6 +7,7 @@ each), their lines are finer chunks, embeddings are vectors, orders and customer
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions import text as X
-from ..functions.shared import cut
+from ..functions.shared import cut, scratch
 from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, trigrams, vectorindex
+from ..sources import content
+from ..streaming.ingest import apply
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1199,3 +1202,65 @@ def _(t):
 def _(t):
     best = t("labels").where("quality = 1").agg(F.max("doc_id").alias("doc_id"))
     return longs(t("documents").join(F.broadcast(best), "doc_id").select("doc_id", F.size(F.split("text", "\n")).alias("lines")))
+
+
+# -- sources and sinks end to end -----------------------------------------------------------------
+
+
+@register("content_items", f"""SELECT version_id::VARCHAR AS version_id, pos::BIGINT AS pos, CASE WHEN pos % 4 = 1 THEN 'table' ELSE 'text' END AS type, (pos // 10)::BIGINT AS page_idx, CASE pos % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS boxes,
+  sha256(line) AS text_sha, CASE WHEN pos % 4 = 1 THEN 'a|b' WHEN pos % 4 = 2 THEN 'alone' ELSE '' END AS captions FROM {ITEMS_SQL}""")
+def _(t):
+    box = "CASE i % 4 WHEN 0 THEN '[0, 0, 5, 6]' WHEN 1 THEN '[[0, 0, 5, 6], [1, 2], [1, 1, 2.5, 3]]' WHEN 2 THEN '\"[1, 2, 3, 4]\"' ELSE '[1, \"x\"]' END"
+    caption = "CASE i % 4 WHEN 1 THEN '[\"a\", \"\", \"b\"]' WHEN 2 THEN '\"alone\"' ELSE 'null' END"
+    item = f"concat('{{\"bbox\":', {box}, ',\"table_caption\":', {caption}, ',', substring(to_json(named_struct('text', line, 'type', CASE WHEN i % 4 = 1 THEN 'table' ELSE 'text' END, 'page_idx', i div 10)), 2))"
+    raw = t("documents").select(F.col("doc_id").cast("string").alias("version_id"), F.expr(f"concat('[', array_join(transform(split(text, '\n'), (line, i) -> {item}), ','), ']')").alias("content"))
+    return longs(content.items_of(raw).select("version_id", "pos", "type", "page_idx", F.size("bbox").alias("boxes"), X.sha256("text").alias("text_sha"), F.array_join("table_caption", "|").alias("captions")))
+
+
+@register("stream_upsert", f"""SELECT version_id::VARCHAR AS version_id, pos::BIGINT AS chunk_index, sha256(trim(line)) AS text_sha, length(trim(line))::BIGINT AS end_char FROM (SELECT version_id, pos, CASE WHEN version_id % 3 = 0 THEN 'new ' || line ELSE line END AS line FROM {ITEMS_SQL} WHERE version_id % 3 <> 0 OR pos < 5) WHERE pos % 7 <> 3""")
+def _(t):
+    out, items = scratch(t.spark, "stream-upsert"), _items(t)
+    apply(t.spark, items, out)
+    apply(t.spark, items.where("CAST(version_id AS bigint) % 3 = 0 AND pos < 5").withColumn("text", F.concat(F.lit("new "), "text")), out)
+    chunks, spans = (t.spark.read.parquet(f"{out}/{name}") for name in ("chunks", "spans"))
+    met = chunks.join(spans.select("version_id", "chunk_id", "end_char"), ["version_id", "chunk_id"])
+    return longs(met.select("version_id", "chunk_index", X.sha256("text_raw").alias("text_sha"), "end_char"))
+
+
+OTHER_WORDS = ("交付", "培训", "预付")
+
+
+@register("override_keywords", _dimension_sql(replace(WARRANTY, keywords=OTHER_WORDS)))
+def _(t):
+    done = scoring.score_dimension(_spoken(t), WARRANTY, overrides={"warranty": list(OTHER_WORDS)})
+    return longs(done.select("version_id", "dimension", "weight", "chunks_found", "risks", "benefits", "infos", "score", "risk_level"))
+
+
+@register("headings", f"SELECT version_id::VARCHAR AS version_id, count(*) AS headings, min(pos)::BIGINT AS first FROM {ITEMS_SQL} WHERE pos % 7 <> 3 AND pos % 5 = 0 GROUP BY 1")
+def _(t):
+    return longs(_items(t).where(tree.is_heading()).groupBy("version_id").agg(F.count("*").alias("headings"), F.min("pos").alias("first")))
+
+
+@register("reset_tree", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS removed FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def _(t):
+    scope = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    left, n = sinks.reset_scope(t("lineitem").select("l_orderkey", "l_linenumber"), scope, ["l_orderkey"], confirm=True)
+    return longs(left.withColumn("removed", F.lit(n).cast("long")))
+
+
+@register("json_lines", "SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, [c_mktsegment, c_name][1] AS first FROM customer")
+def _(t):
+    rows = t("customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), F.array("c_mktsegment", "c_name").alias("names"))
+    sinks.write_json_lines(rows, at := scratch(t.spark, "json-lines"))
+    return t.spark.read.schema(rows.schema).json(at).select("c_custkey", "c_name", "c_acctbal", F.get("names", F.lit(0)).alias("first"))
+
+
+@register("capped_trees", "SELECT source AS version_id, count(*) AS nodes, count(*) > 45 AS refused FROM documents GROUP BY 1")
+def _(t):
+    kept, over = tree.capped(t("documents").select(F.col("source").alias("version_id"), F.col("doc_id").alias("node_id")), 45)
+    return kept.groupBy("version_id").agg(F.count("*").alias("nodes"), F.lit(False).alias("refused")).unionByName(over.withColumn("refused", F.lit(True)))
+
+
+@register("dimension_guard", "SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings")
+def _(t):
+    return longs(retrieval.check_dimension(t("embeddings"), 64).select("vec_id", F.size("embedding").alias("dim")))
