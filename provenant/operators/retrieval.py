@@ -203,6 +203,15 @@ def synonym_index(field_keywords: dict[str, list[str]]) -> dict[str, str]:
     return out
 
 
+def extended(field_keywords: dict[str, list[str]], more: dict[str, list[str]]) -> dict[str, list[str]]:
+    """A vocabulary with more keys and synonyms: what a key has stays in its order, the key itself and new synonyms follow once each."""
+    out = {key: list(synonyms) for key, synonyms in field_keywords.items()}
+    for key, synonyms in more.items():
+        own = out.setdefault(key, [])
+        own += [s for s in dict.fromkeys([key, *synonyms]) if s not in own]
+    return out
+
+
 def expand_keywords(query: Column, field_keywords: dict[str, list[str]]) -> Column:
     """Sorted keywords of a query: of every index entry that occurs in it, its key and all the key's synonyms."""
     index = synonym_index(field_keywords)
@@ -322,6 +331,19 @@ def rerank(results: DataFrame, score: Callable[[Column, Column], Column], top_n:
     return again.withColumn("rank0", rank0(F.col("rerank_score").desc(), F.col("rank0"))).where(F.col("rank0") < top_n)
 
 
+def rerank_listed(results: DataFrame, ranking: DataFrame, top_n: int) -> DataFrame:
+    """The best top_n of the first 2 * top_n results of each query in the order of a reranker that lists some of their texts; the others follow in their own order.
+
+    ``ranking``: query_id, text_raw, nth and rerank_score (may be null) of what the reranker returned; of results with one text it means the first that it has
+    not named yet, and a text that no result has counts for nothing.
+    """
+    copy = lambda order: F.row_number().over(Window.partitionBy("query_id", "text_raw").orderBy(order)).alias("copy")
+    first = results.where(F.col("rank0") < 2 * top_n).select("*", copy("rank0"))
+    named = ranking.select("query_id", "text_raw", copy("nth"), F.col("nth").alias("its place"), "rerank_score")
+    both = first.join(named, ["query_id", "text_raw", "copy"], "left").withColumn("rank0", rank0(F.col("its place").asc_nulls_last(), F.col("rank0")))
+    return both.where(F.col("rank0") < top_n).select(*results.columns, "rerank_score")
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """A stand-in reranker: the share of the query's words that the text has."""
     q, t = F.array_distinct(tokens(query)), F.array_distinct(tokens(text))

@@ -47,6 +47,14 @@ def touched(old: DataFrame, new: DataFrame, key: list[str], at: Column) -> DataF
     return upsert(old, met.withColumn("updated_at", F.when(same, F.col("since")).otherwise(at)).select(*old.columns), key)
 
 
+def register(old: DataFrame, new: DataFrame, key: list[str], stay: list[str]) -> DataFrame:
+    """``upsert`` into a registry: rows that are there keep their columns ``stay`` (an id, a time of entry), all others follow ``new``."""
+    before = _named(old.select(*key, *(F.col(c).alias(f"old {c}") for c in stay), F.lit(True).alias("there")), key)
+    met = new.join(before, _same(new, before, key), "left")
+    kept = met.select(*(F.when(F.col("there"), F.col(f"old {c}")).otherwise(F.col(c)).alias(c) if c in stay else F.col(c) for c in old.columns))
+    return upsert(old, kept, key)
+
+
 def replace_scope(old: DataFrame, new: DataFrame, scope: list[str], key: list[str]) -> DataFrame:
     """Delete, then insert: the scopes that ``new`` has hold its rows (one for each key) and nothing else; other scopes stay."""
     return delete_matching(old, new.select(*scope).distinct(), scope).unionByName(new.dropDuplicates([*scope, *key]).select(*old.columns))

@@ -773,6 +773,14 @@ def _(t):
     return longs(retrieval.rerank(full, retrieval.overlap_score, 10).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank0"))
 
 
+@register("rerank_listed", f"""SELECT query_id, chunk_id, place - 1 AS rank0, CASE WHEN chunk_id % 3 = 0 THEN chunk_id / 2 END::DOUBLE AS rerank_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id % 3 <> 0, CASE WHEN chunk_id % 3 = 0 THEN -chunk_id END, rank0) AS place FROM {VECTOR_RANKS} WHERE rank0 < 10) WHERE place <= 5""")
+def _(t):
+    top = retrieval.vector_search(t.embedded(), t.query(), 10).withColumn("text_raw", F.concat(F.lit("text "), F.col("chunk_id").cast("string")))
+    listed = top.where("rank0 < 10 AND chunk_id % 3 = 0").select("query_id", "text_raw", (-F.col("chunk_id")).alias("nth"), (F.col("chunk_id") / 2).alias("rerank_score"))
+    return longs(retrieval.rerank_listed(top, listed, 5).select("query_id", "chunk_id", "rank0", "rerank_score"))
+
+
 @register("embed_text")
 def _(t):
     return t("documents").select("doc_id", retrieval.hash_embedding("text").alias("embedding"))
@@ -1011,6 +1019,16 @@ def _(t):
     return explore.list_versions(v, documents, t("nation").select(F.col("n_nationkey").alias("project_id")), chunks, chunks.select("version_id")).select("version_id")
 
 
+@register("file_registry", "SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN 'again' ELSE o_orderpriority END AS kind FROM orders WHERE o_orderkey % 7 <> 3 UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderdate, 'come' FROM orders WHERE o_orderstatus = 'P'")
+def _(t):
+    o = t("orders")
+    old = o.select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_orderpriority").alias("kind"))
+    again = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(-1).cast("long").alias("o_custkey"), F.current_timestamp().cast(old.schema["o_orderdate"].dataType).alias("o_orderdate"), F.lit("again").alias("kind"))
+    come = o.where("o_orderstatus = 'P'").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", "o_orderdate", F.lit("come").alias("kind"))
+    kept = sinks.register(old, again.unionByName(come), ["o_orderkey"], ["o_custkey", "o_orderdate"])
+    return sinks.delete_matching(kept, o.where("o_orderkey % 7 = 3").select("o_orderkey"), ["o_orderkey"])
+
+
 @register("files_of", "SELECT event_id AS file_path, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events WHERE event_type = 'error'")
 def _(t):
     f = t("events").select(F.col("event_type").alias("version_id"), F.col("event_id").alias("file_path"), F.col("ts").alias("created_at"))

@@ -166,6 +166,20 @@ def policy_artifact(policy: Policy) -> dict[str, Any]:
     return {"policy_hash": hashlib.sha256(canonical.encode()).hexdigest(), "policy": policy.data, "pack": policy.pack, "overlay": policy.overlay, "prompt": policy_prompt(policy)}
 
 
+def read_policy_artifact(path: str | Path) -> Policy:
+    """The policy of a compiled artifact, validated; an artifact whose hash does not fit its policy is an error."""
+    try:
+        given = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        raise ConfigError(f"no policy artifact at {path}: {e}") from e
+    if not isinstance(given, dict) or not isinstance(given.get("policy"), dict):
+        raise ConfigError(f"{path} holds no policy")
+    policy = Policy(given.get("pack") or "", given.get("overlay"), validate_policy(given["policy"]))
+    if policy_artifact(policy)["policy_hash"] != given.get("policy_hash"):
+        raise ConfigError(f"the policy of {path} is not the one that was compiled")
+    return policy
+
+
 def policy_prompt(policy: Policy) -> str:
     """The policy's rules as lines of text."""
     d = policy.data
