@@ -34,6 +34,8 @@ from .common import tidy
 
 #: Characters of a piece of text that is handled at once.
 CHUNK_CHARS = 4_000_000
+#: Bytes of text that are encoded and decoded at once.
+SLICE_BYTES = 2_000_000
 #: Beyond so many segments or bytes a worker forgets those that it has not met twice since it last forgot; longer segments are never kept.
 MEMO_SEGMENTS, MEMO_BYTES, MEMO_LONGEST = 400_000, 16_000_000, 200
 #: Bytes of segments that the library gets at once.
@@ -257,6 +259,15 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield out
 
 
+def sliced(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column (null: empty) in runs of about ``most`` bytes, and where each run begins; only one run is held as strings."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end
+
+
 # -- a vocabulary of ranks ------------------------------------------------------------------------
 
 
@@ -387,13 +398,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for some in chunks([t or "" for t in batch.column(len(keep)).to_pylist()]):
+            for at, some in sliced(batch.column(len(keep))):
                 ids, ends = enc.ids_of(some)
                 cols = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
-                at += len(some)
                 data = binary(ids.astype("<u4"), ends)
-                cols += [pa.array(np.diff(ends, prepend=0), pa.int64()), data, pa.array([enc.decode(x) for x in data.to_pylist()], pa.binary())]
+                cols += [pa.array(np.diff(ends, prepend=0), pa.int64()), data, pa.array((enc.decode(x.as_py()) for x in data), pa.binary(), size=len(data))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids", "decoded"])
         tidy()
 

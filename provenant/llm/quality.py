@@ -162,17 +162,17 @@ def held_out(id_col: str):
 
 
 def scored(docs: DataFrame, model: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score (0 to 1) of every row."""
+    """``keep`` columns (the text may be one of them) and score (0 to 1) of every row."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
+    place = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).cast(pa.binary())
-            x = np.array([statistics(t.as_py() or b"") for t in texts]).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([statistics(t.as_py() or b"") for t in batch.column(place).cast(pa.binary())]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x), pa.float64())], [*keep, "score"])
         tidy()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, *(() if text in keep else (text,))).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", least: float = 0.7) -> DataFrame:
@@ -183,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``least``, with their own columns."""
     own = docs.columns
-    inner = docs.select(*(F.col(c).alias(f"own {i}") for i, c in enumerate(own)), F.col(text).alias("scored text"))
+    inner = docs.select(*(F.col(c).alias(f"own {i}") for i, c in enumerate(own)))
     names = tuple(f"own {i}" for i in range(len(own)))
-    kept = scored(inner, train(docs, labels, id_col, text), "scored text", names).where(F.col("score") >= least)
+    kept = scored(inner, train(docs, labels, id_col, text), f"own {own.index(text)}", names).where(F.col("score") >= least)
     return kept.select(*(F.col(f"`own {i}`").alias(c) for i, c in enumerate(own)))
