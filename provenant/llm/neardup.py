@@ -4,10 +4,15 @@ Two ways propose which texts to compare.  SimHash: every distinct text has a fin
 ``simhash.links`` join those within ``BITS`` bits.  Similarity 0.8 is about ten of 64 bits, beyond any grid, so every text
 also has ``BANDS`` keys, each of ``ROWS`` least hashes of its shingles; two texts of
 similarity 0.8 share no key with chance (1 - 0.8 ** ROWS) ** BANDS, 7 in 100,000, and less the more alike
-they are.  Texts that are proposed with one another, directly or through others, are a family, and in a family all
-texts are compared.  Its texts are dealt to blocks of about ``MEMBERS``; each pair of blocks meets in one
-group of rows, where the shingles that any two share are counted by one product of matrices, and only a forest of the links
-found there is returned (each verified on the shingles themselves), so neither pairs nor links grow with the square of a family.
+they are.  Texts that are proposed with one another, directly or through others, are a family.  All texts of a
+small family are compared; in one of more than ``MEMBERS`` those that share a key are, if that makes fewer meetings (a
+key's texts are then a group of their own, and keys with the same texts are one).
+
+Texts of a group are dealt to blocks of about ``MEMBERS``.  First each block is compared within itself and with
+``PIVOTS`` texts that all blocks of the group have, and the verified links are closed.  Then pairs of blocks
+meet, but texts of the group's largest tree do not meet one another again, so a crowd of true copies costs work in proportion to
+its size.  Where blocks meet, the shingles that any two texts share are counted by one product of matrices, and only a forest of
+the links found there is returned (each verified on the shingles themselves), so neither pairs nor links grow with the square of a group.
 
 Words are lower-cased (ASCII) and parted by white space, as in ``simhash``.
 
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -34,8 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, ROWS, BANDS = 2, 5, 24
 #: Texts, and bytes of text, that are hashed at once.
 AT_ONCE, CHUNK = 256, 400_000
-#: Texts, and shingles, of a block; up to ``FEW`` texts are compared one by one; shingles whose counts are multiplied at once.
-MEMBERS, SHINGLES, FEW, COLUMNS = 256, 1_000_000, 6, 8192
+#: Texts, and shingles, of a block, and texts that all blocks of a group have; up to ``FEW`` texts are compared one by one; shingles whose counts are multiplied at once.
+MEMBERS, SHINGLES, PIVOTS, FEW, COLUMNS = 256, 1_000_000, 16, 6, 8192
 
 #: ASCII letters in lower case, ASCII white space as blanks.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
@@ -180,26 +185,75 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.select(*group, "mine", "node", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
+def _blocks(texts: Column, n: Column) -> Column:
+    """Into how many blocks so many texts, with so many shingles, are dealt."""
+    return F.greatest(F.ceil(texts / MEMBERS), F.ceil(n / SHINGLES), F.lit(1)).cast("int")
+
+
+def groups(told: DataFrame) -> DataFrame:
+    """Which texts must meet: rows (group, node, n, blocks) from (node, n, keys, fp), each group dealt to so many blocks.
+
+    Families of one block are a group each.  Larger ones are one group, or one group for each key with a different set of texts, whichever makes fewer meetings.
+    """
+    points = told.select("fp").distinct()
+    near = components(simhash.links(points, BITS)).select(F.col("node").alias("fp"), "root")
+    keys = F.concat("keys", F.array(F.xxhash64(F.coalesce("root", "fp"))))  # texts of near fingerprints share one more key
+    placed = cut(told.join(near, "fp", "left").select("node", "n", F.explode(keys).alias("key")))
+    crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    crowded = cut(placed.join(crowd, "key"))
+    found = components(crowded.where("a <> node").select("a", F.col("node").alias("b")))
+    family = cut(found.join(told.select("node", "n"), "node"))
+    sized = family.groupBy("root").agg(F.count("*").alias("texts"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    wide = sized.where("blocks > 1")
+    inside = crowded.join(family.select("node", "root").join(wide, "root"), "node")
+    same = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    sets = inside.groupBy("root", "key").agg(F.count("*").alias("texts"), _blocks(F.count("*"), F.sum("n")).alias("blocks"), *same)
+    once = cut(sets.groupBy("root", "texts", "x", "y").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")))
+    work = once.groupBy("root").agg(F.sum(F.col("texts") * F.col("blocks")).alias("work"))
+    split = work.join(wide, "root").where("work < texts * blocks").select("root")
+    whole = family.join(sized.join(split, "root", "left_anti"), "root").select(F.col("root").alias("group"), "node", "n", "blocks")
+    parts = crowded.join(once.join(split, "root").select("key", "blocks"), "key").select(F.col("key").alias("group"), "node", "n", "blocks")
+    return cut(whole.unionByName(parts))
+
+
+def within(members: DataFrame) -> DataFrame:
+    """The first meetings (group, one, other, mine, node): every text in its own block, and the ``PIVOTS`` of a group in all its blocks."""
+    own = members.select("group", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("one"), "node")
+    drawn = members.where("blocks > 1").groupBy("group", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(PIVOTS))).agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
+    pivots = drawn.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "node")
+    return own.unionByName(pivots).distinct().select("group", "one", F.col("one").alias("other"), F.col("one").alias("mine"), "node")
+
+
+def across(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The meetings that are left in groups of several blocks: all pairs of blocks, but for those that hold only texts of the group's largest tree, which are joined already."""
+    treed = members.where("blocks > 1").drop("blocks").join(joined, "node", "left").withColumn("tree", F.coalesce("root", "node")).drop("root")
+    trees = treed.groupBy("group", "tree").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("texts", "tree", "n")).alias("main")
+    summed = trees.groupBy("group").agg(largest, F.sum("texts").alias("texts"), F.sum("n").alias("n")).where("texts > main.texts")
+    dealt = summed.select("group", F.col("main.tree").alias("main"), _blocks(F.col("main.texts"), F.col("main.n")).alias("of_main"), _blocks(F.col("texts") - F.col("main.texts"), F.col("n") - F.col("main.n")).alias("of_rest"))
+    hashed = F.xxhash64("node", F.lit(8))
+    rest = treed.join(dealt, "group").withColumn("rest", F.col("tree") != F.col("main"))
+    mine = F.when(F.col("rest"), F.col("of_main") + F.pmod(hashed, F.col("of_rest"))).otherwise(F.pmod(hashed, F.col("of_main"))).cast("int")
+    meets = F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("of_main")), F.col("of_main") + F.col("of_rest") - 1)
+    met = rest.select("group", "node", mine.alias("mine"), F.explode(meets).alias("x"))
+    return met.select("group", F.least("mine", "x").alias("one"), F.greatest("mine", "x").alias("other"), "mine", "node")
+
+
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of the texts (by their xxhash64) that are alike with others, directly or through others."""
     given = docs.select(F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     told = cut(keyed(given).dropDuplicates(["node"]))
-    placed = told.select("node", F.explode("keys").alias("key"))
-    crowd = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    shared = placed.join(crowd, "key").where("a <> node").select("a", F.col("node").alias("b"))
-    # fingerprints are nodes beside the texts, each linked with its texts if it is near another or has several
-    points = told.groupBy("fp").agg(F.count("*").alias("texts"))
-    near = simhash.links(points.select("fp"), BITS)
-    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(points.where("texts > 1").select("fp")).distinct()
-    held = told.select("fp", "node").join(ends, "fp", "left_semi").select(F.col("fp").alias("a"), F.col("node").alias("b"))
-    family = components(shared.unionByName(near).unionByName(held).distinct())
-    counted = family.join(told.select("node", "n"), "node")
-    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
-    sized = counted.groupBy("root").agg(blocks.alias("blocks"))
-    members = cut(family.join(sized, "root"))
-    known = given.dropDuplicates(["node"]).join(members, "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    met = known.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return components(compared(met.select("root", F.least("mine", "x").alias("one"), F.greatest("mine", "x").alias("other"), "mine", "node", "text")))
+    members = groups(told)
+    known = cut(given.dropDuplicates(["node"]).join(members.select("node").distinct(), "node"))
+
+    def verified(meetings: DataFrame) -> DataFrame:
+        return compared(known.join(meetings, "node").withColumnRenamed("group", "root"))
+
+    joined = cut(components(verified(within(members))))
+    found = cut(verified(across(members, joined)))
+    if found.isEmpty():
+        return joined
+    return components(found.unionByName(joined.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

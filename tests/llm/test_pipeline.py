@@ -75,6 +75,29 @@ def test_near_dedup_matches_brute_force(spark, seed, members, monkeypatch):
     assert corpus_pipeline.near_dedup(spark, df.where("false"), "").count() == 0
 
 
+def test_true_copies_meet_once_and_chains_by_keys(spark, monkeypatch):
+    """A crowd of true copies is joined by its blocks and pivots; texts that are only joined through others meet by their keys."""
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    crowd = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(200)]  # similarity 0.9 and more
+    long = [f"c{i}" for i in range(900)]
+    chain = [" ".join(long[i : i + 60]) for i in range(0, 840, 8)]  # neighbours 0.76, so none is alike
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(crowd + chain)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    given = df.selectExpr("xxhash64(text) AS node", "text")
+    members = neardup.groups(neardup.keyed(given)).cache()
+    sizes = {g["group"]: g for g in members.groupBy("group").agg({"node": "count", "blocks": "max"}).collect()}
+    assert max(g["count(node)"] for g in sizes.values()) == 200  # the crowd is one group
+    chained = members.join(given.where("text LIKE 'c%'"), "node")
+    assert chained.select("group").distinct().count() > 5 and chained.agg({"blocks": "max"}).first()[0] <= 2  # the chain is many
+    joined = neardup.components(neardup.compared(given.join(neardup.within(members), "node").withColumnRenamed("group", "root")))
+    left = neardup.across(members, joined)
+    assert left.join(given.where("text LIKE 'w%' OR text LIKE 'x%'"), "node").count() == 0  # nothing is left to meet
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()} == slow_kept(rows)
+
+
 def test_keys_are_of_the_shingles_alone():
     a, b = neardup.keys([b"x y z u v w", b"q"]), neardup.keys([b"q", b"", b"X\ty z u  v w\n", b"x y z u v w x y z u v w"])
     assert a[0].tolist() == [2, 1] and b[0].tolist() == [1, 1, 2, 6]
