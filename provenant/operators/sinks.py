@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
+
 
 def _same(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
     """Equal keys, null ones among them."""
@@ -55,6 +57,35 @@ def register(old: DataFrame, new: DataFrame, key: list[str], stay: list[str]) ->
     return upsert(old, kept, key)
 
 
+def upsert_tree(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree table with ``new`` nodes upserted by node_id, and counts (version_id, level, written, failed) of them.
+
+    A version's nodes come whole or not at all, as in one transaction that writes parents first: every parent is among the old nodes or among the version's
+    new ones of a higher level, levels are 0 to 3, and no content is null.  One node that breaks this fails its version, whose old nodes stay; others go on.
+    ``new`` has each node_id once.
+    """
+    above = new.select("version_id", F.col("node_id").alias("parent_id"), F.col("level").alias("above"))
+    there = old.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("there")).distinct()
+    met = new.select("version_id", "parent_id", "level", "content").join(above, ["version_id", "parent_id"], "left").join(there, "parent_id", "left")
+    parent = F.col("parent_id").isNull() | F.col("there").isNotNull() | F.coalesce(F.col("above") > F.col("level"), F.lit(False))
+    sound = parent & F.coalesce(F.col("level").between(0, 3), F.lit(False)) & F.col("content").isNotNull()
+    broken = _named(met.where(~sound).select("version_id").distinct(), ["version_id"]).withColumn("broken", F.lit(True))
+    judged = new.join(broken, _same(new, broken, ["version_id"]), "left")
+    counts = judged.groupBy("version_id", "level").agg(F.count_if(F.col("broken").isNull()).alias("written"), F.count_if(F.col("broken")).alias("failed"))
+    return upsert(old, judged.where("broken IS NULL").select(*old.columns), ["node_id"]), counts
+
+
+def write_tree(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
+    """``upsert_tree`` into the table at ``path`` (made if it is not there), put in place by one swap; the counts."""
+    recover(spark, path)
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here)
+    table, counts = upsert_tree(spark.read.parquet(path) if held else new.limit(0), new)
+    told = cut(counts)  # before the table changes
+    replace(spark, table, path)
+    return told
+
+
 def replace_scope(old: DataFrame, new: DataFrame, scope: list[str], key: list[str]) -> DataFrame:
     """Delete, then insert: the scopes that ``new`` has hold its rows (one for each key) and nothing else; other scopes stay."""
     return delete_matching(old, new.select(*scope).distinct(), scope).unionByName(new.dropDuplicates([*scope, *key]).select(*old.columns))

@@ -76,6 +76,16 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def stored(nodes: DataFrame) -> DataFrame:
+    """Nodes of ``build`` as rows of the tree table: the units that each covers, and the first and last chunk of sentences and paragraphs."""
+    ends = F.col("level") <= 1
+    return nodes.select(
+        "node_id", "version_id", "parent_id", "level", "node_type", "content", "children_ids", "source_chunk_ids",
+        F.when(ends, F.get("source_chunk_ids", F.lit(0))).alias("start_chunk_id"), F.when(ends, F.try_element_at("source_chunk_ids", F.lit(-1))).alias("end_chunk_id"),
+        F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end")).alias("covered_unit_range"),
+    )
+
+
 def _walk(edges: DataFrame, now: DataFrame, start: str, step: int, depth: int | None) -> DataFrame:
     """``start``, node_id and depth of what the edges (here, there) reach, ``depth`` steps far.
 

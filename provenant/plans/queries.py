@@ -986,6 +986,34 @@ def _(t):
     return sinks.touched(old, new, ["o_orderkey"], F.lit(2).cast("long")).select("o_orderkey", "updated_at")
 
 
+KEPT_NODES = """(SELECT 'n' || n_nationkey AS node_id, n_nationkey::BIGINT AS version_id, NULL AS parent_id, 2::BIGINT AS level, n_name AS content, n_nationkey % 4 = 1 AS come, n_nationkey % 2 = 0 AS held FROM nation
+  UNION ALL SELECT 'c' || c_custkey, c_nationkey, 'n' || c_nationkey, 1, c_name, c_nationkey % 2 = 1 OR c_custkey % 3 > 0, c_nationkey % 2 = 0 FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, c_nationkey, 'c' || o_custkey, 0, o_orderstatus, true, false FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _tree_upsert(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nations, customers and orders as trees of a version a nation: those of every fourth nation have no root, neither held nor new."""
+    n, c, o = t("nation"), t("customer"), t("orders")
+    shape = lambda key, version, parent, level, content: [key.alias("node_id"), F.col(version).cast("long").alias("version_id"), parent.alias("parent_id"), F.lit(level).cast("long").alias("level"), F.col(content).alias("content")]
+    named = lambda letter, k: F.concat(F.lit(letter), F.col(k).cast("string"))
+    nations = n.select(*shape(named("n", "n_nationkey"), "n_nationkey", F.lit(None).cast("string"), 2, "n_name"))
+    customers = c.select(*shape(named("c", "c_custkey"), "c_nationkey", named("n", "c_nationkey"), 1, "c_name"), "c_custkey")
+    orders = o.join(c, o["o_custkey"] == c["c_custkey"]).select(*shape(named("o", "o_orderkey"), "c_nationkey", named("c", "o_custkey"), 0, "o_orderstatus"))
+    held = nations.unionByName(customers.drop("c_custkey")).where("version_id % 2 = 0").withColumn("content", F.lit("old"))
+    new = nations.where("version_id % 4 = 1").unionByName(customers.where("version_id % 2 = 1 OR c_custkey % 3 > 0").drop("c_custkey")).unionByName(orders)
+    return sinks.upsert_tree(held, new)
+
+
+@register("tree_upsert", f"SELECT node_id, version_id, parent_id, level, CASE WHEN come THEN content ELSE 'old' END AS content FROM {KEPT_NODES} WHERE held OR come AND version_id % 4 <> 3")
+def _(t):
+    return _tree_upsert(t)[0]
+
+
+@register("tree_upsert_counts", f"SELECT version_id, level, count(*) FILTER (WHERE version_id % 4 <> 3) AS written, count(*) FILTER (WHERE version_id % 4 = 3) AS failed FROM {KEPT_NODES} WHERE come GROUP BY ALL")
+def _(t):
+    return _tree_upsert(t)[1]
+
+
 @register("replace_scope", "WITH f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 0::BIGINT AS l_partkey FROM lineitem WHERE l_linenumber < 3 AND l_orderkey IN (FROM f) UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber < 3 AND l_orderkey IN (FROM f))")
 def _(t):
     l = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")

@@ -6,8 +6,8 @@ import json
 
 import pytest
 
-from provenant.operators import retrieval, sinks
-from provenant.sources import config
+from provenant.operators import retrieval, sinks, tree
+from provenant.sources import config, content
 
 
 def test_registered_rows_keep_their_ids(spark):
@@ -56,3 +56,32 @@ def test_policies_come_back_from_artifacts(tmp_path):
             config.read_policy_artifact(at)
     with pytest.raises(config.ConfigError):
         config.read_policy_artifact(tmp_path / "none.json")
+
+
+NODE = "node_id string, version_id string, parent_id string, level int, content string"
+
+
+def test_trees_come_whole_or_not_at_all(spark):
+    old = spark.createDataFrame([("r", "v", None, 3, "was"), ("x", "w", None, 3, "stays"), ("z", None, None, 3, "none")], NODE)
+    sound = [("r", "v", None, 3, "now"), ("s", "v", "r", 2, "s"), ("p", "v", "s", 1, ""), ("q", None, "z", 2, "q")]
+    orphan = [("x", "w", None, 3, "new"), ("y", "w", "s", 1, "parent of another version, not there before")]
+    others = [("a", "u", "b", 1, "parent not above"), ("b", "u", "a", 1, "b"), ("c", "t", None, 4, "no such level"), ("d", "t2", None, 3, None)]
+    table, counts = sinks.upsert_tree(old, spark.createDataFrame(sound + orphan + others, NODE))
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(sound + [("x", "w", None, 3, "stays"), ("z", None, None, 3, "none")], key=str)
+    told = {(r.version_id, r.level): (r.written, r.failed) for r in counts.collect()}
+    assert told == {("v", 3): (1, 0), ("v", 2): (1, 0), ("v", 1): (1, 0), (None, 2): (1, 0), ("w", 3): (0, 1), ("w", 1): (0, 1), ("u", 1): (0, 2), ("t", 4): (0, 1), ("t2", 3): (0, 1)}
+    none = sinks.upsert_tree(old, old.limit(0))
+    assert none[0].count() == 3 and none[1].count() == 0
+
+
+def test_a_tree_is_written_by_one_swap_and_again(spark, tmp_path):
+    rows = [{"type": "text", "text_level": 1, "text": "Title", "page_idx": 0}, {"type": "text", "text": "one", "page_idx": 0}, {"type": "text", "text": "two", "page_idx": 1}]
+    nodes = tree.stored(tree.build(content.items_of(spark.createDataFrame([("v", json.dumps(rows))], "version_id string, content string"))))
+    at = str(tmp_path / "tree")
+    first = {r.level: (r.written, r.failed) for r in sinks.write_tree(spark, nodes, at).collect()}
+    held = sorted(map(str, spark.read.parquet(at).collect()))
+    assert set(first) == {0, 1, 2, 3} and all(w > 0 and not f for w, f in first.values())
+    again = {r.level: (r.written, r.failed) for r in sinks.write_tree(spark, nodes, at).collect()}
+    assert again == first and sorted(map(str, spark.read.parquet(at).collect())) == held
+    leaf = spark.read.parquet(at).where("level = 0").orderBy("covered_unit_range.start").first()
+    assert leaf.start_chunk_id == leaf.end_chunk_id == leaf.source_chunk_ids[0] and leaf.node_type == "sentence"
