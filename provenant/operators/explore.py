@@ -175,6 +175,16 @@ def level_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("level").agg(F.count("*").alias("total"), F.count_if(F.col("embedding").isNotNull()).alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("missing"))
 
 
+def lookup(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ``ids``, each once however often it is listed; Spark broadcasts the list if it is small."""
+    return table.join(ids.select(key), key, "left_semi")
+
+
+def pending_versions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Versions that have chunks and no tree."""
+    return chunks.select("version_id").distinct().join(nodes.select("version_id"), "version_id", "left_anti")
+
+
 def tree_progress(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: versions with chunks, those with a tree, and those without."""
     have = nodes.select("version_id").distinct().withColumn("done", F.lit(True))

@@ -104,8 +104,12 @@ def ingest(items: DataFrame) -> Layers:
         F.coalesce("source_element_id", "source_id").alias("source_element_id"), unit_hash("body", "anchor_json", F.coalesce("source_element_id", "source_id")).alias("unit_hash"),
     )
     spans = whole.select("version_id", "chunk_id", "unit_id", F.lit(0).alias("unit_order"), F.lit(0).alias("start_char"), F.length("body").alias("end_char"))
-    stats = items.groupBy("version_id", F.coalesce("type", F.lit("")).alias("element_type")).agg(F.count("*").alias("n"))
-    return Layers(sizes, units, chunks, spans, stats)
+    return Layers(sizes, units, chunks, spans, type_counts(items))
+
+
+def type_counts(items: DataFrame) -> DataFrame:
+    """Items of each version by their type, skipped types among them; a null type counts as empty."""
+    return items.groupBy("version_id", F.coalesce("type", F.lit("")).alias("element_type")).agg(F.count("*").alias("n"))
 
 
 def rebuild(units: DataFrame, group_size: int = 2, prefix: str = "rechunk") -> tuple[DataFrame, DataFrame]:

@@ -256,10 +256,14 @@ def evidence_warnings(units: Column) -> Column:
     return F.when(F.coalesce(F.size(units), F.lit(0)) < 1, F.array(F.lit("missing_evidence_chain"))).otherwise(codes)
 
 
+def with_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chunks with the size and coordinate system of their page, null where the page is not known."""
+    return chunks.join(pages.select("version_id", "page_idx", "coord_sys", "page_w", "page_h"), ["version_id", "page_idx"], "left")
+
+
 def with_evidence(ranked: DataFrame, chunks: DataFrame, pages: DataFrame, spans: DataFrame, units: DataFrame) -> DataFrame:
     """Ranked ids with their chunk, page and evidence; ids without a chunk are dropped, ranks stay."""
-    paged = chunks.join(pages.select("version_id", "page_idx", "coord_sys", "page_w", "page_h"), ["version_id", "page_idx"], "left")
-    full = ranked.join(paged, "chunk_id").join(evidence_units(spans, units), "chunk_id", "left")
+    full = ranked.join(with_pages(chunks, pages), "chunk_id").join(evidence_units(spans, units), "chunk_id", "left")
     warnings = evidence_warnings(F.col("evidence_units"))
     status = F.when(F.coalesce(F.size("evidence_units"), F.lit(0)) < 1, UNVERIFIABLE).when(F.size("warnings") > 0, WARNED).otherwise(VERIFIED)
     return full.withColumn("warnings", warnings).withColumn("evidence_status", status)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions import text as X
 from ..functions.shared import cut, scratch
-from ..operators import evalkit, explore, fulltext, ingest, retrieval, scoring, sinks, trace, tree, trigrams, vectorindex
+from ..operators import evalkit, explore, fulltext, ingest, order, retrieval, scoring, sinks, trace, tree, trigrams, vectorindex
 from ..sources import content
 from ..streaming.ingest import apply
 
@@ -118,7 +118,7 @@ def _(t):
 
 @register("id_list_lookup", "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(t):
-    return t("documents").join(t("labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "source")
+    return explore.lookup(t("documents"), t("labels").where("toxic = 1"), "doc_id").select("doc_id", "lang", "source")
 
 
 @register("latest_per_type", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -252,7 +252,8 @@ def _(t):
 def _(t):
     c = t.chunks()
     pages = c.where("element_type <> 'src0'").groupBy("version_id", "page_idx").agg(F.max("n_chars").cast("double").alias("page_w"))
-    return c.join(pages, ["version_id", "page_idx"], "left").select("chunk_id", "page_w")
+    pages = pages.withColumns({"coord_sys": F.lit("page"), "page_h": F.lit(1.0)})
+    return retrieval.with_pages(c, pages).select("chunk_id", "page_w")
 
 
 @register("evidence_collect", "SELECT o_orderkey AS chunk_id, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS units FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -329,7 +330,7 @@ def _(t):
 @register("anti_join_pending", "SELECT DISTINCT o_custkey AS version_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
     o = t("orders").select(F.col("o_custkey").alias("version_id"), "o_orderpriority")
-    return o.select("version_id").distinct().join(o.where("o_orderpriority = '1-URGENT'").select("version_id"), "version_id", "left_anti")
+    return explore.pending_versions(o, o.where("o_orderpriority = '1-URGENT'"))
 
 
 @register("asof_context", "SELECT p.event_id, v.ts AS as_of_seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
@@ -434,7 +435,7 @@ def _(t):
 @register("element_type_counts", f"SELECT version_id, element_type, count(*) AS n FROM {CHUNKS} GROUP BY ALL")
 def _(t):
     items = t.chunks().select("version_id", F.col("element_type").alias("type"))
-    return items.groupBy("version_id", F.coalesce("type", F.lit("")).alias("element_type")).agg(F.count("*").alias("n"))
+    return ingest.type_counts(items)
 
 
 @register("extract_values", """SELECT version_id, lo::BIGINT AS lowest, hi::BIGINT AS highest, n::BIGINT AS count FROM (SELECT lang AS version_id, list_min(v) AS lo, list_max(v) AS hi, len(v) AS n, doc_id FROM (SELECT lang, doc_id, list_transform(regexp_extract_all(text, '([0-9]{1,6})\\.', 1), lambda x: x::INT) AS v FROM documents) WHERE len(v) > 0)
@@ -569,9 +570,12 @@ def _(t):
 
 @register("section_islands", "SELECT user_id, event_id, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS section, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS opened_by FROM events")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("event_id")
     opens = F.col("event_type") == "signup"
-    return t("events").select("user_id", "event_id", F.sum(opens.cast("long")).over(w).alias("section"), F.last(F.when(opens, F.col("event_id")), ignorenulls=True).over(w).alias("opened_by"))
+    rows = t("events").select("user_id", "event_id", "event_type", F.floor(F.col("event_id") / tree.BLOCK).alias("block"))
+    counted = order.running_count(rows, ["user_id"], "block", "event_id", opens, "section").select("user_id", "event_id", "section")
+    openers = rows.where(opens).select("user_id", F.col("event_id").alias("opened_by"))
+    opened = tree.as_of(counted, openers, "user_id", "event_id", "opened_by", "opened_by", "opened_by", tree.RANGES).withColumnRenamed("as_of_opened_by", "opened_by")
+    return longs(opened)
 
 
 @register("best_insight", "SELECT user_id, arg_min(event_type, (CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, -value, event_id)) AS best FROM events GROUP BY 1")
@@ -1247,7 +1251,7 @@ def _(t):
 @register("point_lookup", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents WHERE doc_id = (SELECT max(doc_id) FROM labels WHERE quality = 1)")
 def _(t):
     best = t("labels").where("quality = 1").agg(F.max("doc_id").alias("doc_id"))
-    return longs(t("documents").join(F.broadcast(best), "doc_id").select("doc_id", F.size(F.split("text", "\n")).alias("lines")))
+    return longs(explore.lookup(t("documents"), best, "doc_id").select("doc_id", F.size(F.split("text", "\n")).alias("lines")))
 
 
 # -- sources and sinks end to end -----------------------------------------------------------------
