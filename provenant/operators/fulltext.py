@@ -12,13 +12,16 @@ served by an index and finds nothing, as in ``querytree``.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.text import has_cjk
 from . import trigrams
-from .retrieval import best, keyword_lexemes, tokens
+from .retrieval import answered, asked_once, best, keyword_lexemes, tokens
 
 TERM = "struct<words: array<string>, negated: boolean>"
 TREE = f"array<array<{TERM}>>"
@@ -68,12 +71,28 @@ def indexable(tree: Column | str) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """version_id, lexeme, chunk_id and positions (from 0, ascending) of every word of every chunk.
+    """version_id, lexeme, chunk_id and positions (from 0, ascending) of every word of every chunk; each chunk_id stands for one chunk.
 
-    Positions are gathered before the one exchange, whose key holds the chunk as well: no word is too common for a task.
+    No exchange: a chunk's words are gathered in its own row, in Arrow batches.
     """
-    each = chunks.select("version_id", "chunk_id", F.posexplode(tokens("text_raw")).alias("at", "lexeme"))
-    return each.groupBy("version_id", "lexeme", "chunk_id").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+
+    def gathered(words: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = words.flatten().dictionary_encode()
+        code = named.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * max(1, len(named.dictionary)) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+        lexemes = named.dictionary.take(pa.array(code[order][first]))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[order][first], minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([lexemes, positions], ["lexeme", "positions"]))
+
+    gathered.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    each = chunks.select("version_id", "chunk_id", F.arrow_udf(gathered, "array<struct<lexeme: string, positions: array<int>>>")(tokens("text_raw")).alias("own"))
+    return each.select("version_id", "chunk_id", F.explode("own").alias("x")).select("version_id", "x.lexeme", "chunk_id", "x.positions")
 
 
 def holds(tree: Column | str, held: Column | str) -> Column:
@@ -123,7 +142,7 @@ def search(index: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
 
     ``queries``: query_id, version_id and tree.  A job counts the queries' different words while the plan is made.
     """
-    asked = queries.where(indexable("tree")).select("query_id", "version_id", "tree")
+    asked, asking = asked_once(queries.where(indexable("tree")), "tree")
     words = F.array_distinct(F.flatten(F.transform(F.flatten("tree"), lambda x: x["words"])))
     wanted = asked.select("query_id", "version_id", F.explode(words).alias("lexeme"))
     listed = wanted.groupBy("version_id", "lexeme").agg(F.collect_set("query_id").alias("asking"))
@@ -143,7 +162,7 @@ def search(index: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     # of single words each occurrence is a cover; others are weighed in Arrow batches
     times = F.aggregate(F.map_values("held"), F.lit(0), lambda n, p: n + F.size(p))
     weighed = both.withColumn("w", F.when(F.col("single"), 0.1 * times).otherwise(covers(F.when(~F.col("single"), F.col("tree")), F.col("held"))))
-    return best(weighed.select("query_id", "chunk_id", (F.col("w") / (F.col("w") + 1)).alias("score")), top_k)
+    return answered(best(weighed.select("query_id", "chunk_id", (F.col("w") / (F.col("w") + 1)).alias("score")), top_k), asking)
 
 
 def keyword_search(index: DataFrame, grams: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int, any_keyword: bool = True) -> DataFrame:
@@ -153,6 +172,6 @@ def keyword_search(index: DataFrame, grams: DataFrame, chunks: DataFrame, querie
     """
     cleaned = queries.withColumn("keywords", F.filter(F.transform("keywords", lambda k: F.trim(F.translate(k, '"', " "))), lambda k: k != ""))
     words = cleaned.where(~F.exists("keywords", has_cjk)).withColumn("tree", of_keywords("keywords", any_keyword))
-    full = search(index, words, top_k)
+    full = cut(search(index, words, top_k))  # 2 * top_k rows a query, read twice
     rest = cleaned.join(full.select("query_id").distinct(), "query_id", "left_anti")
     return full.unionByName(trigrams.substring_search(grams, chunks, rest, top_k))

@@ -18,9 +18,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_of, with_norm
+from ..functions.shared import cut
+from ..functions.text import with_norm
 from .explore import recommended_ef
-from .retrieval import best
+from .retrieval import best, best_of_cells, in_cells
 
 #: Vectors that centroids are fitted on, and bounds of the number of lists (the root of the number of vectors).
 SAMPLE, FEWEST, MOST = 20_000, 8, 1024
@@ -28,7 +29,7 @@ SAMPLE, FEWEST, MOST = 20_000, 8, 1024
 ROWS_EACH = 16
 #: Of the exact hits, those that a tuned search should find, and the questions that it is tuned with at most.
 TARGET, TUNED = 0.95, 200
-#: Up to so many (query, list) pairs are broadcast to the index; beyond, both are shuffled by version and list.
+#: Up to so many lists (of all versions) are broadcast to the queries; beyond, both are shuffled by version.
 BROADCAST_PROBES = 20_000
 #: What rounding may add to an angle.
 SLACK = 1e-6
@@ -104,7 +105,7 @@ def spheres(index: DataFrame) -> DataFrame:
 
 
 def reach(index: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: int, share: float = 0.0, ef: Column | int | None = None) -> DataFrame:
-    """query_id, version_id, query_embedding, query_norm, list, bound (the greatest cosine that the list may hold), before and near, for each list of the query's version.
+    """query_id, version_id, list, bound (the greatest cosine that the list may hold), before and near, for each list of the query's version.
 
     ``before``: the share of the version's rows on nearer lists; ``near``: whether that is less than ``share``, or less than ``ROWS_EACH`` times
     ``ef`` rows; ``ef`` follows the version's number of vectors unless told.
@@ -116,39 +117,44 @@ def reach(index: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: in
         return pa.array(to.tolist(), pa.list_(pa.float64()))
 
     away.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
-    q = with_norm(queries.where("embedding IS NOT NULL").select("query_id", "version_id", F.col("embedding").alias("query_embedding")), "query_embedding", "query_norm")
-    q = q.withColumn("away", F.arrow_udf(away, "array<double>")("query_embedding"))
-    lists = spheres(index).withColumn("total", F.sum("held").over(Window.partitionBy("version_id")))
+    q = _asked(queries)
+    q = q.select("query_id", "version_id", "query_norm", F.arrow_udf(away, "array<double>")("query_embedding").alias("away"))
+    lists = cut(spheres(index))
+    few = F.broadcast if lists.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES else lambda df: df
+    lists = lists.withColumn("total", F.sum("held").over(Window.partitionBy("version_id")))
     asked = recommended_ef(F.col("total")) if ef is None else ef if isinstance(ef, Column) else F.lit(ef)
     lists = lists.withColumn("enough", F.greatest(ROWS_EACH * asked, F.lit(2 * top_k), F.ceil(F.lit(share) * F.col("total"))))
-    met = q.join(lists, "version_id").withColumn("angle", F.get("away", F.col("list")))
+    met = q.join(few(lists), "version_id").withColumn("angle", F.get("away", F.col("list"))).drop("away")
     bound = F.when(F.col("list") < 0, F.lit(0.0)).when(F.col("query_norm") == 0, F.lit(0.0)).otherwise(F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius") - SLACK)))
     nearer = Window.partitionBy("query_id").orderBy(F.col("angle").asc_nulls_last(), "list").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("held").over(nearer), F.lit(0))
-    return met.select("query_id", "version_id", "query_embedding", "query_norm", "list", bound.alias("bound"), (before / F.col("total")).alias("before"), (before < F.col("enough")).alias("near"))
+    return met.select("query_id", "version_id", "list", bound.alias("bound"), (before / F.col("total")).alias("before"), (before < F.col("enough")).alias("near"))
 
 
-def _scored(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """query_id, chunk_id and score of the rows of the lists that are probed; a job counts the probes while the plan is made."""
-    probes = probes.select("query_id", "version_id", "list", "query_embedding", "query_norm")
-    if probes.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES:
-        probes = F.broadcast(probes)
-    return index.join(probes, ["version_id", "list"]).select("query_id", "chunk_id", cosine_of("embedding", "query_embedding", F.col("norm") * F.col("query_norm")).alias("score"))
+def _asked(queries: DataFrame) -> DataFrame:
+    return with_norm(queries.where("embedding IS NOT NULL").select("query_id", "version_id", F.col("embedding").alias("query_embedding")), "query_embedding", "query_norm")
+
+
+def _scored(index: DataFrame, queries: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
+    """query_id, chunk_id and score of the best rows (``keep`` of each cell) of the lists that are probed; a query with its lists goes once to each cell of its version."""
+    listed = probes.groupBy("query_id").agg(F.collect_list("list").alias("lists"))
+    rows, asked = in_cells(index.select("version_id", "chunk_id", "embedding", "norm", "list"), _asked(queries).join(listed, "query_id"))
+    return best_of_cells(rows, asked, ["version_id", "part", "set"], keep)
 
 
 def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: int, share: float = 0.0, ef: Column | int | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank0 of the best 2 * top_k chunks on each query's nearest lists."""
-    return best(_scored(index, reach(index, centroids, queries, top_k, share, ef).where("near")), top_k)
+    return best(_scored(index, queries, reach(index, centroids, queries, top_k, share, ef).where("near"), 2 * top_k), top_k)
 
 
 def search_exact(index: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: int, share: float = 0.0, ef: Column | int | None = None) -> DataFrame:
-    """The rows of ``retrieval.vector_search``, from the lists that can hold them."""
-    lists = reach(index, centroids, queries, top_k, share, ef)
-    first = best(_scored(index, lists.where("near")), top_k)
+    """The rows of ``retrieval.vector_search``, from the lists that can hold them; lists and first hits are read twice, so they are cut into the shared folder."""
+    lists = cut(reach(index, centroids, queries, top_k, share, ef))
+    first = cut(best(_scored(index, queries, lists.where("near"), 2 * top_k), top_k))
     worst = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("worst"))
     open_ = F.col("found").isNull() | (F.col("found") < 2 * top_k) | (F.col("bound") >= F.col("worst"))
     more = lists.where(~F.col("near")).join(worst, "query_id", "left").where(open_)
-    return best(first.select("query_id", "chunk_id", "score").unionByName(_scored(index, more)), top_k)
+    return best(first.select("query_id", "chunk_id", "score").unionByName(_scored(index, queries, more, 2 * top_k)), top_k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
