@@ -86,35 +86,60 @@ def stored(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _walk(edges: DataFrame, now: DataFrame, start: str, step: int, depth: int | None) -> DataFrame:
+def _walk(edges: DataFrame, now: DataFrame, start: str, step: int, depth: int | None, once: Column | None = None) -> DataFrame:
     """``start``, node_id and depth of what the edges (here, there) reach, ``depth`` steps far.
 
     Without a depth the walk goes on while a round finds something new: each round's rows are cut into the shared folder, and a node that
-    was reached from a start before is not reached again, so a cycle ends it too.
+    was reached from a start before is not reached again, so a cycle ends it too.  ``once`` holds for steps of a walk that reaches no node twice
+    while it holds: what was reached need not be looked up then.  Edges are never broadcast: a table of narrow rows is far larger than its files.
     """
     out = now = now.withColumn("depth", F.lit(0))
     d = 0
     while depth is None or d < depth:
         d += 1
-        now = now.join(edges, now["node_id"] == edges["here"]).select(start, F.col("there").alias("node_id"), F.lit(step * d).alias("depth"))
+        far = edges.hint("merge") if depth is None else edges
+        now = now.join(far, now["node_id"] == far["here"]).select(start, F.col("there").alias("node_id"), F.lit(step * d).alias("depth"))
         if depth is None:
-            now = cut(now.dropDuplicates([start, "node_id"]).join(out.select(start, "node_id"), [start, "node_id"], "left_anti"))
+            if once is None:
+                now = now.dropDuplicates([start, "node_id"]).join(out.select(start, "node_id").hint("merge"), [start, "node_id"], "left_anti")
+            now = cut(now if once is None else now.where(once))
             if now.isEmpty():
                 break
         out = out.unionByName(now)
     return out
 
 
+def _unique(df: DataFrame, column: str) -> bool:
+    return df.groupBy(column).count().where("count > 1").isEmpty()
+
+
+def _down(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """A walk down edges (here: parent, there: child) whose children have one parent each: only its own root can be reached a second time."""
+    return _walk(edges, roots, "root_id", 1, None, F.col("node_id") != F.col("root_id"))
+
+
 def descendants(nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """root_id, node_id and depth of all nodes below (and at depth 0, themselves); ``depth``: levels that are known to be enough."""
     edges = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("here"), F.col("node_id").alias("there"))
-    return _walk(edges, roots.select(F.col("node_id").alias("root_id"), "node_id"), "root_id", 1, depth)
+    roots = roots.select(F.col("node_id").alias("root_id"), "node_id")
+    if depth is None and _unique(edges, "there") and _unique(roots, "node_id"):
+        return _down(edges, roots)
+    return _walk(edges, roots, "root_id", 1, depth)
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """start_id, node_id and depth (0, -1, ...) of all nodes above; ``depth``: levels that are known to be enough."""
+    """start_id, node_id and depth (0, -1, ...) of all nodes above; ``depth``: levels that are known to be enough.
+
+    Without a depth, a walk down from all roots tells first whether the nodes are trees: a walk up then needs no look at what it has reached.
+    """
     edges = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("here"), F.col("parent_id").alias("there"))
-    return _walk(edges, starts.select(F.col("node_id").alias("start_id"), "node_id"), "start_id", -1, depth)
+    starts = starts.select(F.col("node_id").alias("start_id"), "node_id")
+    trees = False
+    if depth is None and _unique(edges, "here") and _unique(starts, "node_id"):
+        down = edges.select(F.col("there").alias("here"), F.col("here").alias("there"))
+        tops = down.select(F.col("here").alias("node_id")).distinct().join(down.select(F.col("there").alias("node_id")).hint("merge"), "node_id", "left_anti")
+        trees = _down(down, tops.select(F.col("node_id").alias("root_id"), "node_id")).where("depth > 0").count() == edges.count()
+    return _walk(edges, starts, "start_id", -1, depth, F.lit(True) if trees else None)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, value: str, order: str, ranges: int | None = None) -> DataFrame:

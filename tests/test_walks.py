@@ -45,3 +45,29 @@ def test_covered_range(nodes):
 def test_empty_trees(nodes):
     none = nodes.where("false")
     assert tree.descendants(none, none).count() == tree.ancestors(none, none).count() == explore.covered_range(none).count() == 0
+
+
+def test_walks_of_trees_look_nothing_up_and_broadcast_nothing(spark, nodes, monkeypatch):
+    plans, cut = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    whole = spark.createDataFrame([(i, i // 3 if i else None) for i in range(200)], "node_id long, parent_id long")
+    want = set()
+    for i in range(200):
+        up, d = i, 0
+        while True:
+            want.add((i, up, d))
+            if up == 0:
+                break
+            up, d = up // 3, d + 1
+    assert {(r.start_id, r.node_id, -r.depth) for r in tree.ancestors(whole, whole).collect()} == want
+    assert "LeftAnti" not in plans[-1] and not any("BroadcastHashJoin" in p for p in plans)
+    plans.clear()
+    assert {(r.node_id, r.root_id, r.depth) for r in tree.descendants(whole, whole).collect()} == want
+    assert not any("LeftAnti" in p or "BroadcastHashJoin" in p for p in plans)
+
+
+def test_nodes_with_two_parents_are_reached_once(spark):
+    rows = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("e", "a")]
+    n = spark.createDataFrame(rows, "node_id string, parent_id string")
+    root = spark.createDataFrame([("a",)], "node_id string")
+    assert sorted((r.node_id, r.depth) for r in tree.descendants(n, root).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 1)]
