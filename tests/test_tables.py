@@ -21,6 +21,20 @@ def test_walks(spark):
     assert {r.node_id for r in spark.sql("SELECT * FROM test_tree_descendants('n1', 1)").collect()} == {"n1", "n2", "n3"}
 
 
+def test_walks_may_reach_any_number_of_nodes(spark):
+    nodes = spark.range(1, 60).selectExpr("id AS node_id", "CASE WHEN id > 1 THEN id div 2 END AS parent_id")
+    tables.register_tree(spark, nodes, "test_bounded")
+    row_limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        assert tables.whole(spark, "SELECT * FROM test_bounded_descendants(1L)").count() == 59
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "20"
+        with pytest.raises(Exception, match="RECURSION_ROW_LIMIT"):
+            spark.sql("SELECT * FROM test_bounded_descendants(1L)").collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", row_limit)
+
+
 def test_nearest(spark):
     rows = [("v" if i % 4 else "w", i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [("v", 100, [0.0, 0.0, 0.0]), ("v", 101, None)]
     chunks = spark.createDataFrame(rows, "version_id string, chunk_id long, embedding array<float>")
