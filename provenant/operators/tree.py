@@ -27,11 +27,11 @@ def is_heading() -> Column:
 
 
 def paragraphs(items: DataFrame) -> DataFrame:
-    """Leaves (page numbers make none) with para, the running number of their paragraph, of the non-blank items of each version.
+    """Leaves (page numbers make none) with title (the text of headings) and para, the running number of their paragraph, of the non-blank items of each version.
 
     A version stands in blocks of ``BLOCK`` positions: the last row before a block and the count of paragraphs before it are carried in.
     """
-    named = items.withColumn("body", strip(item_text())).where("body <> ''").withColumn("heading", F.coalesce(is_heading(), F.lit(False))).withColumn("page", F.coalesce("page_idx", F.lit(0)))
+    named = items.withColumn("body", strip(item_text())).where("body <> ''").withColumn("heading", F.coalesce(is_heading(), F.lit(False))).withColumn("title", F.when(F.col("heading"), F.col("body"))).withColumn("page", F.coalesce("page_idx", F.lit(0)))
     named = named.withColumn("block", F.floor(F.col("pos") / BLOCK))
     rows = previous(named, ["version_id"], "block", "pos", F.struct("type", "heading", "page"), "before")
     before = F.col("before")
@@ -53,18 +53,19 @@ def build(items: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def level(key: str, parent: Column, number: int, kind: str, children: str, text: Column, heading: Column) -> DataFrame:
-        # bodies are gathered only where they make the content: a section or root would hold all of its version
-        part = F.array_sort(F.collect_list(F.struct("pos", *(["body"] if number < 2 else []), F.col(children).alias("child"))))
+        # bodies are gathered only where they make the content (a section or root would hold all of its version), and by themselves: who reads no content shuffles no text
+        bodies = [F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("bodies")] if number < 2 else []
+        part = F.array_sort(F.collect_list(F.struct("pos", F.col(children).alias("child"))))
         grouped = leaves.groupBy("version_id", F.col(key).alias("node_id"), parent.alias("parent_id")).agg(
-            part.alias("parts"), F.min_by("page", "pos").alias("page_start"), F.min("page").alias("page_low"), F.max("page").alias("page_end"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.array_sort(F.collect_set("type")).alias("element_types"),
-            F.min_by(F.when(F.col("heading"), F.col("body")), "pos").alias("title"), F.count("*").alias("leaf_count"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("chunks"),
+            part.alias("parts"), *bodies, F.min_by("page", "pos").alias("page_start"), F.min("page").alias("page_low"), F.max("page").alias("page_end"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.array_sort(F.collect_set("type")).alias("element_types"),
+            F.min_by("title", "pos").alias("title"), F.count("*").alias("leaf_count"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("chunks"),
         )
         return grouped.select(
             "version_id", "node_id", "parent_id", F.lit(number).alias("level"), F.lit(kind).alias("node_type"), text.alias("content"), heading.alias("heading"), "page_start", "page_end",
             F.array("page_low", "page_end").alias("page_range"), "start_pos", "end_pos", "element_types", F.col("chunks.chunk_id").alias("source_chunk_ids"), F.array_distinct(F.col("parts.child")).alias("children_ids"), "leaf_count",
         )
 
-    joined = F.concat_ws(" ", F.col("parts.body"))
+    joined = F.concat_ws(" ", F.col("bodies.body"))
     sentences = level("sentence_node", F.col("para_node"), 0, "sentence", "sentence_node", joined, none).withColumn("children_ids", F.array().cast("array<string>"))
     paras = level("para_node", F.col("section_node"), 1, "paragraph", "sentence_node", joined, none)
     sections = level("section_node", F.col("root_node"), 2, "section", "para_node", F.coalesce(F.col("title"), F.lit("")), F.col("title"))
@@ -165,7 +166,8 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: st
 def contextual(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Chunks with contextual_text: their text after the title of the nearest section that starts on or before their page."""
     sections = nodes.where("level = 2 AND heading IS NOT NULL").select("version_id", "page_start", "heading", "start_pos")
-    named = as_of(chunks, sections, "version_id", "page_idx", "page_start", "heading", "start_pos", RANGES)
+    pages = chunks.select("version_id", "page_idx").distinct()  # all that the title depends on: no text is dealt to the ranges
+    named = carried(chunks, as_of(pages, sections, "version_id", "page_idx", "page_start", "heading", "start_pos", RANGES), ["version_id", "page_idx"])
     title = F.col("as_of_heading")
     return named.withColumn("contextual_text", F.when(title.isNotNull(), F.concat(F.lit("["), title, F.lit("] "), F.col("text_raw"))).otherwise(F.col("text_raw"))).withColumnRenamed("as_of_heading", "section_title")
 

@@ -78,3 +78,21 @@ def test_token_batches_over_blocks(spark, block, most, width, monkeypatch):
             count, total = count + 1, total + n
             want.append((v, key, batch))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_trees_shuffle_text_only_for_content(spark, monkeypatch):
+    items = spark.range(40).selectExpr(
+        "'v' AS version_id", "id AS pos", "'text' AS type", "CAST(id div 10 AS int) AS page_idx", "concat('line ', id) AS text", "IF(id % 5 = 0, 1, null) AS text_level", "CAST(null AS string) AS table_body",
+        *(f"CAST(null AS array<string>) AS {c}" for c in ("table_caption", "table_footnote", "image_caption", "image_footnote", "list_items")),
+    )
+    nodes = tree.build(items)
+    sizes = nodes.where("level > 1").select("level", F.size("children_ids").alias("n"))
+    shuffled = [x for x in nodes.select("level", "children_ids")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+    assert shuffled and not any("body" in x for x in shuffled)
+    assert sorted((r.level, r.n) for r in sizes.collect()) == [(2, 2)] * 8 + [(3, 8)]
+    joined, as_of = [], tree.as_of
+    monkeypatch.setattr(tree, "as_of", lambda left, *more: joined.append(left.columns) or as_of(left, *more))
+    chunks = spark.createDataFrame([("v", i, i // 3 if i < 9 else None, f"text {i}") for i in range(12)], "version_id string, chunk_id int, page_idx int, text_raw string")
+    told = tree.contextual(chunks, nodes.select("version_id", "level", "heading", "page_start", "start_pos"))
+    assert joined == [["version_id", "page_idx"]] and told.columns == [*chunks.columns, "section_title", "contextual_text"]
+    assert {r.chunk_id: r.contextual_text for r in told.collect()} == {i: f"[line {i // 3 * 10 + 5}] text {i}" if i < 9 else f"text {i}" for i in range(12)}
