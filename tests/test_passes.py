@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provenant.operators import scoring
+from provenant.plans import queries as own
 
 
 def test_dimensions_share_one_pass_over_the_texts(spark):
@@ -16,3 +17,8 @@ def test_dimensions_share_one_pass_over_the_texts(spark):
     assert "Range" not in done._jdf.queryExecution().analyzed().toString()  # what was cut is read, not the texts
     key = lambda df: sorted(map(str, df.collect()))
     assert key(done) == sorted(x for d in scoring.DIMENSIONS for x in key(scoring.score_dimension(chunks, d, 3, more)))
+
+
+def test_streamed_texts_become_digests_before_the_join(spark):
+    plan = own.QUERIES["stream_upsert"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Join") < plan.find("sha2")
