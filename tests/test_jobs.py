@@ -85,6 +85,33 @@ def test_empty_files_make_an_empty_index(spark, paths):
     assert fulltext_index.run(spark, *paths, CONFIG)["postings"] == 0 and there(spark, paths[1]) == []
 
 
+def test_repeated_and_superseded_ids_beyond_the_broadcast(spark, paths, monkeypatch):
+    """Many ids that come again, in a batch and in later ones, give the same index by a shuffle."""
+    monkeypatch.setattr(fulltext_index, "BROADCAST_IDS", 0)
+    for n, rows in enumerate((FIRST, [*SECOND, (6, "a greater cat", "en")])):
+        add(spark, rows, paths[0], n)
+        fulltext_index.run(spark, *paths, CONFIG)
+    assert there(spark, paths[1]) == rows_of(FIRST, [*SECOND, (6, "a greater cat", "en")])
+
+
+def test_postings_are_neither_sorted_nor_shuffled(spark, paths):
+    """Texts and postings are many times the ids; an index of few repeated ids moves neither through an exchange or a sort."""
+    add(spark, FIRST, paths[0], 0)
+    fulltext_index.run(spark, *paths, CONFIG)
+    add(spark, SECOND, paths[0], 1)
+    fulltext_index.run(spark, *paths, CONFIG)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        now = fulltext_index.current(spark, paths[1])
+        plan = now._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    docs = spark.read.parquet(paths[0]).select(F.col("lang").alias("version_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("text_raw"))
+    assert "Exchange" not in fulltext_index.once(docs, 0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_versions_that_look_like_numbers_stay_strings(spark, paths):
     add(spark, [(1, "one", "007"), (2, "two", "7")], paths[0], 0)
     fulltext_index.run(spark, *paths, CONFIG)
