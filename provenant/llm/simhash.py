@@ -145,21 +145,29 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return near.unionByName(through).distinct()
 
 
+#: Links that a task of a round of ``components`` reads.
+ROUND_ROWS = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): root is the least node that it reaches."""
+    """(node, root) of every node of the edges (a, b): root is the least node that it reaches.
+
+    Rounds end with the first in which every node has one link and none is linked through another; a round's links are read in as many tasks as their number asks for.
+    """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
     while True:
-        both = now.union(now.select("v", "u"))
+        ends = now.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x"))
+        each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.count("*").alias("all"))
+        left, n = each.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up")))), F.coalesce(F.sum("up"), F.lit(0))).first()
+        if not left:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+        now = now.coalesce(n // ROUND_ROWS + 1)
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         now = cut(small)
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
-        state = seen
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
