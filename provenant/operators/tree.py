@@ -6,6 +6,10 @@ as a tree does, or a known number of joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,22 +114,40 @@ def _walk(edges: DataFrame, now: DataFrame, start: str, step: int, depth: int |
     return out
 
 
-def _unique(df: DataFrame, column: str) -> bool:
-    return df.groupBy(column).count().where("count > 1").isEmpty()
+@contextmanager
+def _held(edges: DataFrame) -> Iterator[None]:
+    """The edges stay with the executors while a walk goes round.
 
+    What Spark infers from the expressions behind their columns ends there: cut rounds pass such conditions on, and where a parent is worked out from its
+    child (or a child from its parent) they would double with every round, in the plans on the driver and in the filters of the tasks.
+    """
+    own = edges.storageLevel == StorageLevel.NONE
+    if own:
+        edges.persist()
+    try:
+        yield
+    finally:
+        if own:
+            edges.unpersist()
 
-def _down(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """A walk down edges (here: parent, there: child) whose children have one parent each: only its own root can be reached a second time."""
-    return _walk(edges, roots, "root_id", 1, None, F.col("node_id") != F.col("root_id"))
+
+def _unique(df: DataFrame, column: str) -> bool:
+    return df.groupBy(column).count().where("count > 1").isEmpty()
 
 
 def descendants(nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
-    """root_id, node_id and depth of all nodes below (and at depth 0, themselves); ``depth``: levels that are known to be enough."""
+    """root_id, node_id and depth of all nodes below (and at depth 0, themselves); ``depth``: levels that are known to be enough.
+
+    Without a depth, children that have one parent each are not looked up: only its own root can be reached a second time.
+    """
     edges = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("here"), F.col("node_id").alias("there"))
     roots = roots.select(F.col("node_id").alias("root_id"), "node_id")
-    if depth is None and _unique(edges, "there") and _unique(roots, "node_id"):
-        return _down(edges, roots)
-    return _walk(edges, roots, "root_id", 1, depth)
+    if depth is not None:
+        return _walk(edges, roots, "root_id", 1, depth)
+    roots = cut(roots)
+    with _held(edges):
+        single = _unique(edges, "there") and _unique(roots, "node_id")
+        return _walk(edges, roots, "root_id", 1, None, F.col("node_id") != F.col("root_id") if single else None)
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -139,7 +161,7 @@ def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) ->
     if depth is None and _unique(edges, "here") and _unique(starts, "node_id"):
         down = edges.select(F.col("there").alias("here"), F.col("here").alias("there"))
         tops = down.select(F.col("here").alias("node_id")).distinct().join(down.select(F.col("there").alias("node_id")).hint("merge"), "node_id", "left_anti")
-        trees = _down(down, tops.select(F.col("node_id").alias("root_id"), "node_id")).where("depth > 0").count() == edges.count()
+        trees = _walk(down, tops.select(F.col("node_id").alias("root_id"), "node_id"), "root_id", 1, None, F.col("node_id") != F.col("root_id")).where("depth > 0").count() == edges.count()
     return _walk(edges, starts, "start_id", -1, depth, F.lit(True) if trees else None)
 
 

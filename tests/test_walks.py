@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from provenant.operators import explore, tree
 
@@ -71,3 +72,11 @@ def test_nodes_with_two_parents_are_reached_once(spark):
     n = spark.createDataFrame(rows, "node_id string, parent_id string")
     root = spark.createDataFrame([("a",)], "node_id string")
     assert sorted((r.node_id, r.depth) for r in tree.descendants(n, root).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 1)]
+
+
+def test_parents_worked_out_from_their_children_do_not_make_plans_grow(spark, monkeypatch):
+    sizes, cut = [], tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
+    n = spark.range(1 << 9).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).alias("parent_id"))
+    assert tree.descendants(n, n.where("node_id = 0")).count() == 1 << 9
+    assert max(sizes) < 10_000
