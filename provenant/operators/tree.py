@@ -135,6 +135,18 @@ def _unique(df: DataFrame, column: str) -> bool:
     return df.groupBy(column).count().where("count > 1").isEmpty()
 
 
+def _ends(edges: DataFrame) -> bool:
+    """Whether all walks along the edges end (no cycle), where one edge at most leaves each node: every round doubles the steps and keeps the nodes that so many can be taken from."""
+    far, steps, most = edges, 1, edges.count()
+    while steps <= most:
+        on = far.select(F.col("here").alias("there"), F.col("there").alias("beyond"))
+        far = cut(far.join(on.hint("merge"), "there").select("here", F.col("beyond").alias("there")))
+        if far.isEmpty():
+            return True
+        steps *= 2
+    return not most
+
+
 def descendants(nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """root_id, node_id and depth of all nodes below (and at depth 0, themselves); ``depth``: levels that are known to be enough.
 
@@ -153,16 +165,16 @@ def descendants(nodes: DataFrame, roots: DataFrame, depth: int | None = None) ->
 def ancestors(nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """start_id, node_id and depth (0, -1, ...) of all nodes above; ``depth``: levels that are known to be enough.
 
-    Without a depth, a walk down from all roots tells first whether the nodes are trees: a walk up then needs no look at what it has reached.
+    Without a depth, it is told first whether the nodes are trees: a walk up then needs no look at what it has reached.
     """
     edges = nodes.where("parent_id IS NOT NULL").select(F.col("node_id").alias("here"), F.col("parent_id").alias("there"))
     starts = starts.select(F.col("node_id").alias("start_id"), "node_id")
-    trees = False
-    if depth is None and _unique(edges, "here") and _unique(starts, "node_id"):
-        down = edges.select(F.col("there").alias("here"), F.col("here").alias("there"))
-        tops = down.select(F.col("here").alias("node_id")).distinct().join(down.select(F.col("there").alias("node_id")).hint("merge"), "node_id", "left_anti")
-        trees = _walk(down, tops.select(F.col("node_id").alias("root_id"), "node_id"), "root_id", 1, None, F.col("node_id") != F.col("root_id")).where("depth > 0").count() == edges.count()
-    return _walk(edges, starts, "start_id", -1, depth, F.lit(True) if trees else None)
+    if depth is not None:
+        return _walk(edges, starts, "start_id", -1, depth)
+    starts = cut(starts)
+    with _held(edges):
+        trees = _unique(edges, "here") and _unique(starts, "node_id") and _ends(edges)
+        return _walk(edges, starts, "start_id", -1, None, F.lit(True) if trees else None)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, value: str, order: str, ranges: int | None = None) -> DataFrame:

@@ -74,9 +74,21 @@ def test_nodes_with_two_parents_are_reached_once(spark):
     assert sorted((r.node_id, r.depth) for r in tree.descendants(n, root).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 1)]
 
 
+@pytest.mark.parametrize("rows", [[(i, i // 2 if i else None) for i in range(300)], [(i, i + 1) for i in range(40)], [(1, None), (2, None)], []])
+def test_walks_that_end(spark, rows):
+    edges = spark.createDataFrame(rows, "here long, there long").where("there IS NOT NULL").where("there <> here")
+    assert tree._ends(edges) and tree._ends(edges.where("false"))
+
+
+@pytest.mark.parametrize("rows", [[(7, 7)], [(1, 2), (2, 1)], [(i, (i + 1) % 9) for i in range(9)], [(i, i + 1) for i in range(20)] + [(20, 18)], [(1, 2), (2, 3), (5, 5)]])
+def test_walks_that_go_round(spark, rows):
+    assert not tree._ends(spark.createDataFrame(rows, "here long, there long"))
+
+
 def test_parents_worked_out_from_their_children_do_not_make_plans_grow(spark, monkeypatch):
     sizes, cut = [], tree.cut
     monkeypatch.setattr(tree, "cut", lambda df: sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
     n = spark.range(1 << 9).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).alias("parent_id"))
     assert tree.descendants(n, n.where("node_id = 0")).count() == 1 << 9
+    assert tree.ancestors(n, n).where("node_id = 0").count() == 1 << 9
     assert max(sizes) < 10_000
